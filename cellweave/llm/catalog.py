@@ -1,8 +1,13 @@
 """Queries that apply the operators of this subpackage to their whole tables, and their SQL counterparts."""
 
-from . import simhash
+from . import linededup, simhash, substrings
 
 QUERIES: dict = {
     "op4_simhash": simhash.op4_simhash,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
+}
+ORACLES: dict = {
+    "op6_line_dedup": linededup.OP6_SQL,
+    "op7_substring_dedup": substrings.OP7_SQL,
 }
-ORACLES: dict = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +54,9 @@ def clean_labels(labels: DataFrame, mark: str, id_col: str = "doc_id") -> DataFr
         .groupBy(F.col(id_col).alias("doc_id"))
         .agg((F.avg(F.col(mark).cast("double")) >= 0.5).cast("int").alias("label"))
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer in use, as after a table was written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
