@@ -1,9 +1,11 @@
 """Queries that apply the operators of this subpackage to their whole tables, and their SQL counterparts."""
 
-from . import linededup, simhash, substrings
+from . import linededup, quality, simhash, substrings, toxicity
 
 QUERIES: dict = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_substring_dedup": substrings.op7_substring_dedup,
 }

@@ -60,3 +60,31 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer in use, as after a table was written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def hash_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most `most` rows: those with the smallest hash of their id. The same rows whatever the partitions."""
+    n = rows.count()
+    h = F.xxhash64(F.col(id_col), F.lit(7))
+    if n > most:
+        # leave fewer rows to sort; twice the share is enough for `most` rows but for a vanishing chance
+        share = min(1.0, 2.0 * most / n)
+        rows = rows.where(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20)))
+        return rows.orderBy(F.pmod(h, F.lit(1 << 20)), h, id_col).limit(most)
+    return rows
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, mark: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, label, text) of at most `most` labelled documents of the training folds, staged.
+
+    A row is for training if crc32 of its id modulo 3 is not 1. The ids, at most `most` of two numbers each, are
+    broadcast; the texts stay distributed.
+    """
+    ids = hash_sample(clean_labels(labels, mark, id_col).where(fold("doc_id", 3) != 1), "doc_id", most)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return stage(own.join(F.broadcast(stage(ids, "label-ids")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text"), "labelled")
+
+
+def fitted(spark: SparkSession, model):
+    """model where tasks find it: a broadcast variable. Its size is bounded by the parameters it was fitted with."""
+    return spark.sparkContext.broadcast(model)

@@ -77,19 +77,18 @@ class FingerprintIndex:
         return name
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, anchor) of each document, old or new, that shares an anchor with another one of the batch or with
-        a historical one; pairs among historical documents came with earlier batches. docs: (doc_id, raw)."""
+        """(doc_id, anchor, n) of each document, old or new, that shares an anchor with another one of the batch or
+        with a historical one; pairs among historical documents came with earlier batches. n: the anchor's documents
+        in that document's run. docs: (doc_id, raw)."""
         new = self.spark.table(name := self._write(anchors(docs, self.window, self.group)))
-        own = new.groupBy("anchor").agg((F.min("doc_id") != F.max("doc_id")).alias("many"))
-        found = [new.join(own.where("many"), "anchor", "left_semi")]
+        count = lambda run: run.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id") != F.max("doc_id")).alias("many"))
+        out = new.join(count(new).where("many"), "anchor").select("doc_id", "anchor", "n")
         for _, run in self.runs:
             old = self.spark.table(run)
-            found += [new.join(old, "anchor", "left_semi"), old.join(new, "anchor", "left_semi")]
-        out = found[0]
-        for x in found[1:]:
-            out = out.union(x)
+            for here, there in ((new, old), (old, new)):
+                out = out.union(here.join(there, "anchor", "left_semi").join(count(here), "anchor").select("doc_id", "anchor", "n"))
         self.runs.append((0, name))
-        return stage(out.select("doc_id", "anchor").distinct(), "candidates")
+        return stage(out, "candidates")
 
     def compact(self) -> None:
         """Merge runs while a level holds `fanout` of them."""
@@ -104,19 +103,27 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE {t}")
 
 
-def candidate_windows(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(anchor, hot, doc_id, at, digests) for each stretch of windows with one anchor that is a candidate's.
+def candidate_lists(candidates: DataFrame, runs: int) -> DataFrame:
+    """(doc_id, usual, hot): each document's candidate anchors. candidates: (doc_id, anchor, n) of so many runs.
 
-    digests: 8 bytes a window, XXH3 of its words joined by a space.
+    An anchor is hot if one run has HOT / runs of its documents or more; so one that is not has fewer than HOT.
+    """
+    hot = candidates.where(F.col("n") * runs >= HOT).select("anchor").distinct().withColumn("is_hot", F.lit(True))
+    known = candidates.join(hot, "anchor", "left")
+    return known.groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("is_hot").isNotNull() == flag, F.col("anchor"))).alias(name) for name, flag in (("usual", False), ("hot", True))))
+
+
+def candidate_windows(docs: DataFrame, lists: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """(anchor, doc_id, at, digests) for each stretch of windows with one anchor that is in the document's list.
+
+    digests: 8 bytes a window, XXH3 of its words joined by a space. lists: (doc_id, shared).
     """
-    # a hot anchor is one that many documents share
-    hot = candidates.groupBy("anchor").agg((F.count(F.lit(1)) >= HOT).alias("hot")).where("hot").select("anchor", "hot")
-    lists = candidates.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["anchor", "doc_id", "at", "digests"]
         for part in batches:
             rows: list[tuple] = []
-            ids, shared, hots, raws = part["doc_id"].to_numpy(), part["shared"], part["hot"], list(part["raw"])
+            ids, shared, raws = part["doc_id"].to_numpy(), part["shared"], list(part["raw"])
             for i, least in window_anchors(raws, window, group):
                 near = np.isin(least.view(np.int64), np.asarray(shared.iloc[i], np.int64))
                 starts = np.flatnonzero(near & np.concatenate([[True], (least[1:] != least[:-1]) | ~near[:-1]]))
@@ -124,18 +131,17 @@ def candidate_windows(docs: DataFrame, candidates: DataFrame, window: int = WIND
                     continue
                 stops = np.flatnonzero(near & np.concatenate([(least[1:] != least[:-1]) | ~near[1:], [True]])) + 1
                 words = raws[i].split()
-                ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-                joined, heads, often = b" ".join(words), [0, *ends], set(map(int, hots.iloc[i]))
-                for a, b in zip(starts.tolist(), stops.tolist()):
-                    anchor = int(least[a : a + 1].view(np.int64)[0])
-                    rows.append((anchor, anchor in often, ids[i], a, b"".join(xxhash.xxh3_64_digest(joined[heads[k] : ends[k + window - 1] - 1]) for k in range(a, b))))
+                heads = [0, *np.cumsum([len(w) + 1 for w in words]).tolist()]
+                joined = b" ".join(words)
+                for a, b, anchor in zip(starts.tolist(), stops.tolist(), least.view(np.int64)[starts].tolist()):
+                    rows.append((anchor, ids[i], a, b"".join([xxhash.xxh3_64_digest(joined[heads[k] : heads[k + window] - 1]) for k in range(a, b)])))
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["anchor", "hot", "doc_id", "at", "digests"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["anchor", "hot", "doc_id", "at", "digests"])
+                yield pd.DataFrame(rows, columns=columns)
 
-    return docs.join(lists, "doc_id").mapInPandas(run, "anchor long, hot boolean, doc_id long, at int, digests binary")
+    return docs.join(lists, "doc_id").mapInPandas(run, "anchor long, doc_id long, at int, digests binary")
 
 
 def _later(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, digests: list[bytes]) -> pd.DataFrame:
@@ -159,8 +165,7 @@ def _later(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, digests: list[by
 def repeated_windows(windows: DataFrame) -> DataFrame:
     """(doc_id, starts) with 4 bytes for each window that a smaller document has too; several rows a document.
 
-    Windows meet by anchor, sorted, and go through memory one group at a time. Groups of hot anchors meet by an
-    aggregation, partial before its shuffle, and a join that AQE can split.
+    Windows meet by anchor, sorted, and go through memory one group at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,15 +184,18 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
             rows = pd.concat(held)
             yield _later(*(rows[c].to_numpy() for c in ("anchor", "doc_id", "at")), list(rows["digests"]))
 
-    usual = windows.where("not hot").select("anchor", "doc_id", "at", "digests").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "doc_id long, starts binary")
+    return windows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "doc_id long, starts binary")
+
+
+def repeated_hot_windows(windows: DataFrame) -> DataFrame:
+    """The same for hot anchors: an aggregation, partial before its shuffle, and a join that AQE can split."""
     at = F.sequence(F.lit(0), (F.length("digests") / 8).cast("int") - 1)
-    each = windows.where("hot").select("anchor", "doc_id", "at", "digests", F.explode(at).alias("k")).select("anchor", F.substring(F.col("digests"), F.col("k") * 8 + 1, F.lit(8)).alias("digest"), "doc_id", (F.col("at") + F.col("k")).alias("place"))
+    each = windows.select("anchor", "doc_id", "at", "digests", F.explode(at).alias("k")).select("anchor", F.substring(F.col("digests"), F.col("k") * 8 + 1, F.lit(8)).alias("digest"), "doc_id", (F.col("at") + F.col("k")).alias("place"))
     low = each.groupBy("anchor", "digest").agg(F.min("doc_id").alias("low"))
     # little-endian, as the other path has it
     little = F.reverse(F.lpad(F.hex("place"), 8, "0"))
     swapped = F.concat(*(F.substring(little, i + 1, 1) for i in (1, 0, 3, 2, 5, 4, 7, 6)))
-    late = each.join(low, ["anchor", "digest"]).where("doc_id > low").select("doc_id", F.unhex(swapped).alias("starts"))
-    return usual.union(late)
+    return each.join(low, ["anchor", "digest"]).where("doc_id > low").select("doc_id", F.unhex(swapped).alias("starts"))
 
 
 def _apply(raw: bytes, starts, window: int) -> tuple[int, int, bytes]:
@@ -229,7 +237,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         starts = spark.createDataFrame([], "doc_id long, starts binary")
     else:
         texts = known if history is None else known.union(raw_text(history, text_col, F.col(id_col).cast("long").alias("doc_id")))
-        starts = repeated_windows(candidate_windows(texts, candidates.distinct(), window, group))
+        lists = stage(candidate_lists(candidates, len(index.runs)), "candidate-lists")
+        own, hot = (candidate_windows(texts, lists.where(F.size(x) > 0).select("doc_id", F.col(x).alias("shared")), window, group) for x in ("usual", "hot"))
+        starts = repeated_windows(own).union(repeated_hot_windows(hot))
     covers = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +247,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             done = [_apply(raw, s, window) for raw, s in zip(part["raw"], part["starts"])]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": [x[0] for x in done], "n_removed": [x[1] for x in done], "kept": [x[2].decode("utf-8", "replace") for x in done]})
 
-    return rows.join(covers, "doc_id", "left").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
+    # the same exchange of the texts serves the windows and this join; rows without an id need neither
+    judged = known.join(covers, "doc_id", "left").unionByName(rows.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<binary>")))
+    return judged.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
