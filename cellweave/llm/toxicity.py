@@ -106,7 +106,7 @@ def fit(train: DataFrame, max_terms: int = 50_000, prior: float = 500.0, least_p
         by: tuple[Counter, Counter] = (Counter(), Counter())
         for part in batches:
             for label, text in zip(part["label"], part["text"]):
-                by[int(label)].update(tokens(text))
+                by[int(label)].update(set(tokens(text)))  # once a text: one that repeats a word is one witness
         for label, own in enumerate(by):
             if own:
                 yield pd.DataFrame({"token": list(own.keys()), "label": label, "n": list(own.values())})
