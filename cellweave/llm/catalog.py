@@ -1,13 +1,16 @@
 """Queries that apply the operators of this subpackage to their whole tables, and their SQL counterparts."""
 
-from . import linededup, quality, simhash, substrings, toxicity
+from . import classifier, langid, linededup, quality, sentencepieces, simhash, substrings, toxicity
 
 QUERIES: dict = {
+    "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_language_id": langid.op8_language_id,
+    "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 ORACLES: dict = {
     "op6_line_dedup": linededup.OP6_SQL,
