@@ -73,7 +73,6 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"cellweave_run_{uuid.uuid4().hex}"
         rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
-        release(self.spark)
         return name
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -81,6 +80,7 @@ class FingerprintIndex:
         with a historical one; pairs among historical documents came with earlier batches. n: the anchor's documents
         in that document's run. docs: (doc_id, raw)."""
         new = self.spark.table(name := self._write(anchors(docs, self.window, self.group)))
+        release(self.spark)  # no frame holds the run's shuffle any more
         count = lambda run: run.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id") != F.max("doc_id")).alias("many"))
         out = new.join(count(new).where("many"), "anchor").select("doc_id", "anchor", "n")
         for _, run in self.runs:
