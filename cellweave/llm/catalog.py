@@ -1,6 +1,6 @@
 """Queries that apply the operators of this subpackage to their whole tables, and their SQL counterparts."""
 
-from . import classifier, langid, linededup, quality, sentencepieces, simhash, substrings, toxicity
+from . import classifier, cws, langid, linededup, quality, sentencepieces, simhash, substrings, toxicity
 
 QUERIES: dict = {
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_language_id": langid.op8_language_id,
     "op9_quality_classifier": classifier.op9_quality_classifier,
+    "op10_fingerprints": cws.op10_fingerprints,
 }
 ORACLES: dict = {
     "op6_line_dedup": linededup.OP6_SQL,
