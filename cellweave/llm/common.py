@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_id(df: DataFrame, id_col: str = "doc_id") -> Column:
+    """The id as a long named doc_id; the bare column where it is that already, so that equal scans stay equal."""
+    if id_col == "doc_id" and dict(df.dtypes)[id_col] == "bigint":
+        return F.col(id_col)
+    return F.col(id_col).cast("long").alias("doc_id")
+
+
 def raw_text(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """The kept columns and the text's UTF-8 bytes (null text: no bytes); nothing else is read."""
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw_text, release, stage, table
+from .common import long_id, raw_text, release, stage, table
 from .words import gram_hashes, pieces, sliding_min, spans, word_hashes
 
 WINDOW, GROUP = 13, 6
@@ -221,7 +221,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source. Rows that repeat an id are one document's: each keeps what no smaller id has. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    rows = raw_text(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
+    rows = raw_text(docs, text_col, long_id(docs, id_col))
     index = index or FingerprintIndex(spark, window, group)
     known = rows.where("doc_id is not null")
     low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
@@ -236,7 +236,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if candidates is None:
         starts = spark.createDataFrame([], "doc_id long, starts binary")
     else:
-        texts = known if history is None else known.union(raw_text(history, text_col, F.col(id_col).cast("long").alias("doc_id")))
+        texts = known if history is None else known.union(raw_text(history, text_col, long_id(history, id_col)))
         lists = stage(candidate_lists(candidates, len(index.runs)), "candidate-lists")
         own, hot = (candidate_windows(texts, lists.where(F.size(x) > 0).select("doc_id", F.col(x).alias("shared")), window, group) for x in ("usual", "hot"))
         starts = repeated_windows(own).union(repeated_hot_windows(hot))
