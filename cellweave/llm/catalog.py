@@ -1,8 +1,9 @@
 """Queries that apply the operators of this subpackage to their whole tables, and their SQL counterparts."""
 
-from . import classifier, cws, langid, linededup, quality, sentencepieces, simhash, substrings, toxicity
+from . import classifier, cws, langid, linededup, mixing, quality, sentencepieces, simhash, substrings, toxicity
 
 QUERIES: dict = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_sentencepiece": sentencepieces.op2_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
@@ -14,6 +15,7 @@ QUERIES: dict = {
     "op10_fingerprints": cws.op10_fingerprints,
 }
 ORACLES: dict = {
+    "op1_mixing": mixing.OP1_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
 }

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,6 +133,18 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """docs, all columns as they are, without the rows whose language can't be told or is less alike than `least`."""
+    box = fitted(docs.sparkSession, profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [box.value.predict(t) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, text, lang) of the training folds: crc32 of the id modulo 4 is not 2."""
     return docs.where(fold(id_col, 4) != 2).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))

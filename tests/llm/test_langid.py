@@ -66,3 +66,10 @@ def test_held_out_accuracy_and_hostile_rows(spark):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902)) and by[903].lang_pred == "aa" and by[None].lang_pred == "bb"
     assert langid.identify(docs.limit(0), profiles).collect() == []
     assert langid.identify(docs, langid.fit_profiles(docs.limit(0).select("doc_id", "text", "lang"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_filter_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "ba ko", None, 2.5), (None, None, "x", None), (3, "12", "y", 1.0)], "doc_id long, text string, score string, lang_pred double")
+    profiles = langid.Profiles({"aa": langid.top_grams("ba ko mi ta")})
+    kept = langid.keep_identified(docs, profiles)
+    assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == [(1, "ba ko", None, 2.5)]
