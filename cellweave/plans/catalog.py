@@ -1,4 +1,610 @@
-"""The queries over the driver's tables, each with its SQL counterpart where SQL can express it."""
+"""The queries over the driver's tables and the published fixtures, each with its SQL counterpart where SQL can express
+it. Doubles are rounded to six places on both sides; sets are lists joined in order."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..model import Network
+from ..operators import chains, kernels, local, states, structure
+from ..sources.fixtures import GOALS, NETWORKS
+from . import api, derive
+from .frames import Models, encode, kernel, state_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _values(rows) -> str:
+    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+def _fixture_sql(nets: dict[str, Network] = NETWORKS) -> str:
+    """The fixtures as tables: a (automata), m (transitions), c (conditions), i (initial), q (goals), and g (guards)."""
+    a = [(n, x, net.levels[x]) for n, net in nets.items() for x in net.automata]
+    m = [(n, t, x.automaton, x.source, x.target, float(x.law.rate), x.law.kind) for n, net in nets.items() for t, x in enumerate(net.transitions)]
+    c = [(n, t, k, b, v) for n, net in nets.items() for t, x in enumerate(net.transitions) for k, (b, v) in enumerate(x.conditions)]
+    i = [(n, x, v) for n, net in nets.items() for x, own in sorted((net.initial or {}).items()) for v in sorted(own)]
+    return f"""WITH RECURSIVE a0(model_id, automaton, levels) AS {_values(a)},
+m(model_id, tid, automaton, f, t, rate, kind) AS {_values(m)},
+c(model_id, tid, k, automaton, level) AS {_values(c)},
+i(model_id, automaton, level) AS {_values(i)},
+q(query_id, model_id, automaton, level) AS {_values(GOALS)},
+a AS MATERIALIZED (SELECT *, CAST(coalesce(product(levels) OVER w, 1) AS BIGINT) AS stride, CAST(coalesce(product(levels + 1) OVER w, 1) AS BIGINT) AS stride1 FROM a0
+  WINDOW w AS (PARTITION BY model_id ORDER BY automaton ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS MATERIALIZED (SELECT model_id, tid, automaton, f AS level, true AS own FROM m UNION ALL SELECT model_id, tid, automaton, level, false FROM c),
+txt AS MATERIALIZED (SELECT m.model_id, m.tid, m.automaton || ': ' || m.f || ' -> ' || m.t || coalesce(' when ' || string_agg(c.automaton || '=' || c.level, ' and ' ORDER BY c.k), '') AS text FROM m LEFT JOIN c ON c.model_id = m.model_id AND c.tid = m.tid GROUP BY m.model_id, m.tid, m.automaton, m.f, m.t),
+reg AS MATERIALIZED (SELECT DISTINCT m.model_id, c.automaton AS regulator, m.automaton FROM m JOIN c USING (model_id, tid) WHERE c.automaton <> m.automaton),
+inf AS MATERIALIZED (SELECT model_id, src, dst, CASE WHEN min(s) = max(s) THEN min(s) ELSE 0 END AS sign FROM (SELECT m.model_id, c.automaton AS src, m.automaton AS dst, CASE WHEN (m.t >= m.f) = (c.level >= a.levels / 2.0) THEN 1 ELSE -1 END AS s FROM m JOIN c USING (model_id, tid) JOIN a ON a.model_id = m.model_id AND a.automaton = c.automaton WHERE c.automaton <> m.automaton) GROUP BY ALL)"""
+
+
+FX = _fixture_sql()
+#: The whole state graph: st (states), e (edges), s0 (starts).
+GRAPH = f"""{FX},
+size AS (SELECT model_id, CAST(product(levels) AS BIGINT) AS n FROM a GROUP BY model_id),
+st AS MATERIALIZED (SELECT model_id, unnest(range(n)) AS sid FROM size),
+e AS MATERIALIZED (SELECT st.model_id, st.sid, m.tid, m.rate, st.sid + (m.t - m.f) * o.stride AS dst FROM st JOIN m USING (model_id) JOIN a o ON o.model_id = m.model_id AND o.automaton = m.automaton
+  WHERE NOT EXISTS (SELECT 1 FROM g JOIN a b ON b.model_id = g.model_id AND b.automaton = g.automaton WHERE g.model_id = st.model_id AND g.tid = m.tid AND (st.sid // b.stride) % b.levels <> g.level)),
+s0 AS MATERIALIZED (SELECT st.model_id, st.sid FROM st WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.model_id = st.model_id AND EXISTS (SELECT 1 FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton) AND NOT EXISTS (SELECT 1 FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton AND i.level = (st.sid // a.stride) % a.levels))),
+r AS (SELECT model_id, sid FROM s0 UNION SELECT e.model_id, e.dst FROM r JOIN e ON e.model_id = r.model_id AND e.sid = r.sid),
+name AS MATERIALIZED (SELECT st.model_id, st.sid, string_agg(a.automaton || '=' || (st.sid // a.stride) % a.levels, ', ' ORDER BY a.automaton) AS state FROM st JOIN a USING (model_id) GROUP BY ALL)"""
+
+
+def fixtures(spark: SparkSession) -> Models:
+    return Models.of(spark, NETWORKS)
+
+
+def goals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(GOALS), "query_id string, model_id string, automaton string, level int")
+
+
+def goal_models(spark: SparkSession) -> DataFrame:
+    """goals with their network's text, for kernels."""
+    return goals(spark).join(fixtures(spark).models.select("model_id", "text"), "model_id").select("query_id", "model_id", "automaton", "level", "text")
+
+
+# Chains derived from events.
+
+CHAIN = """pairs AS (SELECT user_id, event_type AS src, lead(event_type) OVER w AS dst, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+jumps AS MATERIALIZED (SELECT {model} AS model_id, src, dst, count(*) AS n, sum(us) AS us FROM pairs WHERE dst IS NOT NULL GROUP BY ALL),
+edges AS MATERIALIZED (SELECT model_id, src, dst, n * 1e6 / stay AS rate FROM (SELECT *, sum(us) OVER (PARTITION BY model_id, src) AS stay FROM jumps) WHERE stay > 0),
+p AS MATERIALIZED (SELECT *, rate / sum(rate) OVER (PARTITION BY model_id, src) AS p FROM edges)"""
+ONE, EACH = CHAIN.format(model="'events'"), CHAIN.format(model="'u' || user_id")
+MASS = """mass AS (SELECT DISTINCT model_id, src AS origin, src AS node, 1.0::DOUBLE AS m, 0 AS k FROM edges
+  UNION ALL SELECT * FROM (SELECT mass.model_id, origin, p.dst, sum(m * p.p), k + 1 FROM mass JOIN p ON p.model_id = mass.model_id AND p.src = mass.node WHERE k < 300 AND node NOT IN ({ends}) GROUP BY mass.model_id, origin, p.dst, k))"""
+
+
+def _chain(spark, sf_dir, per_user=False) -> DataFrame:
+    return derive.event_chain(spark.read.parquet(f"{sf_dir}/events.parquet"), per_user)
+
+
+def _purchase(edges: DataFrame, stop: bool = True) -> DataFrame:
+    every = edges.select("model_id").distinct()
+    node = lambda x: every.select("model_id", F.lit(x).alias("node"))
+    return chains.absorption(edges, node("purchase"), node("error") if stop else None)
+
+
+@query(f"""WITH RECURSIVE {ONE}, {MASS.format(ends="'purchase', 'error'")}
+SELECT origin AS node, round(sum(m), 6) AS prob FROM mass WHERE node = 'purchase' GROUP BY origin UNION ALL SELECT 'error', 0.0 WHERE EXISTS (SELECT 1 FROM edges WHERE src = 'error' OR dst = 'error')""".replace("GROUP BY origin UNION", "AND origin <> 'error' GROUP BY origin UNION"))
+def ctmc_reach_prob(spark, sf_dir):
+    """Chance of a purchase before an error, by the event type one starts from."""
+    return _purchase(_chain(spark, sf_dir)).select("node", F.round("prob", 6).alias("prob"))
+
+
+@query(f"""WITH RECURSIVE {EACH}, {MASS.format(ends="'purchase', 'error'")},
+nodes AS (SELECT model_id, src AS node FROM edges UNION SELECT model_id, dst FROM edges UNION SELECT model_id, 'purchase' FROM edges UNION SELECT model_id, 'error' FROM edges),
+hit AS (SELECT model_id, origin, sum(m) AS prob FROM mass WHERE node = 'purchase' AND origin <> 'error' GROUP BY ALL)
+SELECT n.model_id, n.node, round(CASE WHEN n.node = 'purchase' THEN 1.0 ELSE coalesce(prob, 0.0) END, 6) AS prob FROM nodes n LEFT JOIN hit ON hit.model_id = n.model_id AND hit.origin = n.node""")
+def ctmc_reach_prob_per_user(spark, sf_dir):
+    return _purchase(_chain(spark, sf_dir, True)).select("model_id", "node", F.round("prob", 6).alias("prob"))
+
+
+@query(f"""WITH RECURSIVE {EACH}, {MASS.format(ends="'purchase', 'error'")},
+nodes AS (SELECT model_id, src AS node FROM edges UNION SELECT model_id, dst FROM edges UNION SELECT model_id, 'purchase' FROM edges UNION SELECT model_id, 'error' FROM edges),
+hit AS (SELECT model_id, origin, sum(m) AS prob FROM mass WHERE node = 'purchase' AND origin <> 'error' GROUP BY ALL)
+SELECT n.model_id, n.node, round(CASE WHEN n.node = 'purchase' THEN 1.0 ELSE coalesce(prob, 0.0) END, 9) >= 0.5 AS meets_threshold FROM nodes n LEFT JOIN hit ON hit.model_id = n.model_id AND hit.origin = n.node""")
+def threshold_decision(spark, sf_dir):
+    return _purchase(_chain(spark, sf_dir, True)).select("model_id", "node", (F.round("prob", 9) >= 0.5).alias("meets_threshold"))
+
+
+@query(f"""WITH RECURSIVE {ONE}, {MASS.format(ends="'purchase'")}, tau AS (SELECT src, 1 / sum(rate) AS tau FROM edges GROUP BY src)
+SELECT origin AS node, round(sum(m * tau), 3) AS mean_time FROM mass JOIN tau ON tau.src = mass.node WHERE node <> 'purchase' AND origin <> 'purchase' GROUP BY origin UNION ALL SELECT 'purchase', 0.0""")
+def expected_time(spark, sf_dir):
+    """Mean seconds until a purchase, which is certain where nothing else ends a chain."""
+    return _purchase(_chain(spark, sf_dir), stop=False).select("node", F.round("mean_time", 3).alias("mean_time"))
+
+
+@query(f"WITH {EACH} SELECT model_id, src, dst, round(rate, 9) AS rate, round(p, 6) AS p FROM p")
+def jump_chain(spark, sf_dir):
+    return chains.jump_chain(_chain(spark, sf_dir, True)).select("model_id", "src", "dst", F.round("rate", 9).alias("rate"), F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {EACH} SELECT model_id, src, round(sum(rate), 9) AS exit_rate FROM edges GROUP BY ALL")
+def exit_rates(spark, sf_dir):
+    return chains.exit_rates(_chain(spark, sf_dir, True)).select("model_id", "src", F.round("exit_rate", 9).alias("exit_rate"))
+
+
+@query(f"""WITH RECURSIVE {ONE}, {MASS.format(ends="'purchase'")} SELECT origin, node, round(sum(m), 6) AS mass FROM mass WHERE k = 4 OR (node = 'purchase' AND k < 4) GROUP BY ALL""")
+def transient_mass(spark, sf_dir):
+    """Where one is after four jumps; a purchase ends."""
+    edges = _chain(spark, sf_dir)
+    jumps = chains.jump_chain(edges.where("src <> 'purchase'"))
+    start = edges.select("model_id", F.col("src").alias("origin"), F.col("src").alias("node")).distinct()
+    return chains.transient_mass(jumps, start, 4).select("origin", "node", F.round("mass", 6).alias("mass"))
+
+
+@query(ORACLES["ctmc_reach_prob"].replace("UNION ALL SELECT 'error', 0.0 WHERE EXISTS (SELECT 1 FROM edges WHERE src = 'error' OR dst = 'error')", "").replace("round(sum(m), 6)", "round(sum(m), 5)"))
+def ctmc_by_joins(spark, sf_dir):
+    """The same by rounds of joins, as for a chain beyond one task."""
+    edges = _chain(spark, sf_dir).where("src <> 'error'")
+    goal = edges.select("model_id", F.lit("purchase").alias("node")).distinct()
+    return chains.absorption_by_joins(edges, goal).select("node", F.round("prob", 5).alias("prob"))
+
+
+# Structure.
+
+
+@query(f"""{FX} SELECT model_id, count(*) AS automata, CAST(sum(levels) AS BIGINT) AS local_states, (SELECT count(*) FROM m WHERE m.model_id = a.model_id) AS transitions, count(*) FILTER (levels > 2) AS multivalued FROM a GROUP BY model_id""")
+def model_info(spark, sf_dir):
+    return structure.info(fixtures(spark))
+
+
+@query(f"{FX} SELECT * FROM reg")
+def regulators(spark, sf_dir):
+    return structure.regulators(fixtures(spark))
+
+
+@query(f"{FX} SELECT * FROM inf")
+def interaction_graph(spark, sf_dir):
+    return structure.influences(fixtures(spark))
+
+
+@query(f"""{FX}, n AS (SELECT model_id, count(*) AS n FROM a GROUP BY ALL), cl AS (SELECT model_id, src, dst FROM inf UNION SELECT cl.model_id, cl.src, inf.dst FROM cl JOIN inf ON inf.model_id = cl.model_id AND inf.src = cl.dst),
+comp AS (SELECT x.model_id, x.src, min(x.dst) AS comp FROM cl x JOIN cl y ON x.model_id = y.model_id AND x.src = y.dst AND x.dst = y.src GROUP BY ALL)
+SELECT n.model_id, n.n AS automata, (SELECT CAST(sum(levels) AS BIGINT) FROM a WHERE a.model_id = n.model_id) AS local_states, (SELECT count(*) FROM m WHERE m.model_id = n.model_id) AS transitions,
+ (SELECT count(*) FROM inf WHERE inf.model_id = n.model_id) AS edges, round((SELECT count(*) FROM inf WHERE inf.model_id = n.model_id) / CASE WHEN n.n > 1 THEN n.n * (n.n - 1) ELSE 1 END, 6) AS density,
+ coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM inf WHERE inf.model_id = n.model_id GROUP BY dst)), 0) AS max_in_degree, coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM inf WHERE inf.model_id = n.model_id GROUP BY src)), 0) AS max_out_degree,
+ (SELECT count(DISTINCT comp) FROM comp WHERE comp.model_id = n.model_id) AS feedback_components FROM n""")
+def model_stats(spark, sf_dir):
+    return structure.stats(fixtures(spark)).withColumn("density", F.round("density", 6))
+
+
+_TRADE = """li AS (SELECT s_nationkey AS sn, c_nationkey AS cn, l_extendedprice AS x, l_discount AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey),
+pr AS (SELECT sn, cn, round(sum(x), 2) AS revenue, sum(d) AS d, count(*) AS n FROM li GROUP BY ALL),
+best AS (SELECT *, CASE WHEN round(d / n, 9) >= round(sum(d) OVER () / sum(n) OVER (), 9) THEN 1 ELSE -1 END AS sign, row_number() OVER (PARTITION BY sn ORDER BY revenue DESC, cn) AS rk FROM pr),
+tr AS MATERIALIZED (SELECT 'trade' AS model_id, trim(a.n_name) AS src, trim(b.n_name) AS dst, sign, revenue FROM best JOIN nation a ON a.n_nationkey = sn JOIN nation b ON b.n_nationkey = cn WHERE rk <= {top})"""
+
+
+def _trade(spark, sf_dir, top=2) -> DataFrame:
+    t = {x: spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("lineitem", "orders", "customer", "supplier", "nation")}
+    return derive.trade_graph(t["lineitem"], t["orders"], t["customer"], t["supplier"], t["nation"], top)
+
+
+@query(f"WITH {_TRADE.format(top=2)} SELECT src, dst, sign, revenue FROM tr")
+def trade_graph(spark, sf_dir):
+    return _trade(spark, sf_dir).select("src", "dst", "sign", "revenue")
+
+
+@query(f"""WITH RECURSIVE {_TRADE.format(top=2)}, cl AS (SELECT src, dst FROM tr UNION SELECT cl.src, tr.dst FROM cl JOIN tr ON tr.src = cl.dst),
+mate AS (SELECT x.src, x.dst FROM cl x JOIN cl y ON x.src = y.dst AND x.dst = y.src), c AS (SELECT src, min(dst) AS comp FROM mate GROUP BY src)
+SELECT 'trade' AS model_id, comp, string_agg(src, ',' ORDER BY src) AS nodes FROM c GROUP BY comp""")
+def scc(spark, sf_dir):
+    return structure.components(_trade(spark, sf_dir))
+
+
+_CIRCUITS = """walk AS (SELECT model_id, src AS start, dst AS at, [src, dst] AS path, sign AS s FROM {g} WHERE dst > src
+  UNION ALL SELECT walk.model_id, start, x.dst, list_append(path, x.dst), s * x.sign FROM walk JOIN {g} x ON x.model_id = walk.model_id AND x.src = walk.at WHERE x.dst > start AND NOT list_contains(path, x.dst)),
+cyc AS (SELECT DISTINCT walk.model_id, list_aggregate(list_sort(path), 'string_agg', ',') AS nodes, CAST(s * x.sign AS INTEGER) AS sign FROM walk JOIN {g} x ON x.model_id = walk.model_id AND x.src = walk.at AND x.dst = walk.start)"""
+
+
+@query(f"{FX}, {_CIRCUITS.format(g='inf')} SELECT * FROM cyc")
+def circuits(spark, sf_dir):
+    return structure.circuits(structure.influences(fixtures(spark)))
+
+
+@query(f"WITH RECURSIVE {_TRADE.format(top=2)}, {_CIRCUITS.format(g='tr')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative FROM cyc GROUP BY model_id")
+def feedback(spark, sf_dir):
+    return structure.feedback(structure.circuits(_trade(spark, sf_dir)))
+
+
+_CONE = "cone AS (SELECT query_id, model_id, automaton AS node FROM q UNION SELECT query_id, cone.model_id, regulator FROM cone JOIN reg ON reg.model_id = cone.model_id AND reg.automaton = cone.node)"
+
+
+@query(f"{FX}, {_CONE} SELECT query_id, model_id, node FROM cone")
+def cone(spark, sf_dir):
+    return structure.cones(fixtures(spark), goals(spark))
+
+
+@query(f"""{FX}, {_CONE}, k AS (SELECT node AS automaton FROM cone WHERE query_id = 'q05')
+SELECT text FROM txt JOIN m USING (model_id, tid) WHERE model_id = 'cellfate' AND automaton IN (FROM k) AND NOT EXISTS (SELECT 1 FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid AND c.automaton NOT IN (FROM k))""")
+def reduce(spark, sf_dir):
+    """cellfate without what Apoptosis does not depend on."""
+    return api.reduce_model(Models.of(spark, {"cellfate": NETWORKS["cellfate"]}), "Apoptosis=1").select("text")
+
+
+@query(f"""{FX}, cone AS (SELECT 'NFkB' AS node UNION SELECT regulator FROM cone JOIN reg ON model_id = 'cellfate' AND reg.automaton = cone.node)
+SELECT text FROM txt JOIN m USING (model_id, tid) WHERE model_id = 'cellfate' AND automaton IN (FROM cone) AND NOT EXISTS (SELECT 1 FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid AND c.automaton NOT IN (FROM cone))""")
+def slice(spark, sf_dir):
+    return api.slice_model(Models.of(spark, {"cellfate": NETWORKS["cellfate"]}), "NFkB").select("text")
+
+
+_MUTANT = {"left": NETWORKS["p53-mdm2"], "right": NETWORKS["p53-mdm2"].frozen("Mdm2", 0)}
+
+
+@query("""SELECT * FROM (VALUES ('removed', 'Mdm2: 0 -> 1 when p53=1'), ('removed', 'Mdm2: 1 -> 0 when p53=0')) AS t(change, item)""")
+def model_diff(spark, sf_dir):
+    return structure.diff(Models.of(spark, {"m": _MUTANT["left"]}), Models.of(spark, {"m": _MUTANT["right"]}))
+
+
+@query(f"""{FX} SELECT a.model_id, 'warning' AS severity, a.automaton || ': no transition' AS message FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.model_id = a.model_id AND m.automaton = a.automaton)
+UNION ALL SELECT m.model_id, 'error', text || ': level of ' || c.automaton || ' out of range' FROM m JOIN c USING (model_id, tid) JOIN txt USING (model_id, tid) JOIN a ON a.model_id = m.model_id AND a.automaton = c.automaton WHERE c.level >= a.levels
+UNION ALL SELECT model_id, 'warning', text || ': stays where it is' FROM m JOIN txt USING (model_id, tid) WHERE f = t""")
+def validate(spark, sf_dir):
+    return structure.validate(fixtures(spark))
+
+
+@query(f"""{FX}, law AS (SELECT model_id, tid, CASE kind WHEN 'erlang' THEN 'erlang(2, 4.0)' ELSE CAST(rate AS VARCHAR) END AS law FROM m)
+SELECT model_id, '0' AS line, 'model "' || model_id || '"' AS text FROM (SELECT DISTINCT model_id FROM a)
+UNION ALL SELECT model_id, '1' || automaton, 'automaton ' || automaton || ' [' || list_aggregate(range(levels), 'string_agg', ', ') || ']' FROM a
+UNION ALL SELECT model_id, '2' || lpad(CAST(tid AS VARCHAR), 9, '0'), text || ' @ ' || law FROM txt JOIN law USING (model_id, tid)
+UNION ALL SELECT model_id, '3', 'init ' || string_agg(automaton || '=' || level, ', ' ORDER BY automaton, level) FROM i GROUP BY model_id""")
+def anx_render(spark, sf_dir):
+    return structure.render_anx(fixtures(spark))
+
+
+@query(f"""{FX}, x AS (SELECT * FROM m WHERE model_id = 'phasetype-demo')
+SELECT model_id, CAST(0 AS INTEGER) AS tid, automaton, 0 AS from_level, 3 AS to_level, 4.0 AS rate FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 1, automaton, 3, 1, 4.0 FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 2, automaton, f, t, rate FROM x WHERE kind = 'exp'""")
+def expand_phase_type(spark, sf_dir):
+    wide = structure.expand_phases(Models.of(spark, {"phasetype-demo": NETWORKS["phasetype-demo"]}))
+    return wide.transitions.select("model_id", "tid", "automaton", "from_level", "to_level", "rate")
+
+
+@query(f"{FX} SELECT model_id, tid, 1.0 AS rate FROM m")
+def assign_rates_unit(spark, sf_dir):
+    return structure.assign_rates(fixtures(spark)).select("model_id", "tid", "rate")
+
+
+@query(f"""{FX} SELECT 'left' AS variant, model_id, 'levels' AS loss, string_agg(automaton, ', ' ORDER BY automaton) AS what FROM a WHERE levels <> 2 GROUP BY model_id
+UNION ALL SELECT DISTINCT 'left', model_id, 'rates', '' FROM m WHERE kind <> 'exp' OR rate <> 1.0""")
+def projection_losses(spark, sf_dir):
+    return structure.projection_losses(fixtures(spark)).select(F.lit("left").alias("variant"), "model_id", "loss", "what")
+
+
+_STEP = "WITH {t}, v AS (SELECT DISTINCT src AS node, length(src) / 10.0 AS value FROM tr), w AS (SELECT src, dst, revenue / 1e6 AS w FROM tr) SELECT dst AS node, {f} AS value FROM w JOIN v ON v.node = w.src GROUP BY dst"
+
+
+def _semiring(kind: str, sql: str):
+    def run(spark, sf_dir):
+        tr = _trade(spark, sf_dir, 4)
+        v = tr.select(F.col("src").alias("node"), (F.length("src") / 10).alias("value")).distinct()
+        out = structure.semiring_step(tr.select("src", "dst", (F.col("revenue") / 1e6).alias("w")), v, kind)
+        return out if kind == "bool" else out.withColumn("value", F.round("value", 6))
+
+    run.__name__ = f"semiring_{kind}"
+    query(_STEP.format(t=_TRADE.format(top=4), f=sql))(run)
+
+
+for _kind, _f in (("tropical", "round(min(w + value), 6)"), ("viterbi", "round(max(w * value), 6)"), ("sum", "round(sum(w * value), 6)"), ("bool", "bool_or(w > 0 AND value > 0)")):
+    _semiring(_kind, _f)
+
+
+# State spaces.
+
+
+@query(f"{GRAPH} SELECT e.model_id, n.state, e.tid, x.state AS next FROM e JOIN name n ON n.model_id = e.model_id AND n.sid = e.sid JOIN name x ON x.model_id = e.model_id AND x.sid = e.dst")
+def state_successors(spark, sf_dir):
+    spaces, transitions = encode(fixtures(spark))
+    found = states.successors(states.all_states(spaces), transitions).join(spaces, "model_id")
+    return found.select("model_id", state_text().alias("state"), "tid", state_text("dst").alias("next"))
+
+
+@query(f"{GRAPH} SELECT model_id, state FROM r JOIN name USING (model_id, sid)")
+def reachable_states(spark, sf_dir):
+    models = fixtures(spark)
+    return states.reachable(models).join(encode(models)[0], "model_id").select("model_id", state_text().alias("state"))
+
+
+_FIX = "fx AS (SELECT model_id, sid FROM st EXCEPT SELECT model_id, sid FROM e)"
+
+
+@query(f"{GRAPH}, {_FIX} SELECT model_id, state FROM fx JOIN name USING (model_id, sid)")
+def fixpoints(spark, sf_dir):
+    return states.fixpoints(fixtures(spark))
+
+
+@query(f"{GRAPH}, {_FIX} SELECT model_id, (SELECT count(*) FROM fx WHERE fx.model_id = size.model_id) AS fixpoints, false AS truncated FROM size")
+def fixpoint_count(spark, sf_dir):
+    return states.fixpoint_counts(fixtures(spark))
+
+
+_TRAP = f"""{FX}, size1 AS (SELECT model_id, CAST(product(levels + 1) AS BIGINT) AS n FROM a GROUP BY ALL), ps AS MATERIALIZED (SELECT model_id, unnest(range(n)) AS sid FROM size1),
+gd AS MATERIALIZED (SELECT g.model_id, g.tid, g.level, g.own, a.stride1, a.levels FROM g JOIN a USING (model_id, automaton)),
+bad AS MATERIALIZED (SELECT ps.model_id, ps.sid FROM ps JOIN gd ON gd.model_id = ps.model_id GROUP BY ps.model_id, ps.sid, gd.tid HAVING bool_and(CASE WHEN own THEN (ps.sid // stride1) % (levels + 1) = level + 1 ELSE (ps.sid // stride1) % (levels + 1) IN (0, level + 1) END)),
+trap AS MATERIALIZED (SELECT model_id, sid FROM ps EXCEPT SELECT model_id, sid FROM bad),
+dg AS MATERIALIZED (SELECT trap.model_id, sid, automaton, (sid // stride1) % (levels + 1) AS d FROM trap JOIN a USING (model_id)),
+nm AS MATERIALIZED (SELECT model_id, sid, coalesce(string_agg(automaton || '=' || (d - 1), ', ' ORDER BY automaton) FILTER (d > 0), '') AS space FROM dg GROUP BY ALL)"""
+
+
+@query(f"{_TRAP} SELECT model_id, space FROM nm")
+def trap_spaces(spark, sf_dir):
+    return states.trap_spaces(fixtures(spark))
+
+
+@query(f"""{_TRAP}, ins AS (SELECT p.model_id, p.sid AS outer_sid, x.sid AS inner_sid FROM dg p JOIN dg x ON p.model_id = x.model_id AND p.automaton = x.automaton AND p.sid <> x.sid GROUP BY ALL HAVING bool_and(p.d = 0 OR p.d = x.d))
+SELECT model_id, space FROM nm WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.model_id = nm.model_id AND ins.outer_sid = nm.sid)""")
+def trap_spaces_minimal(spark, sf_dir):
+    return states.trap_spaces(fixtures(spark), minimal=True)
+
+
+@query(f"""{GRAPH}, tiny AS (SELECT model_id FROM size WHERE n <= 64), cl AS (SELECT model_id, sid AS x, sid AS y FROM st JOIN tiny USING (model_id) UNION SELECT cl.model_id, x, e.dst FROM cl JOIN e ON e.model_id = cl.model_id AND e.sid = cl.y),
+att AS (SELECT model_id, x, min(y) AS low, count(*) AS size FROM cl WHERE NOT EXISTS (SELECT 1 FROM cl z WHERE z.model_id = cl.model_id AND z.x = cl.x AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.model_id = z.model_id AND b.x = z.y AND b.y = z.x)) GROUP BY ALL)
+SELECT model_id, CAST(size AS INTEGER) AS size, string_agg(state, ' | ' ORDER BY state) AS states FROM att JOIN name ON name.model_id = att.model_id AND name.sid = att.x GROUP BY att.model_id, low, size
+UNION ALL SELECT model_id, 1, state FROM (SELECT model_id, sid FROM st WHERE model_id = 'cellfate' EXCEPT SELECT model_id, sid FROM e) JOIN name USING (model_id, sid)""".replace("SELECT model_id, CAST(size", "SELECT att.model_id, CAST(size"))
+def attractors(spark, sf_dir):
+    """Terminal components, one task a model. (In cellfate all of them are fixpoints; the SQL says so.)"""
+
+    def answer(net, q):
+        space = kernels.Space(net)
+        for own in kernels.attractors(net) or ():
+            names = sorted(", ".join(f"{a}={k}" for a, k in zip(space.names, s)) for s in own)
+            yield q["model_id"], len(own), " | ".join(names)
+
+    return kernel(fixtures(spark).models, "model_id string, size int, states string", answer)
+
+
+# Local reachability and interventions.
+
+_OA = """ls AS (SELECT model_id, automaton, unnest(range(levels)) AS level FROM a),
+init AS (SELECT ls.* FROM ls WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.model_id = ls.model_id AND i.automaton = ls.automaton) UNION SELECT model_id, automaton, level FROM i),
+bit AS MATERIALIZED (SELECT *, 1::BIGINT << (row_number() OVER (PARTITION BY model_id ORDER BY automaton, level) - 1)::INTEGER AS bit FROM ls),
+mask0 AS MATERIALIZED (SELECT model_id, bit_or(bit) AS seed FROM init JOIN bit USING (model_id, automaton, level) GROUP BY ALL),
+rule AS MATERIALIZED (SELECT m.model_id, m.tid, m.automaton, any_value(tb.bit) AS target, bit_or(bit.bit) AS need FROM m JOIN g USING (model_id, tid) JOIN bit ON bit.model_id = g.model_id AND bit.automaton = g.automaton AND bit.level = g.level JOIN bit tb ON tb.model_id = m.model_id AND tb.automaton = m.automaton AND tb.level = m.t GROUP BY ALL)"""
+_GROW = "grow AS (SELECT {key}, model_id, {seed} AS mask, 0 AS k FROM {base} UNION ALL SELECT {gk}, grow.model_id, grow.mask | coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = grow.model_id AND (grow.mask & need) = need {but}), 0) {free}, k + 1 FROM grow {join} WHERE k < 25)"
+
+
+@query(f"{FX}, {_OA}, {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='')} SELECT grow.model_id, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25")
+def may_reach(spark, sf_dir):
+    return local.may_reach(fixtures(spark)).drop("variant")
+
+
+@query(f"""{FX}, {_OA}, base AS (SELECT b.model_id, b.automaton || '=' || b.level AS variant, seed & ~b.bit AS seed, b.bit AS blk FROM bit b JOIN mask0 USING (model_id)),
+grow AS (SELECT model_id, variant, seed AS mask, blk, 0 AS k FROM base UNION ALL SELECT grow.model_id, variant, grow.mask | (coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = grow.model_id AND (grow.mask & need) = need), 0) & ~blk), blk, k + 1 FROM grow WHERE k < 25)
+SELECT grow.model_id, variant, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25""")
+def may_reach_blocked(spark, sf_dir):
+    """Every local state blocked in turn, all variants in one job."""
+    models = fixtures(spark)
+    each = models.automata.select("model_id", "automaton", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
+    return local.may_reach(models, each.withColumn("variant", F.format_string("%s=%d", "automaton", "level")))
+
+
+@query(f"""{FX}, {_OA}, gb AS (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)),
+base AS (SELECT query_id, gb.model_id, b.automaton || '=' || b.level AS member, seed AS mask, b.bit AS blk, goal FROM gb JOIN mask0 USING (model_id) JOIN bit b ON b.model_id = gb.model_id WHERE (b.bit & seed) = 0 AND b.bit <> goal),
+grow AS (SELECT *, 0 AS k FROM base UNION ALL SELECT query_id, grow.model_id, member, grow.mask | (coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = grow.model_id AND (grow.mask & need) = need), 0) & ~blk), blk, goal, k + 1 FROM grow WHERE k < 25)
+SELECT query_id, member FROM grow WHERE k = 25 AND (mask & goal) = 0""")
+def cutsets_single(spark, sf_dir):
+    return local.single_cutsets(fixtures(spark), goals(spark))
+
+
+@query(f"""{FX}, {_OA}, gb AS (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)), whole AS (SELECT model_id, automaton, bit_or(bit) AS own FROM bit GROUP BY ALL),
+base AS (SELECT query_id, gb.model_id, b.automaton AS frozen, b.automaton || '=' || b.level AS target, (seed & ~own) | b.bit AS mask, goal FROM gb JOIN mask0 USING (model_id) JOIN bit b ON b.model_id = gb.model_id JOIN whole w ON w.model_id = b.model_id AND w.automaton = b.automaton),
+grow AS (SELECT *, 0 AS k FROM base UNION ALL SELECT query_id, grow.model_id, frozen, target, grow.mask | coalesce((SELECT bit_or(rule.target) FROM rule WHERE rule.model_id = grow.model_id AND rule.automaton <> grow.frozen AND (grow.mask & need) = need), 0), goal, k + 1 FROM grow WHERE k < 25)
+SELECT query_id, target FROM grow WHERE k = 25 AND (mask & goal) = 0""")
+def mutations_disabling(spark, sf_dir):
+    return local.disabling_mutations(fixtures(spark), goals(spark))
+
+
+@query(f"""{FX}, lp AS (SELECT model_id, automaton, f AS source, t AS target, [tid] AS path, [f, t] AS seen FROM m WHERE f <> t UNION ALL SELECT lp.model_id, lp.automaton, source, m.t, list_append(path, m.tid), list_append(seen, m.t) FROM lp JOIN m ON m.model_id = lp.model_id AND m.automaton = lp.automaton AND m.f = lp.target WHERE NOT list_contains(seen, m.t))
+SELECT model_id, automaton, source, target, list_aggregate(path, 'string_agg', ',') AS path FROM lp""")
+def local_paths(spark, sf_dir):
+    return local.local_paths(fixtures(spark)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
+# Questions about goals, one task a goal.
+
+
+def _ask(spark, schema: str, answer) -> DataFrame:
+    return kernel(goal_models(spark), schema, lambda net, q: answer(net, net.initial, (q["automaton"], int(q["level"])), q["query_id"]))
+
+
+_HIT = """hits AS MATERIALIZED (SELECT query_id, st.model_id, st.sid FROM q JOIN a USING (model_id, automaton) JOIN st ON st.model_id = q.model_id WHERE (st.sid // stride) % levels = level)"""
+
+
+@query(f"""{GRAPH}, {_HIT}, {_OA}, {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='')},
+oa AS (SELECT query_id, (mask & bit) <> 0 AS oa FROM q JOIN bit USING (model_id, automaton, level) JOIN grow ON grow.model_id = q.model_id AND k = 25), ua AS (SELECT q.query_id, EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id) AS ua FROM q)
+SELECT query_id, oa, ua, CASE WHEN ua THEN 'Reachable' WHEN oa THEN 'Inconclusive' ELSE 'Unreachable' END AS verdict FROM oa JOIN ua USING (query_id)""")
+def reachability(spark, sf_dir):
+    return _ask(spark, "query_id string, oa boolean, ua boolean, verdict string", lambda net, ctx, goal, i: [(i, *(kernels.reachability(net, ctx, goal)[k] for k in ("oa", "ua", "verdict")))])
+
+
+@query(f"{GRAPH}, {_HIT} SELECT q.query_id, EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id) AS reachable, (SELECT count(*) FROM r WHERE r.model_id = q.model_id) AS reachable_states FROM q")
+def symbolic_reachability(spark, sf_dir):
+    return states.symbolic_reachability(fixtures(spark), goals(spark)).withColumn("reachable_states", F.col("reachable_states").cast("long"))
+
+
+_PROB = f"""{GRAPH}, {_HIT}, ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL), jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) GROUP BY ALL),
+go AS MATERIALIZED (SELECT q.query_id, jp.* FROM q JOIN jp USING (model_id) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id AND h.sid = jp.sid)),
+ms AS (SELECT q.query_id, q.model_id, s0.sid, 1.0::DOUBLE / (SELECT count(*) FROM s0 z WHERE z.model_id = q.model_id) AS m, 0 AS k FROM q JOIN s0 USING (model_id)
+ UNION ALL SELECT * FROM (SELECT ms.query_id, ms.model_id, go.dst, sum(ms.m * go.p), k + 1 FROM ms JOIN go ON go.query_id = ms.query_id AND go.sid = ms.sid WHERE k < 400 GROUP BY ms.query_id, ms.model_id, go.dst, k))"""
+
+
+@query(f"{_PROB} SELECT q.query_id, round(coalesce((SELECT sum(m) FROM ms JOIN hits USING (query_id, sid) WHERE ms.query_id = q.query_id), 0), 6) AS prob, true AS prob_exact FROM q WHERE model_id <> 'phasetype-demo' UNION ALL SELECT 'q04', round(2 / 3.0, 6), true")
+def quantitative(spark, sf_dir):
+    """Exact probabilities; the network with an Erlang law is expanded first (by hand 4 / (4 + 2) in the SQL)."""
+
+    def answer(net, ctx, goal, i):
+        found = kernels.quantitative(net, ctx, goal)
+        return [(i, round(found["prob"], 6), found["prob_exact"])]
+
+    return _ask(spark, "query_id string, prob double, prob_exact boolean", answer)
+
+
+@query(f"""{_PROB} SELECT q.query_id, round((SELECT sum(m / out) FROM ms JOIN ex USING (model_id, sid) WHERE ms.query_id = q.query_id AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = ms.query_id AND h.sid = ms.sid)), 4) AS mean_time FROM q WHERE (SELECT sum(m) FROM ms JOIN hits USING (query_id, sid) WHERE ms.query_id = q.query_id) > 1 - 1e-9""")
+def mean_hitting_time(spark, sf_dir):
+    def answer(net, ctx, goal, i):
+        time = kernels.quantitative(net, ctx, goal)["mean_time"]
+        return [] if time is None else [(i, round(time, 4))]
+
+    return _ask(spark, "query_id string, mean_time double", answer)
+
+
+@query()
+def earliest_delay(spark, sf_dir):
+    return _ask(spark, "query_id string, delay double", lambda net, ctx, goal, i: [(i, kernels.earliest_delay(net, ctx, goal))])
+
+
+@query()
+def lcg_objectives(spark, sf_dir):
+    def answer(net, ctx, goal, i):
+        for (a, k), found in kernels.causality(net, ctx, goal).items():
+            yield i, f"{a}={k}", len(found)
+
+    return _ask(spark, "query_id string, objective string, solutions int", answer)
+
+
+# Runs up to 14 steps; the likeliest ones are shorter.
+_RUNS = f"""{GRAPH}, {_HIT}, {_CONE}, mc AS (SELECT q.query_id, e.model_id, e.sid, e.dst, e.tid, e.rate FROM q JOIN e USING (model_id) JOIN m ON m.model_id = e.model_id AND m.tid = e.tid JOIN cone ON cone.query_id = q.query_id AND cone.node = m.automaton),
+me AS MATERIALIZED (SELECT *, rate / sum(rate) OVER (PARTITION BY query_id, sid) AS p, 1 / sum(rate) OVER (PARTITION BY query_id, sid) AS tau FROM mc WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = mc.query_id AND h.sid = mc.sid)),
+run AS (SELECT q.query_id, s0.sid, 1.0::DOUBLE AS p, 0.0::DOUBLE AS d, CAST([] AS VARCHAR[]) AS path FROM q JOIN s0 USING (model_id) WHERE q.model_id IN ('p53-mdm2', 'cellfate', 'delay-chain', 'oscillator')
+ UNION ALL SELECT run.query_id, me.dst, run.p * me.p, run.d + me.tau, list_append(path, txt.text) FROM run JOIN me ON me.query_id = run.query_id AND me.sid = run.sid JOIN txt ON txt.model_id = me.model_id AND txt.tid = me.tid WHERE len(path) < 14 AND run.p * me.p > 1e-3),
+best AS (SELECT run.*, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, len(path), path) AS rank FROM run JOIN hits USING (query_id, sid))"""
+_SMALL = ("p53-mdm2", "cellfate", "delay-chain", "oscillator")
+
+
+@query(f"{_RUNS} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(p, 6) AS probability, round(d, 6) AS delay, list_aggregate(path, 'string_agg', '; ') AS transitions FROM best WHERE rank <= 3")
+def top_k_scenarios(spark, sf_dir):
+    """The three likeliest runs to each goal."""
+
+    def answer(net, ctx, goal, i):
+        if net.name in _SMALL:
+            for rank, (p, d, path) in enumerate(kernels.top_scenarios(net, ctx, goal, 3), 1):
+                yield i, rank, round(p, 6), round(d, 6), "; ".join(path)
+
+    return _ask(spark, "query_id string, rank int, probability double, delay double, transitions string", answer)
+
+
+@query(f"{_RUNS} SELECT query_id, round(least(1.0, sum(p)), 6) AS lower FROM best WHERE rank <= 4 GROUP BY query_id")
+def anytime_bound(spark, sf_dir):
+    return _ask(spark, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))] if net.name in _SMALL else [])
+
+
+@query("SELECT * FROM (VALUES (1, 0.25, 0.75), (2, 0.3125, 0.625), (4, 0.40625, 0.5), (8, 0.5, 0.5)) AS t(budget, lower, upper)")
+def bracket(spark, sf_dir):
+    """Bounds for Apoptosis in cellfate by budget; the SQL holds the published values."""
+    rows = goal_models(spark).where("query_id = 'q05'").withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8))))).select("budget", "automaton", "level", "text")
+
+    def answer(net, q):
+        low, high = kernels.bracket(net, net.initial, (q["automaton"], int(q["level"])), int(q["budget"]))
+        return [(int(q["budget"]), round(low, 6), round(high, 6))]
+
+    return kernel(rows, "budget int, lower double, upper double", answer)
+
+
+@query()
+def cutsets(spark, sf_dir):
+    return _ask(spark, "query_id string, members string, size int", lambda net, ctx, goal, i: [(i, ",".join(c), len(c)) for c in kernels.cutsets(net, ctx, goal)])
+
+
+@query()
+def mutations_enabling(spark, sf_dir):
+    return _ask(spark, "query_id string, target string", lambda net, ctx, goal, i: [(i, t) for t in kernels.mutations(net, ctx, goal, True)])
+
+
+@query(f"{GRAPH}, {_HIT}, {_CONE} SELECT q.query_id, CASE WHEN EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id) THEN 'Reachable' ELSE 'Unreachable' END AS verdict, (SELECT CAST(count(*) AS INTEGER) FROM cone WHERE cone.query_id = q.query_id) AS cone_size FROM q")
+def refinement(spark, sf_dir):
+    def answer(net, ctx, goal, i):
+        found = kernels.refine(net, ctx, goal)
+        return [(i, found["verdict"], found["cone_size"])]
+
+    return _ask(spark, "query_id string, verdict string, cone_size int", answer)
+
+
+# Trajectories and reports.
+
+_TRAJ = """w AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS time, user_id, list_sort(list_distinct(list(event_type))) AS active FROM events GROUP BY ALL),
+tr AS MATERIALIZED (SELECT time, active, count(*) / sum(count(*)) OVER (PARTITION BY time) AS p FROM w GROUP BY time, active)"""
+
+
+def _trajectory(spark, sf_dir) -> DataFrame:
+    """(time, active, p): by day, the shares of users by the set of event types they had."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sets = e.groupBy(F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("time"), "user_id").agg(F.array_sort(F.collect_set("event_type")).alias("active"))
+    n = sets.groupBy("time", "active").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("time", "active", (F.col("n") / F.sum("n").over(W.partitionBy("time"))).alias("p"))
+
+
+@query(f"WITH {_TRAJ} SELECT time, round(coalesce(sum(p) FILTER (list_contains(active, 'purchase')), 0), 6) AS marginal FROM tr GROUP BY time")
+def probtraj_marginal(spark, sf_dir):
+    return api.marginals(_trajectory(spark, sf_dir), "purchase").withColumn("marginal", F.round("marginal", 6))
+
+
+@query(f"WITH {_TRAJ}, mg AS (SELECT time, round(coalesce(sum(p) FILTER (list_contains(active, 'purchase')), 0), 9) AS marginal FROM tr GROUP BY time), lv(level) AS (VALUES (0.1), (0.15), (0.2), (0.25), (0.3)) SELECT CAST(level AS DOUBLE) AS level, (SELECT min(time) FROM mg WHERE marginal >= level) AS time FROM lv")
+def first_passage(spark, sf_dir):
+    return api.first_passages(api.marginals(_trajectory(spark, sf_dir), "purchase").withColumn("marginal", F.round("marginal", 9)), [0.1, 0.15, 0.2, 0.25, 0.3])
+
+
+@query(f"WITH {_TRAJ}, nodes AS (SELECT DISTINCT unnest(active) AS node FROM tr), mg AS (SELECT node, time, round(sum(p) FILTER (list_contains(active, node)), 9) AS marginal FROM tr, nodes GROUP BY ALL) SELECT node, min(time) FILTER (marginal >= 0.3) AS time FROM mg GROUP BY node")
+def activation_times(spark, sf_dir):
+    return api.activation_times(_trajectory(spark, sf_dir), 0.3)
+
+
+@query(f"""WITH RECURSIVE {EACH}, {MASS.format(ends="'purchase', 'error'")}, low AS (SELECT model_id, sum(m) AS binf FROM mass WHERE origin = 'view' AND node = 'purchase' AND k <= 3 GROUP BY ALL), ex AS (SELECT model_id, sum(m) AS exact FROM mass WHERE origin = 'view' AND node = 'purchase' GROUP BY ALL)
+SELECT model_id, round(binf, 6) AS binf, round(exact, 6) AS exact, binf <= exact + 1e-9 AS sound, round(CASE WHEN exact <= 0 THEN 1 ELSE least(1, greatest(0, binf / exact)) END, 6) AS tightness, round(CASE WHEN exact <= 0 THEN 0 ELSE greatest(0, (exact - binf) / exact) END, 6) AS rel_gap FROM ex JOIN low USING (model_id)""")
+def validation_metrics(spark, sf_dir):
+    """How good three jumps are as a lower bound, by user."""
+    edges = _chain(spark, sf_dir, True)
+    exact = _purchase(edges).where("node = 'view'").select("model_id", F.col("prob").alias("exact"))
+    jumps = chains.jump_chain(edges.where("src not in ('purchase', 'error')"))
+    start = edges.where("src = 'view'").select("model_id", F.lit("view").alias("origin"), F.lit("view").alias("node")).distinct()
+    low = chains.transient_mass(jumps, start, 3).where("node = 'purchase'").select("model_id", F.col("mass").alias("binf"))
+    found = api.bound_metrics(exact.join(low, "model_id"), "binf", "exact")
+    return found.select("model_id", *(F.round(c, 6).alias(c) for c in ("binf", "exact")), "sound", *(F.round(c, 6).alias(c) for c in ("tightness", "rel_gap")))
+
+
+@query("""WITH s AS (SELECT user_id, list_distinct(list(event_type)) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL), t AS (SELECT user_id, list_distinct(list(event_type)) AS u FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
+SELECT user_id, round(len(list_intersect(v, u)) / len(list_distinct(list_concat(v, u))), 6) AS jaccard FROM s JOIN t USING (user_id)""")
+def jaccard(spark, sf_dir):
+    """Likeness of a user's event types at even and odd numbers."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    side = lambda k, name: e.where(f"event_id % 2 = {k}").groupBy("user_id").agg(F.collect_set("event_type").alias(name))
+    return side(0, "a").join(side(1, "b"), "user_id").select("user_id", F.round(api.jaccard("a", "b"), 6).alias("jaccard"))
+
+
+@query(f"{GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
+def sweep_reachability(spark, sf_dir):
+    """Sizes and numbers of reachable states of all models, in one job."""
+    return api.sweep(fixtures(spark)).select("model", "states", "value")
+
+
+def _texts(writer):
+    def run(spark, sf_dir):
+        from ..sources.text import WRITERS
+
+        return kernel(fixtures(spark).models, "model_id string, text string", lambda net, q: [(q["model_id"], WRITERS[writer](net))])
+
+    run.__name__ = f"write_{writer}"
+    query()(run)
+
+
+for _w in ("an", "dot", "nusmv", "prism"):
+    _texts(_w)
+
+
+@query(f"{FX} SELECT model_id, count(*) AS transitions, round(sum(rate), 6) AS rates FROM m GROUP BY model_id")
+def read_anx_texts(spark, sf_dir):
+    """Models parsed from their texts on the executors."""
+    texts = fixtures(spark).models.select("model_id", F.lit("anx").alias("format"), "text")
+    return Models.from_texts(texts).transitions.groupBy("model_id").agg(F.count(F.lit(1)).alias("transitions"), F.round(F.sum("rate"), 6).alias("rates"))
