@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, fold, labelled_texts, table
+from .common import fitted, fold, labelled_texts, map_pandas, table
 
 DIMS, RANK, NEIGHBOURS, BLOCK = 2048, 48, 25, 128
 _MARKS = "|#*$%&<>!?.,;:@/()[]{}=+-_~\"'"
@@ -97,7 +97,7 @@ def fit(train: DataFrame) -> Model:
             found = [terms(t) for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "at": [np.fromiter(x, np.int16, len(x)).tobytes() for x in found], "w": [np.fromiter(x.values(), np.float32, len(x)).tobytes() for x in found]})
 
-    rows = train.mapInPandas(run, "doc_id long, label int, at binary, w binary").toPandas().sort_values("doc_id")
+    rows = map_pandas(train, run, "doc_id long, label int, at binary, w binary").toPandas().sort_values("doc_id")
     labels = rows["label"].to_numpy(np.int64)
     x = matrix([dict(zip(np.frombuffer(a, np.int16).tolist(), np.frombuffer(w, np.float32).tolist())) for a, w in zip(rows["at"], rows["w"])])
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
@@ -122,7 +122,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": box.value.score(list(part["text"]))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double")
+    return map_pandas(rows, run, "doc_id long, score double")
 
 
 def op9_quality_classifier(spark, sf_dir: str, most: int = 6_000) -> DataFrame:

@@ -36,6 +36,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that travel to or from Python at once: a thousand texts, not Spark's ten thousand.
+BATCH = 1_000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows at most, for this session: their copies on both sides stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
+def map_pandas(rows: DataFrame, run, schema) -> DataFrame:
+    _bounded(rows.sparkSession)
+    return rows.mapInPandas(run, schema)
+
+
+def map_arrow(rows: DataFrame, run, schema) -> DataFrame:
+    _bounded(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def long_id(df: DataFrame, id_col: str = "doc_id") -> Column:
     """The id as a long named doc_id; the bare column where it is that already, so that equal scans stay equal."""
     if id_col == "doc_id" and dict(df.dtypes)[id_col] == "bigint":

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fitted, fold, stage, table
+from .common import fitted, fold, map_arrow, map_pandas, stage, table
 
 RANKS = 300
 _BLANK = 32
@@ -110,7 +110,7 @@ def fit_profiles(rows: DataFrame, per_lang: int = 1_000, ranks: int = RANKS) ->
                 if len(total):
                     yield pd.DataFrame({"lang": lang, "code": total.index.to_numpy(), "n": total.to_numpy()})
 
-    counted = chosen.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = map_pandas(chosen, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ranks).toPandas()
     return Profiles({x: own.sort_values("r")["code"].to_numpy() for x, own in top.groupby("lang")}, ranks)
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_pandas(rows, run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.0) -> DataFrame:
@@ -142,7 +142,7 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text",
             found = [box.value.predict(t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_labels, stage, table
+from .common import clean_labels, map_pandas, stage, table
 
 SPACES, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "[#*$%&|<>]"
 #: Statistics, each with its cutoffs from loose to strict.
@@ -78,7 +78,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kinds = ", ".join([*(f"{c} long" for c in COUNTS), *(f"{c} double" for c in RULES)])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id long, stratum string, {kinds}")
+    return map_pandas(rows, run, f"doc_id long, stratum string, {kinds}")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, raw_text, table
+from .common import fitted, map_arrow, raw_text, table
 from .words import pieces as blocks
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -232,7 +232,7 @@ def encode_texts(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col
                 )
 
     rows = raw_text(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_bytes long, exact boolean")
+    return map_arrow(rows, run, "doc_id long, ids array<int>, n_tokens long, n_bytes long, exact boolean")
 
 
 def decode_ids(tokens: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFrame:
@@ -244,7 +244,7 @@ def decode_ids(tokens: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFra
             texts = [None if x is None else box.value.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return map_arrow(tokens.select("doc_id", F.col(ids_col).alias("ids")), run, "doc_id long, text string")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

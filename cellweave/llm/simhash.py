@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, stage
+from .common import map_pandas, raw_text, stage
 from .components import connected_components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
     rows = raw_text(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    return map_pandas(rows, run, "doc_id long, fp long")
 
 
 class _Forest:
@@ -179,7 +179,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, fp_col: str = "fp", parts: int
             for i in range(0, len(src), CHUNK):
                 yield pd.DataFrame({"src": src[i : i + CHUNK].view(np.int64), "dst": dst[i : i + CHUNK].view(np.int64)})
 
-    return rows.mapInPandas(run, "src long, dst long")
+    return map_pandas(rows, run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, words_in_shingle: int = 3) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_id, raw_text, release, stage, table
+from .common import long_id, map_pandas, raw_text, release, stage, table
 from .words import gram_hashes, pieces, sliding_min, spans, word_hashes
 
 WINDOW, GROUP = 13, 6
@@ -54,7 +54,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
             if held:
                 yield pd.DataFrame({"anchor": np.concatenate(held).view(np.int64), "doc_id": np.concatenate(of)})
 
-    return docs.mapInPandas(run, "anchor long, doc_id long")
+    return map_pandas(docs, run, "anchor long, doc_id long")
 
 
 class FingerprintIndex:
@@ -141,7 +141,7 @@ def candidate_windows(docs: DataFrame, lists: DataFrame, window: int = WINDOW, g
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return docs.join(lists, "doc_id").mapInPandas(run, "anchor long, doc_id long, at int, digests binary")
+    return map_pandas(docs.join(lists, "doc_id"), run, "anchor long, doc_id long, at int, digests binary")
 
 
 def _later(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, digests: list[bytes]) -> pd.DataFrame:
@@ -171,20 +171,19 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for part in batches:
+            held.append(part)
             last = part["anchor"].iloc[-1]
-            if held and held[0]["anchor"].iloc[-1] == last and part["anchor"].iloc[0] == last:
-                held.append(part)
-                continue
-            rows = pd.concat([*held, part]) if held else part
-            full = (rows["anchor"] != last).to_numpy()
-            if full.any():
+            # groups are many and small: take up some rows before a pass over them; the last group may go on
+            if sum(map(len, held)) >= 20_000 and held[0]["anchor"].iloc[0] != last:
+                rows = pd.concat(held)
+                full = (rows["anchor"] != last).to_numpy()
                 yield _later(*(rows[c].to_numpy()[full] for c in ("anchor", "doc_id", "at")), list(rows["digests"][full]))
-            held = [rows[~full]]
+                held = [rows[~full]]
         if held:
             rows = pd.concat(held)
             yield _later(*(rows[c].to_numpy() for c in ("anchor", "doc_id", "at")), list(rows["digests"]))
 
-    return windows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "doc_id long, starts binary")
+    return map_pandas(windows.repartition("anchor").sortWithinPartitions("anchor"), run, "doc_id long, starts binary")
 
 
 def repeated_hot_windows(windows: DataFrame) -> DataFrame:
@@ -249,7 +248,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # the same exchange of the texts serves the windows and this join; rows without an id need neither
     judged = known.join(covers, "doc_id", "left").unionByName(rows.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<binary>")))
-    return judged.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
+    return map_pandas(judged, run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, fold, labelled_texts, table
+from .common import fitted, fold, labelled_texts, map_pandas, table
 
 _PART = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’¿¡«»…"})
 _EMPTY = (0, 0.0, [])
@@ -111,7 +111,7 @@ def fit(train: DataFrame, max_terms: int = 50_000, prior: float = 500.0, least_p
             if own:
                 yield pd.DataFrame({"token": list(own.keys()), "label": label, "n": list(own.values())})
 
-    each = train.mapInPandas(count, "token string, label int, n long").groupBy("token").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0")).persist()
+    each = map_pandas(train, count, "token string, label int, n long").groupBy("token").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0")).persist()
     n1, n0 = (float(x or 0) for x in each.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
         each.unpersist()
@@ -136,7 +136,7 @@ def fit(train: DataFrame, max_terms: int = 50_000, prior: float = 500.0, least_p
             found = [box.value.segments(t) for t in part["text"]]
             yield pd.DataFrame({"label": part["label"], "n": [x[0] for x in found], "segments": [[list(map(float, s)) for s in x[2]] for x in found]})
 
-    seen = train.mapInPandas(scan, "label int, n long, segments array<array<double>>").toPandas()
+    seen = map_pandas(train, scan, "label int, n long, segments array<array<double>>").toPandas()
     label, n = seen["label"].to_numpy(), seen["n"].to_numpy()
     best = np.array([max((s[2] for s in x), default=0.0) for x in seen["segments"]])
     low = (label == 0) & (n > 0)
@@ -176,7 +176,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": [x[0] for x in found], "n_tokens": [x[1] for x in found], "passages": [[{"start": s, "end": e, "surprise": v} for s, e, v in x[2]] for x in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double, n_tokens long, passages array<struct<start:int,end:int,surprise:double>>")
+    return map_pandas(rows, run, "doc_id long, score double, n_tokens long, passages array<struct<start:int,end:int,surprise:double>>")
 
 
 def op3_toxicity(spark, sf_dir: str, most: int = 20_000) -> DataFrame:
