@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frames import Models, encode, fires, kernel, state_text
 from ..plans.staging import cut
-from . import kernels
+from . import diagrams, kernels
 
 #: Spaces beyond these sizes are not enumerated; results say so.
 FIXPOINT_CAP, TRAP_CAP, ATTRACTOR_CAP = 1_000_000, 1_000_000, 200_000
@@ -65,12 +67,13 @@ def fixpoints(models: Models) -> DataFrame:
 
 
 def fixpoint_counts(models: Models) -> DataFrame:
-    """(model_id, fixpoints, truncated): null where the space is too large to enumerate."""
+    """(model_id, fixpoints): counted on states where those can be listed, by decision diagrams else."""
     spaces, _ = encode(models)
     n = fixpoints(models).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-    truncated = F.col("n_states").isNull() | (F.col("n_states") > FIXPOINT_CAP)
-    every = models.models.select("model_id").join(spaces.select("model_id", "n_states"), "model_id", "left").join(n, "model_id", "left")
-    return every.select("model_id", F.when(~truncated, F.coalesce("n", F.lit(0))).alias("fixpoints"), truncated.alias("truncated"))
+    every = models.models.select("model_id", "text").join(spaces.select("model_id", "n_states"), "model_id", "left").join(n, "model_id", "left")
+    listed = F.coalesce(F.col("n_states") <= FIXPOINT_CAP, F.lit(False))
+    large = kernel(every.where(~listed).select("model_id", "text"), "model_id string, fixpoints decimal(38,0)", lambda net, q: [(q["model_id"], _decimal(diagrams.fixpoint_count(net)))])
+    return every.where(listed).select("model_id", F.coalesce("n", F.lit(0)).cast("decimal(38,0)").alias("fixpoints")).union(large)
 
 
 def trap_spaces(models: Models, minimal: bool = False) -> DataFrame:
@@ -97,39 +100,33 @@ def trap_spaces(models: Models, minimal: bool = False) -> DataFrame:
     return found.select("model_id", "space")
 
 
-def _by_size(models: Models) -> tuple[DataFrame, Models | None]:
-    """(small, large): texts of the models that one task can enumerate, and the other models, None if there are none.
+def reachable_counts(models: Models, rounds: bool = False) -> DataFrame:
+    """(model_id, reachable_states) from the models' starts: one task a model, by enumeration or, for large spaces, by
+    decision diagrams. With rounds, by joins over the cluster instead, for spaces that fit its disks and no task."""
+    if rounds:
+        return reachable(models).groupBy("model_id").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("reachable_states"))
+    return kernel(models.models.select("model_id", "text"), "model_id string, reachable_states decimal(38,0)", lambda net, q: [(q["model_id"], _decimal(kernels.exact_reach(net, net.initial, ("", 0))[1]))])
+
+
+def _decimal(n: int) -> Decimal | None:
+    """Null where a count has more than 38 digits."""
+    return Decimal(n) if n < 10**38 else None
+
 
-    A task takes what fits it, all models side by side; larger spaces go round by round over the cluster.
+def symbolic_reachability(models: Models, goals: DataFrame, rounds: bool = False) -> DataFrame:
+    """(query_id, reachable, reachable_states) over whole networks. goals: (query_id, model_id, automaton, level).
+
+    As reachable_counts().
     """
-    spaces, _ = encode(models)
-    sized = models.models.join(spaces.select("model_id", "n_states"), "model_id", "left")
-    small = sized.where(F.col("n_states") <= ATTRACTOR_CAP)
-    large = sized.where(F.col("n_states").isNull() | (F.col("n_states") > ATTRACTOR_CAP)).select("model_id")
-    if large.isEmpty():
-        return small, None
-    semi = lambda df: df.join(large, "model_id", "left_semi")
-    return small, Models(*map(semi, (models.automata, models.transitions, models.initial, models.models)))
-
-
-def reachable_counts(models: Models) -> DataFrame:
-    """(model_id, reachable_states) from the models' starts."""
-    small, large = _by_size(models)
-    counted = kernel(small.select("model_id", "text"), "model_id string, reachable_states long", lambda net, q: [(q["model_id"], len(kernels.reachable(kernels.Space(net), net.initial)))])
-    if large is None:
-        return counted
-    return counted.union(reachable(large).groupBy("model_id").agg(F.count(F.lit(1)).alias("reachable_states")))
-
-
-def symbolic_reachability(models: Models, goals: DataFrame) -> DataFrame:
-    """(query_id, reachable, reachable_states) over whole networks. goals: (query_id, model_id, automaton, level)."""
-    small, large = _by_size(models)
-    schema = "query_id string, reachable boolean, reachable_states long"
-    asked = goals.join(small.select("model_id", "text"), "model_id").select("query_id", "automaton", "level", "text")
-    out = kernel(asked, schema, lambda net, q: [(q["query_id"], *kernels.exact_reach(net, net.initial, (q["automaton"], int(q["level"]))))])
-    if large is not None:
-        out = out.union(_explored(large, goals))
-    return out.withColumn("reachable_states", F.col("reachable_states").cast("decimal(38,0)"))
+    if rounds:
+        return _explored(models, goals).withColumn("reachable_states", F.col("reachable_states").cast("decimal(38,0)"))
+
+    def answer(net, q):
+        hit, n = kernels.exact_reach(net, net.initial, (q["automaton"], int(q["level"])))
+        return [(q["query_id"], hit, _decimal(n))]
+
+    asked = goals.join(models.models.select("model_id", "text"), "model_id").select("query_id", "automaton", "level", "text")
+    return kernel(asked, "query_id string, reachable boolean, reachable_states decimal(38,0)", answer)
 
 
 def _explored(models: Models, goals: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def sweep(models: Models, metric: str = "reachability") -> DataFrame:
     elif metric == "fixpoints":
         value = states.fixpoint_counts(models).select("model_id", F.col("fixpoints").alias("value"))
     elif metric == "load":
-        value = models.models.select("model_id", F.lit(None).cast("long").alias("value"))
+        value = models.models.select("model_id", F.lit(None).cast("decimal(38,0)").alias("value"))
     else:
         raise ValueError(f"no metric {metric}")
     sizes = structure.info(models).join(spaces.select("model_id", "n_states"), "model_id", "left")

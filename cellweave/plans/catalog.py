@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Network
-from ..operators import chains, kernels, local, states, structure
+from ..functions import scalars
+from ..operators import chains, diagrams, kernels, local, states, structure
 from ..sources.fixtures import GOALS, NETWORKS
 from . import api, derive
 from .frames import Models, encode, kernel, state_text
@@ -326,9 +327,9 @@ def fixpoints(spark, sf_dir):
     return states.fixpoints(fixtures(spark))
 
 
-@query(f"{GRAPH}, {_FIX} SELECT model_id, (SELECT count(*) FROM fx WHERE fx.model_id = size.model_id) AS fixpoints, false AS truncated FROM size")
+@query(f"{GRAPH}, {_FIX} SELECT model_id, (SELECT count(*) FROM fx WHERE fx.model_id = size.model_id) AS fixpoints FROM size")
 def fixpoint_count(spark, sf_dir):
-    return states.fixpoint_counts(fixtures(spark))
+    return states.fixpoint_counts(fixtures(spark)).withColumn("fixpoints", F.col("fixpoints").cast("long"))
 
 
 _TRAP = f"""{FX}, size1 AS (SELECT model_id, CAST(product(levels + 1) AS BIGINT) AS n FROM a GROUP BY ALL), ps AS MATERIALIZED (SELECT model_id, unnest(range(n)) AS sid FROM size1),
@@ -586,7 +587,24 @@ def jaccard(spark, sf_dir):
 @query(f"{GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
 def sweep_reachability(spark, sf_dir):
     """Sizes and numbers of reachable states of all models, in one job."""
-    return api.sweep(fixtures(spark)).select("model", "states", "value")
+    return api.sweep(fixtures(spark)).select("model", "states", F.col("value").cast("long").alias("value"))
+
+
+@query(ORACLES["symbolic_reachability"])
+def symbolic_reachability_by_rounds(spark, sf_dir):
+    """The same by rounds of joins, as for a space beyond one task."""
+    return states.symbolic_reachability(fixtures(spark), goals(spark), rounds=True).withColumn("reachable_states", F.col("reachable_states").cast("long"))
+
+
+@query(f"{GRAPH} SELECT model_id, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS reachable_states FROM size")
+def decision_diagrams(spark, sf_dir):
+    return kernel(fixtures(spark).models, "model_id string, reachable_states long", lambda net, q: [(q["model_id"], diagrams.reachability(net, net.initial, None)[1])])
+
+
+@query(f"{FX} SELECT m.model_id, m.tid, round(CASE kind WHEN 'erlang' THEN 0.5 ELSE 1 / rate END, 6) AS mean, round(rate, 6) AS rate, CASE kind WHEN 'erlang' THEN 2 ELSE 1 END AS phases, kind = 'exp' AS exponential, '_' || model_id AS ident FROM m WHERE contains(model_id, '-') UNION ALL SELECT m.model_id, m.tid, round(1 / rate, 6), round(rate, 6), 1, true, model_id FROM m WHERE NOT contains(model_id, '-')".replace("'_' || model_id AS ident", "'_' || replace(model_id, '-', '_') AS ident"))
+def scalar_functions(spark, sf_dir):
+    t = fixtures(spark).transitions
+    return t.select("model_id", "tid", F.round(scalars.law_mean("dist.rates"), 6).alias("mean"), F.round(scalars.law_rate("dist.rates"), 6).alias("rate"), scalars.phase_count("dist.rates").alias("phases"), scalars.is_exponential("dist.kind").alias("exponential"), scalars.identifier("model_id").alias("ident"))
 
 
 def _texts(writer):

@@ -1 +1 @@
-
+"""Empty: the engine's questions are batch questions."""
