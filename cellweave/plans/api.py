@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +122,31 @@ def causality_graph(models: Models, goals: list[str], start: str | None = None)
     return ask(models, goals, "model_id string, goal string, objective string, solution int, source int, moves array<string>, requires array<string>, delay double", answer, start)
 
 
+def attractors(models: Models, cap: int = 200_000) -> DataFrame:
+    """(model_id, attractor, size, states): terminal components of each state graph, one task a model; size and states
+    are null for a model of more than cap states."""
+
+    def answer(net, q):
+        space, found = kernels.Space(net), kernels.attractors(net, cap)
+        if found is None:
+            yield q["model_id"], 0, None, None
+        for i, own in enumerate(found or ()):
+            yield q["model_id"], i, len(own), [", ".join(f"{a}={k}" for a, k in zip(space.names, s)) for s in own]
+
+    return kernel(models.models.select("model_id", "text"), "model_id string, attractor int, size int, states array<string>", answer)
+
+
+def cached(spark: SparkSession, folder: str, question: str, models: Models, answer) -> DataFrame:
+    """answer(models), kept as Parquet under a hash of the question and the models' texts, and read back when asked again."""
+    texts = models.models.select(F.sha2("text", 256).alias("h")).agg(F.array_join(F.array_sort(F.collect_list("h")), "")).first()[0]
+    path = f"{folder}/{hashlib.sha256(f'{question}|{texts}'.encode()).hexdigest()}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        answer(models).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def sweep(models: Models, metric: str = "reachability") -> DataFrame:
     """(model, automata, transitions, states, value), smallest first: one job for all models."""
     spaces, _ = encode(models)

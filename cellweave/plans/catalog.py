@@ -621,6 +621,22 @@ for _w in ("an", "dot", "nusmv", "prism"):
     _texts(_w)
 
 
+@query("SELECT * FROM (VALUES ('A', 3::BIGINT), ('B', 2::BIGINT)) AS t(automaton, moves)")
+def read_bnet_texts(spark, sf_dir):
+    """A BoolNet text with a node of its own value, a function of two, and a copy."""
+    texts = spark.createDataFrame([("m", "bnet", "targets, factors\nA, B & !C\nB, A\nC, C\n")], "model_id string, format string, text string")
+    return Models.from_texts(texts).transitions.groupBy("automaton").agg(F.count(F.lit(1)).alias("moves"))
+
+
+@query("SELECT * FROM (VALUES ('A', 'A: 0 -> 1 when B=1 and C=0', 2.0), ('A', 'A: 1 -> 0 when B=0', 1.0), ('A', 'A: 1 -> 0 when C=1', 1.0)) AS t(automaton, text, rate)")
+def read_maboss_texts(spark, sf_dir):
+    from ..sources.text import read_maboss
+
+    net = read_maboss("node A { logic = B & !C; rate_up = @logic ? $u_A : 0; } node B { } node C { }", "$u_A = 2.0; A.istate = 0;")
+    m = Models.of(spark, {"m": net})
+    return structure.transition_texts(m).join(m.transitions.select("model_id", "tid", "rate"), ["model_id", "tid"]).select("automaton", "text", "rate")
+
+
 @query(f"{FX} SELECT model_id, count(*) AS transitions, round(sum(rate), 6) AS rates FROM m GROUP BY model_id")
 def read_anx_texts(spark, sf_dir):
     """Models parsed from their texts on the executors."""

@@ -91,7 +91,9 @@ def kernel(queries: DataFrame, schema: str, answer: Callable[[Network, pd.Series
                 if rows := list(answer(read_anx(q["text"]), q)):
                     yield pd.DataFrame(rows, columns=names)
 
-    return queries.repartition(F.col(queries.columns[0])).mapInPandas(run, schema)
+    # a fixed number of partitions is not coalesced, as a few small rows would be, however long each takes
+    parts = min(64, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return queries.repartition(parts, queries.columns[0]).mapInPandas(run, schema)
 
 
 def with_strides(automata: DataFrame, extra: int = 0) -> DataFrame:

@@ -145,3 +145,31 @@ def test_reading_files(spark, tmp_path):
     for kind in ("anx", "an"):
         found = Models.read(spark, f"{tmp_path}/*.{kind}", kind)
         assert {r.model_id: r.transitions for r in structure.info(found).collect()} == {"cellfate": 27, "p53-mdm2": 7}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from cellweave.__main__ import main
+    from cellweave.sources.text import write_anx
+
+    path = str(tmp_path / "cellfate.anx")
+    (tmp_path / "cellfate.anx").write_text(write_anx(NETWORKS["cellfate"]))
+    for args in (["info"], ["stats"], ["feedback"], ["trap-spaces", "--minimal"], ["attractors"], ["quantitative", "--goal", "Apoptosis=1"], ["reduce", "--goal", "Survival=1"], ["inspect"]):
+        assert main([args[0], path, *args[1:]]) == 0
+        lines = capsys.readouterr().out.splitlines()
+        assert lines and all(json.loads(x)["model_id"] == "cellfate" for x in lines)
+    assert main(["convert", path, str(tmp_path / "c.an")]) == 0 and (tmp_path / "c.an").exists()
+    assert main(["slice", path, "--component", "nobody"]) == 1
+
+
+def test_cache(spark, models, tmp_path):
+    calls = []
+
+    def answer(m):
+        calls.append(1)
+        return structure.info(m)
+
+    for _ in range(2):
+        assert api.cached(spark, str(tmp_path), "info", models, answer).count() == 18
+    assert len(calls) == 1
