@@ -21,7 +21,8 @@ PLACES = 64
 #: Rows of each table of draws; the tables' size (POOL * PLACES * 24 bytes) is fixed, so they are broadcast.
 POOL = 4096
 _LAST = -(1 << 63)
-_BINS = 4096
+#: Equal bins of ids: one for this many rows, and so many at most, which is what reaches the driver.
+_ROWS_IN_BIN, _BINS = 250, 1 << 16
 
 
 def uniform(*parts: Column) -> Column:
@@ -80,17 +81,18 @@ def id_ranges(docs: DataFrame, id_col: str, rows_in_range: int = 1_000) -> tuple
     """An expression for the number of a row's range of ids, in ascending order, and (head, into): for each range the
     largest id of the next lower one, which that range needs too (the lowest range needs the largest of all).
 
-    Ids fall into a fixed number of equal bins; ranges are runs of bins with about as many rows as asked for, found
-    from the bins' counts. A bin is never split.
+    Ids fall into equal bins; ranges are runs of bins with about as many rows as asked for, found from the bins'
+    counts. A bin is never split.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    own = docs.where(F.col(id_col).isNotNull()).agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-    low, high = own if own[0] is not None else (0, 0)
-    step = (high - low) // _BINS + 1
+    low, high, n_rows = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.count(F.lit(1))).first()
+    low, high = (low, high) if low is not None else (0, 0)
+    bins = max(1, min(_BINS, n_rows // _ROWS_IN_BIN))
+    step = (high - low) // bins + 1
     spot = F.when(F.col(id_col).isNull(), 0).otherwise(F.expr(f"CAST((CAST({id_col} AS BIGINT) - ({low})) DIV {step} AS INT)"))
     counts = docs.groupBy(spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("top")).orderBy("bin").collect()
-    number, held, of, tops = 0, 0, [0] * _BINS, {}
+    number, held, of, tops = 0, 0, [0] * bins, {}
     for bin_, n, top in counts:
         if held and held + n > rows_in_range:
             number, held = number + 1, 0

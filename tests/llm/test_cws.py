@@ -14,7 +14,10 @@ def jaccard(a, b):
     return sum((x & y).values()) / union if union else 1.0
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cws, "_ROWS_IN_BIN", 2)
+    plain = cws.id_ranges
+    monkeypatch.setattr(cws, "id_ranges", lambda d, c: plain(d, c, 20))
     rng = random.Random(1)
     vocab = [f"w{i}é" for i in range(120)]
     rows = [(d * 5, " ".join(rng.choices(vocab, k=rng.randrange(1, 120)))) for d in rng.sample(range(4000), 300)]
@@ -44,6 +47,7 @@ def test_ranges_do_not_change_results(spark, monkeypatch):
     docs = spark.createDataFrame([(i * 3, f"a{i % 7} b{i % 5} c d{i}") for i in range(200)], "doc_id long, text string")
     whole = sorted(map(tuple, cws.fingerprints(docs).drop("samples").collect()))
     plain = cws.id_ranges
+    monkeypatch.setattr(cws, "_ROWS_IN_BIN", 2)
     monkeypatch.setattr(cws, "id_ranges", lambda d, c: plain(d, c, 7))
     assert sorted(map(tuple, cws.fingerprints(docs.repartition(5)).drop("samples").collect())) == whole
 
