@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.semirings import SEMIRINGS
 from ..plans.frames import Models
 from ..plans.staging import cut
 from . import kernels
@@ -243,9 +244,9 @@ def render_anx(models: Models) -> DataFrame:
 def semiring_step(edges: DataFrame, vector: DataFrame, kind: str) -> DataFrame:
     """(node, value): one matrix-vector product over a semiring. edges: (src, dst, w); vector: (node, value).
 
-    tropical: least sum; viterbi: greatest product; sum: sum of products; bool: any pair of positive values.
+    kind: a name of functions.semirings.SEMIRINGS.
     """
     j = edges.join(vector, edges["src"] == vector["node"])
-    w, v = edges["w"], vector["value"]
-    value = {"tropical": F.min(w + v), "viterbi": F.max(w * v), "sum": F.sum(w * v), "bool": F.bool_or((w > 0) & (v > 0))}[kind]
+    own = SEMIRINGS[kind]
+    value = own.gather(own.along(edges["w"], vector["value"]))
     return j.groupBy(F.col("dst").alias("node")).agg(value.alias("value"))

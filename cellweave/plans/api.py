@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,6 +123,40 @@ def causality_graph(models: Models, goals: list[str], start: str | None = None)
     return ask(models, goals, "model_id string, goal string, objective string, solution int, source int, moves array<string>, requires array<string>, delay double", answer, start)
 
 
+def validation_report(models: Models, goals: list[str], start: str | None = None, k: int = 64) -> DataFrame:
+    """Lower bound, exact value, and how they compare, with the critical path and the time of the likeliest run."""
+
+    def answer(net, ctx, g, m, t):
+        wide = net.expanded()
+        low, solved = kernels.anytime_bound(net, ctx, g, k), kernels.ctmc(wide, ctx, g)
+        best = kernels.top_scenarios(net, ctx, g, 1)
+        return [(m, t, low, solved and solved[0], kernels.earliest_delay(wide, ctx, g), best[0][1] if best else None)]
+
+    return bound_metrics(ask(models, goals, "model_id string, goal string, binf double, exact double, t_delay double, best_delay double", answer, start), "binf", "exact")
+
+
+def causality_texts(models: Models, goals: list[str], kind: str = "text", start: str | None = None) -> DataFrame:
+    """(model_id, goal, text): the causality graph as lines, as DOT or as JSON; solutions with their own delay."""
+    if kind not in ("text", "dot", "json"):
+        raise ValueError(f"no kind {kind}")
+
+    def answer(net, ctx, g, m, t):
+        graph = sorted((f"{a}={k}", [([x.text() for x in p], sorted({f"{b}={v}" for x in p for b, v in x.conditions}), sum(x.law.mean for x in p)) for _, p in found]) for (a, k), found in kernels.causality(net, ctx, g).items())
+        if kind == "json":
+            text = json.dumps({"root": t, "objectives": [{"objective": o, "solutions": [{"path": p, "requires": r, "delay": d} for p, r, d in found]} for o, found in graph]})
+        elif kind == "dot":
+            lines = [f'  "{o}" [shape=box];' for o, _ in graph]
+            for o, found in graph:
+                for i, (_, requires, d) in enumerate(found):
+                    lines += [f'  "{o}/{i}" [label="{d:g}", shape=circle];', f'  "{o}" -> "{o}/{i}";', *(f'  "{o}/{i}" -> "{r}";' for r in requires)]
+            text = "\n".join(["digraph causality {", *lines, "}", ""])
+        else:
+            text = "\n".join(x for o, found in graph for x in (o, *(f"  {'; '.join(p) or 'there already'} [{d:g}]" + (f" needs {', '.join(r)}" if r else "") for p, r, d in found)))
+        return [(m, t, text)]
+
+    return ask(models, goals, "model_id string, goal string, text string", answer, start)
+
+
 def attractors(models: Models, cap: int = 200_000) -> DataFrame:
     """(model_id, attractor, size, states): terminal components of each state graph, one task a model; size and states
     are null for a model of more than cap states."""

@@ -275,6 +275,17 @@ def expand_phase_type(spark, sf_dir):
     return wide.transitions.select("model_id", "tid", "automaton", "from_level", "to_level", "rate")
 
 
+_ORDERS = """o AS (SELECT o_custkey AS c, o_orderstatus AS src, o_orderpriority AS pri, lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders),
+mv AS MATERIALIZED (SELECT src, dst, pri, count(*) AS n FROM o WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)"""
+
+
+@query(f"WITH {_ORDERS} SELECT src, dst, pri, n, round(n / sum(n) OVER (PARTITION BY src), 6) AS share FROM mv")
+def order_network(spark, sf_dir):
+    """Guarded moves between order statuses: how often a customer's next order changes status, by priority."""
+    moves = derive.order_moves(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return moves.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("src")), 6))
+
+
 @query(f"{FX} SELECT model_id, tid, 1.0 AS rate FROM m")
 def assign_rates_unit(spark, sf_dir):
     return structure.assign_rates(fixtures(spark)).select("model_id", "tid", "rate")

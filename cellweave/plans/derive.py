@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 def event_chain(events: DataFrame, per_user: bool = False) -> DataFrame:
     """(model_id, src, dst, rate): one chain of event types, or one a user; parallel visits add up.
 
-    A user's events in order of (ts, event_id); rate i -> j is the number of jumps over the seconds spent in i. One
-    shuffle by user, then a small aggregation, partial before its shuffle.
+    A user's events in order of (ts, event_id); rate i -> j is the number of jumps over the seconds spent in i. Events
+    meet by user and day, so that a busy user is many small groups; each day's last event is then joined to the first
+    one of the user's next day with events, from one row a user and day.
     """
     e = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = W.partitionBy("user_id").orderBy("us", "event_id")
-    pairs = e.withColumn("dst", F.lead("event_type").over(w)).withColumn("after", F.lead("us").over(w)).where("dst IS NOT NULL")
+    e = e.where("us IS NOT NULL").withColumn("day", F.expr("us div 86400000000"))
+    w = W.partitionBy("user_id", "day").orderBy("us", "event_id")
+    inside = e.withColumn("dst", F.lead("event_type").over(w)).withColumn("after", F.lead("us").over(w))
+    pairs = inside.where("after IS NOT NULL").select("user_id", "event_type", "us", "dst", "after")
+    one = F.struct("us", "event_id", "event_type")
+    days = e.groupBy("user_id", "day").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    ahead = F.lead("first").over(W.partitionBy("user_id").orderBy("day"))
+    seams = days.withColumn("next", ahead).where("next IS NOT NULL").select("user_id", F.col("last.event_type").alias("event_type"), F.col("last.us").alias("us"), F.col("next.event_type").alias("dst"), F.col("next.us").alias("after"))
+    pairs = pairs.union(seams).where("dst IS NOT NULL AND event_type IS NOT NULL")
     model = (F.concat(F.lit("u"), F.col("user_id").cast("string")) if per_user else F.lit("events")).alias("model_id")
     jumps = pairs.groupBy(model, F.col("event_type").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("after") - F.col("us")).alias("us"))
     stay = F.sum("us").over(W.partitionBy("model_id", "src"))
@@ -38,3 +46,10 @@ def trade_graph(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, sup
     best = pairs.withColumn("sign", F.when(F.round(F.col("d") / F.col("n"), 9) >= F.round(mean, 9), 1).otherwise(-1)).withColumn("r", F.row_number().over(W.partitionBy("sn").orderBy(F.desc("revenue"), "cn"))).where(F.col("r") <= top)
     name = lambda k: nation.select(F.col("n_nationkey").alias(k), F.trim("n_name").alias(f"{k}_name"))
     return best.join(name("sn"), "sn").join(name("cn"), "cn").select(F.lit("trade").alias("model_id"), F.col("sn_name").alias("src"), F.col("cn_name").alias("dst"), "sign", "revenue")
+
+
+def order_moves(orders: DataFrame) -> DataFrame:
+    """(src, dst, pri, n): changes of status between a customer's consecutive orders, guarded by the first one's priority."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = orders.select("o_custkey", F.col("o_orderstatus").alias("src"), F.col("o_orderpriority").alias("pri"), F.lead("o_orderstatus").over(w).alias("dst"))
+    return pairs.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst", "pri").agg(F.count(F.lit(1)).alias("n"))

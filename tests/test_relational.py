@@ -122,6 +122,11 @@ def test_api(spark, models, tmp_path):
     assert api.abstract(cell, ["Apoptosis=1"]).first().cone_size == 7 and api.cutsets(cell, ["Survival=1"], 1).count() == 2
     assert api.causality_graph(cell, ["Survival=1"]).count() > 3 and api.delay(cell, ["Survival=1"]).first().delay == 3
     assert [r.model for r in api.sweep(models).collect()][-1] == "cellfate"
+    report = api.validation_report(cell, ["Necrosis=1"]).first()
+    assert report.sound and report.exact == pytest.approx(0.234375) and report.t_delay == 4
+    assert '"objective": "NFkB=1"' in api.causality_texts(cell, ["Survival=1"], "json").first().text
+    assert '"Survival=1" -> "Survival=1/0";' in api.causality_texts(cell, ["Survival=1"], "dot").first().text
+    assert "needs NFkB=1" in api.causality_texts(cell, ["Survival=1"]).first().text
     repo = api.Repository(spark, str(tmp_path)).init()
     from cellweave.sources.fixtures import TEXTS
 
