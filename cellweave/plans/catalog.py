@@ -42,7 +42,8 @@ def _fixture_sql(nets: dict[str, Network] = NETWORKS) -> str:
     c = [(n, t, k, b, v) for n, net in nets.items() for t, x in enumerate(net.transitions) for k, (b, v) in enumerate(x.conditions)]
     i = [(n, x, v) for n, net in nets.items() for x, own in sorted((net.initial or {}).items()) for v in sorted(own)]
     return f"""WITH RECURSIVE a0(model_id, automaton, levels) AS {_values(a)},
-m(model_id, tid, automaton, f, t, rate, kind) AS {_values(m)},
+m0(model_id, tid, automaton, f, t, rate, kind) AS {_values(m)},
+m AS MATERIALIZED (SELECT model_id, tid, automaton, f, t, CAST(rate AS DOUBLE) AS rate, kind FROM m0),
 c(model_id, tid, k, automaton, level) AS {_values(c)},
 i(model_id, automaton, level) AS {_values(i)},
 q(query_id, model_id, automaton, level) AS {_values(GOALS)},
@@ -269,7 +270,7 @@ def anx_render(spark, sf_dir):
 
 
 @query(f"""{FX}, x AS (SELECT * FROM m WHERE model_id = 'phasetype-demo')
-SELECT model_id, CAST(0 AS INTEGER) AS tid, automaton, 0 AS from_level, 3 AS to_level, 4.0 AS rate FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 1, automaton, 3, 1, 4.0 FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 2, automaton, f, t, rate FROM x WHERE kind = 'exp'""")
+SELECT model_id, CAST(0 AS INTEGER) AS tid, automaton, 0 AS from_level, 3 AS to_level, CAST(4.0 AS DOUBLE) AS rate FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 1, automaton, 3, 1, 4.0 FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 2, automaton, f, t, rate FROM x WHERE kind = 'exp'""")
 def expand_phase_type(spark, sf_dir):
     wide = structure.expand_phases(Models.of(spark, {"phasetype-demo": NETWORKS["phasetype-demo"]}))
     return wide.transitions.select("model_id", "tid", "automaton", "from_level", "to_level", "rate")
@@ -286,7 +287,7 @@ def order_network(spark, sf_dir):
     return moves.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("src")), 6))
 
 
-@query(f"{FX} SELECT model_id, tid, 1.0 AS rate FROM m")
+@query(f"{FX} SELECT model_id, tid, CAST(1 AS DOUBLE) AS rate FROM m")
 def assign_rates_unit(spark, sf_dir):
     return structure.assign_rates(fixtures(spark)).select("model_id", "tid", "rate")
 
@@ -520,7 +521,7 @@ def anytime_bound(spark, sf_dir):
     return _ask(spark, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))] if net.name in _SMALL else [])
 
 
-@query("SELECT * FROM (VALUES (1, 0.25, 0.75), (2, 0.3125, 0.625), (4, 0.40625, 0.5), (8, 0.5, 0.5)) AS t(budget, lower, upper)")
+@query("SELECT budget, CAST(lower AS DOUBLE) AS lower, CAST(upper AS DOUBLE) AS upper FROM (VALUES (1, 0.25, 0.75), (2, 0.3125, 0.625), (4, 0.40625, 0.5), (8, 0.5, 0.5)) AS t(budget, lower, upper)")
 def bracket(spark, sf_dir):
     """Bounds for Apoptosis in cellfate by budget; the SQL holds the published values."""
     rows = goal_models(spark).where("query_id = 'q05'").withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8))))).select("budget", "automaton", "level", "text")
@@ -665,7 +666,7 @@ def read_bnet_texts(spark, sf_dir):
     return Models.from_texts(texts).transitions.groupBy("automaton").agg(F.count(F.lit(1)).alias("moves"))
 
 
-@query("SELECT * FROM (VALUES ('A', 'A: 0 -> 1 when B=1 and C=0', 2.0), ('A', 'A: 1 -> 0 when B=0', 1.0), ('A', 'A: 1 -> 0 when C=1', 1.0)) AS t(automaton, text, rate)")
+@query("SELECT automaton, text, CAST(rate AS DOUBLE) AS rate FROM (VALUES ('A', 'A: 0 -> 1 when B=1 and C=0', 2.0), ('A', 'A: 1 -> 0 when B=0', 1.0), ('A', 'A: 1 -> 0 when C=1', 1.0)) AS t(automaton, text, rate)")
 def read_maboss_texts(spark, sf_dir):
     net = read_maboss("node A { logic = B & !C; rate_up = @logic ? $u_A : 0; } node B { } node C { }", "$u_A = 2.0; A.istate = 0;")
     m = Models.of(spark, {"m": net})

@@ -95,5 +95,12 @@ def test_random_networks_are_consistent():
         low, high = k.bracket(net, net.initial, goal, 64, 3000)
         assert low - 1e-9 <= p <= high + 1e-9
         assert k.anytime_bound(net, net.initial, goal, 16, 3000) <= p + 1e-9
+        assert (k.witness_bound(net, net.initial, goal) or 0.0) <= p + 1e-9
         assert k.ctmc(net, net.initial, goal, whole=True)[0] == pytest.approx(p, abs=1e-8)
         assert (k.refine(net, net.initial, goal)["verdict"] == "Reachable") == exact
+
+
+def test_bound_of_a_run():
+    net = NETWORKS["delay-chain"]
+    assert k.witness_bound(net, net.initial, ("c", 1)) == pytest.approx(1 / 27)
+    assert k.witness_bound(net, net.initial, ("c", 0)) == 1.0
