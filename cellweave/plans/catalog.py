@@ -475,16 +475,29 @@ def mean_hitting_time(spark, sf_dir):
     return _ask(spark, "query_id string, mean_time double", answer)
 
 
-@query()
-def earliest_delay(spark, sf_dir):
-    return _ask(spark, "query_id string, delay double", lambda net, ctx, goal, i: [(i, kernels.earliest_delay(net, ctx, goal))])
-
-
 _LCG = """lp AS (SELECT model_id, automaton, f AS source, t AS target, [tid] AS path, [f, t] AS seen FROM m WHERE f <> t UNION ALL SELECT lp.model_id, lp.automaton, source, m.t, list_append(path, m.tid), list_append(seen, m.t) FROM lp JOIN m ON m.model_id = lp.model_id AND m.automaton = lp.automaton AND m.f = lp.target WHERE NOT list_contains(seen, m.t)),
 first AS MATERIALIZED (SELECT model_id, automaton, unnest(range(levels)) AS level FROM a WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton) UNION SELECT model_id, automaton, level FROM i),
 obj AS (SELECT query_id, model_id, automaton, level FROM q UNION SELECT obj.query_id, obj.model_id, c.automaton, c.level FROM obj JOIN first ON first.model_id = obj.model_id AND first.automaton = obj.automaton JOIN lp ON lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level JOIN c ON c.model_id = obj.model_id AND list_contains(lp.path, c.tid))"""
 
 
+# A path takes its whole length, or from each condition's own delay the rest of the path from there on.
+_DELAY = """sol AS MATERIALIZED (SELECT query_id, obj.model_id, obj.automaton, obj.level, row_number() OVER () AS sid, lp.path FROM obj JOIN first ON first.model_id = obj.model_id AND first.automaton = obj.automaton JOIN lp ON lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level),
+stp AS (SELECT sid, query_id, model_id, unnest(path) AS tid, unnest(range(len(path))) AS pos FROM sol),
+sfx AS MATERIALIZED (SELECT stp.*, sum(1 / rate) OVER (PARTITION BY sid ORDER BY pos DESC) AS rest FROM stp JOIN m USING (model_id, tid)),
+tot AS MATERIALIZED (SELECT sid, max(rest) AS total FROM sfx GROUP BY sid),
+atm AS MATERIALIZED (SELECT sid, query_id, c.automaton, c.level, rest FROM sfx JOIN c USING (model_id, tid)),
+d0 AS MATERIALIZED (SELECT DISTINCT query_id, obj.automaton, obj.level, 0.0::DOUBLE AS v FROM obj JOIN first USING (model_id, automaton, level))"""
+for _k in range(12):
+    _DELAY += f""",
+d{_k + 1} AS MATERIALIZED (SELECT * FROM d0 UNION ALL SELECT query_id, automaton, level, min(v) FROM (SELECT sol.query_id, sol.automaton, sol.level, sol.sid, greatest(any_value(total), coalesce(max(d.v + atm.rest), 0)) AS v FROM sol JOIN tot USING (sid) LEFT JOIN atm USING (sid) LEFT JOIN d{_k} d ON d.query_id = atm.query_id AND d.automaton = atm.automaton AND d.level = atm.level
+  WHERE NOT EXISTS (SELECT 1 FROM d0 WHERE d0.query_id = sol.query_id AND d0.automaton = sol.automaton AND d0.level = sol.level) GROUP BY ALL HAVING count(atm.sid) = count(d.v)) GROUP BY ALL)"""
+
+
+@query(f"{FX}, {_LCG}, {_DELAY} SELECT query_id, round(v, 6) AS delay FROM q JOIN d12 USING (query_id, automaton, level)")
+def earliest_delay(spark, sf_dir):
+    return _ask(spark, "query_id string, delay double", lambda net, ctx, goal, i: [(i, round(kernels.earliest_delay(net, ctx, goal), 6))])
+
+
 @query(f"""{FX}, {_LCG} SELECT query_id, obj.automaton || '=' || obj.level AS objective, CAST(coalesce(sum(CASE WHEN first.level = obj.level THEN 1 ELSE (SELECT count(*) FROM lp WHERE lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level) END), 0) AS INTEGER) AS solutions
 FROM obj JOIN first ON first.model_id = obj.model_id AND first.automaton = obj.automaton GROUP BY query_id, obj.automaton, obj.level""")
 def lcg_objectives(spark, sf_dir):

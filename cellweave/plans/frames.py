@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Network
-from ..sources.text import READERS, format_of, read_anx, write_anx
+from ..sources.text import READERS, FormatError, format_of, read_anx, write_anx
 
 AUTOMATA = "model_id string, automaton string, levels int"
 TRANSITIONS = "model_id string, tid int, automaton string, from_level int, to_level int, conditions array<struct<automaton:string,level:int>>, dist struct<kind:string,phases:int,rates:array<double>>, rate double"
@@ -50,28 +51,48 @@ class Models:
 
     @staticmethod
     def from_texts(texts: DataFrame) -> Models:
-        """From (model_id, format, text) rows, any number: parsed on the executors, one model a row."""
+        """From (model_id, format, text) rows, any number: parsed on the executors, one model a row. A column `extra`
+        holds what a format keeps in a second file (the parameters of a MaBoSS model), or null."""
+        if "extra" not in texts.columns:
+            texts = texts.withColumn("extra", F.lit(None).cast("string"))
+
+        def parse(model_id: str, kind: str, text: str, extra: str | None) -> Network:
+            return READERS[kind](text, extra, name=model_id) if kind == "maboss" else READERS[kind](text, name=model_id)
 
         def part(kind: str, schema: str) -> DataFrame:
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 names = [x.split()[0] for x in schema.replace("array<struct<automaton:string,level:int>>", "a").replace("struct<kind:string,phases:int,rates:array<double>>", "s").split(", ")]
                 for batch in batches:
-                    rows = [r for i, f, t in zip(batch["model_id"], batch["format"], batch["text"]) for r in _rows(i, READERS[f](t, i))[kind]]
+                    rows = [r for row in zip(batch["model_id"], batch["format"], batch["text"], batch["extra"]) for r in _rows(row[0], parse(*row))[kind]]
                     if kind == "transitions":
                         rows = [(*r[:5], [{"automaton": a, "level": k} for a, k in r[5]], dict(zip(("kind", "phases", "rates"), r[6])), r[7]) for r in rows]
                     if rows:
                         yield pd.DataFrame(rows, columns=names)
 
-            return texts.select("model_id", "format", "text").mapInPandas(run, schema)
+            return texts.select("model_id", "format", "text", "extra").mapInPandas(run, schema)
 
         return Models(part("automata", AUTOMATA), part("transitions", TRANSITIONS), part("initial", INITIAL), part("models", MODELS))
 
     @staticmethod
     def read(spark: SparkSession, path: str, format: str | None = None) -> Models:
-        """From text files by any path that Spark reads; the file's name without ending is the model_id."""
+        """From text files by any path that Spark reads; the file's name without ending is the model_id.
+
+        A MaBoSS model is a .bnd file with the .cfg file of the same name beside it, if there is one.
+        """
         kind = format_of(path.replace("*", "x"), format)
-        files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("model_id"), F.lit(kind).alias("format"), F.col("value").alias("text"))
-        return Models.from_texts(files)
+        if kind == "maboss" and path.lower().endswith(".cfg"):
+            raise FormatError("a .cfg file is no model; give the .bnd file")
+
+        def files(path: str) -> DataFrame:
+            return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("model_id"), F.col("value").alias("text"))
+
+        texts = files(path).withColumn("format", F.lit(kind))
+        if kind == "maboss":
+            try:
+                texts = texts.join(files(path[: -len(".bnd")] + ".cfg").withColumnRenamed("text", "extra"), "model_id", "left")
+            except AnalysisException:
+                pass  # no such file: rates are 1 and starts free
+        return Models.from_texts(texts)
 
     def networks(self) -> dict[str, Network]:
         """Back in memory; for a few models."""

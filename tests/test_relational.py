@@ -150,6 +150,15 @@ def test_reading_files(spark, tmp_path):
     for kind in ("anx", "an"):
         found = Models.read(spark, f"{tmp_path}/*.{kind}", kind)
         assert {r.model_id: r.transitions for r in structure.info(found).collect()} == {"cellfate": 27, "p53-mdm2": 7}
+    (tmp_path / "m.bnd").write_text("node A { logic = B; rate_up = @logic ? $u : 0; }\nnode B { logic = !A; }")
+    (tmp_path / "m.cfg").write_text("$u = 2.5; A.istate = 0;")
+    found = Models.read(spark, f"{tmp_path}/m.bnd")
+    assert sorted((r.automaton, r.to_level, r.rate) for r in found.transitions.collect()) == [("A", 0, 1.0), ("A", 1, 2.5), ("B", 0, 1.0), ("B", 1, 1.0)]
+    assert [(r.automaton, r.level) for r in found.initial.collect()] == [("A", 0)]
+    (tmp_path / "m.cfg").unlink()
+    assert {r.rate for r in Models.read(spark, f"{tmp_path}/m.bnd").transitions.collect()} == {1.0}
+    (tmp_path / "s.sbml").write_text(__import__("cellweave.sources.sbml", fromlist=["x"]).write_sbml(NETWORKS["oscillator"]))
+    assert structure.info(Models.read(spark, f"{tmp_path}/s.sbml")).first().transitions == 4
 
 
 def test_command_line(spark, tmp_path, capsys):
