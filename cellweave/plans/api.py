@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import parse_context, parse_goal
-from ..operators import kernels, states, structure
-from .frames import Models, encode, kernel
+from ..operators import diagrams, kernels, structure
+from .frames import Models, kernel
 
 
 def reduce_model(models: Models, goal: str) -> DataFrame:
@@ -183,18 +185,18 @@ def cached(spark: SparkSession, folder: str, question: str, models: Models, answ
 
 
 def sweep(models: Models, metric: str = "reachability") -> DataFrame:
-    """(model, automata, transitions, states, value), smallest first: one job for all models."""
-    spaces, _ = encode(models)
-    if metric == "reachability":
-        value = states.reachable_counts(models).withColumnRenamed("reachable_states", "value")
-    elif metric == "fixpoints":
-        value = states.fixpoint_counts(models).select("model_id", F.col("fixpoints").alias("value"))
-    elif metric == "load":
-        value = models.models.select("model_id", F.lit(None).cast("decimal(38,0)").alias("value"))
-    else:
+    """(model, automata, transitions, states, value), smallest first: one job for all models, one task a model."""
+    if metric not in ("reachability", "fixpoints", "load"):
         raise ValueError(f"no metric {metric}")
-    sizes = structure.info(models).join(spaces.select("model_id", "n_states"), "model_id", "left")
-    return sizes.join(value, "model_id", "left").select(F.col("model_id").alias("model"), "automata", "transitions", F.col("n_states").alias("states"), "value").orderBy("automata", "model")
+
+    def answer(net, q):
+        n = math.prod(net.levels.values())
+        value = kernels.exact_reach(net, net.initial, ("", 0))[1] if metric == "reachability" else diagrams.fixpoint_count(net) if metric == "fixpoints" else None
+        yield q["model_id"], len(net.levels), len(net.transitions), *(None if x is None or x >= 10**38 else Decimal(x) for x in (n, value))
+
+    rows = kernel(models.models.select("model_id", "text"), "model string, automata int, transitions int, states decimal(38,0), value decimal(38,0)", answer)
+    # a row a model is little to sort; a global sort would sample, and so answer, everything twice
+    return rows.repartition(1).sortWithinPartitions("automata", "model")
 
 
 def ablation(models: Models, goals: list[str], start: str | None = None) -> DataFrame:

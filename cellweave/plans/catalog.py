@@ -625,7 +625,7 @@ def jaccard(spark, sf_dir):
 @query(f"{GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
 def sweep_reachability(spark, sf_dir):
     """Sizes and numbers of reachable states of all models, in one job."""
-    return api.sweep(fixtures(spark)).select("model", "states", F.col("value").cast("long").alias("value"))
+    return api.sweep(fixtures(spark)).select("model", F.col("states").cast("long").alias("states"), F.col("value").cast("long").alias("value"))
 
 
 @query(ORACLES["symbolic_reachability"])

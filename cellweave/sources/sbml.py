@@ -1,12 +1,13 @@
-"""Qualitative SBML models: logical functions with levels, as automata networks and back."""
+"""Logical models with levels (qualitative SBML, GINML, BooleanNet), as automata networks and some of them back."""
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from itertools import product
 
 from ..model import Move, Network
-from .text import FormatError, clauses, parse_boolean
+from .text import FormatError, clauses, evaluate, parse_boolean, variables
 
 QUAL = "http://www.sbml.org/sbml/level3/version1/qual/version1"
 CORE = "http://www.sbml.org/sbml/level3/version1/core"
@@ -184,3 +185,42 @@ def read_booleannet(text: str, name: str = "model") -> Network:
             moves.setdefault(b, [])
         moves[a] = unit_moves(a, levels, names, lambda s, h=held: int(any(all(s[b] == k for b, k in c.items()) for c in h)))
     return Network(name, levels, moves, initial or None, "booleannet")
+
+
+def read_ginml(text: str, name: str = "model") -> Network:
+    """Nodes with levels; a node's target is given by logical parameters, sets of active incoming edges, or by
+    expressions for values, in which A is A at 1 or more and A:2 is A at 2 or more. Else the base value, or 0."""
+    try:
+        root = ET.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", text))
+    except ET.ParseError as e:
+        raise FormatError(str(e)) from None
+    nodes = [e for e in root.iter() if _tag(e) == "node"]
+    if not nodes:
+        raise FormatError("no node")
+    levels = {e.get("id"): int(e.get("maxvalue") or 1) + 1 for e in nodes}
+    edges: dict[str, list[tuple[str, str, int, int]]] = {}
+    for e in root.iter():
+        if _tag(e) == "edge":
+            source = e.get("from")
+            high = int(e.get("maxvalue")) if (e.get("maxvalue") or "-1").isdigit() else levels[source] - 1
+            edges.setdefault(e.get("to"), []).append((e.get("id"), source, int(e.get("minvalue") or 1), high))
+    moves: dict[str, list[Move]] = {a: [] for a in levels}
+    for e in nodes:
+        a = e.get("id")
+        if (e.get("input") or "").lower() == "true":
+            continue
+        own = edges.get(a, [])
+        parameters = {frozenset((p.get("idActiveInteractions") or "").split()): int(p.get("val") or 0) for p in e.iter() if _tag(p) == "parameter"}
+        expressions = [(int(v.get("val") or 0), parse_boolean(re.sub(r"(\w+):(\d+)", r"\1.\2", x.get("str") or "0"))) for v in e.iter() if _tag(v) == "value" for x in v.iter() if _tag(x) == "exp"]
+
+        def target(state: dict[str, int], own=own, parameters=parameters, expressions=expressions, base=int(e.get("basevalue") or 0)) -> int:
+            for value, tree in expressions:
+                held = {v: int(state.get(v.partition(".")[0], 0) >= int(v.partition(".")[2] or 1)) for v in variables(tree)}
+                if evaluate(tree, held):
+                    return value
+            active = frozenset(i for i, source, low, high in own if low <= state[source] <= high)
+            return parameters.get(active, base if not expressions else 0)
+
+        names = {source for _, source, _, _ in own} | {v.partition(".")[0] for _, t in expressions for v in variables(t)}
+        moves[a] = unit_moves(a, levels, sorted(names & levels.keys()), target)
+    return Network(name, levels, moves, None, "ginml")
