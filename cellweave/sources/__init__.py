@@ -1 +1 @@
-
+"""Text formats, published fixtures, and external tools."""
