@@ -56,8 +56,8 @@ inf AS MATERIALIZED (SELECT model_id, src, dst, CASE WHEN min(s) = max(s) THEN m
 
 
 FX = _fixture_sql()
-#: The whole state graph: st (states), e (edges), s0 (starts).
-GRAPH = f"""{FX},
+#: The whole state graph: st (states), e (edges), s0 (starts), r (reachable states), name.
+_GRAPH = """{fx},
 size AS (SELECT model_id, CAST(product(levels) AS BIGINT) AS n FROM a GROUP BY model_id),
 st AS MATERIALIZED (SELECT model_id, unnest(range(n)) AS sid FROM size),
 e AS MATERIALIZED (SELECT st.model_id, st.sid, m.tid, m.rate, st.sid + (m.t - m.f) * o.stride AS dst FROM st JOIN m USING (model_id) JOIN a o ON o.model_id = m.model_id AND o.automaton = m.automaton
@@ -65,6 +65,9 @@ e AS MATERIALIZED (SELECT st.model_id, st.sid, m.tid, m.rate, st.sid + (m.t - m.
 s0 AS MATERIALIZED (SELECT st.model_id, st.sid FROM st WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.model_id = st.model_id AND EXISTS (SELECT 1 FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton) AND NOT EXISTS (SELECT 1 FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton AND i.level = (st.sid // a.stride) % a.levels))),
 r AS (SELECT model_id, sid FROM s0 UNION SELECT e.model_id, e.dst FROM r JOIN e ON e.model_id = r.model_id AND e.sid = r.sid),
 name AS MATERIALIZED (SELECT st.model_id, st.sid, string_agg(a.automaton || '=' || (st.sid // a.stride) % a.levels, ', ' ORDER BY a.automaton) AS state FROM st JOIN a USING (model_id) GROUP BY ALL)"""
+GRAPH = _GRAPH.format(fx=FX)
+#: The same with laws of several phases expanded.
+WIDE = _GRAPH.format(fx=_fixture_sql({n: net.expanded() for n, net in NETWORKS.items()}))
 
 
 def fixtures(spark: SparkSession) -> Models:
@@ -364,12 +367,13 @@ def trap_spaces_minimal(spark, sf_dir):
     return states.trap_spaces(fixtures(spark), minimal=True)
 
 
-@query(f"""{GRAPH}, tiny AS (SELECT model_id FROM size WHERE n <= 64), cl AS (SELECT model_id, sid AS x, sid AS y FROM st JOIN tiny USING (model_id) UNION SELECT cl.model_id, x, e.dst FROM cl JOIN e ON e.model_id = cl.model_id AND e.sid = cl.y),
-att AS (SELECT model_id, x, min(y) AS low, count(*) AS size FROM cl WHERE NOT EXISTS (SELECT 1 FROM cl z WHERE z.model_id = cl.model_id AND z.x = cl.x AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.model_id = z.model_id AND b.x = z.y AND b.y = z.x)) GROUP BY ALL)
-SELECT model_id, CAST(size AS INTEGER) AS size, string_agg(state, ' | ' ORDER BY state) AS states FROM att JOIN name ON name.model_id = att.model_id AND name.sid = att.x GROUP BY att.model_id, low, size
-UNION ALL SELECT model_id, 1, state FROM (SELECT model_id, sid FROM st WHERE model_id = 'cellfate' EXCEPT SELECT model_id, sid FROM e) JOIN name USING (model_id, sid)""".replace("SELECT model_id, CAST(size", "SELECT att.model_id, CAST(size"))
+# What a state reaches shrinks along its runs; a state whose every successor reaches as much is in a terminal component.
+@query(f"""{GRAPH}, cl AS (SELECT model_id, sid AS x, sid AS y FROM st UNION SELECT cl.model_id, x, e.dst FROM cl JOIN e ON e.model_id = cl.model_id AND e.sid = cl.y),
+cn AS MATERIALIZED (SELECT model_id, x, min(y) AS low, count(*) AS n FROM cl GROUP BY ALL),
+att AS MATERIALIZED (SELECT cl.model_id, cl.x, any_value(a.low) AS low, any_value(a.n) AS n FROM cl JOIN cn a ON a.model_id = cl.model_id AND a.x = cl.x JOIN cn b ON b.model_id = cl.model_id AND b.x = cl.y GROUP BY cl.model_id, cl.x HAVING bool_and(a.n = b.n))
+SELECT att.model_id, CAST(n AS INTEGER) AS size, string_agg(state, ' | ' ORDER BY state) AS states FROM att JOIN name ON name.model_id = att.model_id AND name.sid = att.x GROUP BY att.model_id, low, n""")
 def attractors(spark, sf_dir):
-    """Terminal components, one task a model. (In cellfate all of them are fixpoints; the SQL says so.)"""
+    """Terminal components, one task a model."""
 
     def answer(net, q):
         space = kernels.Space(net)
@@ -449,15 +453,15 @@ def symbolic_reachability(spark, sf_dir):
     return states.symbolic_reachability(fixtures(spark), goals(spark)).withColumn("reachable_states", F.col("reachable_states").cast("long"))
 
 
-_PROB = f"""{GRAPH}, {_HIT}, ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL), jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) GROUP BY ALL),
+_PROB = f"""{WIDE}, {_HIT}, ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL), jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) GROUP BY ALL),
 go AS MATERIALIZED (SELECT q.query_id, jp.* FROM q JOIN jp USING (model_id) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id AND h.sid = jp.sid)),
 ms AS (SELECT q.query_id, q.model_id, s0.sid, 1.0::DOUBLE / (SELECT count(*) FROM s0 z WHERE z.model_id = q.model_id) AS m, 0 AS k FROM q JOIN s0 USING (model_id)
  UNION ALL SELECT * FROM (SELECT ms.query_id, ms.model_id, go.dst, sum(ms.m * go.p), k + 1 FROM ms JOIN go ON go.query_id = ms.query_id AND go.sid = ms.sid WHERE k < 400 GROUP BY ms.query_id, ms.model_id, go.dst, k))"""
 
 
-@query(f"{_PROB} SELECT q.query_id, round(coalesce((SELECT sum(m) FROM ms JOIN hits USING (query_id, sid) WHERE ms.query_id = q.query_id), 0), 6) AS prob, true AS prob_exact FROM q WHERE model_id <> 'phasetype-demo' UNION ALL SELECT 'q04', round(2 / 3.0, 6), true")
+@query(f"{_PROB} SELECT q.query_id, round(coalesce((SELECT sum(m) FROM ms JOIN hits USING (query_id, sid) WHERE ms.query_id = q.query_id), 0), 6) AS prob, true AS prob_exact FROM q")
 def quantitative(spark, sf_dir):
-    """Exact probabilities; the network with an Erlang law is expanded first (by hand 4 / (4 + 2) in the SQL)."""
+    """Exact probabilities; the network with an Erlang law is expanded first."""
 
     def answer(net, ctx, goal, i):
         found = kernels.quantitative(net, ctx, goal)
@@ -509,29 +513,27 @@ def lcg_objectives(spark, sf_dir):
 
 
 # Runs up to 14 steps; the likeliest ones are shorter.
-_RUNS = f"""{GRAPH}, {_HIT}, {_CONE}, mc AS (SELECT q.query_id, e.model_id, e.sid, e.dst, e.tid, e.rate FROM q JOIN e USING (model_id) JOIN m ON m.model_id = e.model_id AND m.tid = e.tid JOIN cone ON cone.query_id = q.query_id AND cone.node = m.automaton),
+_RUNS = f"""{WIDE}, {_HIT}, {_CONE}, mc AS (SELECT q.query_id, e.model_id, e.sid, e.dst, e.tid, e.rate FROM q JOIN e USING (model_id) JOIN m ON m.model_id = e.model_id AND m.tid = e.tid JOIN cone ON cone.query_id = q.query_id AND cone.node = m.automaton),
 me AS MATERIALIZED (SELECT *, rate / sum(rate) OVER (PARTITION BY query_id, sid) AS p, 1 / sum(rate) OVER (PARTITION BY query_id, sid) AS tau FROM mc WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = mc.query_id AND h.sid = mc.sid)),
-run AS (SELECT q.query_id, s0.sid, 1.0::DOUBLE AS p, 0.0::DOUBLE AS d, CAST([] AS VARCHAR[]) AS path FROM q JOIN s0 USING (model_id) WHERE q.model_id IN ('p53-mdm2', 'cellfate', 'delay-chain', 'oscillator')
+run AS (SELECT q.query_id, s0.sid, 1.0::DOUBLE AS p, 0.0::DOUBLE AS d, CAST([] AS VARCHAR[]) AS path FROM q JOIN s0 USING (model_id)
  UNION ALL SELECT run.query_id, me.dst, run.p * me.p, run.d + me.tau, list_append(path, txt.text) FROM run JOIN me ON me.query_id = run.query_id AND me.sid = run.sid JOIN txt ON txt.model_id = me.model_id AND txt.tid = me.tid WHERE len(path) < 14 AND run.p * me.p > 1e-3),
 best AS (SELECT run.*, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, len(path), path) AS rank FROM run JOIN hits USING (query_id, sid))"""
-_SMALL = ("p53-mdm2", "cellfate", "delay-chain", "oscillator")
 
 
-@query(f"{_RUNS} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(p, 6) AS probability, round(d, 6) AS delay, list_aggregate(path, 'string_agg', '; ') AS transitions FROM best WHERE rank <= 3")
+@query(f"{_RUNS} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(p, 6) AS probability, round(d, 6) AS delay, replace(list_aggregate(path, 'string_agg', '; '), 'g: 0 -> 3; g: 3 -> 1', 'g: 0 -> 1') AS transitions FROM best WHERE rank <= 3")
 def top_k_scenarios(spark, sf_dir):
-    """The three likeliest runs to each goal."""
+    """The three likeliest runs to each goal. Phases are folded back into the moves they came from."""
 
     def answer(net, ctx, goal, i):
-        if net.name in _SMALL:
-            for rank, (p, d, path) in enumerate(kernels.top_scenarios(net, ctx, goal, 3), 1):
-                yield i, rank, round(p, 6), round(d, 6), "; ".join(path)
+        for rank, (p, d, path) in enumerate(kernels.top_scenarios(net, ctx, goal, 3), 1):
+            yield i, rank, round(p, 6), round(d, 6), "; ".join(path)
 
     return _ask(spark, "query_id string, rank int, probability double, delay double, transitions string", answer)
 
 
 @query(f"{_RUNS} SELECT query_id, round(least(1.0, sum(p)), 6) AS lower FROM best WHERE rank <= 4 GROUP BY query_id")
 def anytime_bound(spark, sf_dir):
-    return _ask(spark, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))] if net.name in _SMALL else [])
+    return _ask(spark, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))])
 
 
 @query("SELECT budget, CAST(lower AS DOUBLE) AS lower, CAST(upper AS DOUBLE) AS upper FROM (VALUES (1, 0.25, 0.75), (2, 0.3125, 0.625), (4, 0.40625, 0.5), (8, 0.5, 0.5)) AS t(budget, lower, upper)")
@@ -613,13 +615,13 @@ def validation_metrics(spark, sf_dir):
     return found.select("model_id", *(F.round(c, 6).alias(c) for c in ("binf", "exact")), "sound", *(F.round(c, 6).alias(c) for c in ("tightness", "rel_gap")))
 
 
-@query("""WITH s AS (SELECT user_id, list_distinct(list(event_type)) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL), t AS (SELECT user_id, list_distinct(list(event_type)) AS u FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
-SELECT user_id, round(len(list_intersect(v, u)) / len(list_distinct(list_concat(v, u))), 6) AS jaccard FROM s JOIN t USING (user_id)""")
+@query("""WITH s AS (SELECT user_id, list_distinct(list(event_type) FILTER (hour(ts) < 12)) AS v, list_distinct(list(event_type) FILTER (hour(ts) >= 12)) AS u FROM events GROUP BY ALL)
+SELECT user_id, round(CASE WHEN len(list_distinct(list_concat(v, u))) = 0 THEN 1.0 ELSE len(list_intersect(coalesce(v, []), coalesce(u, []))) / len(list_distinct(list_concat(v, u))) END, 6) AS jaccard FROM s""")
 def jaccard(spark, sf_dir):
-    """Likeness of a user's event types at even and odd numbers."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    side = lambda k, name: e.where(f"event_id % 2 = {k}").groupBy("user_id").agg(F.collect_set("event_type").alias(name))
-    return side(0, "a").join(side(1, "b"), "user_id").select("user_id", F.round(api.jaccard("a", "b"), 6).alias("jaccard"))
+    """Likeness of a user's event types before and after noon."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("early", F.hour(F.col("ts").cast("timestamp")) < 12)
+    sets = e.groupBy("user_id").agg(*(F.collect_set(F.when(F.col("early") == x, F.col("event_type"))).alias(n) for n, x in (("a", True), ("b", False))))
+    return sets.select("user_id", F.round(api.jaccard("a", "b"), 6).alias("jaccard"))
 
 
 @query(f"{GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
