@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,8 +43,8 @@ def absorption(edges: DataFrame, goals: DataFrame, absorbing: DataFrame | None =
     is certain.
 
     edges: (model_id, src, dst, rate); goals and absorbing: (model_id, node), where chains end. A node without edges
-    ends too. One task a chain, solved exactly: chains are many and small. A single chain beyond memory is for
-    absorption_by_joins().
+    ends too. A chain is in one task, solved exactly; chains are many and small, and a batch of them is solved as one
+    stack of matrices. A single chain beyond memory is for absorption_by_joins().
     """
     ends = goals.select("model_id", "node", F.lit(True).alias("goal"))
     if absorbing is not None:
@@ -50,42 +52,77 @@ def absorption(edges: DataFrame, goals: DataFrame, absorbing: DataFrame | None =
     rows = merge_edges(edges).select("model_id", "src", "dst", "rate", F.lit(None).cast("boolean").alias("goal"))
     rows = rows.union(ends.select("model_id", "node", F.lit(None).cast(dict(rows.dtypes)["dst"]), F.lit(None).cast("double"), "goal"))
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        marks = own[own["goal"].notna()]
-        good = set(marks.loc[marks["goal"].astype(bool), "src"])
-        over = good | set(marks["src"])
-        links = own[own["goal"].isna()]
-        nodes = sorted({*own["src"], *links["dst"]})
-        slot = {v: i for i, v in enumerate(nodes)}
-        links = links[~links["src"].isin(over)]
-        n = len(nodes)
-        src, dst = links["src"].map(slot).to_numpy(np.int64), links["dst"].map(slot).to_numpy(np.int64)
-        rate = links["rate"].to_numpy(float)
-        total = np.bincount(src, rate, n)
-        p = rate / total[src]
-        goal = np.array([v in good for v in nodes])
-        can = goal.copy()
-        while True:
-            more = can.copy()
-            more[src[can[dst]]] = True
-            if (more == can).all():
-                break
-            can = more
-        free = np.flatnonzero(can & ~goal)
-        at = np.full(n, -1)
-        at[free] = np.arange(len(free))
-        h, t = goal.astype(float), np.zeros(n)
-        if len(free):
-            m = np.eye(len(free))
-            inner = (at[src] >= 0) & (at[dst] >= 0)
-            np.subtract.at(m, (at[src[inner]], at[dst[inner]]), p[inner])
-            into = goal[dst]
-            h[free] = np.linalg.solve(m, np.bincount(src[into], p[into], n)[free])
-            t[free] = np.linalg.solve(m, 1 / total[free])
-        sure = h > 1 - 1e-9
-        return pd.DataFrame({"model_id": own["model_id"].iloc[0], "node": nodes, "prob": h, "mean_time": [float(x) if ok else None for x, ok in zip(t, sure)]})
-
-    return rows.groupBy("model_id").applyInPandas(run, f"model_id {key}, node string, prob double, mean_time double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in batches:
+            rows = part if held is None else pd.concat([held, part])
+            last = (rows["model_id"] == rows["model_id"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield _solve(rows[~last])
+            held = rows[last]
+        if held is not None:
+            yield _solve(held)
+
+    together = rows.repartition("model_id").sortWithinPartitions("model_id")
+    return together.mapInPandas(run, f"model_id {key}, node string, prob double, mean_time double")
+
+
+#: Chains of at most so many nodes are solved together, as one stack of matrices.
+SMALL = 48
+
+
+def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+    """Absorption of all chains in rows at once."""
+    chain, models = pd.factorize(rows["model_id"])
+    both, names = pd.factorize(pd.concat([rows["src"], rows["dst"]]))
+    k, n_rows = len(names) + 1, len(rows)
+    mark = rows["goal"].notna().to_numpy()
+    keys = np.concatenate([chain * k + both[:n_rows], np.where(mark, -1, chain * k + both[n_rows:])])
+    nodes, at = np.unique(keys, return_inverse=True)
+    if nodes[0] == -1:
+        nodes, at = nodes[1:], at - 1
+    src, dst, n = at[:n_rows], at[n_rows:], len(nodes)
+    goal, over = np.zeros(n, bool), np.zeros(n, bool)
+    goal[src[rows["goal"].eq(True).to_numpy(bool)]] = True
+    over[src[mark]] = True
+    go = ~mark & ~over[src]
+    src, dst, rate = src[go], dst[go], rows["rate"].to_numpy(float)[go]
+    total = np.bincount(src, rate, n)
+    p = rate / total[src]
+    can = goal.copy()
+    while True:
+        more = can.copy()
+        more[src[can[dst]]] = True
+        if (more == can).all():
+            break
+        can = more
+    free, of = can & ~goal, nodes // k
+    before = np.cumsum(free) - free
+    first = before[np.searchsorted(of, np.arange(len(models)))]
+    place = np.where(free, before - first[of], -1)
+    count = np.bincount(of[free], minlength=len(models))
+    into = np.bincount(src[goal[dst]], p[goal[dst]], n)
+    tau = np.divide(1.0, total, out=np.zeros(n), where=total > 0)
+    h, t = goal.astype(float), np.zeros(n)
+    inner = free[src] & free[dst]
+    a, b, w = src[inner], dst[inner], p[inner]
+    large = [np.array([c]) for c in np.flatnonzero(count > SMALL)]
+    for group in [np.flatnonzero((count > 0) & (count <= SMALL)), *large]:
+        if not len(group):
+            continue
+        slot = np.full(len(models), -1)
+        slot[group] = np.arange(len(group))
+        size = int(count[group].max())
+        m = np.tile(np.eye(size), (len(group), 1, 1))
+        own = slot[of[a]] >= 0
+        np.subtract.at(m, (slot[of[a[own]]], place[a[own]], place[b[own]]), w[own])
+        here = np.flatnonzero(free & (slot[of] >= 0))
+        right = np.zeros((len(group), size, 2))
+        right[slot[of[here]], place[here]] = np.column_stack([into[here], tau[here]])
+        x = np.linalg.solve(m, right)[slot[of[here]], place[here]]
+        h[here], t[here] = x[:, 0], x[:, 1]
+    sure = h > 1 - 1e-9
+    return pd.DataFrame({"model_id": models.take(of), "node": names.take(nodes % k), "prob": h, "mean_time": np.where(sure, t, np.nan)})
 
 
 def absorption_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 100_000, cut_every: int = 5) -> DataFrame:

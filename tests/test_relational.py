@@ -108,6 +108,16 @@ def test_absorption_ways_agree(spark):
     one = {(r.model_id, r.node): r.prob for r in chains.absorption(edges, goals).collect()}
     two = {(r.model_id, r.node): r.prob for r in chains.absorption_by_joins(edges, goals, 1e-10).collect()}
     assert all(abs(one[k] - two.get(k, 0.0)) < 1e-7 for k in one)
+    old = chains.SMALL
+    chains.SMALL = 2
+    try:
+        import pandas as pd
+
+        rows = pd.concat([edges.toPandas().assign(goal=None), pd.DataFrame({"model_id": [f"m{k}" for k in range(4)], "src": "s0", "dst": None, "rate": None, "goal": True})])
+        alone = {(r.model_id, r.node): r.prob for r in chains._solve(rows).itertuples()}
+    finally:
+        chains.SMALL = old
+    assert alone.keys() == one.keys() and all(abs(one[k] - alone[k]) < 1e-9 for k in one)
 
 
 def test_api(spark, models, tmp_path):
