@@ -65,12 +65,14 @@ def draw(id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatures: tuple[float, float, float] = (0.7, 0.7, 0.7), keep: float = 0.5, rounds: int = ROUNDS, **columns: str) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatures: tuple[float, float, float] = (0.7, 0.7, 0.7), keep: float = 0.5, rounds: int = ROUNDS, calibrated: bool = False, **columns: str) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, probability, selected) for every row of docs.
 
     targets: for each margin (category, target), shares that sum to 1; by default tempered token shares. keep: the
     expected share of tokens; a probability that the scale would lift over 1 is 1, so then it is less. weight: the cell's factor,
-    1 where targets equal the shares as they are. Null categories are the category ''; null or empty text has no
+    1 where targets equal the shares as they are. calibrated: keep is lowered to 1 / the largest weight where it is
+    more, so that no probability is cut and the expected tokens have the targets' shares; otherwise cells that are
+    cut fall short of theirs, as OP1_SQL has it. Null categories are the category ''; null or empty text has no
     tokens and weight, probability 0. Equal ids are selected alike, null ones too. Other columns are ignored; an
     empty table gives no rows.
     """
@@ -80,6 +82,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatur
     raked = rake(cells, targets, rounds)
     total = raked.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     factors = raked.select(*MARGINS, (F.col("factor") * total).alias("weight"))
+    if calibrated:
+        keep = min(keep, 1 / (factors.agg(F.max("weight")).first()[0] or 1.0))
     # one row a cell meets the documents; AQE splits the hot cells' documents
     out = own.join(factors, list(MARGINS), "left").withColumn("weight", F.when(F.col("tokens") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
     out = out.withColumn("probability", F.least(F.lit(1.0), F.lit(float(keep)) * F.col("weight")))

@@ -67,6 +67,25 @@ def test_given_targets_and_sample(spark):
     assert [r.selected for r in mixing.mix(empty).collect()] == [False]
 
 
+def test_calibrated_probabilities_meet_the_targets(spark):
+    rows = [r for r in make() if r[0] != 902] + [(5000 + i, "mail a@b now", "en", "hot") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cut, got = mixing.mix(docs).collect(), mixing.mix(docs, calibrated=True).collect()
+    assert max(r.weight for r in got) > 2 and max(r.probability for r in got) <= 1 + 1e-9
+    for at, m in enumerate(mixing.MARGINS):
+        sums = {}
+        for r in got:
+            sums[r[m]] = sums.get(r[m], 0) + r.tokens
+        total = sum(t**0.7 for t in sums.values())
+        off = {}
+        for name, found in (("cut", cut), ("calibrated", got)):
+            mass = sum(r.tokens * r.probability for r in found)
+            off[name] = max(abs(sum(r.tokens * r.probability for r in found if r[m] == k) / mass - t**0.7 / total) for k, t in sums.items())
+        assert off["calibrated"] < 1e-4
+        assert m != "topic" or off["cut"] > 1e-3
+    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01, calibrated=True).collect()) / sum(r.tokens for r in got) < 0.011
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(make(20), "doc_id long, text string, lang string, source string")
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
