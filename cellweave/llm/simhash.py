@@ -199,13 +199,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def later_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+    """(doc_id): distinct ids of the rows that have a near duplicate with a smaller id."""
+    found = near_duplicates(docs, id_col, text_col, max_bits)
+    return found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """docs without the rows that have a near duplicate with a smaller id; columns as they were.
 
     Rows with a null id stay. Of rows that share one id, all stay or go together.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = later_ids(docs, id_col, text_col, max_bits).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
