@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary folder, in
+    local mode only: on a cluster no other machine sees it."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is needed: a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cellweave-")
         sc.setCheckpointDir(path)
     return path
@@ -32,6 +35,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that Spark has for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +93,22 @@ def clean_labels(labels: DataFrame, mark: str, id_col: str = "doc_id") -> DataFr
     )
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer in use, as after a table was written."""
     gc.collect()
@@ -105,12 +130,14 @@ def hash_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
 def labelled_texts(docs: DataFrame, labels: DataFrame, mark: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, label, text) of at most `most` labelled documents of the training folds, staged.
 
-    A row is for training if crc32 of its id modulo 3 is not 1. The ids, at most `most` of two numbers each, are
+    A row is for training if crc32 of its id modulo 3 is not 1. Of rows that repeat an id the least text counts, null
+    as empty. The ids, at most `most` of two numbers each, are
     broadcast; the texts stay distributed.
     """
     ids = hash_sample(clean_labels(labels, mark, id_col).where(fold("doc_id", 3) != 1), "doc_id", most)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return stage(own.join(F.broadcast(stage(ids, "label-ids")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text"), "labelled")
+    met = own.join(F.broadcast(stage(ids, "label-ids")), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    return stage(met, "labelled")
 
 
 def fitted(spark: SparkSession, model):

@@ -5,102 +5,159 @@ the window's anchor, so equal windows have equal anchors, and neighbouring windo
 holds (anchor, document) in sorted immutable runs, one run a batch. A new batch is merge-joined with each run by
 anchor; documents that share an anchor are candidates, whose windows are then verified by a second hash over the
 windows' own bytes. Runs of one level are compacted into one of the next.
+
+Two windows count as equal if anchor and digest are, two independent 64-bit hashes (polynomials over other bytes'
+worths and other bases): windows that differ but share an
+anchor are taken for equal with a chance of 2^-64 a pair, so the expected number of errors is at most the number of
+pairs of windows under one anchor, over 2^64.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_id, map_pandas, raw_text, release, stage, table
-from .words import gram_hashes, pieces, sliding_min, spans, word_hashes
+from .common import long_id, map_arrow, map_pandas, raw_text, release, remove, shared_dir, stage, table
+from .words import gram_hashes, sliding_min, text_word_hashes
 
 WINDOW, GROUP = 13, 6
 #: Documents of one anchor from which on its windows meet by aggregation and join instead of by sorted groups.
 HOT = 5_000
 
 
-def window_anchors(raws: list[bytes], window: int, group: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, anchors) for each text with a window: the anchor of the window at each word."""
-    for at, to in pieces(raws):
-        buf, starts, ends, first = spans(raws[at:to])
-        if len(starts) < window:
-            continue
-        grams = gram_hashes(word_hashes(buf, starts, ends), group)
-        least = sliding_min(grams, window - group + 1)
-        for i in range(to - at):
-            a, b = first[i], first[i + 1]
-            if b - a >= window:
-                yield at + i, least[a : b - window + 1]
+def window_anchors(hashes: np.ndarray, window: int, group: int) -> np.ndarray:
+    """The anchor of the window at each word but the last ones."""
+    return sliding_min(gram_hashes(hashes, group), window - group + 1)
+
+
+def whole_windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word) of each window that lies in one text, in order; first: as text_word_hashes() has it."""
+    n = np.maximum(first[1:] - first[:-1] - window + 1, 0)
+    text = np.repeat(np.arange(len(n)), n)
+    return text, np.arange(len(text)) + np.repeat(first[:-1] - np.cumsum(n) + n, n)
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(anchor, doc_id), once for each anchor of a document. docs: (doc_id, raw)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            ids, held, of = part["doc_id"].to_numpy(), [], []
-            for i, least in window_anchors(list(part["raw"]), window, group):
-                own = np.unique(least[np.concatenate([[True], least[1:] != least[:-1]])])
-                held.append(own)
-                of.append(np.full(len(own), ids[i], np.int64))
-            if held:
-                yield pd.DataFrame({"anchor": np.concatenate(held).view(np.int64), "doc_id": np.concatenate(of)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for at, to, first, (hashes,) in text_word_hashes(batch.column("raw").to_pylist()):
+                text, word = whole_windows(first, window)
+                if len(text):
+                    least = window_anchors(hashes, window, group)[word]
+                    # neighbours mostly share theirs
+                    turn = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+                    text, least = text[turn], least[turn]
+                    order = np.lexsort((least, text))
+                    text, least = text[order], least[order]
+                    once = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(least[once].view(np.int64)), pa.array(ids[at:to][text[once]])], ["anchor", "doc_id"])
 
-    return map_pandas(docs, run, "anchor long, doc_id long")
+    return map_arrow(docs, run, "anchor long, doc_id long")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, doc_id), as tables bucketed and sorted by anchor.
+    """Sorted immutable runs of (anchor, doc_id) under a folder, each bucketed and sorted by anchor.
 
-    A run is (level, table). add() writes a run for a batch and returns the candidates that it makes with itself and
-    with all runs; where `fanout` runs have one level, they are merged into one run of the next. Tables lie in the
-    warehouse, which driver and executors share; equal buckets meet without a shuffle.
+    add() writes a run for a batch and returns the candidates that it makes with itself and with all runs; where
+    `fanout` runs have one level, compact() merges them into one run of the next. Equal buckets meet without a
+    shuffle. A manifest in the folder, a version of rows (version, level, name, window, group, buckets) at a time,
+    says which runs there are: a run counts from when its version is written, so a job that is lost half way leaves
+    the index as it was, and open() by another job goes on with it. The folder has to be one that all machines share.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, group: int = GROUP, fanout: int = 4, buckets: int | None = None):
+    MANIFEST = "version long, level int, name string, window int, words_in_group int, buckets int"
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, group: int = GROUP, fanout: int = 2, buckets: int | None = None, path: str | None = None):
         self.spark, self.window, self.group, self.fanout = spark, window, group, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = []
+        self.path = path or f"{shared_dir(spark)}/cellweave/index-{uuid.uuid4().hex}"
+        self.version, self.runs = 0, []  # (level, name)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, fanout: int = 2) -> FingerprintIndex:
+        """The index that an earlier job left in the folder, as its last version has it."""
+        rows = spark.read.schema(FingerprintIndex.MANIFEST).json(f"{path}/manifest").collect()  # a row a run and version
+        last = [r for r in rows if r.version == max(r.version for r in rows)]
+        if not last:
+            raise ValueError(f"no index in {path}")
+        index = FingerprintIndex(spark, last[0].window, last[0].words_in_group, fanout, last[0].buckets, path)
+        index.version, index.runs = last[0].version, [(r.level, r.name) for r in last if r.name]
+        for _, name in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {index.buckets} BUCKETS LOCATION '{path}/{name}'")
+        return index
 
     def _write(self, rows: DataFrame) -> str:
         name = f"cellweave_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _commit(self, runs: list[tuple[int, str]]) -> None:
+        """runs are the index from here on; runs that went are deleted."""
+        gone = {name for _, name in self.runs} - {name for _, name in runs}
+        self.version, self.runs = self.version + 1, runs
+        rows = [(self.version, level, name, self.window, self.group, self.buckets) for level, name in runs or [(0, None)]]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        for name in gone:
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, f"{self.path}/{name}")
+
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc_id, anchor, n) of each document, old or new, that shares an anchor with another one of the batch or
         with a historical one; pairs among historical documents came with earlier batches. n: the anchor's documents
         in that document's run. docs: (doc_id, raw)."""
-        new = self.spark.table(name := self._write(anchors(docs, self.window, self.group)))
+        found = anchors(docs, self.window, self.group).repartition(self.buckets, "anchor")
+        new = self.spark.table(name := self._write(found))
+        del found
         release(self.spark)  # no frame holds the run's shuffle any more
-        count = lambda run: run.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id") != F.max("doc_id")).alias("many"))
-        out = new.join(count(new).where("many"), "anchor").select("doc_id", "anchor", "n")
-        for _, run in self.runs:
-            old = self.spark.table(run)
-            for here, there in ((new, old), (old, new)):
-                out = out.union(here.join(there, "anchor", "left_semi").join(count(here), "anchor").select("doc_id", "anchor", "n"))
-        self.runs.append((0, name))
-        return stage(out, "candidates")
+        count = lambda run, n: run.groupBy("anchor").agg(F.count(F.lit(1)).alias(n), (F.min("doc_id") != F.max("doc_id")).alias(f"many_{n}"))
+        ours, out = count(new, "n"), None
+        near = F.col("many_n")
+        for i, (_, run) in enumerate(self.runs):
+            old, theirs = self.spark.table(run), count(self.spark.table(run), f"n{i}")
+            met = old.join(theirs.join(count(new, "n"), "anchor", "left_semi"), "anchor").select("doc_id", "anchor", F.col(f"n{i}").alias("n"))
+            out = met if out is None else out.union(met)
+            ours, near = ours.join(theirs, "anchor", "left"), near | F.col(f"n{i}").isNotNull()
+        met = new.join(ours.where(near), "anchor").select("doc_id", "anchor", "n")
+        out = met if out is None else out.union(met)
+        out = stage(out.repartition("doc_id"), "candidates")  # few files of some size, not a small one a bucket
+        self._commit([*self.runs, (0, name)])
+        return out
 
     def compact(self) -> None:
         """Merge runs while a level holds `fanout` of them."""
         while levels := [k for k in {k for k, _ in self.runs} if sum(x == k for x, _ in self.runs) >= self.fanout]:
             level = min(levels)
-            old = [t for k, t in self.runs if k == level]
-            rows = self.spark.table(old[0])
-            for t in old[1:]:
-                rows = rows.union(self.spark.table(t))
-            self.runs = [(k, t) for k, t in self.runs if k != level] + [(level + 1, self._write(rows.distinct()))]
-            for t in old:
-                self.spark.sql(f"DROP TABLE {t}")
+            rows = None
+            for k, name in self.runs:
+                if k == level:
+                    rows = self.spark.table(name) if rows is None else rows.union(self.spark.table(name))
+            merged = self._write(rows.repartition(self.buckets, "anchor"))
+            release(self.spark)
+            self._commit([*(x for x in self.runs if x[0] != level), (level + 1, merged)])
+
+    def close(self) -> None:
+        """Forget the tables of this session; the folder stays for open()."""
+        for _, name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def remove(self) -> None:
+        """Delete the index."""
+        self.close()
+        remove(self.spark, self.path)
 
 
 def candidate_lists(candidates: DataFrame, runs: int) -> DataFrame:
@@ -113,53 +170,71 @@ def candidate_lists(candidates: DataFrame, runs: int) -> DataFrame:
     return known.groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("is_hot").isNotNull() == flag, F.col("anchor"))).alias(name) for name, flag in (("usual", False), ("hot", True))))
 
 
+def _packed(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """A binary array: runs of values that begin at heads, each as its bytes."""
+    ends = np.append(heads, len(values)).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(number of values of each row, values)"""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(held[int(ends[0]) : int(ends[-1])], kind) if held is not None and ends[-1] > ends[0] else np.zeros(0, kind)
+    return np.diff(ends) // size, values
+
+
 def candidate_windows(docs: DataFrame, lists: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(anchor, doc_id, at, digests) for each stretch of windows with one anchor that is in the document's list.
 
-    digests: 8 bytes a window, XXH3 of its words joined by a space. lists: (doc_id, shared).
+    digests: 8 bytes a window, a hash of its words that is independent of the anchor's. lists: (doc_id, shared).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["anchor", "doc_id", "at", "digests"]
-        for part in batches:
-            rows: list[tuple] = []
-            ids, shared, raws = part["doc_id"].to_numpy(), part["shared"], list(part["raw"])
-            for i, least in window_anchors(raws, window, group):
-                near = np.isin(least.view(np.int64), np.asarray(shared.iloc[i], np.int64))
-                starts = np.flatnonzero(near & np.concatenate([[True], (least[1:] != least[:-1]) | ~near[:-1]]))
-                if not len(starts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, shared = batch.column("doc_id").to_numpy(), batch.column("shared")
+            wanted, ends = shared.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(shared).to_numpy())])
+            for at, to, first, (hashes, others) in text_word_hashes(batch.column("raw").to_pylist(), keys=(0, 1)):
+                text, word = whole_windows(first, window)
+                if not len(text):
+                    continue
+                least = window_anchors(hashes, window, group).view(np.int64)[word]
+                own = wanted[ends[at] : ends[to]]
+                # (text, anchor) as one number each: the anchor's place among those of these texts
+                names = np.unique(own)
+                place = np.searchsorted(names, least)
+                known = np.minimum(place, len(names) - 1)
+                pairs = np.unique(np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])) * len(names) + np.searchsorted(names, own))
+                asked = text * len(names) + known
+                found = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+                near = np.flatnonzero((names[known] == least) & (pairs[found] == asked))
+                if not len(near):
                     continue
-                stops = np.flatnonzero(near & np.concatenate([(least[1:] != least[:-1]) | ~near[1:], [True]])) + 1
-                words = raws[i].split()
-                heads = [0, *np.cumsum([len(w) + 1 for w in words]).tolist()]
-                joined = b" ".join(words)
-                for a, b, anchor in zip(starts.tolist(), stops.tolist(), least.view(np.int64)[starts].tolist()):
-                    rows.append((anchor, ids[i], a, b"".join([xxhash.xxh3_64_digest(joined[heads[k] : heads[k + window] - 1]) for k in range(a, b)])))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
-    return map_pandas(docs.join(lists, "doc_id"), run, "anchor long, doc_id long, at int, digests binary")
-
-
-def _later(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, digests: list[bytes]) -> pd.DataFrame:
+                text, word, least = text[near], word[near], least[near]
+                digests = gram_hashes(others, window, 1)[word]
+                heads = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1] + 1) | (text[1:] != text[:-1]) | (least[1:] != least[:-1])]))
+                places = (word - first[text])[heads].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(least[heads]), pa.array(ids[at:to][text[heads]]), pa.array(places), _packed(digests, heads)], ["anchor", "doc_id", "at", "digests"])
+
+    return map_arrow(docs.join(lists, "doc_id"), run, "anchor long, doc_id long, at int, digests binary")
+
+
+def _later(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray, digest: np.ndarray) -> pa.RecordBatch:
     """(doc_id, starts) of the windows that a smaller document of the same anchor has too."""
-    count = np.array([len(d) // 8 for d in digests])
-    digest = np.frombuffer(b"".join(digests), np.uint64)
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + at[row]
     order = np.lexsort((doc[row], digest, anchor[row]))
     a, g, d = anchor[row][order], digest[order], doc[row][order]
-    head = np.concatenate([[True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])])
+    head = np.concatenate([[True], (a[1:] != a[:-1]) | (g[1:] != g[:-1])])[: len(a)]
     low = d[head][np.cumsum(head) - 1]
     late = d > low
     d, p = d[late], place[order][late].astype(np.int32)
     order = np.argsort(d, kind="stable")
     d, p = d[order], p[order]
-    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.array([], int)
-    return pd.DataFrame({"doc_id": d[cut], "starts": [x.tobytes() for x in np.split(p, cut[1:])] if len(d) else []})
+    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])[: len(d)])
+    return pa.RecordBatch.from_arrays([pa.array(d[cut]), _packed(p, cut)], ["doc_id", "starts"])
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
@@ -168,33 +243,44 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
     Windows meet by anchor, sorted, and go through memory one group at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for part in batches:
-            held.append(part)
-            last = part["anchor"].iloc[-1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy() for c in ("anchor", "doc_id", "at")] + list(_unpacked(batch.column("digests"), np.uint64)))
+            last = held[-1][0][-1]
             # groups are many and small: take up some rows before a pass over them; the last group may go on
-            if sum(map(len, held)) >= 20_000 and held[0]["anchor"].iloc[0] != last:
-                rows = pd.concat(held)
-                full = (rows["anchor"] != last).to_numpy()
-                yield _later(*(rows[c].to_numpy()[full] for c in ("anchor", "doc_id", "at")), list(rows["digests"][full]))
-                held = [rows[~full]]
+            if sum(len(x[0]) for x in held) >= 20_000 and held[0][0][0] != last:
+                parts = [np.concatenate(x) for x in zip(*held)]
+                full = int(np.argmax(parts[0] == last))
+                n = int(parts[3][:full].sum())
+                yield _later(*(x[:full] for x in parts[:4]), parts[4][:n])
+                held = [[x[full:] for x in parts[:4]] + [parts[4][n:]]]
         if held:
-            rows = pd.concat(held)
-            yield _later(*(rows[c].to_numpy() for c in ("anchor", "doc_id", "at")), list(rows["digests"]))
+            yield _later(*(np.concatenate(x) for x in zip(*held)))
 
-    return map_pandas(windows.repartition("anchor").sortWithinPartitions("anchor"), run, "doc_id long, starts binary")
+    return map_arrow(windows.repartition("anchor").sortWithinPartitions("anchor"), run, "doc_id long, starts binary")
 
 
 def repeated_hot_windows(windows: DataFrame) -> DataFrame:
-    """The same for hot anchors: an aggregation, partial before its shuffle, and a join that AQE can split."""
+    """The same for hot anchors. Documents that share a passage mostly share whole stretches, so equal stretches are
+    aggregated first, partly before the shuffle; windows meet by aggregation and join among distinct stretches; and
+    each document's stretch then gets its windows' smallest documents by a join that AQE can split."""
+    windows, key = stage(windows, "hot-windows"), ["anchor", "digests"]
     at = F.sequence(F.lit(0), (F.length("digests") / 8).cast("int") - 1)
-    each = windows.select("anchor", "doc_id", "at", "digests", F.explode(at).alias("k")).select("anchor", F.substring(F.col("digests"), F.col("k") * 8 + 1, F.lit(8)).alias("digest"), "doc_id", (F.col("at") + F.col("k")).alias("place"))
-    low = each.groupBy("anchor", "digest").agg(F.min("doc_id").alias("low"))
-    # little-endian, as the other path has it
-    little = F.reverse(F.lpad(F.hex("place"), 8, "0"))
-    swapped = F.concat(*(F.substring(little, i + 1, 1) for i in (1, 0, 3, 2, 5, 4, 7, 6)))
-    return each.join(low, ["anchor", "digest"]).where("doc_id > low").select("doc_id", F.unhex(swapped).alias("starts"))
+    distinct = windows.groupBy(*key).agg(F.min("doc_id").alias("low"))
+    each = distinct.select(*key, "low", F.explode(at).alias("k")).withColumn("digest", F.substring(F.col("digests"), F.col("k") * 8 + 1, F.lit(8)))
+    least = each.groupBy("anchor", "digest").agg(F.min("low").alias("least"))
+    lows = each.join(least, ["anchor", "digest"]).groupBy(*key).agg(F.collect_list(F.struct("k", "least")).alias("lows"))
+
+    def little(n):  # four bytes, the lowest first, as the other path has them
+        h = F.lpad(F.hex(n), 8, "0")
+        return F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
+
+    late = F.filter("lows", lambda x: F.col("doc_id") > x["least"])
+    starts = F.unhex(F.array_join(F.transform("late", lambda x: little(F.col("at") + x["k"])), ""))
+    return windows.join(lows, key).select("doc_id", "at", late.alias("late")).where(F.size("late") > 0).select("doc_id", starts.alias("starts"))
 
 
 def _apply(raw: bytes, starts, window: int) -> tuple[int, int, bytes]:
@@ -207,38 +293,46 @@ def _apply(raw: bytes, starts, window: int) -> tuple[int, int, bytes]:
     np.add.at(gone, p, 1)
     np.add.at(gone, p + window, -1)
     keep = np.cumsum(gone[:-1]) == 0
-    return len(words), int((~keep).sum()), b" ".join([w for w, k in zip(words, keep.tolist()) if k])
+    return len(words), int((~keep).sum()), b" ".join(compress(words, keep.tolist()))
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, batches: int = 3, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of docs; kept: the remaining words joined by one space.
 
     A word goes if a window covers it whose words also start in a document with a smaller id. docs are fed to the
-    index in `batches` ascending ranges of ids. To go on with an index from earlier calls, give it and the earlier
-    documents as `history` (all their ids smaller; their words are sources only). Fewer words than a window, or null
-    or empty text: nothing goes (kept is empty where there are no words). Null id: the row stays as it is and is no
-    source. Rows that repeat an id are one document's: each keeps what no smaller id has. Extra columns are ignored.
+    index in `batches` ascending ranges of ids, of about as many rows each. To go on with an index from earlier calls,
+    give it and the earlier documents as `history` (all their ids smaller; their words are sources only). Without one,
+    the index is deleted once the candidates are known.
+
+    Fewer words than a window, or null or empty text: nothing goes (kept is empty where there are no words). Null id:
+    the row stays as it is and is no source. Rows that repeat an id are one document's: each keeps what no smaller id
+    has. Any long is an id. Extra columns are ignored. Memory: batches of texts, and for the longest text some ten
+    bytes a byte.
     """
     spark = docs.sparkSession
     rows = raw_text(docs, text_col, long_id(docs, id_col))
-    index = index or FingerprintIndex(spark, window, group)
+    own, index = index is None, index or FingerprintIndex(spark, window, group)
     known = rows.where("doc_id is not null")
-    low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-    candidates = None
-    if low is not None:
-        cuts = [low + (high + 1 - low) * i // batches for i in range(batches)] + [high + 1]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                more = index.add(known.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
-                index.compact()
-                candidates = more if candidates is None else candidates.union(more)
+    inner = [i / batches for i in range(1, batches)]
+    n_known, cuts = known.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", inner or [0.5], 10_000)).first()
+    # every batch but the first holds the ids above a cut, and every batch but the last those up to one
+    cuts = sorted(set(cuts or [])) if inner else []
+    candidates, parts = None, len(index.runs)
+    for low, high in zip([None, *cuts], [*cuts, None]) if n_known else ():
+        part = known if low is None else known.where(F.col("doc_id") > low)
+        more = index.add(part if high is None else part.where(F.col("doc_id") <= high))
+        index.compact()
+        candidates = more if candidates is None else candidates.union(more)
+    parts += len(cuts) + 1
+    if own:
+        index.remove()
     if candidates is None:
         starts = spark.createDataFrame([], "doc_id long, starts binary")
     else:
         texts = known if history is None else known.union(raw_text(history, text_col, long_id(history, id_col)))
-        lists = stage(candidate_lists(candidates, len(index.runs)), "candidate-lists")
-        own, hot = (candidate_windows(texts, lists.where(F.size(x) > 0).select("doc_id", F.col(x).alias("shared")), window, group) for x in ("usual", "hot"))
-        starts = repeated_windows(own).union(repeated_hot_windows(hot))
+        lists = stage(candidate_lists(candidates, parts), "candidate-lists")
+        usual, hot = (candidate_windows(texts, lists.where(F.size(x) > 0).select("doc_id", F.col(x).alias("shared")), window, group) for x in ("usual", "hot"))
+        starts = repeated_windows(usual).union(repeated_hot_windows(hot))
     covers = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,24 +44,70 @@ def spans(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return buf, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes: a polynomial modulo 2^64, mixed with the length."""
-    powers = np.full(len(buf) + 1, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
-    inverse = np.full(len(buf) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+#: Two hash functions of words: the worth of each byte, and a base (odd).
+_draws = np.random.default_rng(42).integers(0, 1 << 64, 257, np.uint64)
+_KEYS = ((np.arange(1, 257, dtype=np.uint64), _BASE), (_draws[:256], _draws[256] | np.uint64(1)))
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _powers_of(key: int, inverse: bool, n: int) -> np.ndarray:
+    """1, b, b^2, ... of a base or its inverse modulo 2^64, n at least; kept between calls up to a megabyte's worth."""
+    held = _powers.get((key, inverse))
+    if held is None or len(held) < n:
+        base = int(_KEYS[key][1])
+        held = np.full(max(n, 1 << 12), np.uint64(pow(base, -1, 1 << 64) if inverse else base), np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= 1 << 20:
+            _powers[key, inverse] = held
+    return held
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A hash of each word's bytes: a polynomial modulo 2^64, mixed with the length. key: which of two functions."""
+    worth = _KEYS[key][0][buf]
+    worth *= _powers_of(key, False, len(buf))[: len(buf)]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(worth, out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers_of(key, True, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+def cut_points(raw: bytes, limit: int) -> list[int]:
+    """Where to part a text into pieces of about `limit` bytes without parting a word; a longer word is one piece."""
+    cuts, at = [0], 0
+    while len(raw) - at > limit:
+        near = np.flatnonzero(SPACE[np.frombuffer(raw, np.uint8, limit, at)])
+        step = int(near[-1]) + 1 if len(near) else limit
+        while not len(near) and at + step < len(raw):
+            near = np.flatnonzero(SPACE[np.frombuffer(raw, np.uint8, min(limit, len(raw) - at - step), at + step)])
+            step += int(near[0]) + 1 if len(near) else min(limit, len(raw) - at - step)
+        at += step
+        cuts.append(at)
+    return [*cuts, len(raw)] if cuts[-1] < len(raw) or not raw else cuts
+
+
+def text_word_hashes(raws: list[bytes], keys: tuple[int, ...] = (0,), limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
+    """(from, to, first, hashes) for ranges of texts: for each text the number of its first word, with the number of
+    all at the end, and for each key the words' hashes. Some 50 bytes of memory a byte go to `limit` bytes at a time,
+    or to one longer word; a longer text costs 8 bytes a word and key besides."""
+    for at, to in pieces(raws, limit):
+        if to - at == 1 and len(raws[at]) > limit:
+            cuts = cut_points(raws[at], limit)
+            parts = [[word_hashes(*own[:3], k) for k in keys] for a, b in zip(cuts, cuts[1:]) for own in (spans([raws[at][a:b]]),)]
+            hashes = [np.concatenate(x) for x in zip(*parts)]
+            yield at, to, np.array([0, len(hashes[0])]), hashes
+        else:
+            buf, starts, ends, first = spans(raws[at:to])
+            yield at, to, first, [word_hashes(buf, starts, ends, k) for k in keys]
+
+
+def gram_hashes(words: np.ndarray, n: int, key: int = 0) -> np.ndarray:
     """A hash of each n consecutive values (of len(words) - n + 1 places)."""
     m = max(0, len(words) - n + 1)
     out = np.zeros(m, np.uint64)
     for j in range(n):
-        out = out * _BASE + words[j : j + m]
+        out *= _KEYS[key][1]
+        out += words[j : j + m]
     return mix(out)
 
 

@@ -1,12 +1,12 @@
+import hashlib
 import random
 import re
 
-from cellweave.llm import substrings
+from cellweave.llm import substrings, words
 from cellweave.llm.substrings import FingerprintIndex, dedup_passages
 
 
 def slow(rows, history=()):
-    words = {}
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
     first = {}
     for d, t in [*history, *rows]:
@@ -64,6 +64,60 @@ def test_index_goes_on_and_compacts(spark):
         assert result(dedup_passages(docs, batches=1, index=index, history=history)) == slow(part, done)
         done += part
     assert len(index.runs) == 1 and index.runs[0][0] == 2
+    index.remove()
+
+
+def test_an_index_is_opened_again_and_goes_on(spark, tmp_path):
+    rows, path = sorted(texts(4, 60)), f"file://{tmp_path}/index"
+    table = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    first = FingerprintIndex(spark, path=path)
+    assert result(dedup_passages(table(rows[:30]), batches=2, index=first)) == slow(rows[:30])
+    assert [level for level, _ in first.runs] == [1]
+    first.close()
+    again = FingerprintIndex.open(spark, path)
+    assert (again.version, again.runs, again.buckets, again.window) == (first.version, first.runs, first.buckets, 13)
+    assert result(dedup_passages(table(rows[30:]), batches=1, index=again, history=table(rows[:30]))) == slow(rows[30:], rows[:30])
+    again.remove()
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_run_that_no_manifest_names_does_not_count(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = FingerprintIndex(spark, path=path)
+    index.add(spark.createDataFrame([(1, b"a " * 20)], "doc_id long, raw binary"))
+    lost = index._write(spark.createDataFrame([(1, 2)], "anchor long, doc_id long"))  # as by a job that ends here
+    assert lost not in [name for _, name in FingerprintIndex.open(spark, path).runs]
+
+
+def test_the_query_compacts_and_leaves_no_table(spark, monkeypatch, tmp_path):
+    rows, merged = texts(5), []
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    compact = FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (compact(self), merged.append([k for k, _ in self.runs])))
+    before = {t.name for t in spark.catalog.listTables()}
+    found = substrings.op7_substring_dedup(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(map(tuple, found.collect())) == [(d, n, r, sha(t)) for d, n, r, t in slow(rows)]
+    assert merged == [[0], [1], [1, 0]]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_any_long_is_an_id(spark):
+    words = " ".join(f"v{i}" for i in range(20))
+    rows = [(-(1 << 63), words), (0, words), ((1 << 63) - 1, words), (5, None)]
+    assert result(dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == slow(rows)
+
+
+def test_long_texts_are_hashed_in_pieces():
+    rng = random.Random(6)
+    raw = b" ".join(rng.choice((b"a", b"bc", b"x" * 900, b"\t \n")) * rng.randrange(1, 3) for _ in range(4000))
+    whole = next(words.text_word_hashes([raw], limit=1 << 30))[3][0]
+    for limit in (100, 1000, 5000):
+        (at, to, first, (hashes,)), = words.text_word_hashes([raw], limit=limit)
+        assert (at, to) == (0, 1) and first.tolist() == [0, len(raw.split())] and (hashes == whole).all()
+    each = list(words.text_word_hashes([b"", b"a b", b"c"], limit=2))
+    assert [x[:2] for x in each] == [(0, 2), (2, 3)] and [len(x[3][0]) for x in each] == [2, 1]
 
 
 def test_empty_table(spark):
