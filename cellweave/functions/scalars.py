@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Names in the languages of the tools, and characters outside them.
+IDENTIFIER, NO_IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*", "[^A-Za-z0-9_]"
+
+
 def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -48,7 +52,7 @@ def clamp(x: str | Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def identifier(name: str | Column) -> Column:
     """The name where it is an identifier, else '_' and the name with other characters replaced."""
-    return F.when(_col(name).rlike("^[A-Za-z_][A-Za-z0-9_]*$"), _col(name)).otherwise(F.concat(F.lit("_"), F.regexp_replace(_col(name), "[^A-Za-z0-9_]", "_")))
+    return F.when(_col(name).rlike(f"^{IDENTIFIER}$"), _col(name)).otherwise(F.concat(F.lit("_"), F.regexp_replace(_col(name), NO_IDENTIFIER, "_")))
 
 
 def local_state(automaton: str | Column, level: str | Column) -> Column:

@@ -38,33 +38,68 @@ def transient_mass(jumps: DataFrame, start: DataFrame, steps: int) -> DataFrame:
     return mass
 
 
-def absorption(edges: DataFrame, goals: DataFrame, absorbing: DataFrame | None = None, key: str = "string") -> DataFrame:
+def absorption(edges: DataFrame, goals: DataFrame, absorbing: DataFrame | None = None, key: str = "string", largest: int = 1_000_000, tolerance: float = 1e-9) -> DataFrame:
     """(model_id, node, prob, mean_time) for every node: the chance to reach a goal, and the expected time where that
     is certain.
 
     edges: (model_id, src, dst, rate); goals and absorbing: (model_id, node), where chains end. A node without edges
-    ends too. A chain is in one task, solved exactly; chains are many and small, and a batch of them is solved as one
-    stack of matrices. A single chain beyond memory is for absorption_by_joins().
+    ends too. A chain of up to `largest` edges is in one task: solved exactly, together with others as one stack of
+    matrices if it is small, and by sweeps over arrays beyond DENSE nodes. Larger chains go through rounds of joins,
+    to the tolerance. What does not settle is null.
     """
     ends = goals.select("model_id", "node", F.lit(True).alias("goal"))
     if absorbing is not None:
         ends = ends.union(absorbing.select("model_id", "node", F.lit(False)))
-    rows = merge_edges(edges).select("model_id", "src", "dst", "rate", F.lit(None).cast("boolean").alias("goal"))
+    merged = cut(merge_edges(edges).select("model_id", "src", "dst", "rate"))
+    large = cut(merged.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest).select("model_id"))
+    some = not large.isEmpty()
+    rows = merged.select("*", F.lit(None).cast("boolean").alias("goal"))
     rows = rows.union(ends.select("model_id", "node", F.lit(None).cast(dict(rows.dtypes)["dst"]), F.lit(None).cast("double"), "goal"))
+    if some:
+        rows = rows.join(large, "model_id", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # parts of chains of which more may come
         for part in batches:
-            rows = part if held is None else pd.concat([held, part])
-            last = (rows["model_id"] == rows["model_id"].iloc[-1]).to_numpy()
-            if not last.all():
-                yield _solve(rows[~last])
-            held = rows[last]
-        if held is not None:
-            yield _solve(held)
+            if not len(part):
+                continue
+            last = part["model_id"].iloc[-1]
+            full = (part["model_id"] != last).to_numpy()
+            if full.any():
+                yield _solve(pd.concat([*held, part[full]]))
+                held = [part[~full]]
+            elif held and held[-1]["model_id"].iloc[-1] != last:
+                yield _solve(pd.concat(held))
+                held = [part]
+            else:
+                held.append(part)
+        if held:
+            yield _solve(pd.concat(held))
 
     together = rows.repartition("model_id").sortWithinPartitions("model_id")
-    return together.mapInPandas(run, f"model_id {key}, node string, prob double, mean_time double")
+    out = together.mapInPandas(run, f"model_id {key}, node string, prob double, mean_time double")
+    if some:
+        mine = lambda df: df.join(large, "model_id", "left_semi")
+        out = out.union(_absorbed(mine(merged), mine(ends), tolerance))
+    return out
+
+
+def _absorbed(edges: DataFrame, ends: DataFrame, tolerance: float) -> DataFrame:
+    """absorption() by joins: edges that leave an end count for nothing."""
+    stop = cut(ends.groupBy("model_id", "node").agg(F.max("goal").alias("goal")))
+    go = cut(edges.join(stop.select("model_id", F.col("node").alias("src")), ["model_id", "src"], "left_anti"))
+    goals = stop.where("goal").select("model_id", "node")
+    prob = cut(absorption_by_joins(go, goals, tolerance))
+    nodes = edges.select("model_id", F.col("src").alias("node")).union(edges.select("model_id", "dst")).union(stop.select("model_id", "node")).distinct()
+    sure = cut(prob.where(F.col("prob") > 1 - 100 * tolerance).select("model_id", "node"))
+    time = hitting_times_by_joins(go.join(sure.withColumnRenamed("node", "src"), ["model_id", "src"], "left_semi"), goals, tolerance)
+    found = nodes.join(prob, ["model_id", "node"], "left").join(time, ["model_id", "node"], "left")
+    # an end that is also no goal is none, however often it is listed
+    return found.select("model_id", "node", F.coalesce("prob", F.lit(0.0)).alias("prob"), "mean_time")
+
+
+#: Nodes up to which a chain is one matrix; sweeps that a larger one may take.
+DENSE, SWEEPS = 3_000, 100_000
 
 
 #: Chains of at most so many nodes are solved together, as one stack of matrices.
@@ -106,7 +141,12 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     h, t = goal.astype(float), np.zeros(n)
     inner = free[src] & free[dst]
     a, b, w = src[inner], dst[inner], p[inner]
-    large = [np.array([c]) for c in np.flatnonzero(count > SMALL)]
+    for c in np.flatnonzero(count > DENSE):
+        here = np.flatnonzero(free & (of == c))
+        own = of[a] == c
+        x = _sweep(place[a[own]], place[b[own]], w[own], np.column_stack([into[here], tau[here]]))
+        h[here], t[here] = x[:, 0], x[:, 1]
+    large = [np.array([c]) for c in np.flatnonzero((count > SMALL) & (count <= DENSE))]
     for group in [np.flatnonzero((count > 0) & (count <= SMALL)), *large]:
         if not len(group):
             continue
@@ -125,6 +165,19 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"model_id": models.take(of), "node": names.take(nodes % k), "prob": h, "mean_time": np.where(sure, t, np.nan)})
 
 
+def _sweep(a: np.ndarray, b: np.ndarray, w: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x = right + W x, column by column; what still changes after SWEEPS is nan."""
+    x, n = right.copy(), len(right)
+    for _ in range(SWEEPS):
+        new = right + np.column_stack([np.bincount(a, w * x[b, k], n) for k in range(right.shape[1])])
+        # an infinite time never settles; it goes by where the chance is below 1
+        still = np.abs(new - x) <= 1e-13 * np.maximum(1.0, np.abs(new))
+        x = new
+        if still.all(axis=0)[0] and (still[:, 1] | (x[:, 0] < 1 - 1e-9)).all():
+            return x
+    return np.where(np.abs(right + np.column_stack([np.bincount(a, w * x[b, k], n) for k in range(right.shape[1])]) - x) <= 1e-9 * np.maximum(1.0, np.abs(x)), x, np.nan)
+
+
 def absorption_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 100_000, cut_every: int = 5) -> DataFrame:
     """(model_id, node, prob) by Jacobi rounds of one join and one aggregation: for a chain too large for one task.
 
@@ -144,3 +197,24 @@ def absorption_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1
                 return new
         now = new
     raise RuntimeError("probabilities did not settle")
+
+
+def hitting_times_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 100_000, cut_every: int = 5) -> DataFrame:
+    """(model_id, node, mean_time) by rounds of one join and one aggregation, for nodes that are sure to reach a goal
+    and whose successors all are; goals have 0. The tolerance is relative."""
+    ends = goals.select("model_id", F.col("node").alias("src"))
+    own = edges.join(ends, ["model_id", "src"], "left_anti")
+    jumps = cut(jump_chain(own).select("model_id", "src", "dst", "p"))
+    tau = cut(exit_rates(own).select("model_id", F.col("src").alias("node"), (1 / F.col("exit_rate")).alias("tau")))
+    target = cut(goals.select("model_id", "node", F.lit(0.0).alias("mean_time")).distinct())
+    now = cut(target.union(tau.select("model_id", "node", "tau")))
+    for i in range(max_rounds):
+        after = jumps.join(now, (jumps["model_id"] == now["model_id"]) & (jumps["dst"] == now["node"])).groupBy(jumps["model_id"], jumps["src"].alias("node")).agg(F.sum(F.col("p") * F.col("mean_time")).alias("later"))
+        new = target.union(tau.join(after, ["model_id", "node"], "left").select("model_id", "node", (F.col("tau") + F.coalesce("later", F.lit(0.0))).alias("mean_time")))
+        if i % cut_every == cut_every - 1:
+            new = cut(new)
+            gap = new.join(now.withColumnRenamed("mean_time", "_old"), ["model_id", "node"], "left").agg(F.max(F.abs(F.col("mean_time") - F.col("_old")) / F.greatest(F.lit(1.0), "mean_time"))).first()[0]
+            if (gap or 0.0) <= tolerance:
+                return new
+        now = new
+    raise RuntimeError("times did not settle")

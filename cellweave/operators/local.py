@@ -7,15 +7,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.frames import Models
+from ..plans.frames import Models, kernel
+from . import kernels, structure
 
-#: A set of local states is one 63-bit number; models with more local states take the kernel.
+#: A set of local states is one 63-bit number; models with more local states are answered by the kernel, one task each.
 BITS = 62
 
 
+def _large(models: Models) -> DataFrame:
+    """(model_id, text) of the models with more local states than BITS; the text is made from the frames."""
+    many = models.automata.groupBy("model_id").agg(F.sum("levels").alias("n")).where(F.col("n") > BITS).select("model_id")
+    pick = lambda df: df.join(many, "model_id", "left_semi")
+    return structure.with_texts(Models(pick(models.automata), pick(models.transitions), pick(models.initial), pick(models.models))).models.select("model_id", "text")
+
+
 def _masks(models: Models) -> tuple[DataFrame, DataFrame]:
     """(bits, rules): bits (model_id, automaton, level, bit); rules: per model n_bits, initial set, and moves as
-    (need, target) sets. Models with too many local states are left out."""
+    (need, target) sets. Models with too many local states are left out, for _large() to have them."""
     levels = models.automata.select("model_id", "automaton", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     order = W.partitionBy("model_id").orderBy("automaton", "level")
     bits = levels.withColumn("place", F.row_number().over(order) - 1).withColumn("n_bits", F.count(F.lit(1)).over(W.partitionBy("model_id"))).where(F.col("n_bits") <= BITS)
@@ -53,7 +61,21 @@ def may_reach(models: Models, blocked: DataFrame | None = None) -> DataFrame:
     else:
         variants = blocked.join(one, ["model_id", "automaton", "level"], "left").groupBy("model_id", "variant").agg(F.bit_or(F.coalesce("bit", F.lit(0).cast("long"))).alias("blocked"))
     found = variants.join(rules, "model_id").select("model_id", "variant", closed_set(F.col("init"), F.col("blocked")).alias("found"))
-    return found.join(one, "model_id").where("(found & bit) <> 0").select("model_id", "variant", "automaton", "level")
+    rows = found.join(one, "model_id").where("(found & bit) <> 0").select("model_id", "variant", "automaton", "level")
+    each = F.collect_list(F.struct("automaton", "level")).alias("blocked")
+    asked = _large(models).withColumn("variant", F.lit("")).withColumn("blocked", F.array().cast("array<struct<automaton:string,level:int>>")) if blocked is None else _large(models).join(blocked.groupBy("model_id", "variant").agg(each), "model_id")
+
+    def answer(net, q):
+        gone = frozenset((x["automaton"], int(x["level"])) for x in q["blocked"])
+        return [(q["model_id"], q["variant"], a, k) for a, k in sorted(kernels.may_reach(net, net.initial, gone))]
+
+    return rows.union(kernel(asked.select("variant", "model_id", "text", "blocked"), "model_id string, variant string, automaton string, level int", answer))
+
+
+def _over_large(models: Models, goals: DataFrame, column: str, answer) -> DataFrame:
+    """(query_id, column) of the goals in large models: the texts that answer(net, goal) gives."""
+    asked = goals.select("query_id", "model_id", "automaton", "level").join(_large(models), "model_id").select("query_id", "automaton", "level", "text")
+    return kernel(asked, f"query_id string, {column} string", lambda net, q: [(q["query_id"], x) for x in answer(net, (q["automaton"], int(q["level"])))])
 
 
 def single_cutsets(models: Models, goals: DataFrame) -> DataFrame:
@@ -64,7 +86,17 @@ def single_cutsets(models: Models, goals: DataFrame) -> DataFrame:
     each = g.join(rules, "model_id").join(one, "model_id").where("(init & bit) = 0 AND bit <> goal")
     cut = closed_set(F.col("init"), F.col("bit")).bitwiseAND(F.col("goal")) == 0
     reach = closed_set(F.col("init"), F.lit(0).cast("long")).bitwiseAND(F.col("goal")) != 0
-    return each.where(cut & reach).select("query_id", F.format_string("%s=%d", "automaton", "level").alias("member"))
+    rows = each.where(cut & reach).select("query_id", F.format_string("%s=%d", "automaton", "level").alias("member"))
+
+    def answer(net, goal):
+        if goal in kernels.may_reach(net, net.initial):
+            first = {(a, k) for a in net.automata for k in net.admitted(net.initial, a)}
+            for a in net.automata:
+                for own in ((a, k) for k in range(net.levels[a])):
+                    if own != goal and own not in first and goal not in kernels.may_reach(net, net.initial, frozenset((own,))):
+                        yield f"{own[0]}={own[1]}"
+
+    return rows.union(_over_large(models, goals, "member", answer))
 
 
 def disabling_mutations(models: Models, goals: DataFrame) -> DataFrame:
@@ -77,7 +109,16 @@ def disabling_mutations(models: Models, goals: DataFrame) -> DataFrame:
     start = F.col("init").bitwiseAND(F.bitwise_not(F.col("all"))).bitwiseOR(F.col("bit"))
     each = each.withColumn("frozen", F.filter("moves", lambda t: t["automaton"] != F.col("automaton")))
     gone = closed_set(start, F.lit(0).cast("long"), "frozen").bitwiseAND(F.col("goal")) == 0
-    return each.where(base & gone).select("query_id", F.format_string("%s=%d", "automaton", "level").alias("target"))
+    rows = each.where(base & gone).select("query_id", F.format_string("%s=%d", "automaton", "level").alias("target"))
+
+    def answer(net, goal):
+        if goal in kernels.may_reach(net, net.initial):
+            for a in net.automata:
+                for k in range(net.levels[a]):
+                    if goal not in kernels.may_reach(net.frozen(a, k), {**(net.initial or {}), a: frozenset((k,))}):
+                        yield f"{a}={k}"
+
+    return rows.union(_over_large(models, goals, "target", answer))
 
 
 def local_paths(models: Models, max_length: int = 64) -> DataFrame:

@@ -11,8 +11,10 @@ from ..plans.frames import Models, encode, fires, kernel, state_text
 from ..plans.staging import cut
 from . import diagrams, kernels
 
-#: Spaces beyond these sizes are not enumerated; results say so.
-FIXPOINT_CAP, TRAP_CAP, ATTRACTOR_CAP = 1_000_000, 1_000_000, 200_000
+#: Spaces of up to so many states are rows; larger ones are decision diagrams, one task a model.
+FIXPOINT_CAP, TRAP_CAP = 1_000_000, 1_000_000
+#: Of a larger space so many answers are listed, from diagrams of so many nodes; `truncated` says where that cut any.
+LISTED, NODES = 100_000, 2_000_000
 
 
 def all_states(spaces: DataFrame, cap: int = FIXPOINT_CAP) -> DataFrame:
@@ -57,47 +59,81 @@ def reachable(models: Models, absorb: DataFrame | None = None, max_rounds: int =
     raise RuntimeError("exploration did not end")
 
 
-def fixpoints(models: Models) -> DataFrame:
-    """(model_id, state): states of the whole space in which nothing fires, within the cap."""
+def _listed(models: Models, spaces: DataFrame, cap: int, column: str, most: int, answer) -> DataFrame:
+    """(model_id, column, truncated) for the models whose spaces (model_id, n_states) exceed the cap, or 2^62.
+
+    answer(net) gives a store of diagrams, a set in it, and the text of a member. A model whose diagrams outgrow NODES
+    has one row without a member, and so has one with none to list that is not sure to have none.
+    """
+    small = spaces.where(F.col("n_states") <= cap).select("model_id")
+    large = models.models.select("model_id", "text").join(small, "model_id", "left_anti")
+
+    def run(net, q):
+        try:
+            dd, found, text = answer(net)
+            own, more = diagrams.listed(dd, found, most)
+        except (MemoryError, RecursionError):
+            return [(q["model_id"], None, True)]
+        return [(q["model_id"], text(x), more) for x in own]
+
+    return kernel(large, f"model_id string, {column} string, truncated boolean", run)
+
+
+def fixpoints(models: Models, most: int = LISTED, cap: int = FIXPOINT_CAP) -> DataFrame:
+    """(model_id, state, truncated): states of the whole space in which nothing fires.
+
+    Up to `cap` states a model by an anti-join, beyond by decision diagrams, of which `most` are listed; truncated:
+    there are more. A null state with truncated: the model is beyond the diagrams too.
+    """
     spaces, transitions = encode(models)
-    states = all_states(spaces)
+    states = all_states(spaces, cap)
     t = transitions.select(F.col("model_id").alias("_m"), "guard")
     still = states.join(t, (F.col("model_id") == F.col("_m")) & fires("sid"), "left_anti")
-    return still.join(spaces, "model_id").select("model_id", state_text().alias("state"))
+    rows = still.join(spaces, "model_id").select("model_id", state_text().alias("state"), F.lit(False).alias("truncated"))
+
+    def answer(net):
+        dd = diagrams.Diagrams(net, NODES)
+        return dd, dd.fixpoints(), lambda x: ", ".join(f"{a}={k}" for a, k in zip(dd.names, x))
+
+    return rows.union(_listed(models, spaces, cap, "state", most, answer))
 
 
 def fixpoint_counts(models: Models) -> DataFrame:
     """(model_id, fixpoints): counted on states where those can be listed, by decision diagrams else."""
     spaces, _ = encode(models)
-    n = fixpoints(models).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+    small = spaces.where(F.col("n_states") <= FIXPOINT_CAP).select("model_id")
+    n = fixpoints(Models(models.automata, models.transitions, models.initial, models.models.join(small, "model_id", "left_semi"))).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
     every = models.models.select("model_id", "text").join(spaces.select("model_id", "n_states"), "model_id", "left").join(n, "model_id", "left")
     listed = F.coalesce(F.col("n_states") <= FIXPOINT_CAP, F.lit(False))
     large = kernel(every.where(~listed).select("model_id", "text"), "model_id string, fixpoints decimal(38,0)", lambda net, q: [(q["model_id"], _decimal(diagrams.fixpoint_count(net)))])
     return every.where(listed).select("model_id", F.coalesce("n", F.lit(0)).cast("decimal(38,0)").alias("fixpoints")).union(large)
 
 
-def trap_spaces(models: Models, minimal: bool = False) -> DataFrame:
-    """(model_id, space): partial assignments that no move can leave; minimal: none inside another's.
+def trap_spaces(models: Models, minimal: bool = False, most: int = LISTED, cap: int = TRAP_CAP) -> DataFrame:
+    """(model_id, space, truncated): partial assignments that no move can leave; minimal: none inside another's.
 
     A partial assignment is a number over levels + 1 digits, 0 for free. It is no trap where some transition leaves a
-    fixed level and no fixed level contradicts its conditions.
+    fixed level and no fixed level contradicts its conditions. Up to `cap` partial assignments a model are rows,
+    beyond they are decision diagrams, of which `most` members are listed; see fixpoints(). Minimal ones come from
+    diagrams at any size: traps are not compared with each other.
     """
+    cap = 0 if minimal else cap
     spaces, transitions = encode(models, extra=1)
-    states = all_states(spaces, TRAP_CAP)
+    states = all_states(spaces, cap)
     t = transitions.select(F.col("model_id").alias("_m"), "guard")
     digit = lambda g: F.pmod(F.call_function("div", F.col("sid"), g["stride"]), g["levels"] + 1)
     leaves = (digit(F.col("guard")[0]) == F.col("guard")[0]["lvl"] + 1) & F.forall(F.slice("guard", 2, F.greatest(F.size("guard") - 1, F.lit(1))), lambda g: (digit(g) == 0) | (digit(g) == g["lvl"] + 1))
     traps = states.join(t, (F.col("model_id") == F.col("_m")) & leaves, "left_anti").join(spaces, "model_id")
-    levels = F.transform("digits", lambda d: F.pmod(F.call_function("div", F.col("sid"), d["stride"]), d["levels"] + 1))
     fixed = F.filter(F.transform("digits", lambda d: F.struct(d["automaton"].alias("a"), (F.pmod(F.call_function("div", F.col("sid"), d["stride"]), d["levels"] + 1) - 1).alias("k"))), lambda x: x["k"] >= 0)
     text = F.array_join(F.transform(fixed, lambda x: F.concat_ws("=", x["a"], x["k"].cast("string"))), ", ")
-    found = traps.select("model_id", "sid", levels.alias("p"), text.alias("space"))
-    if minimal:
-        found = cut(found)
-        inner = found.select(F.col("model_id").alias("_m"), F.col("sid").alias("_s"), F.col("p").alias("_q"))
-        inside = F.forall(F.zip_with("p", "_q", lambda p, q: (p == 0) | (p == q)), lambda x: x)
-        found = found.join(inner, (F.col("model_id") == F.col("_m")) & (F.col("sid") != F.col("_s")) & inside, "left_anti")
-    return found.select("model_id", "space")
+    rows = traps.select("model_id", text.alias("space"), F.lit(False).alias("truncated"))
+
+    def answer(net):
+        dd = diagrams.Spaces(net, NODES)
+        found = dd.traps()
+        return dd, dd.minimal(found) if minimal else found, lambda x: ", ".join(f"{a}={k - 1}" for a, k in zip(dd.names, x) if k)
+
+    return rows.union(_listed(models, spaces, cap, "space", most, answer))
 
 
 def reachable_counts(models: Models, rounds: bool = False) -> DataFrame:

@@ -103,10 +103,13 @@ def components(edges: DataFrame, key: str = "model_id") -> DataFrame:
     return edges.select(key, "src", "dst").groupBy(key).applyInPandas(run, f"{key} string, comp string, nodes string")
 
 
-def circuits(signed: DataFrame, key: str = "model_id", max_length: int = 64) -> DataFrame:
-    """(key, nodes, sign): elementary cycles, from their smallest node; sign is the product of the edges' signs.
+def circuits(signed: DataFrame, key: str = "model_id", max_steps: int = 5_000_000) -> DataFrame:
+    """(key, nodes, sign, truncated): elementary cycles, from their smallest node; sign is the product of the edges'
+    signs.
 
-    Cycles over one set of nodes with one sign count once. signed: (key, src, dst, sign). One task a graph.
+    Cycles over one set of nodes with one sign count once. signed: (key, src, dst, sign). One task a graph. Cycles may
+    be exponentially many: after max_steps edges the search of a graph ends, and all its rows say truncated (one row
+    without nodes where it had found none).
     """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
@@ -114,22 +117,27 @@ def circuits(signed: DataFrame, key: str = "model_id", max_length: int = 64) ->
         for a, b, s in sorted(zip(own["src"], own["dst"], own["sign"])):
             after.setdefault(a, []).append((b, int(s)))
         found: dict[tuple, None] = {}
+        steps = 0
         for start in sorted(after):
             stack = [(start, (start,), 1)]
-            while stack:
+            while stack and steps < max_steps:
                 at, path, sign = stack.pop()
                 for b, s in after.get(at, ()):
+                    steps += 1
                     if b == start:
                         found[",".join(sorted(path)), sign * s] = None
-                    elif b > start and b not in path and len(path) < max_length:
+                    elif b > start and b not in path:
                         stack.append((b, (*path, b), sign * s))
-        return pd.DataFrame([(own[key].iloc[0], nodes, sign) for nodes, sign in sorted(found)], columns=[key, "nodes", "sign"])
+        cut_off = steps >= max_steps
+        rows = [(own[key].iloc[0], nodes, sign, cut_off) for nodes, sign in sorted(found)] or ([(own[key].iloc[0], None, None, True)] if cut_off else [])
+        return pd.DataFrame(rows, columns=[key, "nodes", "sign", "truncated"])
 
-    return signed.select(key, "src", "dst", "sign").groupBy(key).applyInPandas(run, f"{key} string, nodes string, sign int")
+    return signed.select(key, "src", "dst", "sign").groupBy(key).applyInPandas(run, f"{key} string, nodes string, sign int, truncated boolean")
 
 
 def feedback(circuits: DataFrame) -> DataFrame:
-    return circuits.groupBy("model_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("sign") == 1).alias("positive"), F.count_if(F.col("sign") == -1).alias("negative"))
+    """(model_id, total, positive, negative, truncated)"""
+    return circuits.groupBy("model_id").agg(F.count("nodes").alias("total"), F.count_if(F.col("sign") == 1).alias("positive"), F.count_if(F.col("sign") == -1).alias("negative"), F.bool_or("truncated").alias("truncated"))
 
 
 def stats(models: Models) -> DataFrame:
@@ -147,21 +155,36 @@ def stats(models: Models) -> DataFrame:
     return out.select("model_id", "automata", "local_states", "transitions", zero["edges"], density.alias("density"), zero["max_in_degree"], zero["max_out_degree"], zero["feedback_components"])
 
 
-def diff(left: Models, right: Models) -> DataFrame:
-    """(change, item): automata on one side, changed numbers of levels, transitions on one side. Rates do not count."""
-    a = left.automata.select("automaton", F.col("levels").alias("l"))
-    b = right.automata.select("automaton", F.col("levels").alias("r"))
-    both = a.join(b, "automaton", "full_outer")
-    lt, rt = (transition_texts(x).select("text").distinct() for x in (left, right))
+def diff_pairs(models: Models, pairs: DataFrame) -> DataFrame:
+    """(pair, change, item) for pairs (pair, l, r) of model ids: automata on one side, changed numbers of levels,
+    transitions on one side. Rates do not count, nor do repeated transitions."""
+
+    def side(df: DataFrame, which: str) -> DataFrame:
+        return df.join(pairs.select("pair", F.col(which).alias("model_id")), "model_id")
+
+    a = side(models.automata, "l").select("pair", "automaton", F.col("levels").alias("before"))
+    b = side(models.automata, "r").select("pair", "automaton", F.col("levels").alias("after"))
+    both = a.join(b, ["pair", "automaton"], "full_outer")
+    texts = transition_texts(models).select("model_id", "text").distinct()
+    lt, rt = (side(texts, which).select("pair", F.col("text").alias("item")) for which in ("l", "r"))
+    one = lambda x, y, change: x.join(y, ["pair", "item"], "left_anti").select("pair", F.lit(change).alias("change"), "item")
     return (
-        both.where("r IS NULL").select(F.lit("only_left").alias("change"), F.col("automaton").alias("item"))
-        .union(both.where("l IS NULL").select(F.lit("only_right"), "automaton"))
-        .union(both.where("l <> r").select(F.lit("levels"), F.format_string("%s: %d -> %d", "automaton", "l", "r")))
-        .union(rt.exceptAll(lt).select(F.lit("added"), "text"))
-        .union(lt.exceptAll(rt).select(F.lit("removed"), "text"))
+        both.where("after IS NULL").select("pair", F.lit("only_left").alias("change"), F.col("automaton").alias("item"))
+        .union(both.where("before IS NULL").select("pair", F.lit("only_right"), "automaton"))
+        .union(both.where("before <> after").select("pair", F.lit("levels"), F.format_string("%s: %d -> %d", "automaton", "before", "after")))
+        .union(one(rt, lt, "added"))
+        .union(one(lt, rt, "removed"))
     )
 
 
+def diff(left: Models, right: Models) -> DataFrame:
+    """(change, item) of two frames of one model each; as diff_pairs()."""
+    own = lambda df, name: df.withColumn("model_id", F.lit(name))
+    both = Models(*(own(getattr(left, x), "left").unionByName(own(getattr(right, x), "right")) for x in ("automata", "transitions", "initial", "models")))
+    pair = both.models.sparkSession.createDataFrame([(0, "left", "right")], "pair int, l string, r string")
+    return diff_pairs(both, pair).drop("pair")
+
+
 def validate(models: Models) -> DataFrame:
     """(model_id, severity, message): errors make a model unusable, warnings do not."""
     a, t = models.automata, models.transitions
@@ -219,14 +242,15 @@ def expand_phases(models: Models) -> Models:
 
 
 def assign_rates(models: Models, low: float | None = None, high: float | None = None, seed: int = 0) -> DataFrame:
-    """transitions with exponential laws: rate 1, or log-uniform between low and high, drawn from (seed, model, tid) by
-    hash, so the same on any partitioning."""
+    """transitions with exponential laws: rate 1, or log-uniform between low and high, drawn from the
+    MD5 of (seed, model, tid), so the same on any partitioning."""
     if low is None or high is None:
         rate = F.lit(1.0)
     else:
         if not 0 < low <= high:
             raise ValueError("0 < low <= high is needed")
-        u = F.pmod(F.xxhash64(F.lit(seed), "model_id", "tid"), F.lit(1 << 52)) / float(1 << 52)
+        key = F.concat_ws("|", F.lit(str(seed)), "model_id", F.col("tid").cast("string"))
+        u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
         rate = F.exp(F.log(F.lit(float(low))) + u * (F.log(F.lit(float(high))) - F.log(F.lit(float(low)))))
     return models.transitions.withColumn("rate", rate).withColumn("dist", F.struct(F.lit("exp").alias("kind"), F.lit(1).alias("phases"), F.array("rate").alias("rates")))
 
@@ -241,6 +265,12 @@ def render_anx(models: Models) -> DataFrame:
     return named.union(declared).union(moves).union(start.select("model_id", F.lit("3"), "text"))
 
 
+def with_texts(models: Models) -> Models:
+    """The models with texts made from their other frames, as kernels read them."""
+    lines = render_anx(models).groupBy("model_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return Models(models.automata, models.transitions, models.initial, cut(models.models.drop("text").join(lines, "model_id")))
+
+
 def semiring_step(edges: DataFrame, vector: DataFrame, kind: str) -> DataFrame:
     """(node, value): one matrix-vector product over a semiring. edges: (src, dst, w); vector: (node, value).
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import time
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import parse_context, parse_goal
-from ..operators import diagrams, kernels, structure
+from ..model import Network, parse_context, parse_goal
+from ..operators import diagrams, kernels, states, structure
+from ..sources import tools
+from ..sources.text import READERS
 from .frames import Models, kernel
 
 
@@ -115,26 +119,67 @@ def compare(models: Models, goals: list[str], start: str | None = None) -> DataF
 
 
 def causality_graph(models: Models, goals: list[str], start: str | None = None) -> DataFrame:
-    """A row a solution: its objective, moves, required local states and own delay."""
+    """A row a solution: its objective, moves, required local states and own delay. truncated: the objective has more
+    solutions than are listed. An objective without a solution, which can't be met, has one row with solution -1."""
 
     def answer(net, ctx, g, m, t):
         for (a, k), found in kernels.causality(net, ctx, g).items():
             for number, (source, path) in enumerate(found):
-                yield m, t, f"{a}={k}", number, source, [x.text() for x in path], sorted({f"{b}={v}" for x in path for b, v in x.conditions}), sum(x.law.mean for x in path)
+                yield m, t, f"{a}={k}", number, source, [x.text() for x in path], sorted({f"{b}={v}" for x in path for b, v in x.conditions}), sum(x.law.mean for x in path), found.truncated
+            if not found:
+                yield m, t, f"{a}={k}", -1, None, [], [], None, found.truncated
 
-    return ask(models, goals, "model_id string, goal string, objective string, solution int, source int, moves array<string>, requires array<string>, delay double", answer, start)
+    return ask(models, goals, "model_id string, goal string, objective string, solution int, source int, moves array<string>, requires array<string>, delay double, truncated boolean", answer, start)
 
 
-def validation_report(models: Models, goals: list[str], start: str | None = None, k: int = 64) -> DataFrame:
-    """Lower bound, exact value, and how they compare, with the critical path and the time of the likeliest run."""
+def validation_report(models: Models, goals: list[str], start: str | None = None, k: int = 64, hitting: DataFrame | None = None) -> DataFrame:
+    """Lower bound, exact value, and how they compare, with the critical path and the time of the likeliest run.
+
+    hitting: (model_id, goal, q25, active), what a simulator says: the time by which a quarter of its runs are there,
+    and the automata that got active; as hitting_times() gives it. delay_gap: q25 less the critical path;
+    scenario_overlap: the likeness of active and the automata of the witness run; oracle: 'maboss' or 'none'.
+    """
 
     def answer(net, ctx, g, m, t):
         wide = net.expanded()
-        low, solved = kernels.anytime_bound(net, ctx, g, k), kernels.ctmc(wide, ctx, g)
-        best = kernels.top_scenarios(net, ctx, g, 1)
-        return [(m, t, low, solved and solved[0], kernels.earliest_delay(wide, ctx, g), best[0][1] if best else None)]
+        low, solved = kernels.anytime_bound(net, ctx, g, k), kernels.exact_probability(wide, ctx, g)
+        best, run = kernels.top_scenarios(net, ctx, g, 1), kernels.witness(net, ctx, g)
+        return [(m, t, low, solved and solved[0], kernels.earliest_delay(wide, ctx, g), best[0][1] if best else None, sorted({x.automaton for x in run[1]}) if run else [])]
+
+    found = ask(models, goals, "model_id string, goal string, binf double, exact double, t_delay double, best_delay double, moved array<string>", answer, start)
+    found = bound_metrics(found, "binf", "exact")
+    if hitting is None:
+        return found.drop("moved").select("*", F.lit(None).cast("double").alias("delay_gap"), F.lit(None).cast("double").alias("scenario_overlap"), F.lit("none").alias("oracle"))
+    known = found.join(hitting.select("model_id", "goal", "q25", "active"), ["model_id", "goal"], "left")
+    overlap = F.when(F.col("active").isNotNull(), jaccard("moved", "active"))
+    return known.withColumns({"delay_gap": F.col("q25") - F.col("t_delay"), "scenario_overlap": overlap, "oracle": F.when(F.col("active").isNull(), "none").otherwise("maboss")}).drop("moved", "q25", "active")
+
 
-    return bound_metrics(ask(models, goals, "model_id string, goal string, binf double, exact double, t_delay double, best_delay double", answer, start), "binf", "exact")
+#: Levels of hitting times that are reported.
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+def hitting_times(texts: DataFrame, goals: list[str], samples: int | None = None, max_time: float | None = None, program: str = "MaBoSS") -> DataFrame:
+    """(model_id, goal, prob, quantiles, q25, active): what the simulator, where it is installed on the executors,
+    says of MaBoSS models (model_id, text, extra) with extra the parameters. One task a model and goal.
+
+    prob: the chance that the goal's node is active at the end; quantiles: by level the first time at which it is
+    active with that chance; active: nodes that are so with a chance of a half at some time. No rows without it.
+    """
+    spark = texts.sparkSession
+    asked = texts.select("model_id", "text", "extra").join(F.broadcast(spark.createDataFrame([(g, parse_goal(g)[0]) for g in goals], "goal string, node string")))
+    schema = "model_id string, goal string, prob double, quantiles map<double,double>, q25 double, active array<string>"
+
+    def run(batches):
+        for batch in batches:
+            for q in batch.itertuples():
+                series = tools.maboss_series(q.text, q.extra or "", samples, max_time, program) if tools.detect(program) else None
+                if series:
+                    first = {x: next((t for t, p in series if p.get(q.node, 0.0) >= x), None) for x in QUANTILES}
+                    active = sorted({n for _, p in series for n, v in p.items() if v >= 0.5})
+                    yield pd.DataFrame([(q.model_id, q.goal, series[-1][1].get(q.node, 0.0), first, first[0.25], active)], columns=["model_id", "goal", "prob", "quantiles", "q25", "active"])
+
+    return asked.repartition(max(1, len(goals)), "model_id", "goal").mapInPandas(run, schema)
 
 
 def causality_texts(models: Models, goals: list[str], kind: str = "text", start: str | None = None) -> DataFrame:
@@ -159,18 +204,28 @@ def causality_texts(models: Models, goals: list[str], kind: str = "text", start:
     return ask(models, goals, "model_id string, goal string, text string", answer, start)
 
 
-def attractors(models: Models, cap: int = 200_000) -> DataFrame:
-    """(model_id, attractor, size, states): terminal components of each state graph, one task a model; size and states
-    are null for a model of more than cap states."""
+def attractors(models: Models, cap: int = 200_000, most: int = states.LISTED) -> DataFrame:
+    """(model_id, attractor, size, states, truncated): terminal components of the whole state graph.
+
+    Up to `cap` states by enumeration, beyond by decision diagrams, of which `most` states are listed each (truncated:
+    there are more). A model whose diagrams grow too large has one row with truncated and nothing else.
+    """
 
     def answer(net, q):
         space, found = kernels.Space(net), kernels.attractors(net, cap)
-        if found is None:
-            yield q["model_id"], 0, None, None
-        for i, own in enumerate(found or ()):
-            yield q["model_id"], i, len(own), [", ".join(f"{a}={k}" for a, k in zip(space.names, s)) for s in own]
+        if found is not None:
+            each = [(len(own), own, False) for own in found]
+        else:
+            try:
+                dd = diagrams.Diagrams(net, states.NODES)
+                each = sorted((dd.count(x), *diagrams.listed(dd, x, most)) for x in dd.terminal_components())
+            except (MemoryError, RecursionError):
+                yield q["model_id"], None, None, None, True
+                return
+        for i, (n, own, more) in enumerate(each):
+            yield q["model_id"], i, None if n >= 10**38 else Decimal(n), [", ".join(f"{a}={k}" for a, k in zip(space.names, s)) for s in own], more
 
-    return kernel(models.models.select("model_id", "text"), "model_id string, attractor int, size int, states array<string>", answer)
+    return kernel(models.models.select("model_id", "text"), "model_id string, attractor int, size decimal(38,0), states array<string>, truncated boolean", answer)
 
 
 def cached(spark: SparkSession, folder: str, question: str, models: Models, answer) -> DataFrame:
@@ -184,32 +239,86 @@ def cached(spark: SparkSession, folder: str, question: str, models: Models, answ
         return spark.read.parquet(path)
 
 
-def sweep(models: Models, metric: str = "reachability") -> DataFrame:
-    """(model, automata, transitions, states, value), smallest first: one job for all models, one task a model."""
+SWEEP = "model string, automata int, local_states int, transitions int, states decimal(38,0), value decimal(38,0), time_ms double, note string"
+
+
+def _swept(net: Network, metric: str, reps: int) -> tuple:
+    n = math.prod(net.levels.values())
+    value, best, note = None, None, None
+    try:
+        for _ in range(max(1, reps)):
+            began = time.perf_counter()
+            value = kernels.exact_reach(net, net.initial, ("", 0))[1] if metric == "reachability" else diagrams.fixpoint_count(net) if metric == "fixpoints" else None
+            took = (time.perf_counter() - began) * 1e3
+            best = took if best is None else min(best, took)
+    except (MemoryError, RecursionError, ArithmeticError) as e:
+        note = f"{type(e).__name__}: {e}"
+    return len(net.levels), sum(net.levels.values()), len(net.transitions), *(None if x is None or x >= 10**38 else Decimal(x) for x in (n, value)), best, note
+
+
+def _metric(metric: str) -> str:
     if metric not in ("reachability", "fixpoints", "load"):
         raise ValueError(f"no metric {metric}")
+    return metric
 
-    def answer(net, q):
-        n = math.prod(net.levels.values())
-        value = kernels.exact_reach(net, net.initial, ("", 0))[1] if metric == "reachability" else diagrams.fixpoint_count(net) if metric == "fixpoints" else None
-        yield q["model_id"], len(net.levels), len(net.transitions), *(None if x is None or x >= 10**38 else Decimal(x) for x in (n, value))
 
-    rows = kernel(models.models.select("model_id", "text"), "model string, automata int, transitions int, states decimal(38,0), value decimal(38,0)", answer)
+def sweep(models: Models, metric: str = "reachability", reps: int = 1) -> DataFrame:
+    """(model, automata, local_states, transitions, states, value, time_ms, note), smallest first: one job for all
+    models, one task a model. time_ms: the least of reps; note: why there is no value."""
+    kind = _metric(metric)
+    rows = kernel(models.models.select("model_id", "text"), SWEEP, lambda net, q: [(q["model_id"], *_swept(net, kind, reps))])
     # a row a model is little to sort; a global sort would sample, and so answer, everything twice
     return rows.repartition(1).sortWithinPartitions("automata", "model")
 
 
-def ablation(models: Models, goals: list[str], start: str | None = None) -> DataFrame:
-    """The chain of the cone, the whole chain, and the bracket: values, and whether they agree."""
+def sweep_texts(texts: DataFrame, metric: str = "reachability", reps: int = 1) -> DataFrame:
+    """sweep() of (model_id, format, text): a text that can't be read has a row with a note alone."""
+    kind = _metric(metric)
+    names = [x.split()[0] for x in SWEEP.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for q in batch.itertuples():
+                try:
+                    rows.append((q.model_id, *_swept(READERS[q.format](q.text, name=q.model_id), kind, reps)))
+                except (ValueError, KeyError) as e:
+                    rows.append((q.model_id, *[None] * (len(names) - 2), str(e)))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    parts = min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return texts.repartition(parts, "model_id").mapInPandas(run, SWEEP).repartition(1).sortWithinPartitions("automata", "model")
+
+
+def ablation(models: Models, goals: list[str], start: str | None = None, budget: int = 256, reps: int = 1) -> DataFrame:
+    """(model_id, goal, strategy, value, lower, upper, exact, nodes, time_ms, agrees): the chain of states, decision
+    diagrams, and the bracket, each with its least time of reps, and whether it agrees with the exact value.
+
+    The exact value is the chain's, else the diagrams'; agrees is null where there is none. Chain and diagrams agree
+    to 1e-6, a bracket holds it to 1e-9. A strategy that the model is too large for has no value.
+    """
+
+    def timed(run):
+        best, found = math.inf, None
+        for _ in range(max(1, reps)):
+            began = time.perf_counter()
+            found = run()
+            best = min(best, (time.perf_counter() - began) * 1e3)
+        return found, best
 
     def answer(net, ctx, g, m, t):
         wide = net.expanded()
-        a, b, (low, high) = kernels.ctmc(wide, ctx, g), kernels.ctmc(wide, ctx, g, whole=True), kernels.bracket(net, ctx, g)
-        a, b = a and a[0], b and b[0]
-        ok = all(x is None or low - 1e-9 <= x <= high + 1e-9 for x in (a, b)) and (a is None or b is None or abs(a - b) <= 1e-6)
-        return [(m, t, a, b, low, high, ok)]
+        chain, t1 = timed(lambda: kernels.ctmc(wide, ctx, g))
+        symbolic, t2 = timed(lambda: diagrams.reach_probability(wide.keep(wide.cone(g[0])), ctx, g, max_nodes=100_000))
+        (low, high), t3 = timed(lambda: kernels.bracket(net, ctx, g, budget))
+        ref = chain[0] if chain else symbolic[0] if symbolic else None
+        near = lambda x: None if ref is None or x is None else abs(x - ref) <= 1e-6
+        for name, own, nodes, took in (("chain", chain, None, t1), ("diagrams", symbolic, symbolic and symbolic[2], t2)):
+            value = own[0] if own else None
+            yield m, t, name, value, value, value, own is not None, nodes, took, near(value)
+        yield m, t, "bracket", None, low, high, high - low <= 1e-9, None, t3, None if ref is None else low - 1e-9 <= ref <= high + 1e-9
 
-    return ask(models, goals, "model_id string, goal string, cone double, whole double, lower double, upper double, agree boolean", answer, start)
+    return ask(models, goals, "model_id string, goal string, strategy string, value double, lower double, upper double, exact boolean, nodes int, time_ms double, agrees boolean", answer, start)
 
 
 # Trajectories: (time, active, p).
@@ -220,8 +329,9 @@ def marginals(trajectory: DataFrame, node: str) -> DataFrame:
     return trajectory.groupBy("time").agg(F.sum(inside).alias("marginal"))
 
 
-def first_passages(marginal: DataFrame, levels: list[float]) -> DataFrame:
-    """(level, time): the first time at which the marginal is at least the level; null if never."""
+def first_passages(marginal: DataFrame, levels: list[float] = QUANTILES) -> DataFrame:
+    """(level, time): the first time at which the marginal is at least the level; null if never. Of a node that stays
+    active once it is, these are the quantiles of its hitting time."""
     each = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("level")) for x in levels))).alias("x")
     return marginal.select("time", "marginal", each).groupBy(F.col("x.level").alias("level")).agg(F.min(F.when(F.col("marginal") >= F.col("x.level"), F.col("time"))).alias("time"))
 

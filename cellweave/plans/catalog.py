@@ -4,15 +4,15 @@ it. Doubles are rounded to six places on both sides; sets are lists joined in or
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import Network
+from ..model import Law, Move, Network
 from ..functions import scalars
 from ..operators import chains, diagrams, kernels, local, states, structure
 from ..sources.fixtures import GOALS, NETWORKS
-from ..sources.text import WRITERS, read_maboss
+from ..sources.text import WRITERS
 from . import api, derive
 from .frames import Models, encode, kernel, state_text
 
@@ -36,17 +36,25 @@ def _values(rows) -> str:
 
 
 def _fixture_sql(nets: dict[str, Network] = NETWORKS) -> str:
-    """The fixtures as tables: a (automata), m (transitions), c (conditions), i (initial), q (goals), and g (guards)."""
+    """The fixtures as tables: a (automata), m (transitions), ph (their laws' phases), c (conditions), i (initial), q
+    (goals), and g (guards)."""
     a = [(n, x, net.levels[x]) for n, net in nets.items() for x in net.automata]
     m = [(n, t, x.automaton, x.source, x.target, float(x.law.rate), x.law.kind) for n, net in nets.items() for t, x in enumerate(net.transitions)]
+    ph = [(n, t, k, float(r)) for n, net in nets.items() for t, x in enumerate(net.transitions) for k, r in enumerate(x.law.rates)]
     c = [(n, t, k, b, v) for n, net in nets.items() for t, x in enumerate(net.transitions) for k, (b, v) in enumerate(x.conditions)]
     i = [(n, x, v) for n, net in nets.items() for x, own in sorted((net.initial or {}).items()) for v in sorted(own)]
     return f"""WITH RECURSIVE a0(model_id, automaton, levels) AS {_values(a)},
 m0(model_id, tid, automaton, f, t, rate, kind) AS {_values(m)},
-m AS MATERIALIZED (SELECT model_id, tid, automaton, f, t, CAST(rate AS DOUBLE) AS rate, kind FROM m0),
+ph0(model_id, tid, k, r) AS {_values(ph)},
+ph AS MATERIALIZED (SELECT model_id, tid, k, CAST(r AS DOUBLE) AS r FROM ph0),
 c(model_id, tid, k, automaton, level) AS {_values(c)},
 i(model_id, automaton, level) AS {_values(i)},
 q(query_id, model_id, automaton, level) AS {_values(GOALS)},
+{_NETWORK_SQL}"""
+
+
+#: From a0, m0, c and i.
+_NETWORK_SQL = """m AS MATERIALIZED (SELECT model_id, tid, automaton, f, t, CAST(rate AS DOUBLE) AS rate, kind FROM m0),
 a AS MATERIALIZED (SELECT *, CAST(coalesce(product(levels) OVER w, 1) AS BIGINT) AS stride, CAST(coalesce(product(levels + 1) OVER w, 1) AS BIGINT) AS stride1 FROM a0
   WINDOW w AS (PARTITION BY model_id ORDER BY automaton ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS MATERIALIZED (SELECT model_id, tid, automaton, f AS level, true AS own FROM m UNION ALL SELECT model_id, tid, automaton, level, false FROM c),
@@ -219,10 +227,10 @@ cyc AS (SELECT DISTINCT walk.model_id, list_aggregate(list_sort(path), 'string_a
 
 @query(f"{FX}, {_CIRCUITS.format(g='inf')} SELECT * FROM cyc")
 def circuits(spark, sf_dir):
-    return structure.circuits(structure.influences(fixtures(spark)))
+    return structure.circuits(structure.influences(fixtures(spark))).select("model_id", "nodes", "sign")
 
 
-@query(f"WITH RECURSIVE {_TRADE.format(top=2)}, {_CIRCUITS.format(g='tr')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative FROM cyc GROUP BY model_id")
+@query(f"WITH RECURSIVE {_TRADE.format(top=2)}, {_CIRCUITS.format(g='tr')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative, false AS truncated FROM cyc GROUP BY model_id")
 def feedback(spark, sf_dir):
     return structure.feedback(structure.circuits(_trade(spark, sf_dir)))
 
@@ -235,32 +243,69 @@ def cone(spark, sf_dir):
     return structure.cones(fixtures(spark), goals(spark))
 
 
-@query(f"""{FX}, {_CONE}, k AS (SELECT node AS automaton FROM cone WHERE query_id = 'q05')
-SELECT text FROM txt JOIN m USING (model_id, tid) WHERE model_id = 'cellfate' AND automaton IN (FROM k) AND NOT EXISTS (SELECT 1 FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid AND c.automaton NOT IN (FROM k))""")
+_PART = """SELECT DISTINCT k0.query_id, text FROM {cone} k0 JOIN m ON m.model_id = k0.model_id AND m.automaton = k0.node JOIN txt ON txt.model_id = m.model_id AND txt.tid = m.tid
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid AND c.automaton NOT IN (SELECT node FROM {cone} k1 WHERE k1.query_id = k0.query_id))"""
+
+
+def _parts(models: Models, asked: DataFrame) -> DataFrame:
+    """(query_id, text): for each of (query_id, model_id, automaton) the transitions of what the automaton depends on."""
+    copy = lambda df: df.join(asked.select("query_id", "model_id"), "model_id").drop("model_id").withColumnRenamed("query_id", "model_id")
+    each = Models(*(copy(x) for x in (models.automata, models.transitions, models.initial, models.models)))
+    keep = structure.cones(models, asked).select(F.col("query_id").alias("model_id"), F.col("node").alias("automaton"))
+    return structure.transition_texts(structure.restrict(each, keep)).select(F.col("model_id").alias("query_id"), "text")
+
+
+@query(f"{FX}, {_CONE} {_PART.format(cone='cone')}")
 def reduce(spark, sf_dir):
-    """cellfate without what Apoptosis does not depend on."""
-    return api.reduce_model(Models.of(spark, {"cellfate": NETWORKS["cellfate"]}), "Apoptosis=1").select("text")
+    """For every goal, its network without what the goal does not depend on."""
+    return _parts(fixtures(spark), goals(spark))
 
 
-@query(f"""{FX}, cone AS (SELECT 'NFkB' AS node UNION SELECT regulator FROM cone JOIN reg ON model_id = 'cellfate' AND reg.automaton = cone.node)
-SELECT text FROM txt JOIN m USING (model_id, tid) WHERE model_id = 'cellfate' AND automaton IN (FROM cone) AND NOT EXISTS (SELECT 1 FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid AND c.automaton NOT IN (FROM cone))""")
+@query(f"{FX}, sl AS (SELECT model_id || ' ' || automaton AS query_id, model_id, automaton AS node FROM a UNION SELECT query_id, sl.model_id, regulator FROM sl JOIN reg ON reg.model_id = sl.model_id AND reg.automaton = sl.node) {_PART.format(cone='sl')}")
 def slice(spark, sf_dir):
-    return api.slice_model(Models.of(spark, {"cellfate": NETWORKS["cellfate"]}), "NFkB").select("text")
+    """Every fixture cut down to what each of its automata depends on."""
+    models = fixtures(spark)
+    return _parts(models, models.automata.select(F.concat_ws(" ", "model_id", "automaton").alias("query_id"), "model_id", "automaton"))
 
 
-_MUTANT = {"left": NETWORKS["p53-mdm2"], "right": NETWORKS["p53-mdm2"].frozen("Mdm2", 0)}
+#: The fixtures, with expanded laws, and with their first automaton frozen.
+_VARIANTS = {**NETWORKS, **{f"{n}/wide": net.expanded() for n, net in NETWORKS.items()}, **{f"{n}/still": net.frozen(net.automata[0], 0) for n, net in NETWORKS.items()}}
 
 
-@query("""SELECT * FROM (VALUES ('removed', 'Mdm2: 0 -> 1 when p53=1'), ('removed', 'Mdm2: 1 -> 0 when p53=0')) AS t(change, item)""")
+@query(f"""{_fixture_sql(_VARIANTS)}, p AS MATERIALIZED (SELECT l || ' ' || r AS pair, l, r FROM (SELECT DISTINCT model_id AS l FROM a) x, (SELECT DISTINCT model_id AS r FROM a) y WHERE l <> r),
+la AS (SELECT pair, automaton, levels FROM p JOIN a ON a.model_id = p.l), ra AS (SELECT pair, automaton, levels FROM p JOIN a ON a.model_id = p.r), lt AS (SELECT DISTINCT pair, text FROM p JOIN txt ON txt.model_id = p.l), rt AS (SELECT DISTINCT pair, text FROM p JOIN txt ON txt.model_id = p.r)
+SELECT pair, 'only_left' AS change, automaton AS item FROM la ANTI JOIN ra USING (pair, automaton) UNION ALL SELECT pair, 'only_right', automaton FROM ra ANTI JOIN la USING (pair, automaton)
+UNION ALL SELECT pair, 'levels', automaton || ': ' || la.levels || ' -> ' || ra.levels FROM la JOIN ra USING (pair, automaton) WHERE la.levels <> ra.levels
+UNION ALL SELECT pair, 'added', text FROM rt ANTI JOIN lt USING (pair, text) UNION ALL SELECT pair, 'removed', text FROM lt ANTI JOIN rt USING (pair, text)""")
 def model_diff(spark, sf_dir):
-    return structure.diff(Models.of(spark, {"m": _MUTANT["left"]}), Models.of(spark, {"m": _MUTANT["right"]}))
-
-
-@query(f"""{FX} SELECT a.model_id, 'warning' AS severity, a.automaton || ': no transition' AS message FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.model_id = a.model_id AND m.automaton = a.automaton)
-UNION ALL SELECT m.model_id, 'error', text || ': level of ' || c.automaton || ' out of range' FROM m JOIN c USING (model_id, tid) JOIN txt USING (model_id, tid) JOIN a ON a.model_id = m.model_id AND a.automaton = c.automaton WHERE c.level >= a.levels
-UNION ALL SELECT model_id, 'warning', text || ': stays where it is' FROM m JOIN txt USING (model_id, tid) WHERE f = t""")
+    """Every fixture and variant of one against every other."""
+    models = Models.of(spark, _VARIANTS)
+    ids = models.models.select(F.col("model_id").alias("l")).crossJoin(models.models.select(F.col("model_id").alias("r"))).where("l <> r")
+    return structure.diff_pairs(models, ids.withColumn("pair", F.concat_ws(" ", "l", "r")))
+
+
+_BAD = {
+    "no levels": Network("no levels", {"a": 0, "b": 2}, {"b": [Move("b", 0, 1)]}),
+    "ranges": Network("ranges", {"a": 2, "b": 3}, {"a": [Move("a", 0, 5), Move("a", 2, 0), Move("a", 0, 1, (("b", 3), ("b", -1))), Move("a", 1, 0, (("b", 2),))], "b": [Move("b", 0, 0), Move("b", -1, 1)]}),
+    "laws": Network("laws", {"a": 2}, {"a": [Move("a", 0, 1, (), Law.exp(-1)), Move("a", 1, 0, (), Law.exp(0)), Move("a", 1, 0, (), Law.phase((1, -2))), Move("a", 0, 1, (), Law.phase(()))]}),
+    "unknown": Network("unknown", {"a": 2, "lone": 2}, {"a": [Move("a", 0, 1, (("x", 0), ("y", 1))), Move("a", 1, 1, (("x", 7),))]}),
+    **NETWORKS,
+}
+
+
+@query(f"""{_fixture_sql(_BAD)}, own AS (SELECT m.*, text, levels FROM m JOIN txt USING (model_id, tid) LEFT JOIN a USING (model_id, automaton))
+SELECT model_id, 'error' AS severity, automaton || ': no level' AS message FROM a WHERE levels < 1
+UNION ALL SELECT model_id, 'error', text || ': source level out of range' FROM own WHERE f >= levels OR f < 0
+UNION ALL SELECT model_id, 'error', text || ': target level out of range' FROM own WHERE t >= levels OR t < 0
+UNION ALL SELECT model_id, 'error', text || ': rate not positive' FROM own WHERE EXISTS (SELECT 1 FROM ph WHERE ph.model_id = own.model_id AND ph.tid = own.tid AND r <= 0)
+UNION ALL SELECT model_id, 'error', text || ': no phase' FROM own WHERE NOT EXISTS (SELECT 1 FROM ph WHERE ph.model_id = own.model_id AND ph.tid = own.tid)
+UNION ALL SELECT c.model_id, 'error', text || ': unknown automaton ' || c.automaton FROM c JOIN txt USING (model_id, tid) ANTI JOIN a ON a.model_id = c.model_id AND a.automaton = c.automaton
+UNION ALL SELECT c.model_id, 'error', text || ': level of ' || c.automaton || ' out of range' FROM c JOIN txt USING (model_id, tid) JOIN a ON a.model_id = c.model_id AND a.automaton = c.automaton WHERE c.level >= a.levels OR c.level < 0
+UNION ALL SELECT model_id, 'warning', automaton || ': no transition' FROM a ANTI JOIN m USING (model_id, automaton)
+UNION ALL SELECT model_id, 'warning', text || ': stays where it is' FROM own WHERE f = t""")
 def validate(spark, sf_dir):
-    return structure.validate(fixtures(spark))
+    """The fixtures and some networks with every fault there is."""
+    return structure.validate(Models.of(spark, _BAD))
 
 
 @query(f"""{FX}, law AS (SELECT model_id, tid, CASE kind WHEN 'erlang' THEN 'erlang(2, 4.0)' ELSE CAST(rate AS VARCHAR) END AS law FROM m)
@@ -272,11 +317,17 @@ def anx_render(spark, sf_dir):
     return structure.render_anx(fixtures(spark))
 
 
-@query(f"""{FX}, x AS (SELECT * FROM m WHERE model_id = 'phasetype-demo')
-SELECT model_id, CAST(0 AS INTEGER) AS tid, automaton, 0 AS from_level, 3 AS to_level, CAST(4.0 AS DOUBLE) AS rate FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 1, automaton, 3, 1, 4.0 FROM x WHERE kind = 'erlang' UNION ALL SELECT model_id, 2, automaton, f, t, rate FROM x WHERE kind = 'exp'""")
+#: The fixtures with laws of one, two and three phases in turn.
+_PHASED = {n: Network(net.name, net.levels, {a: [Move(m.automaton, m.source, m.target, m.conditions, (Law.exp(1.5), Law.erlang(2, 4.0), Law.phase((1.0, 2.0, 0.5)))[(k + len(a)) % 3]) for k, m in enumerate(own)] for a, own in net.moves.items()}, net.initial) for n, net in NETWORKS.items()}
+
+
+@query(f"""{_fixture_sql(_PHASED)}, n AS (SELECT model_id, tid, count(*) AS n FROM ph GROUP BY ALL),
+b AS (SELECT m.*, a.levels + coalesce(sum(n - 1) OVER (PARTITION BY m.model_id, m.automaton ORDER BY m.tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, n FROM m JOIN n USING (model_id, tid) JOIN a USING (model_id, automaton))
+SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY tid, k) - 1 AS INTEGER) AS tid, automaton, CAST(CASE WHEN k = 0 THEN f ELSE base + k - 1 END AS INTEGER) AS from_level, CAST(CASE WHEN k = n - 1 THEN t ELSE base + k END AS INTEGER) AS to_level,
+ CASE WHEN k = 0 THEN (SELECT count(*) FROM c WHERE c.model_id = b.model_id AND c.tid = b.tid) ELSE 0 END AS conditions, r AS rate FROM b JOIN ph USING (model_id, tid)""")
 def expand_phase_type(spark, sf_dir):
-    wide = structure.expand_phases(Models.of(spark, {"phasetype-demo": NETWORKS["phasetype-demo"]}))
-    return wide.transitions.select("model_id", "tid", "automaton", "from_level", "to_level", "rate")
+    wide = structure.expand_phases(Models.of(spark, _PHASED))
+    return wide.transitions.select("model_id", "tid", "automaton", "from_level", "to_level", F.size("conditions").cast("long").alias("conditions"), "rate")
 
 
 _ORDERS = """o AS (SELECT o_custkey AS c, o_orderstatus AS src, o_orderpriority AS pri, lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders),
@@ -290,9 +341,11 @@ def order_network(spark, sf_dir):
     return moves.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("src")), 6))
 
 
-@query(f"{FX} SELECT model_id, tid, CAST(1 AS DOUBLE) AS rate FROM m")
-def assign_rates_unit(spark, sf_dir):
-    return structure.assign_rates(fixtures(spark)).select("model_id", "tid", "rate")
+@query(f"{FX} SELECT model_id, tid, CAST(1 AS DOUBLE) AS rate, round(exp(ln(0.1) + CAST(('0x' || substr(md5('7|' || model_id || '|' || tid), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 * (ln(5.0) - ln(0.1))), 6) AS drawn FROM m")
+def assign_rates(spark, sf_dir):
+    """Unit rates, and rates drawn between 0.1 and 5."""
+    drawn = structure.assign_rates(fixtures(spark), 0.1, 5.0, 7).select("model_id", "tid", F.round("rate", 6).alias("drawn"))
+    return structure.assign_rates(fixtures(spark)).select("model_id", "tid", "rate").join(drawn, ["model_id", "tid"])
 
 
 @query(f"""{FX} SELECT 'left' AS variant, model_id, 'levels' AS loss, string_agg(automaton, ', ' ORDER BY automaton) AS what FROM a WHERE levels <> 2 GROUP BY model_id
@@ -338,7 +391,7 @@ def reachable_states(spark, sf_dir):
 _FIX = "fx AS (SELECT model_id, sid FROM st EXCEPT SELECT model_id, sid FROM e)"
 
 
-@query(f"{GRAPH}, {_FIX} SELECT model_id, state FROM fx JOIN name USING (model_id, sid)")
+@query(f"{GRAPH}, {_FIX} SELECT model_id, state, false AS truncated FROM fx JOIN name USING (model_id, sid)")
 def fixpoints(spark, sf_dir):
     return states.fixpoints(fixtures(spark))
 
@@ -356,13 +409,13 @@ dg AS MATERIALIZED (SELECT trap.model_id, sid, automaton, (sid // stride1) % (le
 nm AS MATERIALIZED (SELECT model_id, sid, coalesce(string_agg(automaton || '=' || (d - 1), ', ' ORDER BY automaton) FILTER (d > 0), '') AS space FROM dg GROUP BY ALL)"""
 
 
-@query(f"{_TRAP} SELECT model_id, space FROM nm")
+@query(f"{_TRAP} SELECT model_id, space, false AS truncated FROM nm")
 def trap_spaces(spark, sf_dir):
     return states.trap_spaces(fixtures(spark))
 
 
 @query(f"""{_TRAP}, ins AS (SELECT p.model_id, p.sid AS outer_sid, x.sid AS inner_sid FROM dg p JOIN dg x ON p.model_id = x.model_id AND p.automaton = x.automaton AND p.sid <> x.sid GROUP BY ALL HAVING bool_and(p.d = 0 OR p.d = x.d))
-SELECT model_id, space FROM nm WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.model_id = nm.model_id AND ins.outer_sid = nm.sid)""")
+SELECT model_id, space, false AS truncated FROM nm WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.model_id = nm.model_id AND ins.outer_sid = nm.sid)""")
 def trap_spaces_minimal(spark, sf_dir):
     return states.trap_spaces(fixtures(spark), minimal=True)
 
@@ -371,17 +424,15 @@ def trap_spaces_minimal(spark, sf_dir):
 @query(f"""{GRAPH}, cl AS (SELECT model_id, sid AS x, sid AS y FROM st UNION SELECT cl.model_id, x, e.dst FROM cl JOIN e ON e.model_id = cl.model_id AND e.sid = cl.y),
 cn AS MATERIALIZED (SELECT model_id, x, min(y) AS low, count(*) AS n FROM cl GROUP BY ALL),
 att AS MATERIALIZED (SELECT cl.model_id, cl.x, any_value(a.low) AS low, any_value(a.n) AS n FROM cl JOIN cn a ON a.model_id = cl.model_id AND a.x = cl.x JOIN cn b ON b.model_id = cl.model_id AND b.x = cl.y GROUP BY cl.model_id, cl.x HAVING bool_and(a.n = b.n))
-SELECT att.model_id, CAST(n AS INTEGER) AS size, string_agg(state, ' | ' ORDER BY state) AS states FROM att JOIN name ON name.model_id = att.model_id AND name.sid = att.x GROUP BY att.model_id, low, n""")
+SELECT att.model_id, n AS size, string_agg(state, ' | ' ORDER BY state) AS states, false AS truncated FROM att JOIN name ON name.model_id = att.model_id AND name.sid = att.x GROUP BY att.model_id, low, n""")
 def attractors(spark, sf_dir):
     """Terminal components, one task a model."""
+    return _attractors(fixtures(spark))
 
-    def answer(net, q):
-        space = kernels.Space(net)
-        for own in kernels.attractors(net) or ():
-            names = sorted(", ".join(f"{a}={k}" for a, k in zip(space.names, s)) for s in own)
-            yield q["model_id"], len(own), " | ".join(names)
 
-    return kernel(fixtures(spark).models, "model_id string, size int, states string", answer)
+def _attractors(models: Models) -> DataFrame:
+    found = api.attractors(models)
+    return found.select("model_id", F.col("size").cast("long").alias("size"), F.array_join(F.array_sort("states"), " | ").alias("states"), "truncated")
 
 
 # Local reachability and interventions.
@@ -536,16 +587,25 @@ def anytime_bound(spark, sf_dir):
     return _ask(spark, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))])
 
 
-@query("SELECT budget, CAST(lower AS DOUBLE) AS lower, CAST(upper AS DOUBLE) AS upper FROM (VALUES (1, 0.25, 0.75), (2, 0.3125, 0.625), (4, 0.40625, 0.5), (8, 0.5, 0.5)) AS t(budget, lower, upper)")
+# Runs end at the goal, or where an argument on local states excludes it; those with a chance over 1e-4 suffice here.
+@query(f"""{WIDE}, {_HIT}, {_CONE}, {_OA}, sm AS MATERIALIZED (SELECT r.model_id, r.sid, bit_or(bit.bit) AS mask FROM r JOIN a USING (model_id) JOIN bit ON bit.model_id = r.model_id AND bit.automaton = a.automaton AND bit.level = (r.sid // a.stride) % a.levels GROUP BY ALL),
+sg AS (SELECT model_id, sid, mask, 0 AS k FROM sm UNION ALL SELECT sg.model_id, sg.sid, sg.mask | coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = sg.model_id AND (sg.mask & need) = need), 0), k + 1 FROM sg WHERE k < 25),
+stop AS MATERIALIZED (SELECT q.query_id, sg.sid, false AS hit FROM q JOIN bit USING (model_id, automaton, level) JOIN sg ON sg.model_id = q.model_id AND k = 25 WHERE (sg.mask & bit.bit) = 0 UNION ALL SELECT query_id, sid, true FROM hits),
+mv AS (SELECT cone.query_id, e.sid, e.dst, e.rate FROM cone JOIN m ON m.model_id = cone.model_id AND m.automaton = cone.node JOIN e ON e.model_id = m.model_id AND e.tid = m.tid WHERE NOT EXISTS (SELECT 1 FROM stop WHERE stop.query_id = cone.query_id AND stop.sid = e.sid)),
+mp AS MATERIALIZED (SELECT *, rate / sum(rate) OVER (PARTITION BY query_id, sid) AS p FROM mv),
+rn AS (SELECT q.query_id, s0.sid AS start, s0.sid, 1.0::DOUBLE AS p FROM q JOIN s0 USING (model_id) UNION ALL SELECT rn.query_id, start, mp.dst, rn.p * mp.p FROM rn JOIN mp ON mp.query_id = rn.query_id AND mp.sid = rn.sid WHERE rn.p * mp.p > 1e-4),
+rk AS MATERIALIZED (SELECT rn.query_id, start, hit, p, row_number() OVER (PARTITION BY rn.query_id, start, hit ORDER BY p DESC) AS rank FROM rn JOIN stop ON stop.query_id = rn.query_id AND stop.sid = rn.sid),
+ns AS (SELECT q.query_id, count(*) AS n FROM q JOIN s0 USING (model_id) GROUP BY ALL), bu(budget) AS (VALUES (1), (2), (4), (8))
+SELECT query_id, budget, round(coalesce((SELECT sum(p) FROM rk WHERE rk.query_id = ns.query_id AND hit AND rank <= budget), 0) / n, 6) AS lower, round(1 - coalesce((SELECT sum(p) FROM rk WHERE rk.query_id = ns.query_id AND NOT hit AND rank <= budget), 0) / n, 6) AS upper FROM ns, bu""")
 def bracket(spark, sf_dir):
-    """Bounds for Apoptosis in cellfate by budget; the SQL holds the published values."""
-    rows = goal_models(spark).where("query_id = 'q05'").withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8))))).select("budget", "automaton", "level", "text")
+    """Bounds for every goal by budget."""
+    rows = goal_models(spark).withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
 
     def answer(net, q):
         low, high = kernels.bracket(net, net.initial, (q["automaton"], int(q["level"])), int(q["budget"]))
-        return [(int(q["budget"]), round(low, 6), round(high, 6))]
+        return [(q["query_id"], int(q["budget"]), round(low, 6), round(high, 6))]
 
-    return kernel(rows, "budget int, lower double, upper double", answer)
+    return kernel(rows, "query_id string, budget int, lower double, upper double", answer)
 
 
 @query(f"""{FX}, {_LCG}, {_OA}, gb AS MATERIALIZED (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)),
@@ -558,10 +618,21 @@ def cutsets(spark, sf_dir):
     return _ask(spark, "query_id string, members string, size int", lambda net, ctx, goal, i: [(i, ",".join(c), len(c)) for c in kernels.cutsets(net, ctx, goal)])
 
 
-@query(f"{GRAPH}, {_HIT} SELECT q.query_id, '' AS target FROM q WHERE NOT EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id)")
+@query(f"""{GRAPH}, ls AS MATERIALIZED (SELECT model_id, automaton, unnest(range(levels)) AS level, stride, levels FROM a),
+can AS MATERIALIZED (SELECT DISTINCT ls.model_id, ls.automaton, ls.level FROM ls JOIN r ON r.model_id = ls.model_id AND (r.sid // stride) % levels = level),
+rm AS (SELECT DISTINCT ls.model_id, ls.automaton AS frozen, ls.level AS lvl, s0.sid + (ls.level - (s0.sid // stride) % levels) * stride AS sid FROM ls JOIN s0 USING (model_id)
+ UNION SELECT rm.model_id, frozen, lvl, e.dst FROM rm JOIN e ON e.model_id = rm.model_id AND e.sid = rm.sid JOIN m ON m.model_id = e.model_id AND m.tid = e.tid AND m.automaton <> rm.frozen)
+SELECT DISTINCT ls.model_id, ls.automaton || '=' || ls.level AS goal, frozen || '=' || lvl AS target FROM ls ANTI JOIN can ON can.model_id = ls.model_id AND can.automaton = ls.automaton AND can.level = ls.level JOIN rm ON rm.model_id = ls.model_id AND (rm.sid // stride) % levels = ls.level""")
 def mutations_enabling(spark, sf_dir):
-    """None for the fixtures' goals: all are certain already, and the SQL says so."""
-    return _ask(spark, "query_id string, target string", lambda net, ctx, goal, i: [(i, t) for t in kernels.mutations(net, ctx, goal, True)])
+    """For every local state that no run reaches, the frozen automata by which one does."""
+    models = fixtures(spark)
+    each = models.automata.select("model_id", "automaton", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level")).join(models.models.select("model_id", "text"), "model_id")
+
+    def answer(net, q):
+        goal = q["automaton"], int(q["level"])
+        return [(q["model_id"], f"{goal[0]}={goal[1]}", t) for t in kernels.mutations(net, net.initial, goal, True)]
+
+    return kernel(each.select(F.concat_ws("=", "automaton", "level").alias("key"), "model_id", "automaton", "level", "text"), "model_id string, goal string, target string", answer)
 
 
 @query(f"{GRAPH}, {_HIT}, {_CONE} SELECT q.query_id, CASE WHEN EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id) THEN 'Reachable' ELSE 'Unreachable' END AS verdict, (SELECT CAST(count(*) AS INTEGER) FROM cone WHERE cone.query_id = q.query_id) AS cone_size FROM q")
@@ -674,18 +745,43 @@ _texts("nusmv", f"""{FX} SELECT model_id, 'MODULE main' || chr(10) || 'VAR' || c
 (SELECT string_agg('  next(' || automaton || ') :=' || chr(10) || '    case' || chr(10) || coalesce((SELECT string_agg('      sel = ' || m.automaton || ' & ' || m.automaton || ' = ' || f || {_GUARD.format(sep=' & ', eq=' = ')} || ' : ' || t || ';' || chr(10), '' ORDER BY tid) FROM m WHERE m.model_id = a.model_id AND m.automaton = a.automaton), '') || '      TRUE : ' || automaton || ';' || chr(10) || '    esac;' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) AS text FROM ({_IDS}) x""")
 
 
-@query("SELECT * FROM (VALUES ('A', 3::BIGINT), ('B', 2::BIGINT)) AS t(automaton, moves)")
+# Logical texts made from tables: each nation of the trade graph rises where all its sources are as their signs say. Of
+# such a conjunction the falling clauses are disjoint in one format, prefixes of the sorted sources, and single in the
+# other.
+_LOGIC = f"""WITH {_TRADE.format(top=3)}, lg AS MATERIALIZED (SELECT replace(dst, ' ', '_') AS node, replace(src, ' ', '_') AS reg, CASE WHEN sign = 1 THEN 1 ELSE 0 END AS v, row_number() OVER (PARTITION BY dst ORDER BY replace(src, ' ', '_')) AS k FROM tr),
+up AS (SELECT node, node || ': 0 -> 1 when ' || string_agg(reg || '=' || v, ' and ' ORDER BY k) AS text FROM lg GROUP BY node)"""
+
+
+def _logic(spark, sf_dir) -> DataFrame:
+    """(node, regs): each nation with sources, and their names and signs in order."""
+    safe = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
+    tr = _trade(spark, sf_dir, 3).select(safe("dst").alias("node"), F.struct(safe("src").alias("reg"), (F.col("sign") == 1).alias("up")).alias("x"))
+    return tr.groupBy("node").agg(F.array_sort(F.collect_list("x")).alias("regs"))
+
+
+def _rule() -> Column:
+    return F.array_join(F.transform("regs", lambda x: F.concat(F.when(x["up"], "").otherwise("!"), x["reg"])), " & ")
+
+
+def _read_back(texts: DataFrame) -> DataFrame:
+    return structure.transition_texts(m := Models.from_texts(texts)).join(m.transitions.select("model_id", "tid", "rate"), ["model_id", "tid"]).select("automaton", "text", F.round("rate", 6).alias("rate"))
+
+
+@query(f"""{_LOGIC} SELECT node AS automaton, text, 1.0::DOUBLE AS rate FROM up
+UNION ALL SELECT x.node, x.node || ': 1 -> 0 when ' || string_agg(y.reg || '=' || CASE WHEN y.k = x.k THEN 1 - y.v ELSE y.v END, ' and ' ORDER BY y.k), 1.0::DOUBLE FROM lg x JOIN lg y ON y.node = x.node AND y.k <= x.k GROUP BY x.node, x.k""")
 def read_bnet_texts(spark, sf_dir):
-    """A BoolNet text with a node of its own value, a function of two, and a copy."""
-    texts = spark.createDataFrame([("m", "bnet", "targets, factors\nA, B & !C\nB, A\nC, C\n")], "model_id string, format string, text string")
-    return Models.from_texts(texts).transitions.groupBy("automaton").agg(F.count(F.lit(1)).alias("moves"))
+    """Each nation a BoolNet text of its own; names that only stand in functions are no targets."""
+    text = F.concat(F.lit("targets, factors\n"), F.col("node"), F.lit(", "), _rule(), F.lit("\n"))
+    return _read_back(_logic(spark, sf_dir).select(F.col("node").alias("model_id"), F.lit("bnet").alias("format"), text.alias("text")))
 
 
-@query("SELECT automaton, text, CAST(rate AS DOUBLE) AS rate FROM (VALUES ('A', 'A: 0 -> 1 when B=1 and C=0', 2.0), ('A', 'A: 1 -> 0 when B=0', 1.0), ('A', 'A: 1 -> 0 when C=1', 1.0)) AS t(automaton, text, rate)")
+@query(f"""{_LOGIC}, n AS (SELECT node, count(*) AS n FROM lg GROUP BY node) SELECT node AS automaton, text, (n + 0.5)::DOUBLE AS rate FROM up JOIN n USING (node)
+UNION ALL SELECT node, node || ': 1 -> 0 when ' || reg || '=' || (1 - v), 0.25::DOUBLE FROM lg""")
 def read_maboss_texts(spark, sf_dir):
-    net = read_maboss("node A { logic = B & !C; rate_up = @logic ? $u_A : 0; } node B { } node C { }", "$u_A = 2.0; A.istate = 0;")
-    m = Models.of(spark, {"m": net})
-    return structure.transition_texts(m).join(m.transitions.select("model_id", "tid", "rate"), ["model_id", "tid"]).select("automaton", "text", "rate")
+    """Each nation a MaBoSS model of one node, whose parameters are in a second text."""
+    node = F.concat(F.lit("node "), F.col("node"), F.lit(" {\n  logic = "), _rule(), F.lit(";\n  rate_up = @logic ? $up : 0; // rises\n  rate_down = @logic ? 0 : $down;\n}\n"))
+    extra = F.concat(F.lit("$up = "), F.size("regs").cast("string"), F.lit(".5;\n$down = 0.25;\n"), F.col("node"), F.lit(".istate = 0;\n"))
+    return _read_back(_logic(spark, sf_dir).select(F.col("node").alias("model_id"), F.lit("maboss").alias("format"), node.alias("text"), extra.alias("extra")))
 
 
 @query(f"{FX} SELECT model_id, count(*) AS transitions, round(sum(rate), 6) AS rates FROM m GROUP BY model_id")
@@ -693,3 +789,123 @@ def read_anx_texts(spark, sf_dir):
     """Models parsed from their texts on the executors."""
     texts = fixtures(spark).models.select("model_id", F.lit("anx").alias("format"), "text")
     return Models.from_texts(texts).transitions.groupBy("model_id").agg(F.count(F.lit(1)).alias("transitions"), F.round(F.sum("rate"), 6).alias("rates"))
+
+
+# A network for each user, from the events.
+
+_USERS = f"""WITH RECURSIVE pairs AS (SELECT user_id, event_type AS src, lead(event_type) OVER w AS dst FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+jn AS MATERIALIZED (SELECT 'u' || user_id AS model_id, src, dst, count(*) AS n FROM pairs WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL),
+sd AS MATERIALIZED (SELECT x.model_id, x.dst AS automaton, x.src AS regulator, CASE WHEN x.n >= coalesce(y.n, 0) THEN 1 ELSE 0 END AS up FROM (SELECT *, row_number() OVER (PARTITION BY model_id, dst ORDER BY n DESC, src) AS k FROM jn WHERE src <> dst) x LEFT JOIN jn y ON y.model_id = x.model_id AND y.src = x.dst AND y.dst = x.src WHERE k = 1),
+a0 AS MATERIALIZED (SELECT model_id, automaton, 2 AS levels FROM (SELECT model_id, src AS automaton FROM jn UNION SELECT model_id, dst FROM jn)),
+sm0 AS MATERIALIZED (SELECT model_id, automaton, f, regulator, CASE WHEN f = 0 THEN up ELSE 1 - up END AS need, row_number() OVER (PARTITION BY model_id ORDER BY automaton, f) - 1 AS tid FROM sd, (SELECT unnest([0, 1]) AS f)),
+m0 AS (SELECT model_id, tid, automaton, f, 1 - f AS t, 1.0 AS rate, 'exp' AS kind FROM sm0),
+c AS MATERIALIZED (SELECT model_id, tid, 0 AS k, regulator AS automaton, need AS level FROM sm0),
+i AS MATERIALIZED (SELECT a0.model_id, a0.automaton, CASE WHEN a0.automaton = b.begun THEN 1 ELSE 0 END AS level FROM a0 JOIN (SELECT 'u' || user_id AS model_id, arg_min(event_type, (ts, event_id)) AS begun FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) b USING (model_id)),
+{_NETWORK_SQL}"""
+_USER_GRAPH = _GRAPH.format(fx=_USERS)
+
+
+def _user_networks(spark, sf_dir) -> Models:
+    return derive.user_networks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query(f"{_USERS} SELECT model_id, tid::INTEGER AS tid, text FROM txt")
+def user_networks(spark, sf_dir):
+    """A Boolean network of event types for each user."""
+    return structure.transition_texts(_user_networks(spark, sf_dir)).select("model_id", "tid", "text")
+
+
+@query(f"{_USER_GRAPH}, {_FIX} SELECT model_id, state, false AS truncated FROM fx JOIN name USING (model_id, sid)")
+def user_fixpoints(spark, sf_dir):
+    return states.fixpoints(_user_networks(spark, sf_dir))
+
+
+@query(f"{_USER_GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
+def user_sweep(spark, sf_dir):
+    """States, and states reachable from the user's first event, of every user's network."""
+    return api.sweep(_user_networks(spark, sf_dir)).select("model", F.col("states").cast("long").alias("states"), F.col("value").cast("long").alias("value"))
+
+
+@query(f"{_USERS}, {_OA}, {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='')} SELECT grow.model_id, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25")
+def user_may_reach(spark, sf_dir):
+    """Event types that can't be excluded after the user's first event, and those that can stop."""
+    return local.may_reach(_user_networks(spark, sf_dir)).drop("variant")
+
+
+@query(f"{_USERS}, {_CIRCUITS.format(g='inf')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative, false AS truncated FROM cyc GROUP BY model_id")
+def user_feedback(spark, sf_dir):
+    return structure.feedback(structure.circuits(structure.influences(_user_networks(spark, sf_dir))))
+
+
+@query(f"""{_USER_GRAPH}, hits AS MATERIALIZED (SELECT a.model_id, st.sid FROM a JOIN st ON st.model_id = a.model_id AND (st.sid // a.stride) % a.levels = 1 WHERE a.automaton = 'purchase'),
+ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL),
+jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) ANTI JOIN hits USING (model_id, sid) GROUP BY ALL),
+ms AS (SELECT model_id, sid, 1.0::DOUBLE AS m, 0 AS k FROM s0 UNION ALL SELECT * FROM (SELECT ms.model_id, jp.dst, sum(ms.m * jp.p), k + 1 FROM ms JOIN jp ON jp.model_id = ms.model_id AND jp.sid = ms.sid WHERE k < 400 GROUP BY ms.model_id, jp.dst, k))
+SELECT model_id, round(coalesce((SELECT sum(m) FROM ms JOIN hits USING (model_id, sid) WHERE ms.model_id = x.model_id), 0), 5) AS prob, true AS prob_exact FROM a x WHERE automaton = 'purchase'""")
+def user_purchase_probability(spark, sf_dir):
+    """The chance that purchase gets active, in each user's network that has it."""
+    found = api.quantitative(_user_networks(spark, sf_dir), ["purchase=1"])
+    return found.select("model_id", F.round("prob", 5).alias("prob"), "prob_exact")
+
+
+# Networks beyond enumeration, of any number of automata, and what is known of them in closed form.
+
+
+def ring(n: int) -> Network:
+    """n Boolean automata, each of which copies the one before it; the first one may start anywhere, the others at 0."""
+    names = [f"x{k:03d}" for k in range(n)]
+    moves = {a: [Move(a, 0, 1, ((names[k - 1], 1),)), Move(a, 1, 0, ((names[k - 1], 0),))] for k, a in enumerate(names)}
+    return Network(f"ring{n}", dict.fromkeys(names, 2), moves, {a: frozenset((0,)) for a in names[1:]})
+
+
+def _rings(spark, *sizes: int) -> Models:
+    return Models.of(spark, {f"ring{n}": ring(n) for n in sizes})
+
+
+_SIZES = "n(n) AS (SELECT unnest([40, 65, 101]))"
+_ALL = f"{_SIZES}, al AS (SELECT n, string_agg('x' || lpad(k::VARCHAR, 3, '0') || '=0', ', ' ORDER BY k) AS low, string_agg('x' || lpad(k::VARCHAR, 3, '0') || '=1', ', ' ORDER BY k) AS high FROM n, LATERAL (SELECT unnest(range(n)) AS k) GROUP BY n)"
+
+
+@query(f"WITH {_ALL} SELECT 'ring' || n AS model_id, unnest([low, high]) AS state, false AS truncated FROM al")
+def ring_fixpoints(spark, sf_dir):
+    """Rings of 40, 65 and 101 automata rest where all are alike."""
+    return states.fixpoints(_rings(spark, 40, 65, 101))
+
+
+@query(f"WITH {_ALL} SELECT 'ring' || n AS model_id, unnest(['', low, high]) AS space, false AS minimal FROM al UNION ALL SELECT 'ring' || n, unnest([low, high]), true FROM al")
+def ring_trap_spaces(spark, sf_dir):
+    models = _rings(spark, 40, 65, 101)
+    return states.trap_spaces(models).select("model_id", "space", F.lit(False).alias("minimal")).union(states.trap_spaces(models, minimal=True).select("model_id", "space", F.lit(True)))
+
+
+@query(f"WITH {_SIZES} SELECT 'ring' || n AS model_id, 'x' || lpad(k::VARCHAR, 3, '0') AS automaton, v::INTEGER AS level FROM n, LATERAL (SELECT unnest(range(n)) AS k), (SELECT unnest([0, 1]) AS v)")
+def ring_may_reach(spark, sf_dir):
+    return local.may_reach(_rings(spark, 40, 65, 101)).drop("variant")
+
+
+@query(f"WITH {_SIZES} SELECT 'ring' || n AS query_id, 'x' || lpad(k::VARCHAR, 3, '0') || '=1' AS member FROM n, LATERAL (SELECT unnest(range(1, n)) AS k) WHERE k <> n - 1")
+def ring_cutsets(spark, sf_dir):
+    """Each automaton between the first and the last is one without which the last never rises."""
+    asked = [(f"ring{n}", f"ring{n}", f"x{n - 1:03d}", 1) for n in (40, 65, 101)]
+    return local.single_cutsets(_rings(spark, 40, 65, 101), spark.createDataFrame(asked, "query_id string, model_id string, automaton string, level int"))
+
+
+# Of a state with d changes around the ring, each move keeps or lowers d: states with at most two changes are reached.
+@query(f"WITH {_SIZES} SELECT 'ring' || n AS model, CAST(n AS INTEGER) AS automata, CAST(2 + n * (n - 1) AS DOUBLE) AS value FROM n")
+def ring_sweep(spark, sf_dir):
+    return api.sweep(_rings(spark, 40, 65, 101)).select("model", "automata", F.col("value").cast("double").alias("value"))
+
+
+# The first one starts at 0, or at 1 with 0 elsewhere, a stretch of ones whose ends move alike until it or the gap is gone.
+@query("SELECT 'ring' || n AS model_id, round(0.5 / n, 6) AS prob, true AS prob_exact FROM (SELECT unnest([8, 12]) AS n)")
+def ring_probability(spark, sf_dir):
+    """The chance that all of a small ring get to 1: a watcher rises where they are."""
+    nets = {}
+    for n in (8, 12):
+        net = ring(n)
+        net.levels["watch"] = 2
+        net.moves["watch"] = [Move("watch", 0, 1, tuple((f"x{k:03d}", 1) for k in range(n)))]
+        net.initial["watch"] = frozenset((0,))
+        nets[f"ring{n}"] = net
+    found = api.quantitative(Models.of(spark, nets), ["watch=1"])
+    return found.select("model_id", F.round("prob", 6).alias("prob"), "prob_exact")

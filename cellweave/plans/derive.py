@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import structure
+from .frames import Models
+from .staging import cut
 
-def event_chain(events: DataFrame, per_user: bool = False) -> DataFrame:
-    """(model_id, src, dst, rate): one chain of event types, or one a user; parallel visits add up.
 
-    A user's events in order of (ts, event_id); rate i -> j is the number of jumps over the seconds spent in i. Events
-    meet by user and day, so that a busy user is many small groups; each day's last event is then joined to the first
-    one of the user's next day with events, from one row a user and day.
+def event_jumps(events: DataFrame, per_user: bool = False) -> DataFrame:
+    """(model_id, src, dst, n, us): how often an event of one type is followed by one of another, and after how many
+    microseconds in all; over all users, or for each one.
+
+    A user's events in order of (ts, event_id). Events meet by user and day, so that a busy user is many small groups;
+    each day's last event is then joined to the first one of the user's next day with events, from one row a user and
+    day.
     """
     e = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     e = e.where("us IS NOT NULL").withColumn("day", F.expr("us div 86400000000"))
@@ -24,10 +29,44 @@ def event_chain(events: DataFrame, per_user: bool = False) -> DataFrame:
     ahead = F.lead("first").over(W.partitionBy("user_id").orderBy("day"))
     seams = days.withColumn("next", ahead).where("next IS NOT NULL").select("user_id", F.col("last.event_type").alias("event_type"), F.col("last.us").alias("us"), F.col("next.event_type").alias("dst"), F.col("next.us").alias("after"))
     pairs = pairs.union(seams).where("dst IS NOT NULL AND event_type IS NOT NULL")
-    model = (F.concat(F.lit("u"), F.col("user_id").cast("string")) if per_user else F.lit("events")).alias("model_id")
-    jumps = pairs.groupBy(model, F.col("event_type").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("after") - F.col("us")).alias("us"))
+    return pairs.groupBy(_model(per_user), F.col("event_type").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("after") - F.col("us")).alias("us"))
+
+
+def _model(per_user: bool):
+    return (F.concat(F.lit("u"), F.col("user_id").cast("string")) if per_user else F.lit("events")).alias("model_id")
+
+
+def event_chain(events: DataFrame, per_user: bool = False) -> DataFrame:
+    """(model_id, src, dst, rate): one chain of event types, or one a user; rate i -> j is the number of jumps over
+    the seconds spent in i."""
     stay = F.sum("us").over(W.partitionBy("model_id", "src"))
-    return jumps.withColumn("stay", stay).where("stay > 0").select("model_id", "src", "dst", (F.col("n") * 1e6 / F.col("stay")).alias("rate"))
+    return event_jumps(events, per_user).withColumn("stay", stay).where("stay > 0").select("model_id", "src", "dst", (F.col("n") * 1e6 / F.col("stay")).alias("rate"))
+
+
+def user_networks(events: DataFrame) -> Models:
+    """A Boolean network for each user with two events or more: an automaton a type of event, regulated by the other
+    type that most often comes just before it (of several the first by name).
+
+    The regulator raises it where it comes before it at least as often as after it, else it lowers it. All rates are
+    1; the type of the user's first event starts at 1, the others at 0.
+    """
+    jumps = cut(event_jumps(events, per_user=True).select("model_id", "src", "dst", "n"))
+    both = jumps.select("model_id", F.col("src").alias("automaton")).union(jumps.select("model_id", F.col("dst").alias("automaton"))).distinct()
+    automata = cut(both.withColumn("levels", F.lit(2)))
+    order = W.partitionBy("model_id", "dst").orderBy(F.desc("n"), "src")
+    first = jumps.where("src <> dst").withColumn("r", F.row_number().over(order)).where("r = 1")
+    back = jumps.select("model_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("n").alias("m"))
+    signed = first.join(back, ["model_id", "src", "dst"], "left").withColumn("up", (F.col("n") >= F.coalesce("m", F.lit(0))).cast("int"))
+    moves = signed.select("model_id", F.col("dst").alias("automaton"), "src", "up", F.explode(F.array(F.lit(0), F.lit(1))).alias("from_level"))
+    tid = F.row_number().over(W.partitionBy("model_id").orderBy("automaton", "from_level")) - 1
+    level = F.when(F.col("from_level") == 0, F.col("up")).otherwise(1 - F.col("up"))
+    law = F.struct(F.lit("exp").alias("kind"), F.lit(1).alias("phases"), F.array(F.lit(1.0)).alias("rates"))
+    guard = F.array(F.struct(F.col("src").alias("automaton"), level.cast("int").alias("level")))
+    transitions = cut(moves.select("model_id", tid.cast("int").alias("tid"), "automaton", "from_level", (1 - F.col("from_level")).alias("to_level"), guard.alias("conditions"), law.alias("dist"), F.lit(1.0).alias("rate")))
+    begun = events.where("ts IS NOT NULL AND event_type IS NOT NULL").groupBy(_model(True)).agg(F.min(F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "event_id", "event_type"))["event_type"].alias("begun"))
+    initial = cut(automata.join(begun, "model_id").select("model_id", "automaton", (F.col("automaton") == F.col("begun")).cast("int").alias("level")))
+    named = automata.select("model_id").distinct().select("model_id", F.lit("").alias("name"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
+    return structure.with_texts(Models(automata, transitions, initial, named))
 
 
 def trade_graph(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, supplier: DataFrame, nation: DataFrame, top: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from base64 import b64decode
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -52,12 +53,14 @@ class Models:
     @staticmethod
     def from_texts(texts: DataFrame) -> Models:
         """From (model_id, format, text) rows, any number: parsed on the executors, one model a row. A column `extra`
-        holds what a format keeps in a second file (the parameters of a MaBoSS model), or null."""
+        holds what a format keeps in a second file (the parameters of a MaBoSS model), or null. Zipped files are in base64."""
         if "extra" not in texts.columns:
             texts = texts.withColumn("extra", F.lit(None).cast("string"))
 
         def parse(model_id: str, kind: str, text: str, extra: str | None) -> Network:
-            return READERS[kind](text, extra, name=model_id) if kind == "maboss" else READERS[kind](text, name=model_id)
+            if kind == "maboss":
+                return READERS[kind](text, extra, name=model_id)
+            return READERS[kind](b64decode(text) if kind == "zginml" else text, name=model_id)
 
         def part(kind: str, schema: str) -> DataFrame:
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,6 +89,9 @@ class Models:
         def files(path: str) -> DataFrame:
             return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("model_id"), F.col("value").alias("text"))
 
+        if kind == "zginml":
+            packed = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("model_id"), F.lit(kind).alias("format"), F.base64("content").alias("text"))
+            return Models.from_texts(packed)
         texts = files(path).withColumn("format", F.lit(kind))
         if kind == "maboss":
             try:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import re
 import xml.etree.ElementTree as ET
+import zipfile
 from itertools import product
 
 from ..model import Move, Network
@@ -224,3 +226,63 @@ def read_ginml(text: str, name: str = "model") -> Network:
         names = {source for _, source, _, _ in own} | {v.partition(".")[0] for _, t in expressions for v in variables(t)}
         moves[a] = unit_moves(a, levels, sorted(names & levels.keys()), target)
     return Network(name, levels, moves, None, "ginml")
+
+
+def read_zginml(data: bytes, name: str = "model") -> Network:
+    """The regulatory graph in a zipped GINML file: its first member of that ending."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            inside = next((x for x in z.namelist() if x.lower().endswith(".ginml")), None)
+            if inside is None:
+                raise FormatError("no .ginml file in the archive")
+            return read_ginml(z.read(inside).decode("utf-8", "replace"), name)
+    except zipfile.BadZipFile as e:
+        raise FormatError(str(e)) from None
+
+
+def _atom(net: Network, b: str, k: int, at: str) -> str:
+    """b=k in terms of 'b is at this level or more'."""
+    low = "" if k == 0 else b if k == 1 else f"{b}{at}{k}"
+    high = "" if k + 1 >= net.levels.get(b, 2) else f"!{b}" if k == 0 else f"!{b}{at}{k + 1}"
+    return " & ".join(x for x in (low, high) if x)
+
+
+def _rises(net: Network, a: str, level: int, at: str) -> str | None:
+    """Where a goes up to the level or past it, as an expression; None: never."""
+    found = []
+    for m in net.moves.get(a, ()):
+        if m.source < level <= m.target:
+            atoms = [x for b, k in m.conditions if b != a for x in (_atom(net, b, k, at),) if x]
+            found.append("(" + " & ".join(atoms) + ")" if atoms else "1")
+    return " | ".join(dict.fromkeys(found)) or None
+
+
+def write_ginml(net: Network) -> str:
+    """Nodes with their largest levels, edges from regulators, and for each level the expression of the moves that rise
+    to it. Moves that fall are where no such expression holds, so a network whose moves do not follow a function does
+    not come back as it is; rates and starts are left out."""
+    graph = ET.Element("gxl")
+    own = ET.SubElement(graph, "graph", {"class": "regulatory", "id": net.name or "model", "nodeorder": " ".join(net.automata)})
+    for a in net.automata:
+        node = ET.SubElement(own, "node", {"id": a, "maxvalue": str(net.levels[a] - 1)})
+        if not net.moves.get(a):
+            node.set("input", "true")
+        for level in range(net.levels[a] - 1, 0, -1):
+            if text := _rises(net, a, level, ":"):
+                ET.SubElement(ET.SubElement(node, "value", {"val": str(level)}), "exp", {"str": text})
+    for a in net.automata:
+        for b in sorted(net.regulators(a) & net.levels.keys()):
+            ET.SubElement(own, "edge", {"id": f"{b}:{a}", "from": b, "to": a, "minvalue": "1"})
+    return "<?xml version='1.0' encoding='UTF-8'?>\n" + ET.tostring(graph, encoding="unicode") + "\n"
+
+
+def write_booleannet(net: Network) -> str:
+    """Starts and update rules of a Boolean network; a node without moves keeps its value."""
+    if many := [a for a in net.automata if net.levels[a] != 2]:
+        raise ValueError(f"not Boolean: {', '.join(many)}")
+    words = lambda t: t.replace("!", "not ").replace("&", "and").replace("|", "or")
+    out = [f"{a} = {bool(k)}" for a, x in sorted((net.initial or {}).items()) if len(x) == 1 for k in x]
+    for a in net.automata:
+        rule = a if not net.moves.get(a) else _rises(net, a, 1, "") or "0"
+        out.append(f"{a}* = {words(rule)}")
+    return "\n".join([*out, ""])

@@ -8,7 +8,7 @@ import subprocess
 import tempfile
 
 from ..model import Goal, Network
-from .text import read_nusmv_result, read_storm_result, write_nusmv, write_prism
+from .text import read_nusmv_result, read_probtraj, read_storm_result, write_nusmv, write_prism
 
 
 class ToolMissing(RuntimeError):
@@ -44,3 +44,26 @@ def storm_probability(net: Network, goal: Goal, program: str = "storm") -> float
 
 def storm_time(net: Network, goal: Goal, program: str = "storm") -> float | None:
     return _with_file(write_prism(net), ".sm", lambda p: read_storm_result(run(program, "--prism", p, "--prop", f'R{{"time"}}=? [ F {goal[0]}={goal[1]} ]')))
+
+
+def maboss_series(bnd: str, cfg: str, samples: int | None = None, max_time: float | None = None, program: str = "MaBoSS") -> list[tuple[float, dict[str, float]]]:
+    """By time, the chance of each node to be active, as the simulator has it. samples and max_time go before what the
+    parameters say, in a second file of parameters."""
+    more = "".join(f"{k} = {v};\n" for k, v in (("sample_count", samples), ("max_time", max_time)) if v is not None)
+    with tempfile.TemporaryDirectory() as folder:
+        at = lambda name: os.path.join(folder, name)
+        for name, text in (("model.bnd", bnd), ("model.cfg", cfg), ("more.cfg", more)):
+            with open(at(name), "w") as f:
+                f.write(text)
+        run(program, "-c", at("model.cfg"), *(["-c", at("more.cfg")] if more else []), "-o", at("out"), at("model.bnd"))
+        found = sorted((x for x in os.listdir(folder) if x.startswith("out") and "probtraj" in x), key=len)
+        if not found:
+            raise FileNotFoundError("the simulator wrote no trajectory")
+        with open(at(found[0])) as f:
+            rows = read_probtraj(f.read())
+    series: dict[float, dict[str, float]] = {}
+    for time, active, p, _ in rows:
+        own = series.setdefault(time, {})
+        for node in active:
+            own[node] = own.get(node, 0.0) + p
+    return sorted(series.items())

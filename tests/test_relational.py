@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave.__main__ import main
 from cellweave.model import Law, Move, Network
 from cellweave.operators import chains, kernels, local, states, structure
 from cellweave.plans import api
 from cellweave.plans.frames import Models, encode, state_text
+from cellweave.sources import text
 from cellweave.sources.fixtures import GOALS, NETWORKS
 from tests.test_kernels import random_network
 
@@ -120,6 +122,29 @@ def test_absorption_ways_agree(spark):
     assert alone.keys() == one.keys() and all(abs(one[k] - alone[k]) < 1e-9 for k in one)
 
 
+def test_large_chains_take_other_ways(spark, monkeypatch):
+    """The same chains as matrices, by sweeps, and by joins; times are only where a goal is certain."""
+    rng = random.Random(4)
+    rows = [("m0", f"s{i}", f"s{j}", rng.uniform(1, 2) if j < i else 0.05) for i in range(1, 6) for j in {rng.randrange(6), i - 1} if i != j]
+    rows += [("m1", "a", "b", 1.0), ("m1", "b", "a", 0.1), ("m1", "a", "s0", 1.0), ("m1", "b", "stop", 1.0), ("m1", "x", "y", 1.0)]
+    edges = spark.createDataFrame(rows, "model_id string, src string, dst string, rate double")
+    goals = spark.createDataFrame([("m0", "s0"), ("m1", "s0")], "model_id string, node string")
+    stop = spark.createDataFrame([("m1", "stop")], "model_id string, node string")
+    answer = lambda **x: {(r.model_id, r.node): (r.prob, r.mean_time) for r in chains.absorption(edges, goals, stop, **x).collect()}
+    exact = answer()
+    assert exact["m1", "a"][0] == pytest.approx(11 / 21) and exact["m1", "a"][1] is None and exact["m1", "x"] == (0.0, None) and exact["m0", "s4"][1] > 0
+    monkeypatch.setattr(chains, "SMALL", 1)
+    monkeypatch.setattr(chains, "DENSE", 1)
+    import pandas as pd
+
+    ends = [("m0", "s0", None, None, True), ("m1", "s0", None, None, True), ("m1", "stop", None, None, False)]
+    swept = {(r.model_id, r.node): (r.prob, r.mean_time) for r in chains._solve(pd.DataFrame([(*r, None) for r in rows] + ends, columns=["model_id", "src", "dst", "rate", "goal"])).itertuples()}
+    for found in (answer(largest=3, tolerance=1e-7), swept):
+        assert found.keys() == exact.keys()
+        for k, (p, t) in exact.items():
+            assert found[k][0] == pytest.approx(p, abs=1e-6) and (t is None or found[k][1] == pytest.approx(t, rel=1e-5))
+
+
 def test_api(spark, models, tmp_path):
     cell = Models.of(spark, {"cellfate": NETWORKS["cellfate"]})
     row = api.quantitative(cell, ["Apoptosis=1"]).first()
@@ -127,12 +152,21 @@ def test_api(spark, models, tmp_path):
     assert api.probability(cell, ["Apoptosis=1"], 0.4, budget=4).first().meets_threshold
     assert api.reachability(cell, ["Survival=1"], "TNF=0,Survival=0,NFkB=0,RIP1=0").first().verdict == "Unreachable"
     assert api.reachability(cell, ["Survival=1"], "TNF=0").first().verdict == "Reachable"
-    assert all(r.agree for r in api.ablation(cell, ["Apoptosis=1", "Necrosis=1"]).collect())
+    found = api.ablation(cell, ["Apoptosis=1", "Necrosis=1"]).collect()
+    assert len(found) == 6 and all(r.agrees and r.time_ms > 0 for r in found) and {r.strategy for r in found} == {"chain", "diagrams", "bracket"}
     assert api.compare(cell, ["MPT=1"]).first().sound and len(api.scenarios(cell, ["Survival=1"], 2).collect()) == 2
     assert api.abstract(cell, ["Apoptosis=1"]).first().cone_size == 7 and api.cutsets(cell, ["Survival=1"], 1).count() == 2
     assert api.causality_graph(cell, ["Survival=1"]).count() > 3 and api.delay(cell, ["Survival=1"]).first().delay == 3
     assert [r.model for r in api.sweep(models).collect()][-1] == "cellfate"
+    swept = api.sweep_texts(spark.createDataFrame([("good", "anx", "automaton a [2]\na: 0 -> 1\ninit a=0"), ("bad", "anx", "nonsense")], "model_id string, format string, text string")).collect()
+    assert {(r.model, r.automata, r.local_states, r.value, bool(r.note)) for r in swept} == {("good", 1, 2, 2, False), ("bad", None, None, None, True)}
+    graph = api.causality_graph(cell, ["Apoptosis=1"]).collect()
+    assert not any(r.truncated for r in graph) and {r.solution for r in graph if r.objective == "Apoptosis=1"} == {0}
+    hit = spark.createDataFrame([("cellfate", "Necrosis=1", 7.5, ["ROS", "TNF"])], "model_id string, goal string, q25 double, active array<string>")
+    report = api.validation_report(cell, ["Necrosis=1"], hitting=hit).first()
+    assert report.oracle == "maboss" and report.delay_gap == 7.5 - report.t_delay and 0 < report.scenario_overlap < 1
     report = api.validation_report(cell, ["Necrosis=1"]).first()
+    assert report.oracle == "none" and report.delay_gap is None
     assert report.sound and report.exact == pytest.approx(0.234375) and report.t_delay == 4
     assert '"objective": "NFkB=1"' in api.causality_texts(cell, ["Survival=1"], "json").first().text
     assert '"Survival=1" -> "Survival=1/0";' in api.causality_texts(cell, ["Survival=1"], "dot").first().text
@@ -197,3 +231,34 @@ def test_cache(spark, models, tmp_path):
     for _ in range(2):
         assert api.cached(spark, str(tmp_path), "info", models, answer).count() == 18
     assert len(calls) == 1
+
+
+def test_commands_beside_questions(spark, capsys, tmp_path):
+    cell = tmp_path / "cellfate.anx"
+    cell.write_text(text.write_anx(NETWORKS["cellfate"]))
+    call = lambda *args: (main(list(args)), [x for x in capsys.readouterr().out.splitlines() if x.strip()])
+    for ending in ("bnet", "ginml", "sbml", "booleannet", "an", "dot"):
+        assert call("export", str(cell), "-o", f"{tmp_path}/out.{ending}")[0] == 0 and (tmp_path / f"out.{ending}").read_text()
+    assert call("export", str(cell), "--to", "prism")[1][0] == "ctmc" and call("export", str(cell))[0] == 1
+    repo = ("--repo", f"{tmp_path}/repo")
+    assert call("repo", "init", *repo)[0] == 0 and call("repo", "add", str(cell), "--tag", "death", *repo)[0] == 0 and call("repo", "tag", "cellfate", "cell", *repo)[0] == 0
+    assert call("repo", "list", "--tag", "cell", *repo)[1] == ['{"id":"cellfate","tags":["cell","death"]}'] and call("repo", "search", "nothing", *repo)[1] == []
+    assert call("repo", "get", "cellfate", *repo)[1][0].startswith("#") and call("repo", "bundle", "cellfate", "-o", f"{tmp_path}/b.anx", *repo)[0] == 0
+    assert call("repo", "rm", "cellfate", *repo)[0] == 0 and call("repo", "get", "cellfate", *repo)[0] == 1
+    (tmp_path / "bad.anx").write_text("nonsense")
+    assert len(call("bench", "models", str(tmp_path))[1]) == 3
+    assert any('"note":' in x for x in call("bench", "run", str(tmp_path))[1])
+    assert call("verify", "nusmv", str(cell), "--goal", "Apoptosis=1")[0] == 2 and "Reachable" in call("verify", "fallback", str(cell), "--goal", "Apoptosis=1")[1][0]
+    assert call("cycles", str(cell), "--sign", "negative")[1] == [] and len(call("cycles", str(cell), "--sign", "positive")[1]) == 2
+
+
+def test_the_simulator_runs_where_it_is_installed(spark, tmp_path, monkeypatch):
+    """A stand-in program that writes a trajectory, found by its name on the path."""
+    program = tmp_path / "MaBoSS"
+    lines = "Time\\tTH\\tErrorTH\\tH\\tHD=0\\tState\\tProba\\tErrorProba\\n0.0\\t0\\t0\\t0\\t1\\t<nil>\\t1.0\\t0\\n1.0\\t0\\t0\\t0\\t1\\tA\\t0.3\\t0\\tA -- B\\t0.2\\t0\\n"
+    program.write_text(f'#!/bin/sh\nwhile [ "$1" != "-o" ]; do shift; done\nprintf "{lines}" > "$2_probtraj.csv"\n')
+    program.chmod(0o755)
+    texts = spark.createDataFrame([("m", "node A { logic = A; }", "A.istate = 0;")], "model_id string, text string, extra string")
+    assert api.hitting_times(texts, ["A=1"], program="no such program").collect() == []
+    row = api.hitting_times(texts, ["A=1"], samples=10, max_time=2.0, program=str(program)).first()
+    assert (row.prob, row.q25, row.quantiles[0.9], row.active) == (0.5, 1.0, None, ["A"])
