@@ -73,7 +73,8 @@ class Model:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of label 1 among the nearest by similarity; the labels' own share where nothing is similar."""
+        """Share of label 1 among the nearest by similarity; the labels' own share where nothing is similar. Of
+        neighbours that are equally similar those with the smaller ids come first."""
         out = []
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(texts), BLOCK):
@@ -83,6 +84,10 @@ class Model:
                 continue
             cosine = own @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+            for j in np.flatnonzero((cosine >= last[:, None]).sum(axis=1) > k):
+                tied = np.flatnonzero(cosine[j] >= last[j])
+                near[j] = tied[np.argsort(-cosine[j][tied], kind="stable")[:k]]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1).astype(float), 0) ** 4
             total = weight.sum(axis=1)
             out.append(np.where(total > 1e-9, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), self.prior))

@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, table
 
 PLACES = 64
 #: Rows of each table of draws; the tables' size (POOL * PLACES * 24 bytes) is fixed, so they are broadcast.
 POOL = 4096
-_LAST = -(1 << 63)
-#: Equal bins of ids: one for this many rows, and so many at most, which is what reaches the driver.
-_ROWS_IN_BIN, _BINS = 250, 1 << 16
+#: Ids that reach the driver to bound ranges of ids: so many at most, and so many a range.
+_MARKS, _MARKS_IN_RANGE = 1 << 18, 8
 
 
 def uniform(*parts: Column) -> Column:
@@ -78,59 +77,63 @@ def likeness(a: Column, b: Column, places: int = PLACES) -> Column:
 
 
 def id_ranges(docs: DataFrame, id_col: str, rows_in_range: int = 1_000) -> tuple[Column, DataFrame]:
-    """An expression for the number of a row's range of ids, in ascending order, and (head, into): for each range the
-    largest id of the next lower one, which that range needs too (the lowest range needs the largest of all).
+    """An expression for the number of a row's range of ids, in ascending order, and (head, none, into): for each
+    range the largest id of the next lower one, which that range needs too (the lowest range needs the largest of
+    all; none: it is null).
 
-    Ids fall into equal bins; ranges are runs of bins with about as many rows as asked for, found from the bins'
-    counts. A bin is never split.
+    Ranges end at ids that are there, chosen by their hash, so that they follow the rows, however the ids are spread:
+    of the ids that are chosen, _MARKS at most, every _MARKS_IN_RANGEth ends a range. Null ids are in the lowest.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    low, high, n_rows = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.count(F.lit(1))).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    bins = max(1, min(_BINS, n_rows // _ROWS_IN_BIN))
-    step = (high - low) // bins + 1
-    spot = F.when(F.col(id_col).isNull(), 0).otherwise(F.expr(f"CAST((CAST({id_col} AS BIGINT) - ({low})) DIV {step} AS INT)"))
-    counts = docs.groupBy(spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("top")).orderBy("bin").collect()
-    number, held, of, tops = 0, 0, [0] * bins, {}
-    for bin_, n, top in counts:
-        if held and held + n > rows_in_range:
-            number, held = number + 1, 0
-        held += n
-        of[bin_] = number
-        tops[number] = top
-    numbers = F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")
-    ends = sorted(tops)
-    heads = [(tops[ends[i - 1]], r) for i, r in enumerate(ends)]
-    return F.get(numbers, spot), spark.createDataFrame(heads, "head long, into int")
+    spark, key = docs.sparkSession, named(id_col).cast("long")
+    high, n_rows = docs.agg(F.max(key), F.count(F.lit(1))).first()
+    one_in = max(1, rows_in_range // _MARKS_IN_RANGE, n_rows // _MARKS)
+    marks = docs.select(key.alias("id")).where("id is not null").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(one_in)) == 0).distinct()
+    ends = sorted(r.id for r in marks.collect())[_MARKS_IN_RANGE - 1 :: _MARKS_IN_RANGE] if n_rows > rows_in_range else []
+    ends = [e for e in ends if e != high]  # each head goes to one range
+    heads = spark.createDataFrame([*((e, False, i + 1) for i, e in enumerate(ends)), (high, high is None, 0)], "head long, none boolean, into int")
+    if not ends:
+        return F.lit(0), heads
+    # binary search for the number of ends below the id
+    array = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(ends)).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["low"] + at["high"], 1)
+        right = F.get(array, mid) < key
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(right, mid + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(mid).alias("high")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(ends).bit_length())), whole, halve, lambda at: at["low"])
+    return F.when(key.isNull(), F.lit(0)).otherwise(found), heads
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: int = PLACES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, samples), a row each.
 
     edited: the last third of a text (rounded down) replaced by as many first characters, or all, of the next document
-    in descending order of ids, the first one after the last. Texts travel once, to ranges of ids. Null or empty
-    text: no terms, so all such are alike (1). Null ids come last; rows that repeat an id are ordered by text. A
-    single row is its own next. Other columns are ignored; an empty table gives no rows.
+    in descending order of ids, the first one after the last. Texts travel once, to ranges of ids. samples: the
+    hashes of the samples, of which the fingerprint is made. Null or empty text: no terms, so all such are alike (1).
+    Any long is an id; null ids come last; rows that repeat an id are ordered by text. A single row is its own next.
+    Other columns are ignored; an empty table gives no rows. Memory: a text and its words; ranges spill.
     """
     number, heads = id_ranges(docs, id_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), number.alias("range"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # one row a range, and ranges are at most as many as bins
-    rows = rows.join(F.broadcast(heads), F.col("key") == F.col("head"), "left")
+    key = named(id_col).cast("long")
+    rows = docs.select(key.alias("doc_id"), key.isNull().alias("null_id"), number.alias("range"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    # one row a range; ranges are at most _MARKS / _MARKS_IN_RANGE
+    rows = rows.join(F.broadcast(heads), (F.col("null_id") == F.col("none")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
     both = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("extra")), F.when(F.col("into").isNotNull(), F.struct(F.col("into").alias("range"), F.lit(True).alias("extra")))))
-    rows = rows.select("doc_id", "key", "text", F.explode(both).alias("x")).select("doc_id", "key", "text", "x.range", "x.extra")
-    order = W.partitionBy("range").orderBy("extra", F.desc("key"), "text")
+    rows = rows.select("doc_id", "text", F.explode(both).alias("x")).select("doc_id", "text", "x.range", "x.extra")
+    order = W.partitionBy("range").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - CAST(char_length(text) DIV 3 AS INT))"), F.expr("substring(coalesce(next, ''), 1, CAST(char_length(text) DIV 3 AS INT))")))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     keys = ("range", "at", "extra", "doc_id", "n_chars", "edited_sha256", "kind")
     texts = rows.select("range", "at", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(kinds).alias("x")).select(*keys[:-1], "x.kind", "x.t")
     found = samples(weighted_terms(texts, "t", *keys), *keys, places=places)
-    found = found.select(*keys, F.array(*(F.col(f"s{k}") for k in range(places))).alias("s"))
+    # a sample's hash is what the fingerprint shows and what likeness compares
+    found = found.select(*keys, F.array(*(F.hash(f"s{k}") for k in range(places))).alias("s"))
     pair = found.groupBy(*keys[:-1]).agg(*(F.max(F.when(F.col("kind") == k, F.col("s"))).alias(f"s{k}") for k in (0, 1)))
     pair = pair.withColumn("next", F.lead("s0").over(W.partitionBy("range").orderBy("at"))).where(~F.col("extra"))
-    name = lambda col: F.array_join(F.transform(col, lambda x: F.lower(F.right(F.lpad(F.hex(F.hash(x)), 16, "0"), F.lit(8)))), "")
+    name = lambda col: F.array_join(F.transform(col, lambda x: F.lower(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8)))), "")
     return pair.select("doc_id", "n_chars", "edited_sha256", name("s0").alias("fingerprint"), name("s1").alias("edited_fingerprint"), likeness(F.col("s0"), F.col("s1"), places).alias("near_edited"), likeness(F.col("s0"), F.col("next"), places).alias("near_next"), F.col("s0").alias("samples"))
 
 

@@ -92,15 +92,23 @@ class Profiles:
         return self.langs[best], 1 - float(apart[best]) / (self.ranks * len(own))
 
 
+def fitting_rows(rows: DataFrame, per_lang: int = 1_000) -> DataFrame:
+    """(lang, text) of about per_lang of each language's rows in (doc_id, text, lang), those of smallest MD5 of their
+    id. Null languages are left out."""
+    rows = rows.where("lang is not null")
+    sizes = stage(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share")), "langs")
+    digest = F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return rows.join(sizes, "lang").where(u < F.col("share")).select("lang", "text")
+
+
 def fit_profiles(rows: DataFrame, per_lang: int = 1_000, ranks: int = RANKS) -> Profiles:
-    """Profiles from (doc_id, text, lang): for each language about per_lang of its rows, those of smallest hash.
+    """Profiles from (doc_id, text, lang): from about per_lang rows of each language, chosen by fitting_rows().
 
-    The counts stay distributed; `ranks` n-grams a language reach the driver. Null or empty languages are left out.
+    The counts stay distributed; `ranks` n-grams a language reach the driver. A language whose rows have no letter has
+    no profile. Rows that repeat an id all count.
     """
-    rows = rows.where("lang is not null and lang <> ''")
-    sizes = stage(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share")), "langs")
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(sizes, "lang").where(u < F.col("share")).select("lang", "text")
+    chosen = fitting_rows(rows, per_lang)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -120,7 +128,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """(doc_id, lang_pred, score) for every row of docs. Whole texts are counted.
 
     Null text, or one without a letter: 'und' and 0. Repeated rows and null ids are kept; other columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows. Memory: some 60 bytes a character of the longest text.
     """
     box = fitted(docs.sparkSession, profiles)
 
@@ -133,14 +141,40 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_pandas(rows, run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """docs, all columns as they are, without the rows whose language can't be told or is less alike than `least`."""
+def least_likeness(rows: DataFrame, profiles: Profiles, per_lang: int = 1_000, share: float = 0.001, part: float = 0.5) -> float:
+    """A likeness below which a text is in none of the languages: a part of what the least alike `share` of the rows
+    that profiles are fitted on reach. 0 where there is no row."""
+    box = fitted(rows.sparkSession, profiles)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"score": [x for lang, x in map(box.value.predict, batch["text"]) if lang != "und"]}, dtype=float)
+
+    found = map_pandas(fitting_rows(rows, per_lang), run, "score double").agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    return part * (found or 0.0)
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
+    """docs without the rows whose language can't be told: those without a letter, and those less alike than `least`
+    to every language. lang_col, where docs have it as a string, gets the language that was told.
+
+    Without any profile rows with a letter stay, with the language that they have. Other columns stay as they are.
+    """
     box = fitted(docs.sparkSession, profiles)
+    at = docs.columns.index(lang_col) if dict(docs.dtypes).get(lang_col) == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [box.value.predict(t) for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            texts, known = batch.column(text_col).to_pylist(), box.value
+            if known.langs:
+                found = [known.predict(t) for t in texts]
+                if at is not None:
+                    column = batch.column(at)
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array([x for x, _ in found], column.type))
+                stay = [lang != "und" and score >= least for lang, score in found]
+            else:
+                stay = [bool((characters(t) != _BLANK).any()) for t in texts]
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

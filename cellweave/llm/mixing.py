@@ -2,19 +2,21 @@
 
 Documents fall into cells of source, language and topic. A cell's token weight is its tokens times one factor for
 each of its three categories; raking sets the factors in turn until the weights' shares match the targets of every
-marginal. A document's probability is its cell's factor, scaled so that the expected tokens are as asked for, and a
-document is taken where a hash of its id falls below it. All of it is DataFrame functions.
+marginal. A document's probability is its cell's factor, scaled so that no probability exceeds 1, and a document is
+taken where a hash of its id falls below it. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, named, stage, table
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 25
+#: Cells that are few: they are raked by windows, and their factors are broadcast (some 50 bytes each).
+FEW_CELLS = 100_000
 #: Topics by form, the first that holds.
 TOPICS = (("table", r"\|[^|\n]*\|[^|\n]*\|"), ("notice", r"[Ll]icen[sc]e"), ("contact", r"[a-z0-9]@[a-z0-9]|https?:"), ("figures", r"[0-9]{3}"))
 
@@ -26,11 +28,17 @@ def topic_of(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) of each row. Null categories become ''; null text has no tokens."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _described(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> dict[str, Column]:
+    """doc_id, source, lang, topic and tokens as expressions. Null categories become ''; null text has no tokens."""
+    text = F.coalesce(named(text_col), F.lit(""))
     words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), topic_of(text).alias("topic"), words.cast("long").alias("tokens"))
+    plain = lambda c: F.coalesce(named(c).cast("string"), F.lit(""))
+    return {"doc_id": named(id_col).cast("long"), "source": plain(source_col), "lang": plain(lang_col), "topic": topic_of(text), "tokens": words.cast("long")}
+
+
+def describe(docs: DataFrame, **columns: str) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) of each row."""
+    return docs.select([value.alias(name) for name, value in _described(**columns).items()])
 
 
 def tempered_targets(cells: DataFrame, margin: str, temperature: float) -> DataFrame:
@@ -40,60 +48,107 @@ def tempered_targets(cells: DataFrame, margin: str, temperature: float) -> DataF
     return sums.select(margin, (F.col("p") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-10) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-10, few: int = FEW_CELLS) -> DataFrame:
     """cells (source, lang, topic, tokens) with `factor`, so that tokens * factor has the targets' shares.
 
-    Each step sums the weights of one margin's categories, partly before the shuffle, and joins the ratio of target
-    to sum back. Its result is written, so that plans stay as long as one step. Categories without a target keep no
-    weight. Raking ends after `rounds`, or when a round changes no factor by more than tolerance, relatively.
+    Each step divides the weights of one margin's categories by their sum and multiplies them by the target. Up to
+    `few` cells a step is a window over the margin, and some rounds are one plan; with more, sums are aggregated,
+    partly before the shuffle, and joined back, and each step is written. The results are the same. Categories without
+    a target keep no weight. Raking ends after `rounds`, or when a round changes no factor by more than tolerance,
+    relatively; shortfall() says what is left between shares and targets then.
     """
-    wanted = {m: stage(t.select(m, "target"), f"target-{m}") for m, t in targets.items()}
-    now = stage(cells.where("tokens > 0").withColumn("factor", F.lit(1.0)).withColumn("change", F.lit(0.0)), "cells")
-    for _ in range(rounds):
-        for i, margin in enumerate(MARGINS):
-            sums = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("factor")).alias("_sum"))
-            ratio = sums.join(wanted[margin], margin, "left").select(margin, F.when(F.col("_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_ratio"))
-            step = F.when(F.col("_ratio") > 0, F.abs(F.col("_ratio") - 1)).otherwise(0.0)
-            now = stage(now.join(ratio, margin).select(*MARGINS, "tokens", (F.col("factor") * F.col("_ratio")).alias("factor"), (F.greatest("change", step) if i else step).alias("change")), "cells")
+    now = cells.where("tokens > 0").select(*MARGINS, "tokens", F.lit(1.0).alias("factor"), F.lit(0.0).alias("change"))
+    for m, t in targets.items():
+        now = now.join(t.select(m, F.col("target").alias(f"_{m}")), m, "left")
+    now = stage(now.fillna(0.0, [f"_{m}" for m in targets]), "cells")
+    small = now.count() <= few
+
+    def step(now: DataFrame, m: str) -> DataFrame:
+        if small:
+            own = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(m))
+            now = now.withColumn("_sum", own)
+        else:
+            now = now.join(now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("_sum")), m)
+        ratio = F.when(F.col("_sum") > 0, F.col(f"_{m}") / F.col("_sum")).otherwise(0.0)
+        changed = F.when(ratio > 0, F.abs(ratio - 1)).otherwise(0.0)
+        now = now.select(*MARGINS, "tokens", (F.col("factor") * ratio).alias("factor"), F.greatest("change", changed).alias("change"), *(f"_{x}" for x in targets))
+        return now if small else stage(now, "cells")
+
+    done, at_once = 0, 2 if small else 1
+    while done < rounds:
+        for _ in range(min(at_once, rounds - done)):
+            # what the last round changes is what counts
+            now = now.withColumn("change", F.lit(0.0))
+            for m in MARGINS:
+                now = step(now, m)
+        done += at_once
+        now = stage(now, "cells") if small else now
         if (now.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
             break
-    return now.drop("change")
+    return now.select(*MARGINS, "tokens", "factor")
+
+
+def shortfall(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(margin, category, target, share) of each target: the share of the raked tokens that its category has. They
+    differ where `rounds` were too few, or where no weights of the cells can meet all targets at once."""
+    total = raked.agg(F.sum(F.col("tokens") * F.col("factor")).alias("total"))
+    out = None
+    for m in MARGINS:
+        sums = raked.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("own"))
+        part = targets[m].join(sums, m, "left").join(F.broadcast(total)).select(F.lit(m).alias("margin"), F.col(m).alias("category"), "target", F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)).alias("share"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def draw(id_col: str = "doc_id") -> Column:
     """A number in [0, 1) from the id alone: the first 52 bits of the MD5 of its decimal text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(F.substring(F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatures: tuple[float, float, float] = (0.7, 0.7, 0.7), keep: float = 0.5, rounds: int = ROUNDS, calibrated: bool = False, **columns: str) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, weight, probability, selected) for every row of docs.
+def _drawn(own: DataFrame, names: dict[str, str], targets: dict[str, DataFrame] | None, temperatures: tuple[float, float, float], keep: float, rounds: int, calibrated: bool) -> tuple[DataFrame, list[str]]:
+    """own, a written table, with three more columns, whose names come along: weight, probability, selected.
 
-    targets: for each margin (category, target), shares that sum to 1; by default tempered token shares. keep: the
-    expected share of tokens; a probability that the scale would lift over 1 is 1, so then it is less. weight: the cell's factor,
-    1 where targets equal the shares as they are. calibrated: keep is lowered to 1 / the largest weight where it is
-    more, so that no probability is cut and the expected tokens have the targets' shares; otherwise cells that are
-    cut fall short of theirs, as OP1_SQL has it. Null categories are the category ''; null or empty text has no
-    tokens and weight, probability 0. Equal ids are selected alike, null ones too. Other columns are ignored; an
-    empty table gives no rows.
+    names: its columns that hold doc_id, the margins and tokens. A factor meets its cell's rows where they lie.
     """
-    own = stage(describe(docs, **columns), "described")
-    cells = stage(own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    cells = stage(own.groupBy([F.col(names[m]).alias(m) for m in MARGINS]).agg(F.sum(names["tokens"]).alias("tokens")), "mix-cells")
     targets = targets or {m: tempered_targets(cells, m, t) for m, t in zip(MARGINS, temperatures)}
     raked = rake(cells, targets, rounds)
-    total = raked.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    factors = raked.select(*MARGINS, (F.col("factor") * total).alias("weight"))
+    total, n_cells = raked.agg(F.sum("tokens").cast("double"), F.count(F.lit(1))).first()
+    weight, probability, selected, *keys = fresh(own, "weight", "probability", "selected", "key_source", "key_lang", "key_topic")
+    factors = raked.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, keys)), (F.col("factor") * (total or 0.0)).alias(weight))
     if calibrated:
-        keep = min(keep, 1 / (factors.agg(F.max("weight")).first()[0] or 1.0))
-    # one row a cell meets the documents; AQE splits the hot cells' documents
-    out = own.join(factors, list(MARGINS), "left").withColumn("weight", F.when(F.col("tokens") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
-    out = out.withColumn("probability", F.least(F.lit(1.0), F.lit(float(keep)) * F.col("weight")))
-    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", (draw() < F.col("probability")).alias("selected"))
+        keep = min(keep, 1 / (factors.agg(F.max(weight)).first()[0] or 1.0))
+    # one row a cell meets the documents; where it is a join, AQE splits the hot cells' documents
+    out = own.join(F.broadcast(factors) if n_cells <= FEW_CELLS else factors, [F.col(names[m]) == F.col(k) for m, k in zip(MARGINS, keys)], "left").drop(*keys)
+    out = out.withColumn(weight, F.when(F.col(names["tokens"]) > 0, F.coalesce(weight, F.lit(0.0))).otherwise(0.0))
+    out = out.withColumn(probability, F.least(F.lit(1.0), F.lit(float(keep)) * F.col(weight)))
+    return out.withColumn(selected, draw(names["doc_id"]) < F.col(probability)), [weight, probability, selected]
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatures: tuple[float, float, float] = (0.7, 0.7, 0.7), keep: float = 0.5, rounds: int = ROUNDS, calibrated: bool = True, **columns: str) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, weight, probability, selected) for every row of docs.
+
+    targets: for each margin (category, target), shares that sum to 1; by default tempered token shares. keep: the
+    expected share of tokens. weight: the cell's factor, 1 where targets equal the shares as they are. calibrated:
+    keep is lowered to 1 / the largest weight where it is more, so that no probability is cut at 1 and the expected
+    tokens have the targets' shares; without it cells that are cut fall short of theirs. Null categories are the
+    category ''; null or empty text has no tokens and weight, probability 0. Each row has its own cell's probability;
+    equal ids have one draw, null ones too. Other columns are ignored; an empty table gives no rows. Memory: a text
+    and its words.
+    """
+    own = stage(describe(docs, **columns), "described")
+    out, _ = _drawn(own, {c: c for c in own.columns}, targets, temperatures, keep, rounds, calibrated)
+    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", "selected")
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that mix() does not select; columns as they were. Rows without an id are judged alike."""
-    found = mix(docs, **options).groupBy(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_own")).agg(F.max("selected").alias("_in"))
-    return docs.join(found.where("_in"), F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))) == F.col("_own"), "left_semi")
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatures: tuple[float, float, float] = (0.7, 0.7, 0.7), keep: float = 0.5, rounds: int = ROUNDS, calibrated: bool = True, **columns: str) -> DataFrame:
+    """The rows of docs that mix() selects; columns as they are, whatever their names. No text is exchanged: rows are
+    written once with their cell beside them, and filtered as they are read again."""
+    given = _described(**columns)
+    names = dict(zip(given, fresh(docs, *(f"mix_{name}" for name in given))))
+    own = stage(docs.select(*(named(c) for c in docs.columns), *(value.alias(names[name]) for name, value in given.items())), "described")
+    out, (*_, selected) = _drawn(own, names, targets, temperatures, keep, rounds, calibrated)
+    return out.where(F.col(selected)).select([named(c) for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -116,11 +171,12 @@ def _sql(rounds: int = ROUNDS) -> str:
             name = f"r{i}_{m}"
             parts.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, factor * target / sum(tokens * factor) OVER (PARTITION BY {m}) AS factor FROM {last} JOIN t_{m} USING ({m}))")
             last = name
-    parts.append(f"w AS (SELECT source, lang, topic, factor * (sum(tokens) OVER ())::DOUBLE AS weight FROM {last})")
+    parts.append(f"v AS (SELECT source, lang, topic, factor * (sum(tokens) OVER ())::DOUBLE AS weight FROM {last})")
+    parts.append("w AS MATERIALIZED (SELECT *, least(0.5, 1 / max(weight) OVER ()) AS keep FROM v)")
     draw = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496"
     return "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, source, lang, topic, tokens, round(v, 6) AS weight, round(least(1.0, 0.5 * v), 6) AS probability, {draw} < least(1.0, 0.5 * v) AS selected
-FROM (SELECT own.*, CASE WHEN tokens > 0 THEN coalesce(weight, 0.0) ELSE 0.0 END AS v FROM own LEFT JOIN w USING (source, lang, topic))"""
+SELECT doc_id, source, lang, topic, tokens, round(v, 6) AS weight, round(least(1.0, keep * v), 6) AS probability, {draw} < least(1.0, keep * v) AS selected
+FROM (SELECT own.*, coalesce(keep, 0.5) AS keep, CASE WHEN tokens > 0 THEN coalesce(weight, 0.0) ELSE 0.0 END AS v FROM own LEFT JOIN w USING (source, lang, topic))"""
 
 
 OP1_SQL = _sql()

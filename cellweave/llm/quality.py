@@ -98,13 +98,16 @@ def least_holdouts(risk: float, error: float) -> int:
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05, rules: dict[str, tuple[float, ...]] | None = None) -> pd.DataFrame:
     """(stratum, rule, cutoff, good, rejected_good, rejected_bad, p_value) of the certified rules.
 
-    measured: as statistics() gives it. labels: (doc_id, label), 1 for good. risk is split evenly among the rules,
+    measured: as statistics() gives it. labels: (doc_id, label), 1 for good, an id once. Rows of measured that repeat
+    an id are one holdout. risk is split evenly among the rules,
     error among rules and strata. Of the cutoffs that pass, the one that rejects most bad texts is taken, at equal
     counts the loosest; a rule that rejects no bad text is left out. Counts come from an aggregation; only one row
     a rule, stratum and cutoff reaches the driver, and only of strata with enough good holdouts to certify anything.
     """
     rules = rules or RULES
-    held = measured.join(labels, "doc_id")
+    # an id is one holdout: of rows that repeat it the least one
+    names = ["stratum", *rules]
+    held = measured.join(labels, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*names)).alias("x")).select("label", "x.*")
     share = risk / len(rules)
     strata = held.where("label = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("good")).where(F.col("good") >= least_holdouts(share, error))
     n_strata = strata.count()
@@ -137,7 +140,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, mark: str = "quality",
     base_failed: under 50 words, or over half of the words in repeated windows. rejected_by: the certified rules of
     the row's stratum that reject it. A stratum with too few good holdouts has no rule and loses nothing. Null or
     empty text: counts 0, base_failed. Null id: judged as any other, never a holdout. Repeated rows: each is
-    returned. Other columns are ignored; an empty table gives no rows.
+    returned. Other columns are ignored; an empty table gives no rows. Memory: the longest text's words and windows,
+    some 300 bytes a word.
     """
     measured = stage(statistics(docs, id_col, text_col, stratum_col), "quality")
     cuts = certified_cutoffs(measured, clean_labels(labels, mark), risk, error)

@@ -15,7 +15,6 @@ def jaccard(a, b):
 
 
 def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cws, "_ROWS_IN_BIN", 2)
     plain = cws.id_ranges
     monkeypatch.setattr(cws, "id_ranges", lambda d, c: plain(d, c, 20))
     rng = random.Random(1)
@@ -47,7 +46,6 @@ def test_ranges_do_not_change_results(spark, monkeypatch):
     docs = spark.createDataFrame([(i * 3, f"a{i % 7} b{i % 5} c d{i}") for i in range(200)], "doc_id long, text string")
     whole = sorted(map(tuple, cws.fingerprints(docs).drop("samples").collect()))
     plain = cws.id_ranges
-    monkeypatch.setattr(cws, "_ROWS_IN_BIN", 2)
     monkeypatch.setattr(cws, "id_ranges", lambda d, c: plain(d, c, 7))
     assert sorted(map(tuple, cws.fingerprints(docs.repartition(5)).drop("samples").collect())) == whole
 
@@ -60,6 +58,62 @@ def test_small_tables(spark):
     assert len(none) == 2
 
 
+def test_ranges_follow_the_rows(spark):
+    ids = [*range(20_000), 1 << 62, (1 << 63) - 1, -(1 << 63)]
+    docs = spark.createDataFrame([(i,) for i in [*ids, None, None]], "doc_id long")
+    number, heads = cws.id_ranges(docs, "doc_id")
+    of = docs.select("doc_id", number.alias("r")).collect()
+    held = {}
+    for r in of:
+        held.setdefault(r.r, []).append(r.doc_id)
+    assert len(held) > 10 and max(map(len, held.values())) < 4_000 and held[0].count(None) == 2
+    tops = [max(i for i in held[r] if i is not None) for r in sorted(held)]
+    assert tops == sorted(tops)
+    assert {(h.head, h.into) for h in heads.collect()} >= {(tops[i], i + 1) for i in range(len(tops) - 1)} | {(tops[-1], 0)}
+
+
+def test_any_long_is_an_id(spark):
+    rows = [(-(1 << 63), "a b c d e f"), ((1 << 63) - 1, "g h i"), (0, "k l m n o"), (None, "p q r s")]
+    got = {r.doc_id: r.edited_sha256 for r in cws.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = [rows[1], rows[2], rows[0], rows[3]]
+    for i, (d, t) in enumerate(order):
+        m = len(t) // 3
+        assert got[d] == hashlib.sha256((t[: len(t) - m] + order[(i + 1) % 4][1][:m]).encode()).hexdigest()
+
+
+def test_likeness_is_unbiased_over_a_large_vocabulary(spark):
+    """Places of two texts agree as often as the generalised Jaccard similarity says: 250 pairs from 30,000 words, whose
+    terms share rows of the tables of draws."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(250):
+        a = rng.choices(range(30_000), k=200) * 2
+        b = [w if rng.random() < i / 250 else rng.randrange(30_000) for w in a]
+        rows += [(2 * i + 1, " ".join(f"v{w}" for w in a)), (2 * i, " ".join(f"v{w}" for w in b))]
+        want[2 * i + 1] = jaccard(rows[-2][1], rows[-1][1])
+    got = {r.doc_id: r for r in cws.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors = [got[d].near_next - j for d, j in want.items()]
+    assert abs(sum(errors) / len(errors)) < 0.012 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.07
+
+
+def test_the_query(spark, tmp_path):
+    rows = [(i, f"a b c{i % 3} d e f") for i in range(9)] + [(20, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = cws.op10_fingerprints(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == 10 and got[0].fingerprint == got[3].fingerprint != got[1].fingerprint
+    for d, r in got.items():
+        own, edited = (cut(x) for x in (r.fingerprint, r.edited_fingerprint))
+        after = cut(got[{0: 20, 20: 8}.get(d, d - 1)].fingerprint)
+        assert r.near_edited == sum(x == y for x, y in zip(own, edited)) / cws.PLACES
+        assert r.near_next == sum(x == y for x, y in zip(own, after)) / cws.PLACES
+
+
+def cut(fingerprint):
+    return [fingerprint[i : i + 8] for i in range(0, len(fingerprint), 8)]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").select(F.col("doc_id"), F.col("text"))
     plan = cws.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,6 @@
 import random
 
-from cellweave.llm.linededup import dedup_lines
+from cellweave.llm.linededup import dedup_lines, line_report, op6_line_dedup
 
 
 def slow(rows):
@@ -27,9 +27,29 @@ def test_equals_brute_force(spark):
     rows = [(d, "\n".join(rng.choice("abc") for _ in range(rng.randrange(12)))) for d in rng.sample(range(1000), 60)]
     rows += [(2000, None), (2001, ""), (None, "a\nb\nc"), (2002, "\n\n\n\n \n"), (2003, "z\n" * 4000), (2004, "q\nr\ns\nt"), (2005, "x\nq\nr\ns\ny\r\n"), (2005, "x\nq\nr\ns\ny\r\n")]
     docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, pos string, n_lines int").repartition(4)
+    want = slow(rows)
+    assert sorted(map(tuple, line_report(docs).collect()), key=str) == want
     got = dedup_lines(docs)
-    assert set(got.columns) == {"doc_id", "text", "pos", "n_lines", "n_removed"}
-    assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()), key=str) == slow(rows)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((d, t, "x", 5) for d, _, _, t in want), key=str)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_id", "own", "starts", "OWN_", "_starts", "_lines", "lines", "kept", "_kept", "kept_text", "pos", "h1", "first", "n", "n_lines", "n_removed", "a.b", "text "]
+    text = "a\nb\nc\nd"
+    docs = spark.createDataFrame([(i, text, 8, *range(i, i + len(names))) for i in (1, 2)], ["doc_id", "text", "n_chars", *names])
+    for n_chars, want in ((None, 8), ("n_chars", 0)):
+        got = dedup_lines(docs, n_chars_col=n_chars)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == [(1, text, 8, *range(1, 1 + len(names))), (2, "", want, *range(2, 2 + len(names)))]
+
+
+def test_the_query(spark, tmp_path):
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb\nc"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op6_line_dedup(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_lines", "n_removed", "text"]
+    assert sorted(map(tuple, found.collect())) == slow(rows)
 
 
 def test_later_occurrences_go_and_overlaps_merge(spark):

@@ -28,7 +28,7 @@ def make(n=400):
 def test_equals_brute_force(spark):
     rows = make()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, weight int").repartition(3)
-    got = mixing.mix(docs, keep=0.5, rounds=8).collect()
+    got = mixing.mix(docs, keep=0.5, rounds=8, calibrated=False).collect()
     assert len(got) == len(rows)
     cells, targets = {}, []
     for r in got:
@@ -53,6 +53,14 @@ def test_equals_brute_force(spark):
             assert abs(own / everything - t) < (0.02, 0.02, 1e-6)[m]
 
 
+def test_many_cells_are_raked_alike(spark):
+    rng = random.Random(2)
+    cells = spark.createDataFrame([(s, x, t, rng.randrange(1, 90)) for s in "abcd" for x in ("en", "de") for t in ("prose", "table")], "source string, lang string, topic string, tokens long")
+    targets = {m: mixing.tempered_targets(cells, m, 0.5) for m in mixing.MARGINS}
+    few, many = ({tuple(r)[:3]: r.factor for r in mixing.rake(cells, targets, 3, few=n).collect()} for n in (100, 1))
+    assert few.keys() == many.keys() and all(abs(few[k] / many[k] - 1) < 1e-9 for k in few)
+
+
 def test_given_targets_and_sample(spark):
     rows = [r for r in make() if r[0] != 902]  # a single huge cell slows raking down
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -61,7 +69,8 @@ def test_given_targets_and_sample(spark):
     mass = sum(r.tokens * r.weight for r in found)
     assert abs(sum(r.tokens * r.weight for r in found if r.source == "hot") / mass - 0.2) < 0.02
     kept = mixing.sample(docs)
-    assert kept.columns == docs.columns and 50 < kept.count() < len(rows)
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in mixing.mix(docs).collect() if r.selected)
+    assert kept.columns == docs.columns and 30 < kept.count() < len(rows)
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.sample(docs.limit(0)).collect() == []
     empty = spark.createDataFrame([(1, None, None, None)], docs.schema)
     assert [r.selected for r in mixing.mix(empty).collect()] == [False]
@@ -70,7 +79,7 @@ def test_given_targets_and_sample(spark):
 def test_calibrated_probabilities_meet_the_targets(spark):
     rows = [r for r in make() if r[0] != 902] + [(5000 + i, "mail a@b now", "en", "hot") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    cut, got = mixing.mix(docs).collect(), mixing.mix(docs, calibrated=True).collect()
+    cut, got = mixing.mix(docs, calibrated=False).collect(), mixing.mix(docs).collect()
     assert max(r.weight for r in got) > 2 and max(r.probability for r in got) <= 1 + 1e-9
     for at, m in enumerate(mixing.MARGINS):
         sums = {}
@@ -83,7 +92,33 @@ def test_calibrated_probabilities_meet_the_targets(spark):
             off[name] = max(abs(sum(r.tokens * r.probability for r in found if r[m] == k) / mass - t**0.7 / total) for k, t in sums.items())
         assert off["calibrated"] < 1e-4
         assert m != "topic" or off["cut"] > 1e-3
-    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01, calibrated=True).collect()) / sum(r.tokens for r in got) < 0.011
+    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01).collect()) / sum(r.tokens for r in got) < 0.011
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_own", "_in", "weight", "probability", "selected", "topic", "tokens", "mix_tokens", "key_lang", "factor", "a.b"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in make(60)], f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` int' for n in names)}")
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns
+    chosen = {m.doc_id for m in mixing.mix(docs).collect() if m.selected}
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id in chosen)
+
+
+def test_shortfall_says_which_targets_are_missed(spark):
+    cells = spark.createDataFrame([("a", "en", "prose", 10), ("b", "de", "prose", 30)], "source string, lang string, topic string, tokens long")
+    share = lambda m, **x: spark.createDataFrame(list(x.items()), f"{m} string, target double")
+    targets = {"source": share("source", a=0.5, b=0.5), "lang": share("lang", en=0.2, de=0.8), "topic": share("topic", prose=1.0)}
+    found = {(r.margin, r.category): (r.target, round(r.share, 6)) for r in mixing.shortfall(mixing.rake(cells, targets), targets).collect()}
+    assert found["lang", "en"] == (0.2, 0.2) and found["source", "a"] == (0.5, 0.2)  # source and language go together
+
+
+def test_the_query(spark, tmp_path):
+    rows = make(100)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = mixing.op1_mixing(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "selected"]
+    got = found.collect()
+    assert len(got) == len(rows) and max(r.probability for r in got) <= 1 and {r.selected for r in got} == {True, False}
 
 
 def test_no_python_in_the_plan(spark):

@@ -1,9 +1,12 @@
 import hashlib
 import random
+from itertools import combinations
 
 from cellweave.llm import mixing, sentencepieces
+from tests.llm.test_langid import slow_predict, slow_profiles
 from tests.llm.test_linededup import slow as slow_lines
 from tests.llm.test_mixing import slow_rake
+from tests.llm.test_overlap import slow_set
 from tests.llm.test_simhash import slow_components
 
 import corpus_pipeline
@@ -25,9 +28,16 @@ def corpus():
 
 
 def slow_run(rows, codec):
-    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    profiles = slow_profiles([r[:3] for r in rows])
+    told = {d: slow_predict(profiles, t) for d, t, *_ in rows}
+    rows = [(d, t, told[d][0], source) for d, t, _, source in rows if told[d][0] != "und"]  # none is below half of the least likeness
     texts = {d: t for d, _, _, t in slow_lines([r[:2] for r in rows])}
     first = {d: c for d, _, c in slow_components(list(texts.items()))}
+    sets = {d: slow_set(t) for d, t in texts.items()}
+    for a, b in combinations(sorted(texts), 2):
+        if first[a] != first[b] and len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b])):
+            low, high = sorted((first[a], first[b]))
+            first = {d: low if c == high else c for d, c in first.items()}
     rows = [(d, texts[d], lang, source) for d, _, lang, source in rows if first[d] == d]
     cells, of = {}, {}
     for d, t, lang, source in rows:
@@ -42,9 +52,10 @@ def slow_run(rows, codec):
             sums[c[m]] = sums.get(c[m], 0) + t
         targets.append({k: t**0.7 / sum(x**0.7 for x in sums.values()) for k, t in sums.items()})
     factor = slow_rake(cells, targets, mixing.ROUNDS)
-    out = {}
+    out, total = {}, sum(cells.values())
+    keep = min(0.5, 1 / max(factor[c] * total for c in cells))
     for d, t, *_ in rows:
-        p = min(1, 0.5 * factor[of[d]] * sum(cells.values())) if t.split() else 0
+        p = keep * factor[of[d]] * total if t.split() else 0
         if int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) / 2**52 < p:
             ids, _ = codec.encode([t.encode()])
             out[d] = ids.tolist()
@@ -60,7 +71,7 @@ def test_run_equals_brute_force(spark, tmp_path):
 
 
 def test_stages_keep_columns(spark):
-    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5, 1, 2, 3, 4, 5), (None, None, None, None, None, 1, 2, 3, 4, 5)], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_removed int, gone int, _own int, _kept int")
     for name, step in corpus_pipeline.STAGES[:-1]:
         for own in (docs, docs.limit(0)):
             out = step(spark, own, "")
