@@ -129,9 +129,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = ("range", "at", "extra", "doc_id", "n_chars", "edited_sha256", "kind")
     texts = rows.select("range", "at", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(kinds).alias("x")).select(*keys[:-1], "x.kind", "x.t")
     found = samples(weighted_terms(texts, "t", *keys), *keys, places=places)
-    # a sample's hash is what the fingerprint shows and what likeness compares
-    found = found.select(*keys, F.array(*(F.hash(f"s{k}") for k in range(places))).alias("s"))
+    found = found.select(*keys, F.array(*(F.col(f"s{k}") for k in range(places))).alias("s"))
     pair = found.groupBy(*keys[:-1]).agg(*(F.max(F.when(F.col("kind") == k, F.col("s"))).alias(f"s{k}") for k in (0, 1)))
+    # a sample's hash is what the fingerprint shows and what likeness compares
+    pair = pair.withColumns({c: F.transform(c, lambda x: F.hash(x)) for c in ("s0", "s1")})
     pair = pair.withColumn("next", F.lead("s0").over(W.partitionBy("range").orderBy("at"))).where(~F.col("extra"))
     name = lambda col: F.array_join(F.transform(col, lambda x: F.lower(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8)))), "")
     return pair.select("doc_id", "n_chars", "edited_sha256", name("s0").alias("fingerprint"), name("s1").alias("edited_fingerprint"), likeness(F.col("s0"), F.col("s1"), places).alias("near_edited"), likeness(F.col("s0"), F.col("next"), places).alias("near_next"), F.col("s0").alias("samples"))
