@@ -16,6 +16,7 @@ QUERIES: dict = {
 }
 ORACLES: dict = {
     "op1_mixing": mixing.OP1_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
 }

@@ -158,3 +158,36 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, mark: str = "quality",
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     found = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
+def _sql(risk: float = 0.02, error: float = 0.05) -> str:
+    """The same in SQL: exact binomial tails from log-gamma, and the fixed sequence as a running conjunction."""
+    share, word = risk / len(RULES), r"[^\x20\x09-\x0D]"
+    cuts = ", ".join(f"('{r}', {k}, {float(c)}::DOUBLE)" for r, cs in RULES.items() for k, c in enumerate(cs))
+    order = ", ".join(f"('{r}', {k})" for k, r in enumerate(RULES))
+    each = " UNION ALL ".join(f"SELECT {{own}}, '{r}' AS rule, {r} AS v FROM {{source}}" for r in RULES)
+    held = " UNION ALL ".join(f"SELECT x.stratum AS stratum, label, '{r}' AS rule, x.{r} AS v FROM holdout" for r in RULES)
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT rid, regexp_extract_all(t, '{word}+') AS w FROM d),
+tri AS (SELECT rid, p, [w[p], w[p + 1], w[p + 2]] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM w WHERE len(w) >= 3)),
+rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, x) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT p + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+dl AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{word}') GROUP BY rid),
+b AS (SELECT d.rid, doc_id, stratum, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols, coalesce(dl.dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+ coalesce(dl.n, 0) AS lines, len(regexp_extract_all(t, '[A-Z]')) AS up, len(regexp_extract_all(t, '[a-z]')) AS low, len(regexp_extract_all(t, '!')) AS bang FROM d JOIN w USING (rid) LEFT JOIN cov ON cov.rid = d.rid LEFT JOIN dl ON dl.rid = d.rid),
+m AS MATERIALIZED (SELECT *, n_symbols / greatest(n_words, 1) AS symbol_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate, n_dup_lines / greatest(lines, 1) AS dup_line_rate, up / greatest(up + low, 1) AS upper_rate, bang / greatest(n_words, 1) AS shout_rate, word_chars / greatest(n_words, 1) AS word_length FROM b),
+lb AS (SELECT doc_id, CASE WHEN avg(quality) >= 0.5 THEN 1 ELSE 0 END AS label FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+holdout AS MATERIALIZED (SELECT m.doc_id, label, min({{'stratum': stratum, {', '.join(f"'{r}': {r}" for r in RULES)}}}) AS x FROM m JOIN lb USING (doc_id) GROUP BY m.doc_id, label),
+st AS MATERIALIZED (SELECT x.stratum AS stratum, count(*) AS good FROM holdout WHERE label = 1 GROUP BY x.stratum HAVING count(*) >= {least_holdouts(share, error)}),
+hv AS ({held}), cut(rule, k, c) AS (VALUES {cuts}), ord(rule, o) AS (VALUES {order}),
+cnt AS MATERIALIZED (SELECT st.stratum, st.good, cut.rule, cut.k, cut.c, count(*) FILTER (label = 1 AND v > c) AS g, count(*) FILTER (label = 0 AND v > c) AS bad FROM st JOIN hv USING (stratum) JOIN cut USING (rule) GROUP BY ALL),
+tail AS (SELECT stratum, rule, k, c, bad, CASE WHEN g >= good THEN 1.0 ELSE (SELECT sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({share}) + (good - i) * ln(1 - {share}))) FROM (SELECT unnest(range(g + 1)) AS i)) END AS p FROM cnt),
+ok AS (SELECT *, bool_and(p <= {error} / ({len(RULES)} * (SELECT count(*) FROM st))) OVER (PARTITION BY stratum, rule ORDER BY k) AS pass FROM tail),
+lim AS MATERIALIZED (SELECT stratum, rule, c FROM ok WHERE pass AND bad > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, c DESC) = 1),
+mv AS ({each.format(own="rid, stratum", source="m")}),
+hit AS (SELECT rid, string_agg(rule, ',' ORDER BY o) AS rejected_by FROM mv JOIN lim USING (stratum, rule) JOIN ord USING (rule) WHERE v > c GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM m LEFT JOIN hit USING (rid)"""
+
+
+OP5_SQL = _sql()
