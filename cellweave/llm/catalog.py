@@ -19,4 +19,5 @@ ORACLES: dict = {
     "op5_quality_rules": quality.OP5_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
+    "op8_language_id": langid.OP8_SQL,
 }

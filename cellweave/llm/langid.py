@@ -188,3 +188,32 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_profiles(training_rows(docs)))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+# CRC-32 of a decimal number, byte by byte over its table, since the dialect has no function for it.
+OP8_SQL = r"""
+WITH RECURSIVE ct(i, c, k) AS (
+  SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM ct WHERE k < 8
+), crc AS MATERIALIZED (SELECT i, c FROM ct WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS name, lower(coalesce(text, '')) AS t, lang FROM documents),
+cr(name, pos, c) AS (
+  SELECT DISTINCT name, 1, 4294967295::BIGINT FROM d UNION ALL
+  SELECT name, pos + 1, xor(cr.c >> 8, crc.c) FROM cr JOIN crc ON crc.i = xor(cr.c & 255, ord(substr(name, pos, 1))) WHERE pos <= length(name)
+), fold AS MATERIALIZED (SELECT name, xor(c, 4294967295) % 4 AS f FROM cr WHERE pos = length(name) + 1),
+tok AS MATERIALIZED (SELECT rid, tok, count(*) AS n FROM (SELECT rid, unnest(regexp_extract_all(t, '\p{L}+')) AS tok FROM d) GROUP BY ALL),
+pos AS (SELECT rid, ' ' || tok || ' ' AS p, n, length(tok) AS m, unnest(range(1, length(tok) + 2)) AS k FROM tok),
+gr AS MATERIALIZED (SELECT rid, g, sum(n) AS n FROM (
+  SELECT rid, substr(p, k + 1, 1) AS g, n FROM pos WHERE k <= m UNION ALL
+  SELECT rid, substr(p, k, 2), n FROM pos UNION ALL
+  SELECT rid, substr(p, k, 3), n FROM pos WHERE k <= m) GROUP BY ALL),
+train AS (SELECT rid, lang, name FROM d JOIN fold USING (name) WHERE f <> 2 AND lang IS NOT NULL),
+share AS (SELECT lang, least(1.0, 1000.0 / count(*)) AS share FROM train GROUP BY lang),
+chosen AS (SELECT rid, lang FROM train JOIN share USING (lang) WHERE CAST(('0x' || substr(md5('langid:' || name), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 < share),
+prof AS MATERIALIZED (SELECT lang, g, r FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r FROM chosen JOIN gr USING (rid) GROUP BY lang, g) WHERE r < 300),
+own AS MATERIALIZED (SELECT rid, g, r FROM (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, length(g), g) - 1 AS r FROM gr) WHERE r < 300),
+met AS (SELECT own.rid, prof.lang, sum(300 - abs(own.r - prof.r)) AS near FROM own JOIN prof ON prof.g = own.g GROUP BY ALL),
+apart AS (SELECT n.rid, l.lang, 300 * n.n - coalesce(near, 0) AS dist, n.n FROM (SELECT rid, count(*) AS n FROM own GROUP BY rid) n CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN met ON met.rid = n.rid AND met.lang = l.lang),
+best AS (SELECT rid, lang, 1 - dist / (300.0::DOUBLE * n) AS score FROM apart QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, lang) = 1)
+SELECT doc_id, f = 2 AS held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0)::DOUBLE AS score FROM d JOIN fold USING (name) LEFT JOIN best USING (rid)
+"""

@@ -68,12 +68,12 @@ def test_given_targets_and_sample(spark):
     found = mixing.mix(docs, even, rounds=12).collect()
     mass = sum(r.tokens * r.weight for r in found)
     assert abs(sum(r.tokens * r.weight for r in found if r.source == "hot") / mass - 0.2) < 0.02
-    kept = mixing.sample(docs)
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in mixing.mix(docs).collect() if r.selected)
+    kept = mixing.sample(docs, rounds=2)
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in mixing.mix(docs, rounds=2).collect() if r.selected)
     assert kept.columns == docs.columns and 30 < kept.count() < len(rows)
-    assert mixing.mix(docs.limit(0)).collect() == [] and mixing.sample(docs.limit(0)).collect() == []
+    assert mixing.mix(docs.limit(0), rounds=2).collect() == [] and mixing.sample(docs.limit(0), rounds=2).collect() == []
     empty = spark.createDataFrame([(1, None, None, None)], docs.schema)
-    assert [r.selected for r in mixing.mix(empty).collect()] == [False]
+    assert [r.selected for r in mixing.mix(empty, rounds=2).collect()] == [False]
 
 
 def test_calibrated_probabilities_meet_the_targets(spark):
@@ -92,15 +92,15 @@ def test_calibrated_probabilities_meet_the_targets(spark):
             off[name] = max(abs(sum(r.tokens * r.probability for r in found if r[m] == k) / mass - t**0.7 / total) for k, t in sums.items())
         assert off["calibrated"] < 1e-4
         assert m != "topic" or off["cut"] > 1e-3
-    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01).collect()) / sum(r.tokens for r in got) < 0.011
+    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01, rounds=2).collect()) / sum(r.tokens for r in got) < 0.011
 
 
 def test_columns_of_any_name_stay(spark):
     names = ["_own", "_in", "weight", "probability", "selected", "topic", "tokens", "mix_tokens", "key_lang", "factor", "a.b"]
     docs = spark.createDataFrame([(*r, *range(len(names))) for r in make(60)], f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` int' for n in names)}")
-    kept = mixing.sample(docs)
+    kept = mixing.sample(docs, rounds=2)
     assert kept.columns == docs.columns
-    chosen = {m.doc_id for m in mixing.mix(docs).collect() if m.selected}
+    chosen = {m.doc_id for m in mixing.mix(docs, rounds=2).collect() if m.selected}
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id in chosen)
 
 
@@ -108,7 +108,7 @@ def test_shortfall_says_which_targets_are_missed(spark):
     cells = spark.createDataFrame([("a", "en", "prose", 10), ("b", "de", "prose", 30)], "source string, lang string, topic string, tokens long")
     share = lambda m, **x: spark.createDataFrame(list(x.items()), f"{m} string, target double")
     targets = {"source": share("source", a=0.5, b=0.5), "lang": share("lang", en=0.2, de=0.8), "topic": share("topic", prose=1.0)}
-    found = {(r.margin, r.category): (r.target, round(r.share, 6)) for r in mixing.shortfall(mixing.rake(cells, targets), targets).collect()}
+    found = {(r.margin, r.category): (r.target, round(r.share, 6)) for r in mixing.shortfall(mixing.rake(cells, targets, 2), targets).collect()}
     assert found["lang", "en"] == (0.2, 0.2) and found["source", "a"] == (0.5, 0.2)  # source and language go together
 
 
@@ -123,5 +123,5 @@ def test_the_query(spark, tmp_path):
 
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(make(20), "doc_id long, text string, lang string, source string")
-    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = mixing.mix(docs, rounds=2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
