@@ -93,7 +93,7 @@ def trie_links(keys: np.ndarray, max_bits: int, shared: int = 0) -> tuple[np.nda
     keys: unsigned 64-bit, in any order, distinct. The trie is implicit: a node is a range of the sorted keys. Pairs
     of nodes go down together; a pair goes when its differing bits exceed max_bits, or when both nodes lie in one
     component already, so that a dense cloud of keys costs a forest of links and not all its pairs. Returns a star
-    for each component.
+    for each component. Memory: some 40 bytes a key, and CHUNK pairs of nodes a level.
     """
     keys = np.sort(keys)
     n = len(keys)
@@ -101,12 +101,11 @@ def trie_links(keys: np.ndarray, max_bits: int, shared: int = 0) -> tuple[np.nda
     if n < 2:
         return keys[:0], keys[:0]
     forest.steps = np.arange(n)
-    before: dict[int, np.ndarray] = {}
 
-    def ones_before(depth: int) -> np.ndarray:
-        if depth not in before:
-            before[depth] = np.concatenate([[0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
-        return before[depth]
+    def middle(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+        """Where the next bit turns to 1 in nodes whose keys are alike in the first `depth` bits."""
+        rest = np.uint64(63 - depth)
+        return np.clip(np.searchsorted(keys, ((keys[lo] >> rest) | np.uint64(1)) << rest), lo, hi)
 
     if shared:
         top = keys >> np.uint64(64 - shared)
@@ -134,8 +133,7 @@ def trie_links(keys: np.ndarray, max_bits: int, shared: int = 0) -> tuple[np.nda
             half = len(alo) // 2
             stack += [(depth, *(x[s] for x in (alo, ahi, blo, bhi, bits))) for s in (slice(half, None), slice(half))]
             continue
-        ones = ones_before(depth)
-        amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
+        amid, bmid = middle(alo, ahi, depth), middle(blo, bhi, depth)
         same = alo == blo
         cross = ~same
         two = np.concatenate
