@@ -21,7 +21,7 @@ KEY, TIE = 60, 56
 #: Bits of the key that the first round looks at, and further bits a round.
 FIRST, MORE = 12, 8
 #: What a splitter may be off, as a share of a shard's bytes, and the share beyond which copies of one text may be parted.
-TOLERANCE, GROUP = 0.005, 0.02
+TOLERANCE, GROUP = 0.0025, 0.01
 
 
 def _hash(text: Column, bits: int) -> Column:
