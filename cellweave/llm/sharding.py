@@ -99,7 +99,7 @@ def splitters(rows: DataFrame, n: int, part_bytes: int, tolerance: float = TOLER
             place = min(bounds, key=lambda b: (abs(n * b - k * total), b))
             at = bisect_right(bounds, k * total // n) - 1
             cell = cells[min(at, len(cells) - 1)]
-            whole = cell.single or (cell.bits >= KEY and n * cell.size <= group * total) or cell.bits >= KEY + TIE
+            whole = cell.single or (cell.bits == KEY and n * cell.size <= group * total) or cell.bits >= KEY + TIE
             if abs(n * place - k * total) <= tolerance * total or whole:
                 ends[k] = place
             else:
