@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,25 +11,45 @@ from .frames import Models
 from .staging import cut
 
 
+def consecutive(rows: DataFrame, keys: list[str], block: Column, order: list[str], carry: list[str]) -> DataFrame:
+    """(keys, one, two): each row of a key and the one after it, as structs of the order, the carried columns and the
+    block. Rows go by order, ties by what is carried; nulls come first.
+
+    block must not fall along the order. Rows meet by key and block, so that a busy key is many small groups; each
+    block's last row is then joined to the first of the key's next block, from one row a key and block.
+    """
+    r = rows.select(*keys, F.struct(*order, *carry, block.alias("block")).alias("one"))
+    within = W.partitionBy(*keys, "one.block").orderBy("one")
+    inside = r.withColumn("two", F.lead("one").over(within)).where("two IS NOT NULL")
+    return inside.union(seams(block_ends(r, keys), keys))
+
+
+def block_ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, first, last) of rows (keys, one), the struct of consecutive()."""
+    return rows.groupBy(*keys, F.col("one.block").alias("block")).agg(F.min("one").alias("first"), F.max("one").alias("last"))
+
+
+def seams(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, one, two): the last row of each block and the first of the key's next block."""
+    ahead = F.lead("first").over(W.partitionBy(*keys).orderBy("block"))
+    return ends.withColumn("two", ahead).where("two IS NOT NULL").select(*keys, F.col("last").alias("one"), "two")
+
+
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def event_jumps(events: DataFrame, per_user: bool = False) -> DataFrame:
     """(model_id, src, dst, n, us): how often an event of one type is followed by one of another, and after how many
     microseconds in all; over all users, or for each one.
 
-    A user's events in order of (ts, event_id). Events meet by user and day, so that a busy user is many small groups;
-    each day's last event is then joined to the first one of the user's next day with events, from one row a user and
-    day.
+    A user's events in order of (ts, event_id), in blocks of an hour: see consecutive(). Events without a time count
+    for nothing, those without a type part what is before and after them.
     """
-    e = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    e = e.where("us IS NOT NULL").withColumn("day", F.expr("us div 86400000000"))
-    w = W.partitionBy("user_id", "day").orderBy("us", "event_id")
-    inside = e.withColumn("dst", F.lead("event_type").over(w)).withColumn("after", F.lead("us").over(w))
-    pairs = inside.where("after IS NOT NULL").select("user_id", "event_type", "us", "dst", "after")
-    one = F.struct("us", "event_id", "event_type")
-    days = e.groupBy("user_id", "day").agg(F.min(one).alias("first"), F.max(one).alias("last"))
-    ahead = F.lead("first").over(W.partitionBy("user_id").orderBy("day"))
-    seams = days.withColumn("next", ahead).where("next IS NOT NULL").select("user_id", F.col("last.event_type").alias("event_type"), F.col("last.us").alias("us"), F.col("next.event_type").alias("dst"), F.col("next.us").alias("after"))
-    pairs = pairs.union(seams).where("dst IS NOT NULL AND event_type IS NOT NULL")
-    return pairs.groupBy(_model(per_user), F.col("event_type").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("after") - F.col("us")).alias("us"))
+    e = events.select("user_id", "event_id", "event_type", micros("ts").alias("us")).where("us IS NOT NULL")
+    pairs = consecutive(e, ["user_id"], F.expr("us div 3600000000"), ["us", "event_id"], ["event_type"])
+    pairs = pairs.where("one.event_type IS NOT NULL AND two.event_type IS NOT NULL")
+    return pairs.groupBy(_model(per_user), F.col("one.event_type").alias("src"), F.col("two.event_type").alias("dst")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("two.us") - F.col("one.us")).alias("us"))
 
 
 def _model(per_user: bool):
@@ -89,6 +109,7 @@ def trade_graph(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, sup
 
 def order_moves(orders: DataFrame) -> DataFrame:
     """(src, dst, pri, n): changes of status between a customer's consecutive orders, guarded by the first one's priority."""
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    pairs = orders.select("o_custkey", F.col("o_orderstatus").alias("src"), F.col("o_orderpriority").alias("pri"), F.lead("o_orderstatus").over(w).alias("dst"))
-    return pairs.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst", "pri").agg(F.count(F.lit(1)).alias("n"))
+    block = F.trunc(F.col("o_orderdate").cast("date"), "MM")
+    pairs = consecutive(orders, ["o_custkey"], block, ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+    moves = pairs.select(F.col("one.o_orderstatus").alias("src"), F.col("two.o_orderstatus").alias("dst"), F.col("one.o_orderpriority").alias("pri"))
+    return moves.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst", "pri").agg(F.count(F.lit(1)).alias("n"))

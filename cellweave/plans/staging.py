@@ -5,16 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a temporary folder, in local mode only: on a cluster no other machine
+    sees it."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is needed: a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cellweave-")
-        spark.sparkContext.setCheckpointDir(path)
-    path = f"{path}/cellweave/round-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written under the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cellweave/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
