@@ -17,7 +17,7 @@ from ..model import Network, parse_context, parse_goal
 from ..operators import diagrams, kernels, states, structure
 from ..sources import tools
 from ..sources.text import READERS
-from .frames import Models, kernel
+from .frames import Models, kernel, dealt
 
 
 def reduce_model(models: Models, goal: str) -> DataFrame:
@@ -230,8 +230,9 @@ def attractors(models: Models, cap: int = 200_000, most: int = states.LISTED) ->
 
 def cached(spark: SparkSession, folder: str, question: str, models: Models, answer) -> DataFrame:
     """answer(models), kept as Parquet under a hash of the question and the models' texts, and read back when asked again."""
-    texts = models.models.select(F.sha2("text", 256).alias("h")).agg(F.array_join(F.array_sort(F.collect_list("h")), "")).first()[0]
-    path = f"{folder}/{hashlib.sha256(f'{question}|{texts}'.encode()).hexdigest()}"
+    # sums of four 64-bit hashes, in any order; no row holds all models
+    sums = models.models.select(*(F.xxhash64("text", F.lit(k)).cast("decimal(38,0)").alias(f"h{k}") for k in range(4))).agg(F.count(F.lit(1)), *(F.sum(f"h{k}") for k in range(4))).first()
+    path = f"{folder}/{hashlib.sha256(f'{question}|{tuple(map(str, sums))}'.encode()).hexdigest()}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:
@@ -263,12 +264,10 @@ def _metric(metric: str) -> str:
 
 
 def sweep(models: Models, metric: str = "reachability", reps: int = 1) -> DataFrame:
-    """(model, automata, local_states, transitions, states, value, time_ms, note), smallest first: one job for all
-    models, one task a model. time_ms: the least of reps; note: why there is no value."""
+    """(model, automata, local_states, transitions, states, value, time_ms, note) of all models, in no order: models are
+    dealt out one by one. time_ms: the least of reps; note: why there is no value."""
     kind = _metric(metric)
-    rows = kernel(models.models.select("model_id", "text"), SWEEP, lambda net, q: [(q["model_id"], *_swept(net, kind, reps))])
-    # a row a model is little to sort; a global sort would sample, and so answer, everything twice
-    return rows.repartition(1).sortWithinPartitions("automata", "model")
+    return kernel(models.models.select("model_id", "text"), SWEEP, lambda net, q: [(q["model_id"], *_swept(net, kind, reps))])
 
 
 def sweep_texts(texts: DataFrame, metric: str = "reachability", reps: int = 1) -> DataFrame:
@@ -286,8 +285,7 @@ def sweep_texts(texts: DataFrame, metric: str = "reachability", reps: int = 1) -
                     rows.append((q.model_id, *[None] * (len(names) - 2), str(e)))
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    parts = min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return texts.repartition(parts, "model_id").mapInPandas(run, SWEEP).repartition(1).sortWithinPartitions("automata", "model")
+    return dealt(texts).mapInPandas(run, SWEEP)
 
 
 def ablation(models: Models, goals: list[str], start: str | None = None, budget: int = 256, reps: int = 1) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The queries over the driver's tables and the published fixtures, each with its SQL counterpart where SQL can express
+"""The queries over the driver's tables, each with its SQL counterpart where SQL can express
 it. Doubles are rounded to six places on both sides; sets are lists joined in order."""
 
 from __future__ import annotations
@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import Law, Move, Network
+from ..model import Move, Network
 from ..functions import scalars
 from ..operators import chains, diagrams, kernels, local, states, structure
-from ..sources.fixtures import GOALS, NETWORKS
 from ..sources.text import WRITERS
 from . import api, derive
 from .frames import Models, encode, kernel, state_text
@@ -30,29 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _values(rows) -> str:
-    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
-
-
-def _fixture_sql(nets: dict[str, Network] = NETWORKS) -> str:
-    """The fixtures as tables: a (automata), m (transitions), ph (their laws' phases), c (conditions), i (initial), q
-    (goals), and g (guards)."""
-    a = [(n, x, net.levels[x]) for n, net in nets.items() for x in net.automata]
-    m = [(n, t, x.automaton, x.source, x.target, float(x.law.rate), x.law.kind) for n, net in nets.items() for t, x in enumerate(net.transitions)]
-    ph = [(n, t, k, float(r)) for n, net in nets.items() for t, x in enumerate(net.transitions) for k, r in enumerate(x.law.rates)]
-    c = [(n, t, k, b, v) for n, net in nets.items() for t, x in enumerate(net.transitions) for k, (b, v) in enumerate(x.conditions)]
-    i = [(n, x, v) for n, net in nets.items() for x, own in sorted((net.initial or {}).items()) for v in sorted(own)]
-    return f"""WITH RECURSIVE a0(model_id, automaton, levels) AS {_values(a)},
-m0(model_id, tid, automaton, f, t, rate, kind) AS {_values(m)},
-ph0(model_id, tid, k, r) AS {_values(ph)},
-ph AS MATERIALIZED (SELECT model_id, tid, k, CAST(r AS DOUBLE) AS r FROM ph0),
-c(model_id, tid, k, automaton, level) AS {_values(c)},
-i(model_id, automaton, level) AS {_values(i)},
-q(query_id, model_id, automaton, level) AS {_values(GOALS)},
-{_NETWORK_SQL}"""
-
-
 #: From a0, m0, c and i.
 _NETWORK_SQL = """m AS MATERIALIZED (SELECT model_id, tid, automaton, f, t, CAST(rate AS DOUBLE) AS rate, kind FROM m0),
 a AS MATERIALIZED (SELECT *, CAST(coalesce(product(levels) OVER w, 1) AS BIGINT) AS stride, CAST(coalesce(product(levels + 1) OVER w, 1) AS BIGINT) AS stride1 FROM a0
@@ -63,7 +39,17 @@ reg AS MATERIALIZED (SELECT DISTINCT m.model_id, c.automaton AS regulator, m.aut
 inf AS MATERIALIZED (SELECT model_id, src, dst, CASE WHEN min(s) = max(s) THEN min(s) ELSE 0 END AS sign FROM (SELECT m.model_id, c.automaton AS src, m.automaton AS dst, CASE WHEN (m.t >= m.f) = (c.level >= a.levels / 2.0) THEN 1 ELSE -1 END AS s FROM m JOIN c USING (model_id, tid) JOIN a ON a.model_id = m.model_id AND a.automaton = c.automaton WHERE c.automaton <> m.automaton) GROUP BY ALL)"""
 
 
-FX = _fixture_sql()
+# A network for each user, from the events: a (automata), m (transitions), c (conditions), i (initial), q (goals), g (guards).
+FX = f"""WITH RECURSIVE pairs AS (SELECT user_id, event_type AS src, lead(event_type) OVER w AS dst FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+jn AS MATERIALIZED (SELECT 'u' || user_id AS model_id, src, dst, count(*) AS n FROM pairs WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL),
+sd AS MATERIALIZED (SELECT x.model_id, x.dst AS automaton, x.src AS regulator, CASE WHEN x.n >= coalesce(y.n, 0) THEN 1 ELSE 0 END AS up FROM (SELECT *, row_number() OVER (PARTITION BY model_id, dst ORDER BY n DESC, src) AS k FROM jn WHERE src <> dst) x LEFT JOIN jn y ON y.model_id = x.model_id AND y.src = x.dst AND y.dst = x.src WHERE k = 1),
+a0 AS MATERIALIZED (SELECT model_id, automaton, 2 AS levels FROM (SELECT model_id, src AS automaton FROM jn UNION SELECT model_id, dst FROM jn)),
+sm0 AS MATERIALIZED (SELECT model_id, automaton, f, regulator, CASE WHEN f = 0 THEN up ELSE 1 - up END AS need, row_number() OVER (PARTITION BY model_id ORDER BY automaton, f) - 1 AS tid FROM sd, (SELECT unnest([0, 1]) AS f)),
+m0 AS (SELECT model_id, tid, automaton, f, 1 - f AS t, 1.0 AS rate, 'exp' AS kind FROM sm0),
+c AS MATERIALIZED (SELECT model_id, tid, 0 AS k, regulator AS automaton, need AS level FROM sm0),
+i AS MATERIALIZED (SELECT a0.model_id, a0.automaton, CASE WHEN a0.automaton = b.begun THEN 1 ELSE 0 END AS level FROM a0 JOIN (SELECT 'u' || user_id AS model_id, arg_min(event_type, (ts, event_id)) AS begun FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) b USING (model_id)),
+{_NETWORK_SQL},
+q AS MATERIALIZED (SELECT model_id || ' ' || automaton AS query_id, model_id, automaton, 1 AS level FROM a0 WHERE automaton IN ('purchase', 'error'))"""
 #: The whole state graph: st (states), e (edges), s0 (starts), r (reachable states), name.
 _GRAPH = """{fx},
 size AS (SELECT model_id, CAST(product(levels) AS BIGINT) AS n FROM a GROUP BY model_id),
@@ -74,21 +60,20 @@ s0 AS MATERIALIZED (SELECT st.model_id, st.sid FROM st WHERE NOT EXISTS (SELECT
 r AS (SELECT model_id, sid FROM s0 UNION SELECT e.model_id, e.dst FROM r JOIN e ON e.model_id = r.model_id AND e.sid = r.sid),
 name AS MATERIALIZED (SELECT st.model_id, st.sid, string_agg(a.automaton || '=' || (st.sid // a.stride) % a.levels, ', ' ORDER BY a.automaton) AS state FROM st JOIN a USING (model_id) GROUP BY ALL)"""
 GRAPH = _GRAPH.format(fx=FX)
-#: The same with laws of several phases expanded.
-WIDE = _GRAPH.format(fx=_fixture_sql({n: net.expanded() for n, net in NETWORKS.items()}))
-
-
-def fixtures(spark: SparkSession) -> Models:
-    return Models.of(spark, NETWORKS)
+def networks(spark, sf_dir) -> Models:
+    """A Boolean network of event types for each user."""
+    return derive.user_networks(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def goals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(GOALS), "query_id string, model_id string, automaton string, level int")
+def goals(models: Models) -> DataFrame:
+    """That a purchase gets active, and that an error does, in each network that has them."""
+    asked = models.automata.where("automaton IN ('purchase', 'error')")
+    return asked.select(F.concat_ws(" ", "model_id", "automaton").alias("query_id"), "model_id", "automaton", F.lit(1).alias("level"))
 
 
-def goal_models(spark: SparkSession) -> DataFrame:
+def goal_models(models: Models) -> DataFrame:
     """goals with their network's text, for kernels."""
-    return goals(spark).join(fixtures(spark).models.select("model_id", "text"), "model_id").select("query_id", "model_id", "automaton", "level", "text")
+    return goals(models).join(models.models.select("model_id", "text"), "model_id").select("query_id", "model_id", "automaton", "level", "text")
 
 
 # Chains derived from events.
@@ -174,17 +159,17 @@ def ctmc_by_joins(spark, sf_dir):
 
 @query(f"""{FX} SELECT model_id, count(*) AS automata, CAST(sum(levels) AS BIGINT) AS local_states, (SELECT count(*) FROM m WHERE m.model_id = a.model_id) AS transitions, count(*) FILTER (levels > 2) AS multivalued FROM a GROUP BY model_id""")
 def model_info(spark, sf_dir):
-    return structure.info(fixtures(spark))
+    return structure.info(networks(spark, sf_dir))
 
 
 @query(f"{FX} SELECT * FROM reg")
 def regulators(spark, sf_dir):
-    return structure.regulators(fixtures(spark))
+    return structure.regulators(networks(spark, sf_dir))
 
 
 @query(f"{FX} SELECT * FROM inf")
 def interaction_graph(spark, sf_dir):
-    return structure.influences(fixtures(spark))
+    return structure.influences(networks(spark, sf_dir))
 
 
 @query(f"""{FX}, n AS (SELECT model_id, count(*) AS n FROM a GROUP BY ALL), cl AS (SELECT model_id, src, dst FROM inf UNION SELECT cl.model_id, cl.src, inf.dst FROM cl JOIN inf ON inf.model_id = cl.model_id AND inf.src = cl.dst),
@@ -194,7 +179,7 @@ SELECT n.model_id, n.n AS automata, (SELECT CAST(sum(levels) AS BIGINT) FROM a W
  coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM inf WHERE inf.model_id = n.model_id GROUP BY dst)), 0) AS max_in_degree, coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM inf WHERE inf.model_id = n.model_id GROUP BY src)), 0) AS max_out_degree,
  (SELECT count(DISTINCT comp) FROM comp WHERE comp.model_id = n.model_id) AS feedback_components FROM n""")
 def model_stats(spark, sf_dir):
-    return structure.stats(fixtures(spark)).withColumn("density", F.round("density", 6))
+    return structure.stats(networks(spark, sf_dir)).withColumn("density", F.round("density", 6))
 
 
 _TRADE = """li AS (SELECT s_nationkey AS sn, c_nationkey AS cn, l_extendedprice AS x, l_discount AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey),
@@ -227,7 +212,7 @@ cyc AS (SELECT DISTINCT walk.model_id, list_aggregate(list_sort(path), 'string_a
 
 @query(f"{FX}, {_CIRCUITS.format(g='inf')} SELECT * FROM cyc")
 def circuits(spark, sf_dir):
-    return structure.circuits(structure.influences(fixtures(spark))).select("model_id", "nodes", "sign")
+    return structure.circuits(structure.influences(networks(spark, sf_dir))).select("model_id", "nodes", "sign")
 
 
 @query(f"WITH RECURSIVE {_TRADE.format(top=2)}, {_CIRCUITS.format(g='tr')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative, false AS truncated FROM cyc GROUP BY model_id")
@@ -240,7 +225,7 @@ _CONE = "cone AS (SELECT query_id, model_id, automaton AS node FROM q UNION SELE
 
 @query(f"{FX}, {_CONE} SELECT query_id, model_id, node FROM cone")
 def cone(spark, sf_dir):
-    return structure.cones(fixtures(spark), goals(spark))
+    return structure.cones(models := networks(spark, sf_dir), goals(models))
 
 
 _PART = """SELECT DISTINCT k0.query_id, text FROM {cone} k0 JOIN m ON m.model_id = k0.model_id AND m.automaton = k0.node JOIN txt ON txt.model_id = m.model_id AND txt.tid = m.tid
@@ -258,42 +243,52 @@ def _parts(models: Models, asked: DataFrame) -> DataFrame:
 @query(f"{FX}, {_CONE} {_PART.format(cone='cone')}")
 def reduce(spark, sf_dir):
     """For every goal, its network without what the goal does not depend on."""
-    return _parts(fixtures(spark), goals(spark))
+    return _parts(models := networks(spark, sf_dir), goals(models))
 
 
 @query(f"{FX}, sl AS (SELECT model_id || ' ' || automaton AS query_id, model_id, automaton AS node FROM a UNION SELECT query_id, sl.model_id, regulator FROM sl JOIN reg ON reg.model_id = sl.model_id AND reg.automaton = sl.node) {_PART.format(cone='sl')}")
 def slice(spark, sf_dir):
-    """Every fixture cut down to what each of its automata depends on."""
-    models = fixtures(spark)
+    """Every network cut down to what each of its automata depends on."""
+    models = networks(spark, sf_dir)
     return _parts(models, models.automata.select(F.concat_ws(" ", "model_id", "automaton").alias("query_id"), "model_id", "automaton"))
 
 
-#: The fixtures, with expanded laws, and with their first automaton frozen.
-_VARIANTS = {**NETWORKS, **{f"{n}/wide": net.expanded() for n, net in NETWORKS.items()}, **{f"{n}/still": net.frozen(net.automata[0], 0) for n, net in NETWORKS.items()}}
-
-
-@query(f"""{_fixture_sql(_VARIANTS)}, p AS MATERIALIZED (SELECT l || ' ' || r AS pair, l, r FROM (SELECT DISTINCT model_id AS l FROM a) x, (SELECT DISTINCT model_id AS r FROM a) y WHERE l <> r),
+@query(f"""{FX}, p AS MATERIALIZED (SELECT l || ' ' || r AS pair, l, r FROM (SELECT model_id AS l, lead(model_id) OVER (ORDER BY CAST(substr(model_id, 2) AS BIGINT)) AS r FROM (SELECT DISTINCT model_id FROM a)) WHERE r IS NOT NULL),
 la AS (SELECT pair, automaton, levels FROM p JOIN a ON a.model_id = p.l), ra AS (SELECT pair, automaton, levels FROM p JOIN a ON a.model_id = p.r), lt AS (SELECT DISTINCT pair, text FROM p JOIN txt ON txt.model_id = p.l), rt AS (SELECT DISTINCT pair, text FROM p JOIN txt ON txt.model_id = p.r)
 SELECT pair, 'only_left' AS change, automaton AS item FROM la ANTI JOIN ra USING (pair, automaton) UNION ALL SELECT pair, 'only_right', automaton FROM ra ANTI JOIN la USING (pair, automaton)
 UNION ALL SELECT pair, 'levels', automaton || ': ' || la.levels || ' -> ' || ra.levels FROM la JOIN ra USING (pair, automaton) WHERE la.levels <> ra.levels
 UNION ALL SELECT pair, 'added', text FROM rt ANTI JOIN lt USING (pair, text) UNION ALL SELECT pair, 'removed', text FROM lt ANTI JOIN rt USING (pair, text)""")
 def model_diff(spark, sf_dir):
-    """Every fixture and variant of one against every other."""
-    models = Models.of(spark, _VARIANTS)
-    ids = models.models.select(F.col("model_id").alias("l")).crossJoin(models.models.select(F.col("model_id").alias("r"))).where("l <> r")
-    return structure.diff_pairs(models, ids.withColumn("pair", F.concat_ws(" ", "l", "r")))
-
-
-_BAD = {
-    "no levels": Network("no levels", {"a": 0, "b": 2}, {"b": [Move("b", 0, 1)]}),
-    "ranges": Network("ranges", {"a": 2, "b": 3}, {"a": [Move("a", 0, 5), Move("a", 2, 0), Move("a", 0, 1, (("b", 3), ("b", -1))), Move("a", 1, 0, (("b", 2),))], "b": [Move("b", 0, 0), Move("b", -1, 1)]}),
-    "laws": Network("laws", {"a": 2}, {"a": [Move("a", 0, 1, (), Law.exp(-1)), Move("a", 1, 0, (), Law.exp(0)), Move("a", 1, 0, (), Law.phase((1, -2))), Move("a", 0, 1, (), Law.phase(()))]}),
-    "unknown": Network("unknown", {"a": 2, "lone": 2}, {"a": [Move("a", 0, 1, (("x", 0), ("y", 1))), Move("a", 1, 1, (("x", 7),))]}),
-    **NETWORKS,
-}
-
-
-@query(f"""{_fixture_sql(_BAD)}, own AS (SELECT m.*, text, levels FROM m JOIN txt USING (model_id, tid) LEFT JOIN a USING (model_id, automaton))
+    """Each user's network against the next user's."""
+    models = networks(spark, sf_dir)
+    ids = models.models.select(F.col("model_id").alias("l"), F.substring("model_id", 2, 20).cast("long").alias("user"))
+    # users in blocks, and the seams between them
+    pairs = derive.consecutive(ids.withColumn("all", F.lit(0)), ["all"], F.expr("user div 1000"), ["user"], ["l"]).select(F.col("one.l").alias("l"), F.col("two.l").alias("r"))
+    return structure.diff_pairs(models, pairs.withColumn("pair", F.concat_ws(" ", "l", "r")))
+
+
+# The users' networks with a fault in most transitions, by their number, and an automaton without levels where the id is short.
+_FLAWED = (
+    FX.replace("SELECT model_id, automaton, 2 AS levels FROM (", "SELECT model_id, automaton, CASE WHEN automaton = 'view' AND length(model_id) = 2 THEN 0 ELSE 2 END AS levels FROM (")
+    .replace("SELECT model_id, tid, automaton, f, 1 - f AS t, 1.0 AS rate", "SELECT model_id, tid, automaton, CASE tid % 8 WHEN 0 THEN 5 ELSE f END AS f, CASE tid % 8 WHEN 1 THEN -1 WHEN 6 THEN f ELSE 1 - f END AS t, 1.0 AS rate")
+    .replace("SELECT model_id, tid, 0 AS k, regulator AS automaton, need AS level FROM sm0", "SELECT model_id, tid, 0 AS k, CASE tid % 8 WHEN 4 THEN 'x' ELSE regulator END AS automaton, CASE tid % 8 WHEN 5 THEN 9 ELSE need END AS level FROM sm0")
+    + ",\nph AS MATERIALIZED (SELECT model_id, tid, CASE tid % 8 WHEN 2 THEN -1.0 ELSE 1.0 END AS r FROM m WHERE tid % 8 <> 3)"
+)
+
+
+def _flawed(models: Models) -> Models:
+    by = lambda *pairs, other: F.when(F.col("tid") % 8 == pairs[0][0], pairs[0][1]).otherwise(other) if len(pairs) == 1 else F.when(F.col("tid") % 8 == pairs[0][0], pairs[0][1]).otherwise(by(*pairs[1:], other=other))
+    law = lambda rates: F.struct(F.lit("phase").alias("kind"), F.size(rates).alias("phases"), rates.alias("rates"))
+    condition = F.transform("conditions", lambda c: F.struct(by((4, F.lit("x")), other=c["automaton"]).alias("automaton"), by((5, F.lit(9)), other=c["level"]).alias("level")))
+    t = models.transitions.select(
+        "model_id", "tid", "automaton", by((0, F.lit(5)), other=F.col("from_level")).alias("from_level"), by((1, F.lit(-1)), (6, F.col("from_level")), other=F.col("to_level")).alias("to_level"),
+        condition.alias("conditions"), by((2, law(F.array(F.lit(-1.0)))), (3, law(F.array().cast("array<double>"))), other=F.col("dist")).alias("dist"), "rate",
+    )
+    levels = F.when((F.col("automaton") == "view") & (F.length("model_id") == 2), 0).otherwise(F.col("levels"))
+    return Models(models.automata.withColumn("levels", levels), t, models.initial, models.models)
+
+
+@query(f"""{_FLAWED}, own AS (SELECT m.*, text, levels FROM m JOIN txt USING (model_id, tid) LEFT JOIN a USING (model_id, automaton))
 SELECT model_id, 'error' AS severity, automaton || ': no level' AS message FROM a WHERE levels < 1
 UNION ALL SELECT model_id, 'error', text || ': source level out of range' FROM own WHERE f >= levels OR f < 0
 UNION ALL SELECT model_id, 'error', text || ': target level out of range' FROM own WHERE t >= levels OR t < 0
@@ -304,29 +299,37 @@ UNION ALL SELECT c.model_id, 'error', text || ': level of ' || c.automaton || '
 UNION ALL SELECT model_id, 'warning', automaton || ': no transition' FROM a ANTI JOIN m USING (model_id, automaton)
 UNION ALL SELECT model_id, 'warning', text || ': stays where it is' FROM own WHERE f = t""")
 def validate(spark, sf_dir):
-    """The fixtures and some networks with every fault there is."""
-    return structure.validate(Models.of(spark, _BAD))
+    """The users' networks with every fault there is."""
+    return structure.validate(_flawed(networks(spark, sf_dir)))
 
 
 @query(f"""{FX}, law AS (SELECT model_id, tid, CASE kind WHEN 'erlang' THEN 'erlang(2, 4.0)' ELSE CAST(rate AS VARCHAR) END AS law FROM m)
-SELECT model_id, '0' AS line, 'model "' || model_id || '"' AS text FROM (SELECT DISTINCT model_id FROM a)
-UNION ALL SELECT model_id, '1' || automaton, 'automaton ' || automaton || ' [' || list_aggregate(range(levels), 'string_agg', ', ') || ']' FROM a
+SELECT model_id, '1' || automaton AS line, 'automaton ' || automaton || ' [' || list_aggregate(range(levels), 'string_agg', ', ') || ']' AS text FROM a
 UNION ALL SELECT model_id, '2' || lpad(CAST(tid AS VARCHAR), 9, '0'), text || ' @ ' || law FROM txt JOIN law USING (model_id, tid)
 UNION ALL SELECT model_id, '3', 'init ' || string_agg(automaton || '=' || level, ', ' ORDER BY automaton, level) FROM i GROUP BY model_id""")
 def anx_render(spark, sf_dir):
-    return structure.render_anx(fixtures(spark))
+    return structure.render_anx(networks(spark, sf_dir))
+
+
+# The users' networks with laws of one, two and three phases in turn.
+_PHASED = FX.replace("1.0 AS rate, 'exp' AS kind FROM sm0", "CASE (tid + length(automaton)) % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 1 / 3.5 END AS rate, CASE (tid + length(automaton)) % 3 WHEN 0 THEN 'exp' WHEN 1 THEN 'erlang' ELSE 'phase' END AS kind FROM sm0")
+_PHASED += ",\nph AS MATERIALIZED (SELECT model_id, tid, k, r::DOUBLE AS r FROM (SELECT model_id, tid, unnest(CASE kind WHEN 'exp' THEN [1.5] WHEN 'erlang' THEN [4.0, 4.0] ELSE [1.0, 2.0, 0.5] END) AS r, unnest(CASE kind WHEN 'exp' THEN [0] WHEN 'erlang' THEN [0, 1] ELSE [0, 1, 2] END) AS k FROM m))"
 
 
-#: The fixtures with laws of one, two and three phases in turn.
-_PHASED = {n: Network(net.name, net.levels, {a: [Move(m.automaton, m.source, m.target, m.conditions, (Law.exp(1.5), Law.erlang(2, 4.0), Law.phase((1.0, 2.0, 0.5)))[(k + len(a)) % 3]) for k, m in enumerate(own)] for a, own in net.moves.items()}, net.initial) for n, net in NETWORKS.items()}
+def _phased(models: Models) -> Models:
+    law = lambda kind, rate, *rates: F.struct(F.struct(F.lit(kind).alias("kind"), F.lit(len(rates)).alias("phases"), F.array(*map(F.lit, rates)).alias("rates")).alias("dist"), F.lit(rate).alias("rate"))
+    kind = (F.col("tid") + F.length("automaton")) % 3
+    one = F.when(kind == 0, law("exp", 1.5, 1.5)).when(kind == 1, law("erlang", 2.0, 4.0, 4.0)).otherwise(law("phase", 1 / 3.5, 1.0, 2.0, 0.5))
+    t = models.transitions.drop("dist", "rate").withColumn("law", one).select("*", "law.dist", "law.rate").drop("law")
+    return Models(models.automata, t, models.initial, models.models)
 
 
-@query(f"""{_fixture_sql(_PHASED)}, n AS (SELECT model_id, tid, count(*) AS n FROM ph GROUP BY ALL),
+@query(f"""{_PHASED}, n AS (SELECT model_id, tid, count(*) AS n FROM ph GROUP BY ALL),
 b AS (SELECT m.*, a.levels + coalesce(sum(n - 1) OVER (PARTITION BY m.model_id, m.automaton ORDER BY m.tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, n FROM m JOIN n USING (model_id, tid) JOIN a USING (model_id, automaton))
 SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY tid, k) - 1 AS INTEGER) AS tid, automaton, CAST(CASE WHEN k = 0 THEN f ELSE base + k - 1 END AS INTEGER) AS from_level, CAST(CASE WHEN k = n - 1 THEN t ELSE base + k END AS INTEGER) AS to_level,
  CASE WHEN k = 0 THEN (SELECT count(*) FROM c WHERE c.model_id = b.model_id AND c.tid = b.tid) ELSE 0 END AS conditions, r AS rate FROM b JOIN ph USING (model_id, tid)""")
 def expand_phase_type(spark, sf_dir):
-    wide = structure.expand_phases(Models.of(spark, _PHASED))
+    wide = structure.expand_phases(_phased(networks(spark, sf_dir)))
     return wide.transitions.select("model_id", "tid", "automaton", "from_level", "to_level", F.size("conditions").cast("long").alias("conditions"), "rate")
 
 
@@ -344,14 +347,17 @@ def order_network(spark, sf_dir):
 @query(f"{FX} SELECT model_id, tid, CAST(1 AS DOUBLE) AS rate, round(exp(ln(0.1) + CAST(('0x' || substr(md5('7|' || model_id || '|' || tid), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 * (ln(5.0) - ln(0.1))), 6) AS drawn FROM m")
 def assign_rates(spark, sf_dir):
     """Unit rates, and rates drawn between 0.1 and 5."""
-    drawn = structure.assign_rates(fixtures(spark), 0.1, 5.0, 7).select("model_id", "tid", F.round("rate", 6).alias("drawn"))
-    return structure.assign_rates(fixtures(spark)).select("model_id", "tid", "rate").join(drawn, ["model_id", "tid"])
+    drawn = structure.assign_rates(networks(spark, sf_dir), 0.1, 5.0, 7).select("model_id", "tid", F.round("rate", 6).alias("drawn"))
+    return structure.assign_rates(networks(spark, sf_dir)).select("model_id", "tid", "rate").join(drawn, ["model_id", "tid"])
 
 
-@query(f"""{FX} SELECT 'left' AS variant, model_id, 'levels' AS loss, string_agg(automaton, ', ' ORDER BY automaton) AS what FROM a WHERE levels <> 2 GROUP BY model_id
-UNION ALL SELECT DISTINCT 'left', model_id, 'rates', '' FROM m WHERE kind <> 'exp' OR rate <> 1.0""")
+@query(f"""{_PHASED}, x AS (SELECT model_id, automaton, sum(n - 1) AS more FROM (SELECT model_id, tid, count(*) AS n FROM ph GROUP BY ALL) JOIN m USING (model_id, tid) GROUP BY ALL HAVING sum(n - 1) > 0)
+SELECT 'left' AS variant, model_id, 'levels' AS loss, string_agg(automaton, ', ' ORDER BY automaton) AS what FROM x GROUP BY model_id
+UNION ALL SELECT DISTINCT 'left', model_id, 'rates', '' FROM ph WHERE r <> 1.0""")
 def projection_losses(spark, sf_dir):
-    return structure.projection_losses(fixtures(spark)).select(F.lit("left").alias("variant"), "model_id", "loss", "what")
+    """What is lost of the users' networks with expanded laws."""
+    wide = structure.expand_phases(_phased(networks(spark, sf_dir)))
+    return structure.projection_losses(wide).select(F.lit("left").alias("variant"), "model_id", "loss", "what")
 
 
 _STEP = "WITH {t}, v AS (SELECT DISTINCT src AS node, length(src) / 10.0 AS value FROM tr), w AS (SELECT src, dst, revenue / 1e6 AS w FROM tr) SELECT dst AS node, {f} AS value FROM w JOIN v ON v.node = w.src GROUP BY dst"
@@ -377,14 +383,14 @@ for _kind, _f in (("tropical", "round(min(w + value), 6)"), ("viterbi", "round(m
 
 @query(f"{GRAPH} SELECT e.model_id, n.state, e.tid, x.state AS next FROM e JOIN name n ON n.model_id = e.model_id AND n.sid = e.sid JOIN name x ON x.model_id = e.model_id AND x.sid = e.dst")
 def state_successors(spark, sf_dir):
-    spaces, transitions = encode(fixtures(spark))
+    spaces, transitions = encode(networks(spark, sf_dir))
     found = states.successors(states.all_states(spaces), transitions).join(spaces, "model_id")
     return found.select("model_id", state_text().alias("state"), "tid", state_text("dst").alias("next"))
 
 
 @query(f"{GRAPH} SELECT model_id, state FROM r JOIN name USING (model_id, sid)")
 def reachable_states(spark, sf_dir):
-    models = fixtures(spark)
+    models = networks(spark, sf_dir)
     return states.reachable(models).join(encode(models)[0], "model_id").select("model_id", state_text().alias("state"))
 
 
@@ -393,12 +399,12 @@ _FIX = "fx AS (SELECT model_id, sid FROM st EXCEPT SELECT model_id, sid FROM e)"
 
 @query(f"{GRAPH}, {_FIX} SELECT model_id, state, false AS truncated FROM fx JOIN name USING (model_id, sid)")
 def fixpoints(spark, sf_dir):
-    return states.fixpoints(fixtures(spark))
+    return states.fixpoints(networks(spark, sf_dir))
 
 
 @query(f"{GRAPH}, {_FIX} SELECT model_id, (SELECT count(*) FROM fx WHERE fx.model_id = size.model_id) AS fixpoints FROM size")
 def fixpoint_count(spark, sf_dir):
-    return states.fixpoint_counts(fixtures(spark)).withColumn("fixpoints", F.col("fixpoints").cast("long"))
+    return states.fixpoint_counts(networks(spark, sf_dir)).withColumn("fixpoints", F.col("fixpoints").cast("long"))
 
 
 _TRAP = f"""{FX}, size1 AS (SELECT model_id, CAST(product(levels + 1) AS BIGINT) AS n FROM a GROUP BY ALL), ps AS MATERIALIZED (SELECT model_id, unnest(range(n)) AS sid FROM size1),
@@ -411,13 +417,13 @@ nm AS MATERIALIZED (SELECT model_id, sid, coalesce(string_agg(automaton || '=' |
 
 @query(f"{_TRAP} SELECT model_id, space, false AS truncated FROM nm")
 def trap_spaces(spark, sf_dir):
-    return states.trap_spaces(fixtures(spark))
+    return states.trap_spaces(networks(spark, sf_dir))
 
 
 @query(f"""{_TRAP}, ins AS (SELECT p.model_id, p.sid AS outer_sid, x.sid AS inner_sid FROM dg p JOIN dg x ON p.model_id = x.model_id AND p.automaton = x.automaton AND p.sid <> x.sid GROUP BY ALL HAVING bool_and(p.d = 0 OR p.d = x.d))
 SELECT model_id, space, false AS truncated FROM nm WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.model_id = nm.model_id AND ins.outer_sid = nm.sid)""")
 def trap_spaces_minimal(spark, sf_dir):
-    return states.trap_spaces(fixtures(spark), minimal=True)
+    return states.trap_spaces(networks(spark, sf_dir), minimal=True)
 
 
 # What a state reaches shrinks along its runs; a state whose every successor reaches as much is in a terminal component.
@@ -427,7 +433,7 @@ att AS MATERIALIZED (SELECT cl.model_id, cl.x, any_value(a.low) AS low, any_valu
 SELECT att.model_id, n AS size, string_agg(state, ' | ' ORDER BY state) AS states, false AS truncated FROM att JOIN name ON name.model_id = att.model_id AND name.sid = att.x GROUP BY att.model_id, low, n""")
 def attractors(spark, sf_dir):
     """Terminal components, one task a model."""
-    return _attractors(fixtures(spark))
+    return _attractors(networks(spark, sf_dir))
 
 
 def _attractors(models: Models) -> DataFrame:
@@ -443,11 +449,13 @@ bit AS MATERIALIZED (SELECT *, 1::BIGINT << (row_number() OVER (PARTITION BY mod
 mask0 AS MATERIALIZED (SELECT model_id, bit_or(bit) AS seed FROM init JOIN bit USING (model_id, automaton, level) GROUP BY ALL),
 rule AS MATERIALIZED (SELECT m.model_id, m.tid, m.automaton, any_value(tb.bit) AS target, bit_or(bit.bit) AS need FROM m JOIN g USING (model_id, tid) JOIN bit ON bit.model_id = g.model_id AND bit.automaton = g.automaton AND bit.level = g.level JOIN bit tb ON tb.model_id = m.model_id AND tb.automaton = m.automaton AND tb.level = m.t GROUP BY ALL)"""
 _GROW = "grow AS (SELECT {key}, model_id, {seed} AS mask, 0 AS k FROM {base} UNION ALL SELECT {gk}, grow.model_id, grow.mask | coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = grow.model_id AND (grow.mask & need) = need {but}), 0) {free}, k + 1 FROM grow {join} WHERE k < 25)"
+#: The goals that are possible at all; the others have no cut sets, and no mutation disables them.
+_CAN = f""", {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='').replace('grow', 'grow0')}, can AS MATERIALIZED (SELECT gb.query_id FROM gb JOIN grow0 ON grow0.model_id = gb.model_id AND k = 25 AND (grow0.mask & goal) <> 0)"""
 
 
 @query(f"{FX}, {_OA}, {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='')} SELECT grow.model_id, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25")
 def may_reach(spark, sf_dir):
-    return local.may_reach(fixtures(spark)).drop("variant")
+    return local.may_reach(networks(spark, sf_dir)).drop("variant")
 
 
 @query(f"""{FX}, {_OA}, base AS (SELECT b.model_id, b.automaton || '=' || b.level AS variant, seed & ~b.bit AS seed, b.bit AS blk FROM bit b JOIN mask0 USING (model_id)),
@@ -455,38 +463,38 @@ grow AS (SELECT model_id, variant, seed AS mask, blk, 0 AS k FROM base UNION ALL
 SELECT grow.model_id, variant, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25""")
 def may_reach_blocked(spark, sf_dir):
     """Every local state blocked in turn, all variants in one job."""
-    models = fixtures(spark)
+    models = networks(spark, sf_dir)
     each = models.automata.select("model_id", "automaton", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     return local.may_reach(models, each.withColumn("variant", F.format_string("%s=%d", "automaton", "level")))
 
 
-@query(f"""{FX}, {_OA}, gb AS (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)),
+@query(f"""{FX}, {_OA}, gb AS (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)){_CAN},
 base AS (SELECT query_id, gb.model_id, b.automaton || '=' || b.level AS member, seed AS mask, b.bit AS blk, goal FROM gb JOIN mask0 USING (model_id) JOIN bit b ON b.model_id = gb.model_id WHERE (b.bit & seed) = 0 AND b.bit <> goal),
 grow AS (SELECT *, 0 AS k FROM base UNION ALL SELECT query_id, grow.model_id, member, grow.mask | (coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = grow.model_id AND (grow.mask & need) = need), 0) & ~blk), blk, goal, k + 1 FROM grow WHERE k < 25)
-SELECT query_id, member FROM grow WHERE k = 25 AND (mask & goal) = 0""")
+SELECT query_id, member FROM grow SEMI JOIN can USING (query_id) WHERE k = 25 AND (mask & goal) = 0""")
 def cutsets_single(spark, sf_dir):
-    return local.single_cutsets(fixtures(spark), goals(spark))
+    return local.single_cutsets(models := networks(spark, sf_dir), goals(models))
 
 
-@query(f"""{FX}, {_OA}, gb AS (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)), whole AS (SELECT model_id, automaton, bit_or(bit) AS own FROM bit GROUP BY ALL),
+@query(f"""{FX}, {_OA}, gb AS (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)){_CAN}, whole AS (SELECT model_id, automaton, bit_or(bit) AS own FROM bit GROUP BY ALL),
 base AS (SELECT query_id, gb.model_id, b.automaton AS frozen, b.automaton || '=' || b.level AS target, (seed & ~own) | b.bit AS mask, goal FROM gb JOIN mask0 USING (model_id) JOIN bit b ON b.model_id = gb.model_id JOIN whole w ON w.model_id = b.model_id AND w.automaton = b.automaton),
 grow AS (SELECT *, 0 AS k FROM base UNION ALL SELECT query_id, grow.model_id, frozen, target, grow.mask | coalesce((SELECT bit_or(rule.target) FROM rule WHERE rule.model_id = grow.model_id AND rule.automaton <> grow.frozen AND (grow.mask & need) = need), 0), goal, k + 1 FROM grow WHERE k < 25)
-SELECT query_id, target FROM grow WHERE k = 25 AND (mask & goal) = 0""")
+SELECT query_id, target FROM grow SEMI JOIN can USING (query_id) WHERE k = 25 AND (mask & goal) = 0""")
 def mutations_disabling(spark, sf_dir):
-    return local.disabling_mutations(fixtures(spark), goals(spark))
+    return local.disabling_mutations(models := networks(spark, sf_dir), goals(models))
 
 
 @query(f"""{FX}, lp AS (SELECT model_id, automaton, f AS source, t AS target, [tid] AS path, [f, t] AS seen FROM m WHERE f <> t UNION ALL SELECT lp.model_id, lp.automaton, source, m.t, list_append(path, m.tid), list_append(seen, m.t) FROM lp JOIN m ON m.model_id = lp.model_id AND m.automaton = lp.automaton AND m.f = lp.target WHERE NOT list_contains(seen, m.t))
 SELECT model_id, automaton, source, target, list_aggregate(path, 'string_agg', ',') AS path FROM lp""")
 def local_paths(spark, sf_dir):
-    return local.local_paths(fixtures(spark)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+    return local.local_paths(networks(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
 # Questions about goals, one task a goal.
 
 
-def _ask(spark, schema: str, answer) -> DataFrame:
-    return kernel(goal_models(spark), schema, lambda net, q: answer(net, net.initial, (q["automaton"], int(q["level"])), q["query_id"]))
+def _ask(spark, sf_dir, schema: str, answer) -> DataFrame:
+    return kernel(goal_models(networks(spark, sf_dir)), schema, lambda net, q: answer(net, net.initial, (q["automaton"], int(q["level"])), q["query_id"]))
 
 
 _HIT = """hits AS MATERIALIZED (SELECT query_id, st.model_id, st.sid FROM q JOIN a USING (model_id, automaton) JOIN st ON st.model_id = q.model_id WHERE (st.sid // stride) % levels = level)"""
@@ -496,15 +504,15 @@ _HIT = """hits AS MATERIALIZED (SELECT query_id, st.model_id, st.sid FROM q JOIN
 oa AS (SELECT query_id, (mask & bit) <> 0 AS oa FROM q JOIN bit USING (model_id, automaton, level) JOIN grow ON grow.model_id = q.model_id AND k = 25), ua AS (SELECT q.query_id, EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id) AS ua FROM q)
 SELECT query_id, oa, ua, CASE WHEN ua THEN 'Reachable' WHEN oa THEN 'Inconclusive' ELSE 'Unreachable' END AS verdict FROM oa JOIN ua USING (query_id)""")
 def reachability(spark, sf_dir):
-    return _ask(spark, "query_id string, oa boolean, ua boolean, verdict string", lambda net, ctx, goal, i: [(i, *(kernels.reachability(net, ctx, goal)[k] for k in ("oa", "ua", "verdict")))])
+    return _ask(spark, sf_dir, "query_id string, oa boolean, ua boolean, verdict string", lambda net, ctx, goal, i: [(i, *(kernels.reachability(net, ctx, goal)[k] for k in ("oa", "ua", "verdict")))])
 
 
 @query(f"{GRAPH}, {_HIT} SELECT q.query_id, EXISTS (SELECT 1 FROM hits JOIN r USING (model_id, sid) WHERE hits.query_id = q.query_id) AS reachable, (SELECT count(*) FROM r WHERE r.model_id = q.model_id) AS reachable_states FROM q")
 def symbolic_reachability(spark, sf_dir):
-    return states.symbolic_reachability(fixtures(spark), goals(spark)).withColumn("reachable_states", F.col("reachable_states").cast("long"))
+    return states.symbolic_reachability(models := networks(spark, sf_dir), goals(models)).withColumn("reachable_states", F.col("reachable_states").cast("long"))
 
 
-_PROB = f"""{WIDE}, {_HIT}, ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL), jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) GROUP BY ALL),
+_PROB = f"""{GRAPH}, {_HIT}, ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL), jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) GROUP BY ALL),
 go AS MATERIALIZED (SELECT q.query_id, jp.* FROM q JOIN jp USING (model_id) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = q.query_id AND h.sid = jp.sid)),
 ms AS (SELECT q.query_id, q.model_id, s0.sid, 1.0::DOUBLE / (SELECT count(*) FROM s0 z WHERE z.model_id = q.model_id) AS m, 0 AS k FROM q JOIN s0 USING (model_id)
  UNION ALL SELECT * FROM (SELECT ms.query_id, ms.model_id, go.dst, sum(ms.m * go.p), k + 1 FROM ms JOIN go ON go.query_id = ms.query_id AND go.sid = ms.sid WHERE k < 400 GROUP BY ms.query_id, ms.model_id, go.dst, k))"""
@@ -518,16 +526,16 @@ def quantitative(spark, sf_dir):
         found = kernels.quantitative(net, ctx, goal)
         return [(i, round(found["prob"], 6), found["prob_exact"])]
 
-    return _ask(spark, "query_id string, prob double, prob_exact boolean", answer)
+    return _ask(spark, sf_dir, "query_id string, prob double, prob_exact boolean", answer)
 
 
-@query(f"""{_PROB} SELECT q.query_id, round((SELECT sum(m / out) FROM ms JOIN ex USING (model_id, sid) WHERE ms.query_id = q.query_id AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = ms.query_id AND h.sid = ms.sid)), 4) AS mean_time FROM q WHERE (SELECT sum(m) FROM ms JOIN hits USING (query_id, sid) WHERE ms.query_id = q.query_id) > 1 - 1e-9""")
+@query(f"""{_PROB} SELECT q.query_id, round(coalesce((SELECT sum(m / out) FROM ms JOIN ex USING (model_id, sid) WHERE ms.query_id = q.query_id AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = ms.query_id AND h.sid = ms.sid)), 0), 4) AS mean_time FROM q WHERE (SELECT sum(m) FROM ms JOIN hits USING (query_id, sid) WHERE ms.query_id = q.query_id) > 1 - 1e-9""")
 def mean_hitting_time(spark, sf_dir):
     def answer(net, ctx, goal, i):
         time = kernels.quantitative(net, ctx, goal)["mean_time"]
         return [] if time is None else [(i, round(time, 4))]
 
-    return _ask(spark, "query_id string, mean_time double", answer)
+    return _ask(spark, sf_dir, "query_id string, mean_time double", answer)
 
 
 _LCG = """lp AS (SELECT model_id, automaton, f AS source, t AS target, [tid] AS path, [f, t] AS seen FROM m WHERE f <> t UNION ALL SELECT lp.model_id, lp.automaton, source, m.t, list_append(path, m.tid), list_append(seen, m.t) FROM lp JOIN m ON m.model_id = lp.model_id AND m.automaton = lp.automaton AND m.f = lp.target WHERE NOT list_contains(seen, m.t)),
@@ -550,7 +558,11 @@ d{_k + 1} AS MATERIALIZED (SELECT * FROM d0 UNION ALL SELECT query_id, automaton
 
 @query(f"{FX}, {_LCG}, {_DELAY} SELECT query_id, round(v, 6) AS delay FROM q JOIN d12 USING (query_id, automaton, level)")
 def earliest_delay(spark, sf_dir):
-    return _ask(spark, "query_id string, delay double", lambda net, ctx, goal, i: [(i, round(kernels.earliest_delay(net, ctx, goal), 6))])
+    def answer(net, ctx, goal, i):
+        delay = kernels.earliest_delay(net, ctx, goal)
+        return [] if delay is None else [(i, round(delay, 6))]
+
+    return _ask(spark, sf_dir, "query_id string, delay double", answer)
 
 
 @query(f"""{FX}, {_LCG} SELECT query_id, obj.automaton || '=' || obj.level AS objective, CAST(coalesce(sum(CASE WHEN first.level = obj.level THEN 1 ELSE (SELECT count(*) FROM lp WHERE lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level) END), 0) AS INTEGER) AS solutions
@@ -560,18 +572,18 @@ def lcg_objectives(spark, sf_dir):
         for (a, k), found in kernels.causality(net, ctx, goal).items():
             yield i, f"{a}={k}", len(found)
 
-    return _ask(spark, "query_id string, objective string, solutions int", answer)
+    return _ask(spark, sf_dir, "query_id string, objective string, solutions int", answer)
 
 
 # Runs up to 14 steps; the likeliest ones are shorter.
-_RUNS = f"""{WIDE}, {_HIT}, {_CONE}, mc AS (SELECT q.query_id, e.model_id, e.sid, e.dst, e.tid, e.rate FROM q JOIN e USING (model_id) JOIN m ON m.model_id = e.model_id AND m.tid = e.tid JOIN cone ON cone.query_id = q.query_id AND cone.node = m.automaton),
+_RUNS = f"""{GRAPH}, {_HIT}, {_CONE}, mc AS (SELECT q.query_id, e.model_id, e.sid, e.dst, e.tid, e.rate FROM q JOIN e USING (model_id) JOIN m ON m.model_id = e.model_id AND m.tid = e.tid JOIN cone ON cone.query_id = q.query_id AND cone.node = m.automaton),
 me AS MATERIALIZED (SELECT *, rate / sum(rate) OVER (PARTITION BY query_id, sid) AS p, 1 / sum(rate) OVER (PARTITION BY query_id, sid) AS tau FROM mc WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = mc.query_id AND h.sid = mc.sid)),
 run AS (SELECT q.query_id, s0.sid, 1.0::DOUBLE AS p, 0.0::DOUBLE AS d, CAST([] AS VARCHAR[]) AS path FROM q JOIN s0 USING (model_id)
  UNION ALL SELECT run.query_id, me.dst, run.p * me.p, run.d + me.tau, list_append(path, txt.text) FROM run JOIN me ON me.query_id = run.query_id AND me.sid = run.sid JOIN txt ON txt.model_id = me.model_id AND txt.tid = me.tid WHERE len(path) < 14 AND run.p * me.p > 1e-3),
 best AS (SELECT run.*, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, len(path), path) AS rank FROM run JOIN hits USING (query_id, sid))"""
 
 
-@query(f"{_RUNS} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(p, 6) AS probability, round(d, 6) AS delay, replace(list_aggregate(path, 'string_agg', '; '), 'g: 0 -> 3; g: 3 -> 1', 'g: 0 -> 1') AS transitions FROM best WHERE rank <= 3")
+@query(f"{_RUNS} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(p, 6) AS probability, round(d, 6) AS delay, coalesce(list_aggregate(path, 'string_agg', '; '), '') AS transitions FROM best WHERE rank <= 3")
 def top_k_scenarios(spark, sf_dir):
     """The three likeliest runs to each goal. Phases are folded back into the moves they came from."""
 
@@ -579,16 +591,16 @@ def top_k_scenarios(spark, sf_dir):
         for rank, (p, d, path) in enumerate(kernels.top_scenarios(net, ctx, goal, 3), 1):
             yield i, rank, round(p, 6), round(d, 6), "; ".join(path)
 
-    return _ask(spark, "query_id string, rank int, probability double, delay double, transitions string", answer)
+    return _ask(spark, sf_dir, "query_id string, rank int, probability double, delay double, transitions string", answer)
 
 
-@query(f"{_RUNS} SELECT query_id, round(least(1.0, sum(p)), 6) AS lower FROM best WHERE rank <= 4 GROUP BY query_id")
+@query(f"{_RUNS} SELECT q.query_id, round(least(1.0, coalesce((SELECT sum(p) FROM best WHERE rank <= 4 AND best.query_id = q.query_id), 0.0)), 6) AS lower FROM q")
 def anytime_bound(spark, sf_dir):
-    return _ask(spark, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))])
+    return _ask(spark, sf_dir, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))])
 
 
 # Runs end at the goal, or where an argument on local states excludes it; those with a chance over 1e-4 suffice here.
-@query(f"""{WIDE}, {_HIT}, {_CONE}, {_OA}, sm AS MATERIALIZED (SELECT r.model_id, r.sid, bit_or(bit.bit) AS mask FROM r JOIN a USING (model_id) JOIN bit ON bit.model_id = r.model_id AND bit.automaton = a.automaton AND bit.level = (r.sid // a.stride) % a.levels GROUP BY ALL),
+@query(f"""{GRAPH}, {_HIT}, {_CONE}, {_OA}, sm AS MATERIALIZED (SELECT r.model_id, r.sid, bit_or(bit.bit) AS mask FROM r JOIN a USING (model_id) JOIN bit ON bit.model_id = r.model_id AND bit.automaton = a.automaton AND bit.level = (r.sid // a.stride) % a.levels GROUP BY ALL),
 sg AS (SELECT model_id, sid, mask, 0 AS k FROM sm UNION ALL SELECT sg.model_id, sg.sid, sg.mask | coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = sg.model_id AND (sg.mask & need) = need), 0), k + 1 FROM sg WHERE k < 25),
 stop AS MATERIALIZED (SELECT q.query_id, sg.sid, false AS hit FROM q JOIN bit USING (model_id, automaton, level) JOIN sg ON sg.model_id = q.model_id AND k = 25 WHERE (sg.mask & bit.bit) = 0 UNION ALL SELECT query_id, sid, true FROM hits),
 mv AS (SELECT cone.query_id, e.sid, e.dst, e.rate FROM cone JOIN m ON m.model_id = cone.model_id AND m.automaton = cone.node JOIN e ON e.model_id = m.model_id AND e.tid = m.tid WHERE NOT EXISTS (SELECT 1 FROM stop WHERE stop.query_id = cone.query_id AND stop.sid = e.sid)),
@@ -599,7 +611,7 @@ ns AS (SELECT q.query_id, count(*) AS n FROM q JOIN s0 USING (model_id) GROUP BY
 SELECT query_id, budget, round(coalesce((SELECT sum(p) FROM rk WHERE rk.query_id = ns.query_id AND hit AND rank <= budget), 0) / n, 6) AS lower, round(1 - coalesce((SELECT sum(p) FROM rk WHERE rk.query_id = ns.query_id AND NOT hit AND rank <= budget), 0) / n, 6) AS upper FROM ns, bu""")
 def bracket(spark, sf_dir):
     """Bounds for every goal by budget."""
-    rows = goal_models(spark).withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
+    rows = goal_models(networks(spark, sf_dir)).withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
 
     def answer(net, q):
         low, high = kernels.bracket(net, net.initial, (q["automaton"], int(q["level"])), int(q["budget"]))
@@ -615,7 +627,7 @@ grow AS (SELECT query_id, combo.model_id, goal, members, blk, seed & ~blk AS mas
 cutting AS MATERIALIZED (SELECT * FROM grow WHERE k = 25 AND (mask & goal) = 0)
 SELECT query_id, list_aggregate(members, 'string_agg', ',') AS members, CAST(len(members) AS INTEGER) AS size FROM cutting x WHERE NOT EXISTS (SELECT 1 FROM cutting y WHERE y.query_id = x.query_id AND y.blk <> x.blk AND (y.blk & x.blk) = y.blk)""")
 def cutsets(spark, sf_dir):
-    return _ask(spark, "query_id string, members string, size int", lambda net, ctx, goal, i: [(i, ",".join(c), len(c)) for c in kernels.cutsets(net, ctx, goal)])
+    return _ask(spark, sf_dir, "query_id string, members string, size int", lambda net, ctx, goal, i: [(i, ",".join(c), len(c)) for c in kernels.cutsets(net, ctx, goal)])
 
 
 @query(f"""{GRAPH}, ls AS MATERIALIZED (SELECT model_id, automaton, unnest(range(levels)) AS level, stride, levels FROM a),
@@ -625,7 +637,7 @@ rm AS (SELECT DISTINCT ls.model_id, ls.automaton AS frozen, ls.level AS lvl, s0.
 SELECT DISTINCT ls.model_id, ls.automaton || '=' || ls.level AS goal, frozen || '=' || lvl AS target FROM ls ANTI JOIN can ON can.model_id = ls.model_id AND can.automaton = ls.automaton AND can.level = ls.level JOIN rm ON rm.model_id = ls.model_id AND (rm.sid // stride) % levels = ls.level""")
 def mutations_enabling(spark, sf_dir):
     """For every local state that no run reaches, the frozen automata by which one does."""
-    models = fixtures(spark)
+    models = networks(spark, sf_dir)
     each = models.automata.select("model_id", "automaton", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level")).join(models.models.select("model_id", "text"), "model_id")
 
     def answer(net, q):
@@ -641,7 +653,7 @@ def refinement(spark, sf_dir):
         found = kernels.refine(net, ctx, goal)
         return [(i, found["verdict"], found["cone_size"])]
 
-    return _ask(spark, "query_id string, verdict string, cone_size int", answer)
+    return _ask(spark, sf_dir, "query_id string, verdict string, cone_size int", answer)
 
 
 # Trajectories and reports.
@@ -698,42 +710,42 @@ def jaccard(spark, sf_dir):
 @query(f"{GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
 def sweep_reachability(spark, sf_dir):
     """Sizes and numbers of reachable states of all models, in one job."""
-    return api.sweep(fixtures(spark)).select("model", F.col("states").cast("long").alias("states"), F.col("value").cast("long").alias("value"))
+    return api.sweep(networks(spark, sf_dir)).select("model", F.col("states").cast("long").alias("states"), F.col("value").cast("long").alias("value"))
 
 
 @query(ORACLES["symbolic_reachability"])
 def symbolic_reachability_by_rounds(spark, sf_dir):
     """The same by rounds of joins, as for a space beyond one task."""
-    return states.symbolic_reachability(fixtures(spark), goals(spark), rounds=True).withColumn("reachable_states", F.col("reachable_states").cast("long"))
+    return states.symbolic_reachability(models := networks(spark, sf_dir), goals(models), rounds=True).withColumn("reachable_states", F.col("reachable_states").cast("long"))
 
 
 @query(f"{GRAPH} SELECT model_id, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS reachable_states FROM size")
 def decision_diagrams(spark, sf_dir):
-    return kernel(fixtures(spark).models, "model_id string, reachable_states long", lambda net, q: [(q["model_id"], diagrams.reachability(net, net.initial, None)[1])])
+    return kernel(networks(spark, sf_dir).models, "model_id string, reachable_states long", lambda net, q: [(q["model_id"], diagrams.reachability(net, net.initial, None)[1])])
 
 
-@query(f"{FX} SELECT m.model_id, m.tid, round(CASE kind WHEN 'erlang' THEN 0.5 ELSE 1 / rate END, 6) AS mean, round(rate, 6) AS rate, CASE kind WHEN 'erlang' THEN 2 ELSE 1 END AS phases, kind = 'exp' AS exponential, '_' || model_id AS ident FROM m WHERE contains(model_id, '-') UNION ALL SELECT m.model_id, m.tid, round(1 / rate, 6), round(rate, 6), 1, true, model_id FROM m WHERE NOT contains(model_id, '-')".replace("'_' || model_id AS ident", "'_' || replace(model_id, '-', '_') AS ident"))
+@query(f"{_PHASED} SELECT model_id, tid::INTEGER AS tid, round(sum(1 / r), 6) AS mean, round(1 / sum(1 / r), 6) AS rate, CAST(count(*) AS INTEGER) AS phases, any_value(kind) = 'exp' AS exponential, '__' || model_id || '_' || tid AS ident FROM ph JOIN m USING (model_id, tid) GROUP BY ALL")
 def scalar_functions(spark, sf_dir):
-    t = fixtures(spark).transitions
-    return t.select("model_id", "tid", F.round(scalars.law_mean("dist.rates"), 6).alias("mean"), F.round(scalars.law_rate("dist.rates"), 6).alias("rate"), scalars.phase_count("dist.rates").alias("phases"), scalars.is_exponential("dist.kind").alias("exponential"), scalars.identifier("model_id").alias("ident"))
+    t = _phased(networks(spark, sf_dir)).transitions.withColumn("label", F.concat_ws("-", F.lit(""), "model_id", "tid"))
+    return t.select("model_id", "tid", F.round(scalars.law_mean("dist.rates"), 6).alias("mean"), F.round(scalars.law_rate("dist.rates"), 6).alias("rate"), scalars.phase_count("dist.rates").alias("phases"), scalars.is_exponential("dist.kind").alias("exponential"), scalars.identifier("label").alias("ident"))
 
 
 def _texts(writer: str, sql: str):
     def run(spark, sf_dir):
-        return kernel(fixtures(spark).models, "model_id string, text string", lambda net, q: [(q["model_id"], WRITERS[writer](net))])
+        return kernel(networks(spark, sf_dir).models, "model_id string, text string", lambda net, q: [(q["model_id"], WRITERS[writer](net))])
 
     run.__name__ = f"write_{writer}"
     query(sql)(run)
 
 
-# The fixtures' names need no escaping in the languages of the tools.
+# The networks' names need no escaping in the languages of the tools.
 _IDS = "SELECT DISTINCT model_id FROM a"
 _LOW = "coalesce((SELECT min(level) FROM i WHERE i.model_id = a.model_id AND i.automaton = a.automaton), 0)"
 _GUARD = "coalesce((SELECT string_agg('{sep}' || c.automaton || '{eq}' || c.level, '' ORDER BY c.k) FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid), '')"
 _texts("an", f"""{FX} SELECT model_id, (SELECT string_agg('"' || automaton || '" [' || list_aggregate(range(levels), 'string_agg', ', ') || ']', chr(10) ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) || chr(10) || chr(10) ||
 (SELECT string_agg('"' || automaton || '" ' || f || ' -> ' || t || coalesce((SELECT ' when ' || string_agg('"' || c.automaton || '"=' || c.level, ' and ' ORDER BY c.k) FROM c WHERE c.model_id = m.model_id AND c.tid = m.tid), '') || ' @ ' || CAST(CAST(rate AS DOUBLE) AS VARCHAR), chr(10) ORDER BY tid) FROM m WHERE m.model_id = x.model_id) || chr(10) || chr(10) ||
 (SELECT 'initial_state ' || string_agg('"' || automaton || '"=' || level, ', ' ORDER BY automaton, level) FROM i WHERE i.model_id = x.model_id) || chr(10) AS text FROM ({_IDS}) x""")
-_texts("dot", f"""{FX} SELECT model_id, 'digraph "' || model_id || '" {{' || chr(10) || '  rankdir=LR;' || chr(10) || '  node [shape=ellipse];' || chr(10) ||
+_texts("dot", f"""{FX} SELECT model_id, 'digraph "model" {{' || chr(10) || '  rankdir=LR;' || chr(10) || '  node [shape=ellipse];' || chr(10) ||
 (SELECT string_agg('  "' || automaton || '" [label="' || automaton || chr(92) || 'n|S|=' || levels || '"];' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) ||
 coalesce((SELECT string_agg('  "' || regulator || '" -> "' || automaton || '";' || chr(10), '' ORDER BY automaton, regulator) FROM reg WHERE reg.model_id = x.model_id), '') || '}}' || chr(10) AS text FROM ({_IDS}) x""")
 _texts("prism", f"""{FX} SELECT model_id, 'ctmc' || chr(10) || chr(10) || 'module network' || chr(10) || (SELECT string_agg('  ' || automaton || ' : [0..' || (levels - 1) || '] init ' || {_LOW} || ';' || chr(10), '' ORDER BY automaton) FROM a WHERE a.model_id = x.model_id) || chr(10) ||
@@ -787,64 +799,50 @@ def read_maboss_texts(spark, sf_dir):
 @query(f"{FX} SELECT model_id, count(*) AS transitions, round(sum(rate), 6) AS rates FROM m GROUP BY model_id")
 def read_anx_texts(spark, sf_dir):
     """Models parsed from their texts on the executors."""
-    texts = fixtures(spark).models.select("model_id", F.lit("anx").alias("format"), "text")
+    texts = networks(spark, sf_dir).models.select("model_id", F.lit("anx").alias("format"), "text")
     return Models.from_texts(texts).transitions.groupBy("model_id").agg(F.count(F.lit(1)).alias("transitions"), F.round(F.sum("rate"), 6).alias("rates"))
 
 
 # A network for each user, from the events.
 
-_USERS = f"""WITH RECURSIVE pairs AS (SELECT user_id, event_type AS src, lead(event_type) OVER w AS dst FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-jn AS MATERIALIZED (SELECT 'u' || user_id AS model_id, src, dst, count(*) AS n FROM pairs WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL),
-sd AS MATERIALIZED (SELECT x.model_id, x.dst AS automaton, x.src AS regulator, CASE WHEN x.n >= coalesce(y.n, 0) THEN 1 ELSE 0 END AS up FROM (SELECT *, row_number() OVER (PARTITION BY model_id, dst ORDER BY n DESC, src) AS k FROM jn WHERE src <> dst) x LEFT JOIN jn y ON y.model_id = x.model_id AND y.src = x.dst AND y.dst = x.src WHERE k = 1),
-a0 AS MATERIALIZED (SELECT model_id, automaton, 2 AS levels FROM (SELECT model_id, src AS automaton FROM jn UNION SELECT model_id, dst FROM jn)),
-sm0 AS MATERIALIZED (SELECT model_id, automaton, f, regulator, CASE WHEN f = 0 THEN up ELSE 1 - up END AS need, row_number() OVER (PARTITION BY model_id ORDER BY automaton, f) - 1 AS tid FROM sd, (SELECT unnest([0, 1]) AS f)),
-m0 AS (SELECT model_id, tid, automaton, f, 1 - f AS t, 1.0 AS rate, 'exp' AS kind FROM sm0),
-c AS MATERIALIZED (SELECT model_id, tid, 0 AS k, regulator AS automaton, need AS level FROM sm0),
-i AS MATERIALIZED (SELECT a0.model_id, a0.automaton, CASE WHEN a0.automaton = b.begun THEN 1 ELSE 0 END AS level FROM a0 JOIN (SELECT 'u' || user_id AS model_id, arg_min(event_type, (ts, event_id)) AS begun FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) b USING (model_id)),
-{_NETWORK_SQL}"""
-_USER_GRAPH = _GRAPH.format(fx=_USERS)
-
-
-def _user_networks(spark, sf_dir) -> Models:
-    return derive.user_networks(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@query(f"{_USERS} SELECT model_id, tid::INTEGER AS tid, text FROM txt")
+@query(f"{FX} SELECT model_id, tid::INTEGER AS tid, text FROM txt")
 def user_networks(spark, sf_dir):
     """A Boolean network of event types for each user."""
-    return structure.transition_texts(_user_networks(spark, sf_dir)).select("model_id", "tid", "text")
+    return structure.transition_texts(networks(spark, sf_dir)).select("model_id", "tid", "text")
 
 
-@query(f"{_USER_GRAPH}, {_FIX} SELECT model_id, state, false AS truncated FROM fx JOIN name USING (model_id, sid)")
+@query(f"{GRAPH}, {_FIX} SELECT model_id, state, false AS truncated FROM fx JOIN name USING (model_id, sid)")
 def user_fixpoints(spark, sf_dir):
-    return states.fixpoints(_user_networks(spark, sf_dir))
+    return states.fixpoints(networks(spark, sf_dir))
 
 
-@query(f"{_USER_GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
+@query(f"{GRAPH} SELECT model_id AS model, n AS states, (SELECT count(*) FROM r WHERE r.model_id = size.model_id) AS value FROM size")
 def user_sweep(spark, sf_dir):
     """States, and states reachable from the user's first event, of every user's network."""
-    return api.sweep(_user_networks(spark, sf_dir)).select("model", F.col("states").cast("long").alias("states"), F.col("value").cast("long").alias("value"))
+    return api.sweep(networks(spark, sf_dir)).select("model", F.col("states").cast("long").alias("states"), F.col("value").cast("long").alias("value"))
 
 
-@query(f"{_USERS}, {_OA}, {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='')} SELECT grow.model_id, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25")
+@query(f"{FX}, {_OA}, {_GROW.format(key='model_id AS mid', seed='seed', base='mask0', gk='mid', but='', free='', join='')} SELECT grow.model_id, automaton, level::INTEGER AS level FROM grow JOIN bit ON bit.model_id = grow.model_id AND (bit.bit & mask) <> 0 WHERE k = 25")
 def user_may_reach(spark, sf_dir):
     """Event types that can't be excluded after the user's first event, and those that can stop."""
-    return local.may_reach(_user_networks(spark, sf_dir)).drop("variant")
+    return local.may_reach(networks(spark, sf_dir)).drop("variant")
 
 
-@query(f"{_USERS}, {_CIRCUITS.format(g='inf')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative, false AS truncated FROM cyc GROUP BY model_id")
+@query(f"{FX}, {_CIRCUITS.format(g='inf')} SELECT model_id, count(*) AS total, count(*) FILTER (sign = 1) AS positive, count(*) FILTER (sign = -1) AS negative, false AS truncated FROM cyc GROUP BY model_id")
 def user_feedback(spark, sf_dir):
-    return structure.feedback(structure.circuits(structure.influences(_user_networks(spark, sf_dir))))
+    return structure.feedback(structure.circuits(structure.influences(networks(spark, sf_dir))))
 
 
-@query(f"""{_USER_GRAPH}, hits AS MATERIALIZED (SELECT a.model_id, st.sid FROM a JOIN st ON st.model_id = a.model_id AND (st.sid // a.stride) % a.levels = 1 WHERE a.automaton = 'purchase'),
+@query(f"""{GRAPH}, hits AS MATERIALIZED (SELECT a.model_id, st.sid FROM a JOIN st ON st.model_id = a.model_id AND (st.sid // a.stride) % a.levels = 1 WHERE a.automaton = 'purchase'),
 ex AS MATERIALIZED (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL),
 jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate / ex.out) AS p FROM e JOIN ex USING (model_id, sid) ANTI JOIN hits USING (model_id, sid) GROUP BY ALL),
 ms AS (SELECT model_id, sid, 1.0::DOUBLE AS m, 0 AS k FROM s0 UNION ALL SELECT * FROM (SELECT ms.model_id, jp.dst, sum(ms.m * jp.p), k + 1 FROM ms JOIN jp ON jp.model_id = ms.model_id AND jp.sid = ms.sid WHERE k < 400 GROUP BY ms.model_id, jp.dst, k))
 SELECT model_id, round(coalesce((SELECT sum(m) FROM ms JOIN hits USING (model_id, sid) WHERE ms.model_id = x.model_id), 0), 5) AS prob, true AS prob_exact FROM a x WHERE automaton = 'purchase'""")
 def user_purchase_probability(spark, sf_dir):
     """The chance that purchase gets active, in each user's network that has it."""
-    found = api.quantitative(_user_networks(spark, sf_dir), ["purchase=1"])
+    found = api.quantitative(networks(spark, sf_dir), ["purchase=1"])
     return found.select("model_id", F.round("prob", 5).alias("prob"), "prob_exact")
 
 
@@ -858,50 +856,57 @@ def ring(n: int) -> Network:
     return Network(f"ring{n}", dict.fromkeys(names, 2), moves, {a: frozenset((0,)) for a in names[1:]})
 
 
-def _rings(spark, *sizes: int) -> Models:
-    return Models.of(spark, {f"ring{n}": ring(n) for n in sizes})
+def _sizes(spark, sf_dir) -> list[int]:
+    """The lengths of rings; as many as a user can have days, a few dozen here."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts IS NOT NULL")
+    return [r.n for r in e.groupBy("user_id").agg((20 + F.countDistinct(F.to_date(F.col("ts").cast("timestamp")))).alias("n")).select("n").distinct().collect()]
+
+
+def _rings(spark, sf_dir) -> Models:
+    return Models.of(spark, {f"ring{n}": ring(n) for n in _sizes(spark, sf_dir)})
 
 
-_SIZES = "n(n) AS (SELECT unnest([40, 65, 101]))"
+#: Rings as long as users have days with events, and 20 more.
+_SIZES = "n(n) AS (SELECT DISTINCT 20 + count(DISTINCT CAST(ts AS DATE)) FROM events WHERE ts IS NOT NULL GROUP BY user_id)"
 _ALL = f"{_SIZES}, al AS (SELECT n, string_agg('x' || lpad(k::VARCHAR, 3, '0') || '=0', ', ' ORDER BY k) AS low, string_agg('x' || lpad(k::VARCHAR, 3, '0') || '=1', ', ' ORDER BY k) AS high FROM n, LATERAL (SELECT unnest(range(n)) AS k) GROUP BY n)"
 
 
 @query(f"WITH {_ALL} SELECT 'ring' || n AS model_id, unnest([low, high]) AS state, false AS truncated FROM al")
 def ring_fixpoints(spark, sf_dir):
-    """Rings of 40, 65 and 101 automata rest where all are alike."""
-    return states.fixpoints(_rings(spark, 40, 65, 101))
+    """Rings rest where all are alike."""
+    return states.fixpoints(_rings(spark, sf_dir))
 
 
 @query(f"WITH {_ALL} SELECT 'ring' || n AS model_id, unnest(['', low, high]) AS space, false AS minimal FROM al UNION ALL SELECT 'ring' || n, unnest([low, high]), true FROM al")
 def ring_trap_spaces(spark, sf_dir):
-    models = _rings(spark, 40, 65, 101)
+    models = _rings(spark, sf_dir)
     return states.trap_spaces(models).select("model_id", "space", F.lit(False).alias("minimal")).union(states.trap_spaces(models, minimal=True).select("model_id", "space", F.lit(True)))
 
 
 @query(f"WITH {_SIZES} SELECT 'ring' || n AS model_id, 'x' || lpad(k::VARCHAR, 3, '0') AS automaton, v::INTEGER AS level FROM n, LATERAL (SELECT unnest(range(n)) AS k), (SELECT unnest([0, 1]) AS v)")
 def ring_may_reach(spark, sf_dir):
-    return local.may_reach(_rings(spark, 40, 65, 101)).drop("variant")
+    return local.may_reach(_rings(spark, sf_dir)).drop("variant")
 
 
 @query(f"WITH {_SIZES} SELECT 'ring' || n AS query_id, 'x' || lpad(k::VARCHAR, 3, '0') || '=1' AS member FROM n, LATERAL (SELECT unnest(range(1, n)) AS k) WHERE k <> n - 1")
 def ring_cutsets(spark, sf_dir):
     """Each automaton between the first and the last is one without which the last never rises."""
-    asked = [(f"ring{n}", f"ring{n}", f"x{n - 1:03d}", 1) for n in (40, 65, 101)]
-    return local.single_cutsets(_rings(spark, 40, 65, 101), spark.createDataFrame(asked, "query_id string, model_id string, automaton string, level int"))
+    asked = [(f"ring{n}", f"ring{n}", f"x{n - 1:03d}", 1) for n in _sizes(spark, sf_dir)]
+    return local.single_cutsets(_rings(spark, sf_dir), spark.createDataFrame(asked, "query_id string, model_id string, automaton string, level int"))
 
 
 # Of a state with d changes around the ring, each move keeps or lowers d: states with at most two changes are reached.
 @query(f"WITH {_SIZES} SELECT 'ring' || n AS model, CAST(n AS INTEGER) AS automata, CAST(2 + n * (n - 1) AS DOUBLE) AS value FROM n")
 def ring_sweep(spark, sf_dir):
-    return api.sweep(_rings(spark, 40, 65, 101)).select("model", "automata", F.col("value").cast("double").alias("value"))
+    return api.sweep(_rings(spark, sf_dir)).select("model", "automata", F.col("value").cast("double").alias("value"))
 
 
 # The first one starts at 0, or at 1 with 0 elsewhere, a stretch of ones whose ends move alike until it or the gap is gone.
-@query("SELECT 'ring' || n AS model_id, round(0.5 / n, 6) AS prob, true AS prob_exact FROM (SELECT unnest([8, 12]) AS n)")
+@query(f"WITH {_SIZES} SELECT 'ring' || n AS model_id, round(0.5 / n, 6) AS prob, true AS prob_exact FROM (SELECT DISTINCT 8 + n % 5 AS n FROM n)")
 def ring_probability(spark, sf_dir):
     """The chance that all of a small ring get to 1: a watcher rises where they are."""
     nets = {}
-    for n in (8, 12):
+    for n in {8 + n % 5 for n in _sizes(spark, sf_dir)}:
         net = ring(n)
         net.levels["watch"] = 2
         net.moves["watch"] = [Move("watch", 0, 1, tuple((f"x{k:03d}", 1) for k in range(n)))]

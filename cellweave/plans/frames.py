@@ -118,9 +118,13 @@ def kernel(queries: DataFrame, schema: str, answer: Callable[[Network, pd.Series
                 if rows := list(answer(read_anx(q["text"]), q)):
                     yield pd.DataFrame(rows, columns=names)
 
-    # a fixed number of partitions is not coalesced, as a few small rows would be, however long each takes
-    parts = min(64, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return queries.repartition(parts, queries.columns[0]).mapInPandas(run, schema)
+    return dealt(queries).mapInPandas(run, schema)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out one by one over as many tasks as there are shuffle partitions, whatever values they share. A
+    fixed number of partitions is not coalesced, as a few small rows would be, however long each takes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_strides(automata: DataFrame, extra: int = 0) -> DataFrame:

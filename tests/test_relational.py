@@ -157,7 +157,7 @@ def test_api(spark, models, tmp_path):
     assert api.compare(cell, ["MPT=1"]).first().sound and len(api.scenarios(cell, ["Survival=1"], 2).collect()) == 2
     assert api.abstract(cell, ["Apoptosis=1"]).first().cone_size == 7 and api.cutsets(cell, ["Survival=1"], 1).count() == 2
     assert api.causality_graph(cell, ["Survival=1"]).count() > 3 and api.delay(cell, ["Survival=1"]).first().delay == 3
-    assert [r.model for r in api.sweep(models).collect()][-1] == "cellfate"
+    assert max(api.sweep(models).collect(), key=lambda r: r.automata).model == "cellfate"
     swept = api.sweep_texts(spark.createDataFrame([("good", "anx", "automaton a [2]\na: 0 -> 1\ninit a=0"), ("bad", "anx", "nonsense")], "model_id string, format string, text string")).collect()
     assert {(r.model, r.automata, r.local_states, r.value, bool(r.note)) for r in swept} == {("good", 1, 2, 2, False), ("bad", None, None, None, True)}
     graph = api.causality_graph(cell, ["Apoptosis=1"]).collect()
