@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import cut
+from . import solvers, structure
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -89,19 +90,17 @@ def _absorbed(edges: DataFrame, ends: DataFrame, tolerance: float) -> DataFrame:
     stop = cut(ends.groupBy("model_id", "node").agg(F.max("goal").alias("goal")))
     go = cut(edges.join(stop.select("model_id", F.col("node").alias("src")), ["model_id", "src"], "left_anti"))
     goals = stop.where("goal").select("model_id", "node")
-    prob = cut(absorption_by_joins(go, goals, tolerance))
+    prob = cut(absorption_by_joins(go, goals, tolerance).withColumn("known", F.lit(True)))
     nodes = edges.select("model_id", F.col("src").alias("node")).union(edges.select("model_id", "dst")).union(stop.select("model_id", "node")).distinct()
-    sure = cut(prob.where(F.col("prob") > 1 - 100 * tolerance).select("model_id", "node"))
+    sure = cut(prob.where("sure").select("model_id", "node"))
     time = hitting_times_by_joins(go.join(sure.withColumnRenamed("node", "src"), ["model_id", "src"], "left_semi"), goals, tolerance)
     found = nodes.join(prob, ["model_id", "node"], "left").join(time, ["model_id", "node"], "left")
     # an end that is also no goal is none, however often it is listed
-    return found.select("model_id", "node", F.coalesce("prob", F.lit(0.0)).alias("prob"), "mean_time")
-
-
-#: Nodes up to which a chain is one matrix; sweeps that a larger one may take.
-DENSE, SWEEPS = 3_000, 100_000
+    return found.select("model_id", "node", F.when(F.col("known"), F.col("prob")).otherwise(0.0).alias("prob"), "mean_time")
 
 
+#: Nodes up to which a chain is one matrix; larger ones go through sweeps.
+DENSE = 3_000
 #: Chains of at most so many nodes are solved together, as one stack of matrices.
 SMALL = 48
 
@@ -122,99 +121,99 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     over[src[mark]] = True
     go = ~mark & ~over[src]
     src, dst, rate = src[go], dst[go], rows["rate"].to_numpy(float)[go]
-    total = np.bincount(src, rate, n)
-    p = rate / total[src]
-    can = goal.copy()
-    while True:
-        more = can.copy()
-        more[src[can[dst]]] = True
-        if (more == can).all():
-            break
-        can = more
-    free, of = can & ~goal, nodes // k
-    before = np.cumsum(free) - free
-    first = before[np.searchsorted(of, np.arange(len(models)))]
-    place = np.where(free, before - first[of], -1)
-    count = np.bincount(of[free], minlength=len(models))
-    into = np.bincount(src[goal[dst]], p[goal[dst]], n)
-    tau = np.divide(1.0, total, out=np.zeros(n), where=total > 0)
-    h, t = goal.astype(float), np.zeros(n)
-    inner = free[src] & free[dst]
-    a, b, w = src[inner], dst[inner], p[inner]
-    for c in np.flatnonzero(count > DENSE):
-        here = np.flatnonzero(free & (of == c))
-        own = of[a] == c
-        x = _sweep(place[a[own]], place[b[own]], w[own], np.column_stack([into[here], tau[here]]))
-        h[here], t[here] = x[:, 0], x[:, 1]
-    large = [np.array([c]) for c in np.flatnonzero((count > SMALL) & (count <= DENSE))]
-    for group in [np.flatnonzero((count > 0) & (count <= SMALL)), *large]:
-        if not len(group):
-            continue
-        slot = np.full(len(models), -1)
-        slot[group] = np.arange(len(group))
-        size = int(count[group].max())
-        m = np.tile(np.eye(size), (len(group), 1, 1))
-        own = slot[of[a]] >= 0
-        np.subtract.at(m, (slot[of[a[own]]], place[a[own]], place[b[own]]), w[own])
-        here = np.flatnonzero(free & (slot[of] >= 0))
-        right = np.zeros((len(group), size, 2))
-        right[slot[of[here]], place[here]] = np.column_stack([into[here], tau[here]])
-        x = np.linalg.solve(m, right)[slot[of[here]], place[here]]
-        h[here], t[here] = x[:, 0], x[:, 1]
-    sure = h > 1 - 1e-9
-    return pd.DataFrame({"model_id": models.take(of), "node": names.take(nodes % k), "prob": h, "mean_time": np.where(sure, t, np.nan)})
-
-
-def _sweep(a: np.ndarray, b: np.ndarray, w: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """x = right + W x, column by column; what still changes after SWEEPS is nan."""
-    x, n = right.copy(), len(right)
-    for _ in range(SWEEPS):
-        new = right + np.column_stack([np.bincount(a, w * x[b, k], n) for k in range(right.shape[1])])
-        # an infinite time never settles; it goes by where the chance is below 1
-        still = np.abs(new - x) <= 1e-13 * np.maximum(1.0, np.abs(new))
-        x = new
-        if still.all(axis=0)[0] and (still[:, 1] | (x[:, 0] < 1 - 1e-9)).all():
-            return x
-    return np.where(np.abs(right + np.column_stack([np.bincount(a, w * x[b, k], n) for k in range(right.shape[1])]) - x) <= 1e-9 * np.maximum(1.0, np.abs(x)), x, np.nan)
-
-
-def absorption_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 100_000, cut_every: int = 5) -> DataFrame:
-    """(model_id, node, prob) by Jacobi rounds of one join and one aggregation: for a chain too large for one task.
-
-    goals end; nodes without edges keep 0. Lineage is cut every few rounds, where convergence is checked too.
-    """
-    ends = goals.select("model_id", F.col("node").alias("src"))
-    jumps = cut(jump_chain(edges.join(ends, ["model_id", "src"], "left_anti")).select("model_id", "src", "dst", "p"))
-    target = cut(goals.select("model_id", "node", F.lit(1.0).alias("prob")))
-    now = target
-    for i in range(max_rounds):
-        step = jumps.join(now, (jumps["model_id"] == now["model_id"]) & (jumps["dst"] == now["node"])).groupBy(jumps["model_id"], jumps["src"].alias("node")).agg(F.sum(F.col("p") * F.col("prob")).alias("prob"))
-        new = target.union(step)
-        if i % cut_every == cut_every - 1:
-            new = cut(new)
-            gap = new.join(now.withColumnRenamed("prob", "_old"), ["model_id", "node"], "left").agg(F.max(F.abs(F.col("prob") - F.coalesce("_old", F.lit(0.0))))).first()[0]
-            if (gap or 0.0) <= tolerance:
-                return new
-        now = new
-    raise RuntimeError("probabilities did not settle")
+    prob, time = solvers.absorbed(src, dst, rate, goal, nodes // k, DENSE, SMALL)
+    return pd.DataFrame({"model_id": models.take(nodes // k), "node": names.take(nodes % k), "prob": prob, "mean_time": time})
+
 
+def absorption_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 2_000, cut_every: int = 5) -> DataFrame:
+    """(model_id, node, prob, sure) of all nodes by rounds of joins: for a chain too large for one task.
 
-def hitting_times_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 100_000, cut_every: int = 5) -> DataFrame:
+    goals end. What can't reach a goal has 0, what can't miss it 1 (sure), both by closures. All others are enclosed by a
+    lower sequence from 0 and an upper one from 1, which meet since every such node leaves for one of those two; the
+    middle is given where they are `tolerance` apart at most, null where they are not after max_rounds. Lineage is cut every few rounds.
+    """
+    ends = goals.select("model_id", "node").distinct()
+    jumps = cut(jump_chain(edges.join(ends.withColumnRenamed("node", "src"), ["model_id", "src"], "left_anti")).select("model_id", "src", "dst", "p"))
+    key = ["model_id", "node"]
+    nodes = cut(jumps.select("model_id", F.col("src").alias("node")).union(jumps.select("model_id", "dst")).union(ends).distinct())
+    back = cut(jumps.select("model_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    can = cut(structure.closure(back, ends, ["model_id"]))
+    lost = cut(nodes.join(can, key, "left_anti"))
+    risky = cut(structure.closure(back, lost, ["model_id"]))
+    sure, doubt = can.join(risky, key, "left_anti"), cut(can.join(risky, key, "left_semi"))
+    known = lost.select(*key, F.lit(0.0).alias("prob"), F.lit(False).alias("sure")).union(sure.select(*key, F.lit(1.0), F.lit(True)))
+    if doubt.isEmpty():
+        return known
+    of = lambda name: doubt.select("model_id", F.col("node").alias(name))
+    own = jumps.join(of("src"), ["model_id", "src"], "left_semi")
+    inner = cut(own.join(of("dst"), ["model_id", "dst"], "left_semi"))
+    into = own.join(sure.withColumnRenamed("node", "dst"), ["model_id", "dst"], "left_semi").groupBy("model_id", F.col("src").alias("node")).agg(F.sum("p").alias("into"))
+    base = cut(doubt.join(into, key, "left").select(*key, F.coalesce("into", F.lit(0.0)).alias("into")))
+    now = base.select(*key, F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    gap = None
+    for i in range(1, max_rounds + 1):
+        step = inner.join(now, (inner["model_id"] == now["model_id"]) & (inner["dst"] == now["node"])).groupBy(inner["model_id"], inner["src"].alias("node"))
+        step = step.agg(F.sum(F.col("p") * F.col("low")).alias("a"), F.sum(F.col("p") * F.col("high")).alias("b"))
+        now = base.join(step, key, "left").select(*key, (F.col("into") + F.coalesce("a", F.lit(0.0))).alias("low"), (F.col("into") + F.coalesce("b", F.lit(0.0))).alias("high"))
+        if i % cut_every == 0 or i == max_rounds:
+            now = cut(now)
+            gap = now.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+            if gap <= tolerance:
+                break
+    middle = F.when(F.col("high") - F.col("low") <= tolerance, (F.col("low") + F.col("high")) / 2)
+    return known.union(now.select(*key, middle, F.lit(False)))
+
+
+def hitting_times_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float = 1e-9, max_rounds: int = 2_000, cut_every: int = 5) -> DataFrame:
     """(model_id, node, mean_time) by rounds of one join and one aggregation, for nodes that are sure to reach a goal
-    and whose successors all are; goals have 0. The tolerance is relative."""
+    and whose successors all are; goals have 0.
+
+    Sums from 0 stay below the times. Where a round adds less than e / (1 + e) of the time spent in a node itself to
+    every node of a model, (1 + e) times the sums are not raised by a round, and so lie above: the relative error is at
+    most e, the tolerance. Times of models that do not get there in max_rounds are null.
+    """
     ends = goals.select("model_id", F.col("node").alias("src"))
     own = edges.join(ends, ["model_id", "src"], "left_anti")
     jumps = cut(jump_chain(own).select("model_id", "src", "dst", "p"))
     tau = cut(exit_rates(own).select("model_id", F.col("src").alias("node"), (1 / F.col("exit_rate")).alias("tau")))
-    target = cut(goals.select("model_id", "node", F.lit(0.0).alias("mean_time")).distinct())
-    now = cut(target.union(tau.select("model_id", "node", "tau")))
-    for i in range(max_rounds):
+    now = cut(tau.select("model_id", "node", F.lit(0.0).alias("mean_time")))
+    settled = None
+    for i in range(1, max_rounds + 1):
         after = jumps.join(now, (jumps["model_id"] == now["model_id"]) & (jumps["dst"] == now["node"])).groupBy(jumps["model_id"], jumps["src"].alias("node")).agg(F.sum(F.col("p") * F.col("mean_time")).alias("later"))
-        new = target.union(tau.join(after, ["model_id", "node"], "left").select("model_id", "node", (F.col("tau") + F.coalesce("later", F.lit(0.0))).alias("mean_time")))
-        if i % cut_every == cut_every - 1:
+        new = tau.join(after, ["model_id", "node"], "left").select("model_id", "node", "tau", (F.col("tau") + F.coalesce("later", F.lit(0.0))).alias("mean_time"))
+        if i % cut_every == 0 or i == max_rounds:
+            before = cut(now)
             new = cut(new)
-            gap = new.join(now.withColumnRenamed("mean_time", "_old"), ["model_id", "node"], "left").agg(F.max(F.abs(F.col("mean_time") - F.col("_old")) / F.greatest(F.lit(1.0), "mean_time"))).first()[0]
-            if (gap or 0.0) <= tolerance:
-                return new
-        now = new
-    raise RuntimeError("times did not settle")
+            gain = new.join(before.withColumnRenamed("mean_time", "_old"), ["model_id", "node"]).groupBy("model_id").agg(F.max((F.col("mean_time") - F.col("_old")) / F.col("tau")).alias("gain"))
+            settled = cut(gain.select("model_id", (F.col("gain") <= tolerance / (1 + tolerance)).alias("settled")))
+            if settled.where(~F.col("settled")).isEmpty():
+                now = new.drop("tau")
+                break
+        now = new.drop("tau")
+    time = now.join(settled, "model_id").select("model_id", "node", F.when(F.col("settled"), F.col("mean_time") * (1 + tolerance / 2)).alias("mean_time"))
+    return time.union(goals.select("model_id", "node", F.lit(0.0)).distinct())
+
+
+def spread(jumps: DataFrame, start: DataFrame, marks: tuple[int, ...], least: float = 0.0, keys: tuple[str, ...] = ("query_id", "model_id"), cut_every: int = 4) -> DataFrame:
+    """(mark, keys, node, mass): where one is after so many rounds; a round lets every node of at least `least` mass jump.
+
+    jumps: (some of keys, src, dst, p), none out of where a run ends; start: (keys, node, mass). What a node with less mass
+    holds stays there and adds up, so no mass is lost: that at goals is a lower bound of reaching them, and all but that at
+    places without hope an upper one, at any mark.
+    """
+    shared = [k for k in keys if k in jumps.columns]
+    go = cut(jumps.select(*(F.col(k).alias(f"_{k}") for k in shared), "src", "dst", "p"))
+    now, out = start.select(*keys, "node", "mass"), None
+    for i in range(max(marks) + 1):
+        if i in marks:
+            now = cut(now)
+            own = now.select(F.lit(i).alias("mark"), *keys, "node", "mass")
+            out = own if out is None else out.union(own)
+        elif i and i % cut_every == 0:
+            now = cut(now)
+        if i < max(marks):
+            on = (F.col("node") == F.col("src")) & (F.col("mass") >= least)
+            for k in shared:
+                on &= F.col(k) == F.col(f"_{k}")
+            now = now.join(go, on, "left").groupBy(*keys, F.coalesce("dst", "node").alias("node")).agg(F.sum(F.col("mass") * F.coalesce("p", F.lit(1.0))).alias("mass"))
+    return out

@@ -72,6 +72,19 @@ def may_reach(models: Models, blocked: DataFrame | None = None) -> DataFrame:
     return rows.union(kernel(asked.select("variant", "model_id", "text", "blocked"), "model_id string, variant string, automaton string, level int", answer))
 
 
+def excluded(models: Models, spaces: DataFrame, goals: DataFrame, states: DataFrame) -> DataFrame:
+    """(query_id, model_id, sid): states from which a goal is excluded by an argument on local states alone. Of models
+    with more local states than BITS none is: the argument is not made."""
+    one, rules = _masks(models)
+    own = spaces.select("model_id", F.explode("digits").alias("d")).select("model_id", "d.automaton", "d.stride", "d.levels").join(one, ["model_id", "automaton"])
+    bits = own.groupBy("model_id").agg(F.collect_list(F.struct("stride", "levels", "level", "bit")).alias("bits"))
+    here = F.aggregate("bits", F.lit(0).cast("long"), lambda m, b: F.when(F.pmod(F.call_function("div", F.col("sid"), b["stride"]), b["levels"]) == b["level"], m.bitwiseOR(b["bit"])).otherwise(m))
+    # what a state can come to is worked out once, whatever the goals
+    closed = states.join(bits, "model_id").join(rules, "model_id").select("model_id", "sid", closed_set(here, F.lit(0).cast("long")).alias("found"))
+    goal = goals.join(one, ["model_id", "automaton", "level"]).select("query_id", "model_id", "bit")
+    return closed.join(goal, "model_id").where("(found & bit) = 0").select("query_id", "model_id", "sid")
+
+
 def _over_large(models: Models, goals: DataFrame, column: str, answer) -> DataFrame:
     """(query_id, column) of the goals in large models: the texts that answer(net, goal) gives."""
     asked = goals.select("query_id", "model_id", "automaton", "level").join(_large(models), "model_id").select("query_id", "automaton", "level", "text")

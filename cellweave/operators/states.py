@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.frames import Models, encode, fires, kernel, state_text
 from ..plans.staging import cut
-from . import diagrams, kernels
+from . import chains, diagrams, kernels, local
 
 #: Spaces of up to so many states are rows; larger ones are decision diagrams, one task a model.
 FIXPOINT_CAP, TRAP_CAP = 1_000_000, 1_000_000
@@ -165,6 +165,36 @@ def symbolic_reachability(models: Models, goals: DataFrame, rounds: bool = False
     return kernel(asked, "query_id string, reachable boolean, reachable_states decimal(38,0)", answer)
 
 
+def at_goals(spaces: DataFrame, goals: DataFrame, states: DataFrame) -> DataFrame:
+    """(query_id, model_id, sid) of the states in which a goal (query_id, model_id, automaton, level) holds."""
+    digits = spaces.select("model_id", F.explode("digits").alias("d")).select("model_id", "d.automaton", "d.stride", "d.levels")
+    hit = F.pmod(F.call_function("div", F.col("sid"), F.col("stride")), F.col("levels")) == F.col("level")
+    return goals.join(digits, ["model_id", "automaton"]).join(states, "model_id").where(hit).select("query_id", "model_id", "sid")
+
+
+def bracket(models: Models, goals: DataFrame, rounds: tuple[int, ...] = (16,), least: float = 1e-4) -> DataFrame:
+    """(query_id, budget, lower, upper): bounds on the probability to reach each goal (query_id, model_id, automaton,
+    level) after so many rounds in which every state of at least `least` probability jumps.
+
+    All starts count, with equal shares. What is left in other states keeps its probability: lower is what has hit the
+    goal, upper all but what is where local states exclude it, deadlocks among those. States are those that are reached.
+    """
+    spaces, transitions = encode(models)
+    transitions = cut(transitions)
+    found = cut(reachable(models))
+    edges = successors(found, transitions).select("model_id", F.col("sid").alias("src"), "dst", "rate")
+    jumps = cut(chains.jump_chain(edges).select("model_id", "src", "dst", "p"))
+    hits = at_goals(spaces, goals, found).withColumn("hit", F.lit(True))
+    stop = cut(hits.union(local.excluded(models, spaces, goals, found).select("query_id", "model_id", "sid", F.lit(False))))
+    go = goals.select("query_id", "model_id").join(jumps, "model_id").join(stop.withColumnRenamed("sid", "src"), ["query_id", "model_id", "src"], "left_anti")
+    starts = start_states(models, spaces).distinct()
+    share = starts.groupBy("model_id").agg((1.0 / F.count(F.lit(1))).alias("mass"))
+    begun = goals.select("query_id", "model_id").join(starts, "model_id").join(share, "model_id").select("query_id", "model_id", F.col("sid").alias("node"), "mass")
+    held = chains.spread(go, begun, rounds, least).join(stop.withColumnRenamed("sid", "node"), ["query_id", "model_id", "node"], "left")
+    sums = held.groupBy("query_id", F.col("mark").alias("budget")).agg(F.sum(F.when(F.col("hit"), F.col("mass"))).alias("yes"), F.sum(F.when(~F.col("hit"), F.col("mass"))).alias("no"))
+    return sums.select("query_id", "budget", F.coalesce("yes", F.lit(0.0)).alias("lower"), (1 - F.coalesce("no", F.lit(0.0))).alias("upper"))
+
+
 def _explored(models: Models, goals: DataFrame) -> DataFrame:
     spaces, _ = encode(models)
     states = cut(reachable(models))

@@ -76,6 +76,10 @@ def goal_models(models: Models) -> DataFrame:
     return goals(models).join(models.models.select("model_id", "text"), "model_id").select("query_id", "model_id", "automaton", "level", "text")
 
 
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 # Chains derived from events.
 
 CHAIN = """pairs AS (SELECT user_id, event_type AS src, lead(event_type) OVER w AS dst, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -146,7 +150,7 @@ def transient_mass(spark, sf_dir):
     return chains.transient_mass(jumps, start, 4).select("origin", "node", F.round("mass", 6).alias("mass"))
 
 
-@query(ORACLES["ctmc_reach_prob"].replace("UNION ALL SELECT 'error', 0.0 WHERE EXISTS (SELECT 1 FROM edges WHERE src = 'error' OR dst = 'error')", "").replace("round(sum(m), 6)", "round(sum(m), 5)"))
+@query(ORACLES["ctmc_reach_prob"].replace("round(sum(m), 6)", "round(sum(m), 5)"))
 def ctmc_by_joins(spark, sf_dir):
     """The same by rounds of joins, as for a chain beyond one task."""
     edges = _chain(spark, sf_dir).where("src <> 'error'")
@@ -154,6 +158,28 @@ def ctmc_by_joins(spark, sf_dir):
     return chains.absorption_by_joins(edges, goal).select("node", F.round("prob", 5).alias("prob"))
 
 
+_COHORTS = """pairs AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events WHERE ts IS NOT NULL),
+coh AS MATERIALIZED (SELECT 'c' || user_id % 16 AS model_id, src, dst, count(*) AS n FROM pairs WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL),
+cp AS MATERIALIZED (SELECT model_id, src, dst, n / sum(n) OVER (PARTITION BY model_id, src) AS p FROM coh)"""
+
+
+# Where exits are rare, which of two is taken goes by how often one is where each begins.
+@query(f"""WITH RECURSIVE {_COHORTS}, mass AS (SELECT DISTINCT model_id, src AS node, 1.0::DOUBLE AS m, 0 AS k FROM cp UNION ALL SELECT * FROM (SELECT mass.model_id, cp.dst, sum(m * cp.p), k + 1 FROM mass JOIN cp ON cp.model_id = mass.model_id AND cp.src = mass.node WHERE k < 600 GROUP BY mass.model_id, cp.dst, k)),
+ev AS (SELECT model_id, sum(m) FILTER (node = 'view') AS v, sum(m) FILTER (node = 'error') AS e FROM mass WHERE k = 600 GROUP BY model_id)
+SELECT n.model_id, n.src AS node, round(v / (v + e), 6) AS prob FROM (SELECT DISTINCT model_id, src FROM cp) n JOIN ev USING (model_id)""")
+def ctmc_rare_exit(spark, sf_dir):
+    """Sixteen cohorts of users, whose chains go on for some 10^10 events until one ends at a view or at an error: the chance
+    of the former."""
+    n = derive.event_jumps(spark.read.parquet(f"{sf_dir}/events.parquet"), True).where("src IS NOT NULL")
+    cohort = F.concat(F.lit("c"), (F.substring("model_id", 2, 20).cast("long") % 16).cast("string")).alias("model_id")
+    jumps = n.groupBy(cohort, "src", "dst").agg(F.sum("n").cast("double").alias("rate"))
+    exits = jumps.where("src IN ('view', 'error')").groupBy("model_id", "src").agg((F.sum("rate") * 1e-10).alias("rate"))
+    edges = jumps.union(exits.select("model_id", "src", F.concat(F.lit("end at "), "src"), "rate"))
+    goal = jumps.select("model_id", F.lit("end at view").alias("node")).distinct()
+    found = chains.absorption(edges, goal).where("node NOT LIKE 'end at %'")
+    return found.select("model_id", "node", F.round("prob", 6).alias("prob"))
+
+
 # Structure.
 
 
@@ -599,25 +625,21 @@ def anytime_bound(spark, sf_dir):
     return _ask(spark, sf_dir, "query_id string, lower double", lambda net, ctx, goal, i: [(i, round(kernels.anytime_bound(net, ctx, goal, 4), 6))])
 
 
-# Runs end at the goal, or where an argument on local states excludes it; those with a chance over 1e-4 suffice here.
-@query(f"""{GRAPH}, {_HIT}, {_CONE}, {_OA}, sm AS MATERIALIZED (SELECT r.model_id, r.sid, bit_or(bit.bit) AS mask FROM r JOIN a USING (model_id) JOIN bit ON bit.model_id = r.model_id AND bit.automaton = a.automaton AND bit.level = (r.sid // a.stride) % a.levels GROUP BY ALL),
+# Runs end at the goal, or where an argument on local states excludes it. A node jumps while it holds LEAST mass.
+_LEAST = 0.00137
+
+
+@query(f"""{GRAPH}, {_HIT}, {_OA}, sm AS MATERIALIZED (SELECT r.model_id, r.sid, bit_or(bit.bit) AS mask FROM r JOIN a USING (model_id) JOIN bit ON bit.model_id = r.model_id AND bit.automaton = a.automaton AND bit.level = (r.sid // a.stride) % a.levels GROUP BY ALL),
 sg AS (SELECT model_id, sid, mask, 0 AS k FROM sm UNION ALL SELECT sg.model_id, sg.sid, sg.mask | coalesce((SELECT bit_or(target) FROM rule WHERE rule.model_id = sg.model_id AND (sg.mask & need) = need), 0), k + 1 FROM sg WHERE k < 25),
 stop AS MATERIALIZED (SELECT q.query_id, sg.sid, false AS hit FROM q JOIN bit USING (model_id, automaton, level) JOIN sg ON sg.model_id = q.model_id AND k = 25 WHERE (sg.mask & bit.bit) = 0 UNION ALL SELECT query_id, sid, true FROM hits),
-mv AS (SELECT cone.query_id, e.sid, e.dst, e.rate FROM cone JOIN m ON m.model_id = cone.model_id AND m.automaton = cone.node JOIN e ON e.model_id = m.model_id AND e.tid = m.tid WHERE NOT EXISTS (SELECT 1 FROM stop WHERE stop.query_id = cone.query_id AND stop.sid = e.sid)),
-mp AS MATERIALIZED (SELECT *, rate / sum(rate) OVER (PARTITION BY query_id, sid) AS p FROM mv),
-rn AS (SELECT q.query_id, s0.sid AS start, s0.sid, 1.0::DOUBLE AS p FROM q JOIN s0 USING (model_id) UNION ALL SELECT rn.query_id, start, mp.dst, rn.p * mp.p FROM rn JOIN mp ON mp.query_id = rn.query_id AND mp.sid = rn.sid WHERE rn.p * mp.p > 1e-4),
-rk AS MATERIALIZED (SELECT rn.query_id, start, hit, p, row_number() OVER (PARTITION BY rn.query_id, start, hit ORDER BY p DESC) AS rank FROM rn JOIN stop ON stop.query_id = rn.query_id AND stop.sid = rn.sid),
-ns AS (SELECT q.query_id, count(*) AS n FROM q JOIN s0 USING (model_id) GROUP BY ALL), bu(budget) AS (VALUES (1), (2), (4), (8))
-SELECT query_id, budget, round(coalesce((SELECT sum(p) FROM rk WHERE rk.query_id = ns.query_id AND hit AND rank <= budget), 0) / n, 6) AS lower, round(1 - coalesce((SELECT sum(p) FROM rk WHERE rk.query_id = ns.query_id AND NOT hit AND rank <= budget), 0) / n, 6) AS upper FROM ns, bu""")
+jp AS MATERIALIZED (SELECT e.model_id, e.sid, e.dst, sum(e.rate) / any_value(x.out) AS p FROM e JOIN (SELECT model_id, sid, sum(rate) AS out FROM e GROUP BY ALL) x USING (model_id, sid) GROUP BY ALL),
+go AS MATERIALIZED (SELECT q.query_id, jp.sid, jp.dst, jp.p FROM q JOIN jp USING (model_id) ANTI JOIN stop ON stop.query_id = q.query_id AND stop.sid = jp.sid),
+fr AS (SELECT q.query_id, s0.sid, 1.0::DOUBLE / (SELECT count(*) FROM s0 z WHERE z.model_id = q.model_id) AS m, 0 AS k FROM q JOIN s0 USING (model_id)
+ UNION ALL SELECT * FROM (SELECT fr.query_id, coalesce(go.dst, fr.sid) AS sid, sum(fr.m * coalesce(go.p, 1.0)), k + 1 FROM fr LEFT JOIN go ON go.query_id = fr.query_id AND go.sid = fr.sid AND fr.m >= {_LEAST} WHERE k < 16 GROUP BY fr.query_id, coalesce(go.dst, fr.sid), k))
+SELECT query_id, k AS budget, round(coalesce(sum(m) FILTER (hit), 0), 6) AS lower, round(1 - coalesce(sum(m) FILTER (NOT hit), 0), 6) AS upper FROM fr LEFT JOIN stop USING (query_id, sid) WHERE k IN (1, 2, 4, 8, 16) GROUP BY query_id, k""")
 def bracket(spark, sf_dir):
-    """Bounds for every goal by budget."""
-    rows = goal_models(networks(spark, sf_dir)).withColumn("budget", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
-
-    def answer(net, q):
-        low, high = kernels.bracket(net, net.initial, (q["automaton"], int(q["level"])), int(q["budget"]))
-        return [(q["query_id"], int(q["budget"]), round(low, 6), round(high, 6))]
-
-    return kernel(rows, "query_id string, budget int, lower double, upper double", answer)
+    """Bounds on every goal's probability by how many rounds of jumps were spent: what has got there, and what still may."""
+    return _rounded(states.bracket(models := networks(spark, sf_dir), goals(models), (1, 2, 4, 8, 16), _LEAST), 6)
 
 
 @query(f"""{FX}, {_LCG}, {_OA}, gb AS MATERIALIZED (SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)),

@@ -1,5 +1,6 @@
 """The relational operators against the kernels, on the fixtures and on random networks side by side."""
 
+import math
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave.__main__ import main
 from cellweave.model import Law, Move, Network
-from cellweave.operators import chains, kernels, local, states, structure
+from cellweave.operators import chains, kernels, local, solvers, states, structure
 from cellweave.plans import api
 from cellweave.plans.frames import Models, encode, state_text
 from cellweave.sources import text
@@ -145,6 +146,72 @@ def test_large_chains_take_other_ways(spark, monkeypatch):
             assert found[k][0] == pytest.approx(p, abs=1e-6) and (t is None or found[k][1] == pytest.approx(t, rel=1e-5))
 
 
+def test_rare_exits_are_right_or_null(spark, monkeypatch):
+    """Two states that hardly ever leave: a step changes next to nothing long before the answer is reached."""
+    import pandas as pd
+
+    rows = [("sure", "a", "b", 1.0), ("sure", "b", "a", 1.0), ("sure", "b", "goal", 1e-10)]
+    rows += [("even", "a", "b", 1.0), ("even", "b", "a", 1.0), ("even", "b", "goal", 1e-10), ("even", "b", "lost", 3e-10)]
+    edges = spark.createDataFrame(rows, "model_id string, src string, dst string, rate double")
+    goals = spark.createDataFrame([("sure", "goal"), ("even", "goal")], "model_id string, node string")
+    exact = {(r.model_id, r.node): (r.prob, r.mean_time) for r in chains.absorption(edges, goals).collect()}
+    for node in "ab":
+        assert exact["sure", node][0] == 1.0 and exact["sure", node][1] == pytest.approx(2e10, rel=1e-6) and exact["even", node] == (pytest.approx(0.25, abs=1e-9), None)
+    joined = {(r.model_id, r.node): r.prob for r in chains.absorption_by_joins(edges, goals, max_rounds=10).collect()}
+    assert joined["sure", "a"] == joined["sure", "b"] == 1.0 and joined["even", "a"] is None and joined["even", "lost"] == 0.0
+    assert {r.mean_time for r in chains.hitting_times_by_joins(edges.where("model_id = 'sure'"), goals.where("model_id = 'sure'"), max_rounds=10).collect()} == {None, 0.0}
+    monkeypatch.setattr(chains, "SMALL", 0)
+    monkeypatch.setattr(chains, "DENSE", 0)
+    monkeypatch.setattr(solvers, "WORK", 5_000)
+    swept = chains._solve(pd.DataFrame([(*r, None) for r in rows] + [(m, "goal", None, None, True) for m in ("sure", "even")], columns=["model_id", "src", "dst", "rate", "goal"])).set_index(["model_id", "node"])
+    assert swept.prob["sure", "a"] == 1.0 and math.isnan(swept.mean_time["sure", "a"]) and math.isnan(swept.prob["even", "a"])
+
+
+def test_elimination_against_fractions():
+    from fractions import Fraction
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randrange(1, 7)
+        src, dst, rate = zip(*[(i, j, rng.choice((1.0, 1e-8, 3.0, 1e-12))) for i in range(n) for j in [*range(n + 2)] if rng.random() < 0.6 and i != j] or [(0, n, 1.0)])
+        goal = np.arange(n + 2) == n
+        h, _ = solvers.absorbed(np.array(src), np.array(dst), np.array(rate), goal, dense=100)
+        p = {}
+        for i, j, r in zip(src, dst, rate):
+            p.setdefault(i, {})[j] = Fraction(r)
+        # Gauss on fractions, over the nodes that can reach the goal
+        can = {n}
+        while more := {i for i in p if i not in can and any(j in can for j in p[i])}:
+            can |= more
+        free = sorted(can - {n})
+        m = [[Fraction(int(i == j)) - p[i].get(j, Fraction(0)) / sum(p[i].values()) for j in free] + [p[i].get(n, Fraction(0)) / sum(p[i].values())] for i in free]
+        for k in range(len(free)):
+            pivot = next(r for r in range(k, len(free)) if m[r][k])
+            m[k], m[pivot] = m[pivot], m[k]
+            m[k] = [x / m[k][k] for x in m[k]]
+            for r in range(len(free)):
+                if r != k and m[r][k]:
+                    m[r] = [x - m[r][k] * y for x, y in zip(m[r], m[k])]
+        for k, i in enumerate(free):
+            assert h[i] == pytest.approx(float(m[k][-1]), rel=1e-12)
+
+
+def test_bracket_holds_the_probability(spark, models):
+    """For every fixture's goals: bounds that hold the chain's probability, and get tighter."""
+    asked = spark.createDataFrame([g for g in GOALS if g[1] in ("p53-mdm2", "cellfate", "multivalued-demo")], "query_id string, model_id string, automaton string, level int")
+    got = {}
+    for r in states.bracket(models, asked, (0, 2, 8, 24), 1e-6).collect():
+        got.setdefault(r.query_id, []).append((r.budget, r.lower, r.upper))
+    exact = {q: kernels.ctmc(NETWORKS[m], NETWORKS[m].initial, (a, k))[0] for q, m, a, k in GOALS if q in got}
+    assert len(got) == asked.count()
+    for q, rows in got.items():
+        rows.sort()
+        assert all(low - 1e-9 <= exact[q] <= high + 1e-9 for _, low, high in rows)
+        assert all(x[1] <= y[1] + 1e-12 and x[2] >= y[2] - 1e-12 for x, y in zip(rows, rows[1:])) and rows[-1][2] - rows[-1][1] < 0.3
+
+
 def test_api(spark, models, tmp_path):
     cell = Models.of(spark, {"cellfate": NETWORKS["cellfate"]})
     row = api.quantitative(cell, ["Apoptosis=1"]).first()
