@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.frames import Models, kernel
+from ..plans.staging import cut
 from . import kernels, structure
 
 #: A set of local states is one 63-bit number; models with more local states are answered by the kernel, one task each.
@@ -97,9 +98,9 @@ def single_cutsets(models: Models, goals: DataFrame) -> DataFrame:
     one, rules = _masks(models)
     g = goals.join(one.withColumnRenamed("bit", "goal"), ["model_id", "automaton", "level"]).select("query_id", "model_id", "goal")
     each = g.join(rules, "model_id").join(one, "model_id").where("(init & bit) = 0 AND bit <> goal")
-    cut = closed_set(F.col("init"), F.col("bit")).bitwiseAND(F.col("goal")) == 0
+    cuts = closed_set(F.col("init"), F.col("bit")).bitwiseAND(F.col("goal")) == 0
     reach = closed_set(F.col("init"), F.lit(0).cast("long")).bitwiseAND(F.col("goal")) != 0
-    rows = each.where(cut & reach).select("query_id", F.format_string("%s=%d", "automaton", "level").alias("member"))
+    rows = each.where(cuts & reach).select("query_id", F.format_string("%s=%d", "automaton", "level").alias("member"))
 
     def answer(net, goal):
         if goal in kernels.may_reach(net, net.initial):
@@ -112,6 +113,38 @@ def single_cutsets(models: Models, goals: DataFrame) -> DataFrame:
     return rows.union(_over_large(models, goals, "member", answer))
 
 
+def cutsets_by_levels(models: Models, goals: DataFrame, max_size: int = 3) -> DataFrame:
+    """(query_id, members, size): the smallest sets of up to max_size local states without which a goal (query_id, model_id,
+    automaton, level) that is possible is excluded; initial ones and the goal itself aside.
+
+    Level by level: sets of one more state are joined from those that do not cut and differ in the last state, all of
+    whose other parts must be among those too; each level is one frame of sets. members are in order of names. Models
+    with more local states than BITS are left to single_cutsets() and the kernel.
+    """
+    one, rules = _masks(models)
+    named = one.select("model_id", F.col("bit").alias("own"), F.format_string("%s=%d", "automaton", "level").alias("name"))
+    g = goals.join(one.withColumnRenamed("bit", "goal"), ["model_id", "automaton", "level"]).select("query_id", "model_id", "goal")
+    asked = g.join(rules, "model_id").where(closed_set(F.col("init"), F.lit(0).cast("long")).bitwiseAND(F.col("goal")) != 0)
+    asked = cut(asked.select("query_id", "model_id", "goal", "init", "moves", "n_bits"))
+    sets = asked.join(named, "model_id").where("(init & own) = 0 AND own <> goal").select("query_id", F.array("name").alias("members"), F.col("own").alias("mask"))
+    found = None
+    for size in range(1, max_size + 1):
+        scored = sets.join(asked, "query_id").select("query_id", "members", "mask", (closed_set(F.col("init"), F.col("mask")).bitwiseAND(F.col("goal")) == 0).alias("cuts"))
+        scored = cut(scored)
+        hit = scored.where("cuts").select("query_id", F.array_join("members", ",").alias("members"), F.lit(size).alias("size"))
+        found = hit if found is None else found.union(hit)
+        if size == max_size:
+            break
+        rest = scored.where("NOT cuts").select("query_id", "members", "mask", F.slice("members", 1, size - 1).alias("head"), F.element_at("members", -1).alias("tail"))
+        other = rest.select("query_id", "head", F.col("tail").alias("more"), F.col("mask").alias("mask2"))
+        sets = rest.join(other, ["query_id", "head"]).where("more > tail").select("query_id", F.concat("members", F.array("more")).alias("members"), F.col("mask").bitwiseOR(F.col("mask2")).alias("mask"))
+        # the parts without one of the first states; those without one of the last two are what was joined
+        for k in range(size - 1):
+            part = F.concat(F.slice("members", 1, k), F.slice("members", k + 2, size))
+            sets = sets.withColumn("part", part).join(rest.select("query_id", F.col("members").alias("part")), ["query_id", "part"], "left_semi").drop("part")
+    return found
+
+
 def disabling_mutations(models: Models, goals: DataFrame) -> DataFrame:
     """(query_id, target): automata frozen at a level by which a goal that was possible is excluded."""
     one, rules = _masks(models)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.frames import Models, encode, fires, kernel, state_text
 from ..plans.staging import cut
-from . import chains, diagrams, kernels, local
+from . import chains, diagrams, graphs, kernels, local
 
 #: Spaces of up to so many states are rows; larger ones are decision diagrams, one task a model.
 FIXPOINT_CAP, TRAP_CAP = 1_000_000, 1_000_000
@@ -195,6 +195,18 @@ def bracket(models: Models, goals: DataFrame, rounds: tuple[int, ...] = (16,), l
     return sums.select("query_id", "budget", F.coalesce("yes", F.lit(0.0)).alias("lower"), (1 - F.coalesce("no", F.lit(0.0))).alias("upper"))
 
 
+def attractors_by_rounds(models: Models, cap: int = FIXPOINT_CAP) -> DataFrame:
+    """(model_id, attractor, state): the states of the terminal components of whole spaces of up to `cap` states, which the
+    least state numbers, by rounds of joins over all models."""
+    spaces, transitions = encode(models)
+    every = all_states(spaces, cap)
+    edges = cut(successors(every, cut(transitions)).select("model_id", F.col("sid").alias("src"), "dst"))
+    moving = graphs.terminal(edges).select("model_id", F.col("node").alias("sid"), F.col("comp").alias("attractor"))
+    still = every.join(edges.select("model_id", F.col("src").alias("sid")), ["model_id", "sid"], "left_anti").withColumn("attractor", F.col("sid"))
+    found = moving.unionByName(still).distinct()
+    return found.join(spaces, "model_id").select("model_id", "attractor", state_text().alias("state"))
+
+
 def _explored(models: Models, goals: DataFrame) -> DataFrame:
     spaces, _ = encode(models)
     states = cut(reachable(models))

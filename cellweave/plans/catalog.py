@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import Move, Network
 from ..functions import scalars
-from ..operators import chains, diagrams, kernels, local, states, structure
+from ..operators import chains, diagrams, graphs, kernels, local, runs, states, structure
 from ..sources.text import WRITERS
 from . import api, derive
 from .frames import Models, encode, kernel, state_text
@@ -868,6 +868,70 @@ def user_purchase_probability(spark, sf_dir):
     return found.select("model_id", F.round("prob", 5).alias("prob"), "prob_exact")
 
 
+# Rounds over the cluster, without a task a model.
+
+_BUYS = """buy AS (SELECT l_partkey AS part, o_custkey AS cust, o_orderdate AS day, o_orderkey AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL AND l_partkey IS NOT NULL),
+link AS MATERIALIZED (SELECT DISTINCT arg_min(cust, (day, ord, cust)) AS src, arg_max(cust, (day, ord, cust)) AS dst FROM buy GROUP BY part)"""
+
+
+@query(f"""WITH RECURSIVE {_BUYS}, cl AS (SELECT src, dst FROM link UNION SELECT cl.src, link.dst FROM cl JOIN link ON link.src = cl.dst),
+mate AS (SELECT x.src AS node, x.dst AS other FROM cl x JOIN cl y ON y.src = x.dst AND y.dst = x.src)
+SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS comp FROM (SELECT src AS node FROM link UNION SELECT dst FROM link) n LEFT JOIN mate USING (node) GROUP BY n.node""")
+def customer_components(spark, sf_dir):
+    """Strong components of customers, each part leading from the customer who first bought it to the one who last did."""
+    li, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    buys = li.select("l_partkey", F.col("l_orderkey").alias("o_orderkey")).join(o.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").where("o_custkey IS NOT NULL AND l_partkey IS NOT NULL")
+    at = F.struct("o_orderdate", "o_orderkey", "o_custkey")
+    links = buys.groupBy("l_partkey").agg(F.min(at)["o_custkey"].alias("src"), F.max(at)["o_custkey"].alias("dst")).select(F.lit("parts").alias("model_id"), "src", "dst").distinct()
+    return graphs.strong_components(links).select("node", "comp")
+
+
+@query(ORACLES["attractors"])
+def user_attractors(spark, sf_dir):
+    """Terminal components of every user's whole state space, by rounds."""
+    models = networks(spark, sf_dir)
+    found = states.attractors_by_rounds(models).groupBy("model_id", "attractor").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("state")), " | ").alias("states"))
+    return found.select("model_id", "size", "states", F.lit(False).alias("truncated"))
+
+
+@query(f"""{GRAPH}, {_HIT}, lay AS (SELECT model_id, sid, 0 AS d FROM s0 UNION SELECT e.model_id, e.dst, d + 1 FROM lay JOIN e ON e.model_id = lay.model_id AND e.sid = lay.sid WHERE d < 40),
+dep AS MATERIALIZED (SELECT model_id, sid, min(d) AS d FROM lay GROUP BY ALL),
+par AS MATERIALIZED (SELECT t.model_id, t.sid, min({{'tid': e.tid, 'sid': e.sid}}) AS way FROM dep t JOIN e ON e.model_id = t.model_id AND e.dst = t.sid JOIN dep f ON f.model_id = e.model_id AND f.sid = e.sid AND f.d = t.d - 1 GROUP BY ALL),
+fin AS (SELECT query_id, hits.model_id, min({{'d': d, 'sid': hits.sid}}) AS fin FROM hits JOIN dep ON dep.model_id = hits.model_id AND dep.sid = hits.sid GROUP BY ALL),
+walk AS (SELECT query_id, model_id, fin.d AS steps, fin.sid AS sid, CAST([] AS VARCHAR[]) AS run, fin.d AS d FROM fin
+ UNION ALL SELECT query_id, walk.model_id, steps, way.sid, list_prepend(txt.text, run), d - 1 FROM walk JOIN par ON par.model_id = walk.model_id AND par.sid = walk.sid JOIN txt ON txt.model_id = walk.model_id AND txt.tid = way.tid WHERE d > 0)
+SELECT query_id, CAST(steps AS INTEGER) AS steps, coalesce(list_aggregate(run, 'string_agg', '; '), '') AS run FROM walk WHERE d = 0""")
+def user_witnesses(spark, sf_dir):
+    """A shortest run to each goal that a user's network reaches."""
+    models = networks(spark, sf_dir)
+    found = runs.shortest_runs(models, goals(models))
+    each = found.select("query_id", "model_id", "steps", F.posexplode_outer("run").alias("at", "tid")).join(structure.transition_texts(models).select("model_id", "tid", "text"), ["model_id", "tid"], "left")
+    lines = each.groupBy("query_id", "steps").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))).alias("lines"))
+    return lines.select("query_id", "steps", F.array_join(F.transform("lines", lambda x: x["text"]), "; ").alias("run"))
+
+
+@query(f"""WITH RECURSIVE {EACH}, st AS (SELECT 'u' || user_id AS model_id, arg_min(event_type, (ts, event_id)) AS node FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL),
+c AS MATERIALIZED (SELECT model_id, src, dst, CAST(round(-ln(p) * 1e9) AS BIGINT) AS c FROM p WHERE src <> 'purchase'),
+run AS (SELECT model_id, node, 0::BIGINT AS cost, [node] AS run, 0 AS k FROM st
+ UNION ALL SELECT run.model_id, c.dst, run.cost + c.c, list_append(run, c.dst), k + 1 FROM run JOIN c ON c.model_id = run.model_id AND c.src = run.node WHERE k < 30 QUALIFY row_number() OVER (PARTITION BY run.model_id, c.dst ORDER BY run.cost + c.c, list_append(run, c.dst)) <= 5),
+best AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY cost, run) AS rank FROM run WHERE node = 'purchase')
+SELECT model_id, CAST(rank AS INTEGER) AS rank, round(exp(-cost / 1e9), 6) AS prob, list_aggregate(run, 'string_agg', ' > ') AS run FROM best WHERE rank <= 5""")
+def user_likeliest_runs(spark, sf_dir):
+    """The five likeliest ways from each user's first event to a purchase."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    jumps = chains.jump_chain(derive.event_chain(events, True))
+    begun = events.where("ts IS NOT NULL AND event_type IS NOT NULL").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("model_id")).agg(F.min(F.struct(derive.micros("ts"), "event_id", "event_type"))["event_type"].alias("node"))
+    goal = jumps.select("model_id", F.lit("purchase").alias("node")).distinct()
+    found = runs.likeliest_runs(jumps, begun, goal)
+    return found.select("model_id", "rank", F.round("prob", 6).alias("prob"), F.array_join("run", " > ").alias("run"))
+
+
+@query(ORACLES["cutsets"].replace("(SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)),\ncand", f"(SELECT query_id, q.model_id, bit AS goal FROM q JOIN bit USING (model_id, automaton, level)){_CAN},\ncand").replace("FROM cutting x WHERE", "FROM cutting x SEMI JOIN can USING (query_id) WHERE"))
+def user_cutsets(spark, sf_dir):
+    """Smallest sets of up to three local states that exclude a goal which is possible, for every user's network."""
+    return local.cutsets_by_levels(models := networks(spark, sf_dir), goals(models))
+
+
 # Networks beyond enumeration, of any number of automata, and what is known of them in closed form.
 
 
