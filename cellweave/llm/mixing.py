@@ -2,7 +2,7 @@
 
 Documents fall into cells of source, language and topic. A cell's token weight is its tokens times one factor for
 each of its three categories; raking sets the factors in turn until the weights' shares match the targets of every
-marginal. A document's probability is its cell's factor, scaled so that no probability exceeds 1, and a document is
+marginal. A document's probability is its cell's factor, which raking holds at 1 at most, and a document is
 taken where a hash of its id falls below it. All of it is DataFrame functions.
 """
 
@@ -48,7 +48,7 @@ def tempered_targets(cells: DataFrame, margin: str, temperature: float) -> DataF
     return sums.select(margin, (F.col("p") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-10, few: int = FEW_CELLS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 1e-10, few: int = FEW_CELLS, keep: float | None = None) -> DataFrame:
     """cells (source, lang, topic, tokens) with `factor`, so that tokens * factor has the targets' shares.
 
     Each step divides the weights of one margin's categories by their sum and multiplies them by the target. Up to
@@ -56,22 +56,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     partly before the shuffle, and joined back, and each step is written. The results are the same. Categories without
     a target keep no weight. Raking ends after `rounds`, or when a round changes no factor by more than tolerance,
     relatively; shortfall() says what is left between shares and targets then.
+
+    With keep, factors are probabilities: weights sum to keep of all tokens, no factor passes 1, and cells that have
+    come to 1 leave the rest of their categories' targets to the other cells. A last step of each round holds the sum
+    where a category has too few tokens for its target.
     """
-    now = cells.where("tokens > 0").select(*MARGINS, "tokens", F.lit(1.0).alias("factor"), F.lit(0.0).alias("change"))
+    now = cells.where("tokens > 0").select(*MARGINS, "tokens", F.lit(1.0 if keep is None else float(keep)).alias("factor"), F.lit(0.0).alias("change"))
     for m, t in targets.items():
         now = now.join(t.select(m, F.col("target").alias(f"_{m}")), m, "left")
     now = stage(now.fillna(0.0, [f"_{m}" for m in targets]), "cells")
-    small = now.count() <= few
+    n, total = now.agg(F.count(F.lit(1)), F.sum("tokens").cast("double")).first()
+    small, mass = n <= few, 1.0 if keep is None else float(keep) * (total or 0.0)
 
-    def step(now: DataFrame, m: str) -> DataFrame:
+    def step(now: DataFrame, m: str | None) -> DataFrame:
+        own = F.sum(F.col("tokens") * F.col("factor"))
         if small:
-            own = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(m))
-            now = now.withColumn("_sum", own)
+            now = now.withColumn("_sum", own.over(Window.partitionBy(*([m] if m else []))))
+        elif m:
+            now = now.join(now.groupBy(m).agg(own.alias("_sum")), m)
         else:
-            now = now.join(now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("_sum")), m)
-        ratio = F.when(F.col("_sum") > 0, F.col(f"_{m}") / F.col("_sum")).otherwise(0.0)
-        changed = F.when(ratio > 0, F.abs(ratio - 1)).otherwise(0.0)
-        now = now.select(*MARGINS, "tokens", (F.col("factor") * ratio).alias("factor"), F.greatest("change", changed).alias("change"), *(f"_{x}" for x in targets))
+            now = now.join(F.broadcast(now.agg(own.alias("_sum"))))
+        ratio = F.when(F.col("_sum") > 0, (F.col(f"_{m}") if m else F.lit(1.0)) * mass / F.col("_sum")).otherwise(0.0)
+        new = F.col("factor") * ratio if keep is None else F.least(F.lit(1.0), F.col("factor") * ratio)
+        changed = F.when(new > 0, F.abs(new / F.col("factor") - 1)).otherwise(0.0)
+        now = now.select(*MARGINS, "tokens", new.alias("factor"), F.greatest("change", changed).alias("change"), *(f"_{x}" for x in targets))
         return now if small else stage(now, "cells")
 
     done, at_once = 0, 2 if small else 1
@@ -79,7 +87,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         for _ in range(min(at_once, rounds - done)):
             # what the last round changes is what counts
             now = now.withColumn("change", F.lit(0.0))
-            for m in MARGINS:
+            for m in (*MARGINS, *([] if keep is None else [None])):
                 now = step(now, m)
         done += at_once
         now = stage(now, "cells") if small else now
@@ -112,12 +120,10 @@ def _drawn(own: DataFrame, names: dict[str, str], targets: dict[str, DataFrame]
     """
     cells = stage(own.groupBy([F.col(names[m]).alias(m) for m in MARGINS]).agg(F.sum(names["tokens"]).alias("tokens")), "mix-cells")
     targets = targets or {m: tempered_targets(cells, m, t) for m, t in zip(MARGINS, temperatures)}
-    raked = rake(cells, targets, rounds)
+    raked = rake(cells, targets, rounds, keep=keep if calibrated else None)
     total, n_cells = raked.agg(F.sum("tokens").cast("double"), F.count(F.lit(1))).first()
     weight, probability, selected, *keys = fresh(own, "weight", "probability", "selected", "key_source", "key_lang", "key_topic")
-    factors = raked.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, keys)), (F.col("factor") * (total or 0.0)).alias(weight))
-    if calibrated:
-        keep = min(keep, 1 / (factors.agg(F.max(weight)).first()[0] or 1.0))
+    factors = raked.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, keys)), (F.col("factor") * (1 / keep if calibrated else total or 0.0)).alias(weight))
     # one row a cell meets the documents; where it is a join, AQE splits the hot cells' documents
     out = own.join(F.broadcast(factors) if n_cells <= FEW_CELLS else factors, [F.col(names[m]) == F.col(k) for m, k in zip(MARGINS, keys)], "left").drop(*keys)
     out = out.withColumn(weight, F.when(F.col(names["tokens"]) > 0, F.coalesce(weight, F.lit(0.0))).otherwise(0.0))
@@ -129,9 +135,11 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatur
     """(doc_id, source, lang, topic, tokens, weight, probability, selected) for every row of docs.
 
     targets: for each margin (category, target), shares that sum to 1; by default tempered token shares. keep: the
-    expected share of tokens. weight: the cell's factor, 1 where targets equal the shares as they are. calibrated:
-    keep is lowered to 1 / the largest weight where it is more, so that no probability is cut at 1 and the expected
-    tokens have the targets' shares; without it cells that are cut fall short of theirs. Null categories are the
+    expected share of tokens (over 0, up to 1). weight: the cell's factor, 1 where targets equal the shares as they are;
+    probability: keep * weight. calibrated: factors are raked with probabilities held at 1, so that the expected tokens
+    are keep of all, and have the targets' shares wherever categories have tokens enough for that (else all of theirs,
+    and the others share what is left as their targets do); without it probabilities are cut at 1 after raking, and
+    cells that are cut fall short. Null categories are the
     category ''; null or empty text has no tokens and weight, probability 0. Each row has its own cell's probability;
     equal ids have one draw, null ones too. Other columns are ignored; an empty table gives no rows. Memory: a text
     and its words.
@@ -161,22 +169,24 @@ def _sql(rounds: int = ROUNDS) -> str:
     topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS) + " ELSE 'prose' END"
     parts = [
         f"own AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)",
-        "r0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens, CAST(1 AS DOUBLE) AS factor FROM own GROUP BY ALL HAVING sum(tokens) > 0)",
+        "r0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens, CAST(0.5 AS DOUBLE) AS factor FROM own GROUP BY ALL HAVING sum(tokens) > 0)",
     ]
+    half = "(0.5 * (sum(tokens) OVER ())::DOUBLE)"
     for m in MARGINS:
         parts.append(f"t_{m} AS MATERIALIZED (SELECT {m}, power(sum(tokens)::DOUBLE, 0.7) / sum(power(sum(tokens)::DOUBLE, 0.7)) OVER () AS target FROM r0 GROUP BY {m})")
     last = "r0"
     for i in range(rounds):
         for m in MARGINS:
             name = f"r{i}_{m}"
-            parts.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, factor * target / sum(tokens * factor) OVER (PARTITION BY {m}) AS factor FROM {last} JOIN t_{m} USING ({m}))")
+            parts.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(1.0, factor * (target * {half} / sum(tokens * factor) OVER (PARTITION BY {m}))) AS factor FROM {last} JOIN t_{m} USING ({m}))")
             last = name
-    parts.append(f"v AS (SELECT source, lang, topic, factor * (sum(tokens) OVER ())::DOUBLE AS weight FROM {last})")
-    parts.append("w AS MATERIALIZED (SELECT *, least(0.5, 1 / max(weight) OVER ()) AS keep FROM v)")
+        parts.append(f"r{i}_all AS MATERIALIZED (SELECT source, lang, topic, tokens, least(1.0, factor * ({half} / sum(tokens * factor) OVER ())) AS factor FROM {last})")
+        last = f"r{i}_all"
+    parts.append(f"w AS MATERIALIZED (SELECT source, lang, topic, factor * 2 AS weight FROM {last})")
     draw = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496"
     return "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, source, lang, topic, tokens, round(v, 6) AS weight, round(least(1.0, keep * v), 6) AS probability, {draw} < least(1.0, keep * v) AS selected
-FROM (SELECT own.*, coalesce(keep, 0.5) AS keep, CASE WHEN tokens > 0 THEN coalesce(weight, 0.0) ELSE 0.0 END AS v FROM own LEFT JOIN w USING (source, lang, topic))"""
+SELECT doc_id, source, lang, topic, tokens, round(v, 6) AS weight, round(least(1.0, 0.5 * v), 6) AS probability, {draw} < least(1.0, 0.5 * v) AS selected
+FROM (SELECT own.*, CASE WHEN tokens > 0 THEN coalesce(weight, 0.0) ELSE 0.0 END AS v FROM own LEFT JOIN w USING (source, lang, topic))"""
 
 
 OP1_SQL = _sql()

@@ -16,6 +16,23 @@ def slow_rake(cells, targets, rounds):
     return factor
 
 
+def slow_bounded_rake(cells, targets, rounds, keep):
+    """Probabilities: the same with no factor over 1, and a step for the sum after each round."""
+    mass = keep * sum(cells.values())
+    factor = dict.fromkeys(cells, keep)
+    for _ in range(rounds):
+        for m in (0, 1, 2, None):
+            sums = {}
+            for c, t in cells.items():
+                k = None if m is None else c[m]
+                sums[k] = sums.get(k, 0) + t * factor[c]
+            for c in cells:
+                k = None if m is None else c[m]
+                target = 1.0 if m is None else targets[m][k]
+                factor[c] = min(1.0, factor[c] * target * mass / sums[k]) if sums[k] else 0.0
+    return factor
+
+
 def make(n=400):
     rng = random.Random(1)
     rows = []
@@ -65,7 +82,7 @@ def test_given_targets_and_sample(spark):
     rows = [r for r in make() if r[0] != 902]  # a single huge cell slows raking down
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     even = {m: spark.createDataFrame([(k, 1 / len(ks)) for k in ks], f"{m} string, target double") for m, ks in (("source", ["hot", "s1", "s2", "s3", ""]), ("lang", ["en", "de", ""]), ("topic", ["prose", "table", "figures", "notice"]))}
-    found = mixing.mix(docs, even, rounds=12).collect()
+    found = mixing.mix(docs, even, rounds=12, calibrated=False).collect()
     mass = sum(r.tokens * r.weight for r in found)
     assert abs(sum(r.tokens * r.weight for r in found if r.source == "hot") / mass - 0.2) < 0.02
     kept = mixing.sample(docs, rounds=2)
@@ -76,23 +93,65 @@ def test_given_targets_and_sample(spark):
     assert [r.selected for r in mixing.mix(empty, rounds=2).collect()] == [False]
 
 
-def test_calibrated_probabilities_meet_the_targets(spark):
-    rows = [r for r in make() if r[0] != 902] + [(5000 + i, "mail a@b now", "en", "hot") for i in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    cut, got = mixing.mix(docs, calibrated=False).collect(), mixing.mix(docs).collect()
-    assert max(r.weight for r in got) > 2 and max(r.probability for r in got) <= 1 + 1e-9
+def shares(found, column):
+    mass = sum(r.tokens * r[column] for r in found)
+    out = {}
     for at, m in enumerate(mixing.MARGINS):
+        for r in found:
+            out[m, r[m]] = out.get((m, r[m]), 0.0) + r.tokens * r[column] / mass
+    return out
+
+
+def test_bounded_raking_equals_brute_force(spark):
+    rows = make()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, keep=0.6, rounds=9).collect()
+    cells, targets = {}, []
+    for r in got:
+        if r.tokens:
+            cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + r.tokens
+    for m in range(3):
         sums = {}
-        for r in got:
-            sums[r[m]] = sums.get(r[m], 0) + r.tokens
-        total = sum(t**0.7 for t in sums.values())
-        off = {}
-        for name, found in (("cut", cut), ("calibrated", got)):
-            mass = sum(r.tokens * r.probability for r in found)
-            off[name] = max(abs(sum(r.tokens * r.probability for r in found if r[m] == k) / mass - t**0.7 / total) for k, t in sums.items())
-        assert off["calibrated"] < 1e-4
-        assert m != "topic" or off["cut"] > 1e-3
-    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01, rounds=2).collect()) / sum(r.tokens for r in got) < 0.011
+        for c, t in cells.items():
+            sums[c[m]] = sums.get(c[m], 0) + t
+        targets.append({k: t**0.7 / sum(x**0.7 for x in sums.values()) for k, t in sums.items()})
+    want = slow_bounded_rake(cells, targets, 9, 0.6)
+    assert max(want.values()) == 1.0
+    for r in got:
+        assert abs(r.probability - (want[r.source, r.lang, r.topic] if r.tokens else 0.0)) < 1e-9 and abs(r.probability - 0.6 * r.weight) < 1e-9
+
+
+def test_targets_are_met_where_there_are_tokens_enough(spark):
+    """Saturated cells leave their share to others of their category; cutting them at the end does not."""
+    rng = random.Random(2)
+    rows = [(i, "w " * 20, "en" if rng.random() < 0.9 else "de", rng.choice(("s1", "s1", "s1", "s2"))) for i in range(3000)]
+    rows = [(i, t, "de" if s == "s2" and rng.random() < 0.02 else x, s) for i, t, x, s in rows] + [(9000 + i, "w " * 20, "de", "s3") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    even = {"source": spark.createDataFrame([("s1", 0.6), ("s2", 0.39), ("s3", 0.01)], "source string, target double"), "lang": spark.createDataFrame([("en", 0.85), ("de", 0.15)], "lang string, target double"), "topic": spark.createDataFrame([("prose", 1.0)], "topic string, target double")}
+    got = mixing.mix(docs, even, keep=0.6, rounds=60).collect()
+    own = shares(got, "probability")
+    for m, t in even.items():
+        for r in t.collect():
+            assert abs(own[m, r[m]] - r.target) < 1e-3
+    assert max(r.probability for r in got) == 1.0 and abs(sum(r.tokens * r.probability for r in got) / sum(r.tokens for r in got) - 0.6) < 1e-6
+
+
+def test_a_rare_source_does_not_lower_what_is_kept(spark):
+    """One document of a source and a language of its own: it is kept, and half of the tokens are."""
+    rows = [r for r in make(2000) if r[0] != 902]
+    for more in ([], [(7000, "only one here", "xx", "rare")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string")
+        got = mixing.mix(docs).collect()
+        everything = sum(r.tokens for r in got)
+        assert abs(sum(r.tokens * r.probability for r in got) / everything - 0.5) < 0.005
+    assert next(r.probability for r in got if r.doc_id == 7000) == 1.0
+    # what the rare one can't give, the others share as their targets do
+    raw, own = {}, shares(got, "probability")
+    for r in got:
+        raw[r.source] = raw.get(r.source, 0) + r.tokens
+    ratio = {k: own["source", k] / t**0.7 for k, t in raw.items() if k not in ("rare", "")}
+    assert max(ratio.values()) / min(ratio.values()) < 1.02
+    assert sum(r.tokens * r.probability for r in mixing.mix(docs, keep=0.01, rounds=2).collect()) / everything < 0.011
 
 
 def test_columns_of_any_name_stay(spark):

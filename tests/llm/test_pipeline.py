@@ -5,7 +5,7 @@ from itertools import combinations
 from cellweave.llm import mixing, sentencepieces
 from tests.llm.test_langid import slow_predict, slow_profiles
 from tests.llm.test_linededup import slow as slow_lines
-from tests.llm.test_mixing import slow_rake
+from tests.llm.test_mixing import slow_bounded_rake
 from tests.llm.test_overlap import slow_set
 from tests.llm.test_simhash import slow_components
 
@@ -51,11 +51,10 @@ def slow_run(rows, codec):
         for c, t in cells.items():
             sums[c[m]] = sums.get(c[m], 0) + t
         targets.append({k: t**0.7 / sum(x**0.7 for x in sums.values()) for k, t in sums.items()})
-    factor = slow_rake(cells, targets, mixing.ROUNDS)
-    out, total = {}, sum(cells.values())
-    keep = min(0.5, 1 / max(factor[c] * total for c in cells))
+    factor = slow_bounded_rake(cells, targets, mixing.ROUNDS, 0.5)
+    out = {}
     for d, t, *_ in rows:
-        p = keep * factor[of[d]] * total if t.split() else 0
+        p = factor[of[d]] if t.split() else 0
         if int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) / 2**52 < p:
             ids, _ = codec.encode([t.encode()])
             out[d] = ids.tolist()
