@@ -167,14 +167,18 @@ def disabling_mutations(models: Models, goals: DataFrame) -> DataFrame:
     return rows.union(_over_large(models, goals, "target", answer))
 
 
-def local_paths(models: Models, max_length: int = 64) -> DataFrame:
+def local_paths(models: Models, max_length: int | None = None) -> DataFrame:
     """(model_id, automaton, source, target, path): paths inside one automaton that visit no level twice; path lists
-    the numbers of its transitions. All pairs at once, one join a length, as long as there are paths."""
+    the numbers of its transitions. All pairs at once, one join a length, as long as there are paths, or up to
+    max_length transitions where that is asked for."""
     t = models.transitions.select("model_id", "automaton", F.col("from_level").alias("f"), F.col("to_level").alias("g"), F.col("tid").alias("n"))
     front = t.where("f <> g").select("model_id", "automaton", F.col("f").alias("source"), F.col("g").alias("target"), F.array("n").alias("path"), F.array("f", "g").alias("seen"))
     found = front
     top = models.automata.agg(F.max("levels")).first()[0] or 1
-    for _ in range(min(max_length, top - 1) - 1):
+    for n in range(1, top - 1 if max_length is None else min(max_length, top - 1)):
+        front = front if n % 8 else cut(front)
+        if n % 8 == 0 and front.isEmpty():
+            break
         front = front.join(t, ["model_id", "automaton"]).where((F.col("f") == F.col("target")) & ~F.array_contains("seen", F.col("g"))).select("model_id", "automaton", "source", F.col("g").alias("target"), F.concat("path", F.array("n")).alias("path"), F.concat("seen", F.array("g")).alias("seen"))
         found = found.union(front)
     return found.drop("seen")

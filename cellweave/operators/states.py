@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frames import Models, encode, fires, kernel, state_text
+from ..plans.frames import Models, dealt, encode, fires, kernel, state_text
 from ..plans.staging import cut
 from . import chains, diagrams, graphs, kernels, local
 
@@ -35,13 +35,25 @@ def successors(states: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def start_states(models: Models, spaces: DataFrame) -> DataFrame:
-    """(model_id, sid): the product of the levels that each automaton may start at."""
+    """(model_id, sid): the product of the levels that each automaton may start at.
+
+    Starts are numbers in mixed radix over those levels, dealt out in ranges of 4096 and read off digit by digit, so
+    that no row holds more than a range, however many starts a model has.
+    """
     given = models.initial.groupBy("model_id", "automaton").agg(F.array_sort(F.collect_set("level")).alias("given"))
     each = spaces.select("model_id", F.explode("digits").alias("d")).select("model_id", "d.aidx", "d.automaton", "d.stride", "d.levels")
     each = each.join(given, ["model_id", "automaton"], "left").withColumn("given", F.coalesce("given", F.sequence(F.lit(0), F.col("levels") - 1)))
     lists = each.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("aidx", "stride", "given"))).alias("parts"))
-    sids = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda acc, p: F.flatten(F.transform(acc, lambda s: F.transform(p["given"], lambda g: s + g * p["stride"]))))
-    return lists.select("model_id", F.explode(sids).alias("sid"))
+    lists = lists.withColumn("n", F.aggregate("parts", F.lit(1).cast("long"), lambda n, p: n * F.size(p["given"]))).where("n > 0")
+    step = 4096
+    upto = lambda first, size, by: F.explode(F.sequence(first, F.least(first + size, F.col("n")) - 1, F.lit(by).cast("long")))
+    far = lists.select("model_id", "parts", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step * step).cast("long"))).alias("far"))
+    heads = dealt(far.select("model_id", "parts", "n", upto(F.col("far"), step * step, step).alias("head")))
+    ranks = heads.select("model_id", "parts", upto(F.col("head"), step, 1).alias("rank"))
+    zero = F.struct(F.lit(0).cast("long").alias("sid"), F.col("rank").alias("rest"))
+    digit = lambda x, p: F.get(p["given"], F.pmod(x["rest"], F.size(p["given"])).cast("int")).cast("long") * p["stride"]
+    read = F.aggregate("parts", zero, lambda x, p: F.struct((x["sid"] + digit(x, p)).alias("sid"), F.call_function("div", x["rest"], F.size(p["given"])).alias("rest")))
+    return ranks.select("model_id", read["sid"].alias("sid"))
 
 
 def reachable(models: Models, absorb: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
@@ -138,9 +150,13 @@ def trap_spaces(models: Models, minimal: bool = False, most: int = LISTED, cap:
 
 def reachable_counts(models: Models, rounds: bool = False) -> DataFrame:
     """(model_id, reachable_states) from the models' starts: one task a model, by enumeration or, for large spaces, by
-    decision diagrams. With rounds, by joins over the cluster instead, for spaces that fit its disks and no task."""
+    decision diagrams. With rounds, by joins over the cluster instead, for spaces that fit its disks and no task; null
+    for models of more than 2^62 states, which have no numbers."""
     if rounds:
-        return reachable(models).groupBy("model_id").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("reachable_states"))
+        n = reachable(models).groupBy("model_id").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+        numbered = encode(models)[0].select("model_id", F.lit(True).alias("numbered"))
+        known = models.automata.select("model_id").distinct().join(numbered, "model_id", "left").join(n, "model_id", "left")
+        return known.select("model_id", F.when(F.col("numbered"), F.coalesce("n", F.lit(0).cast("decimal(38,0)"))).alias("reachable_states"))
     return kernel(models.models.select("model_id", "text"), "model_id string, reachable_states decimal(38,0)", lambda net, q: [(q["model_id"], _decimal(kernels.exact_reach(net, net.initial, ("", 0))[1]))])
 
 
@@ -197,20 +213,23 @@ def bracket(models: Models, goals: DataFrame, rounds: tuple[int, ...] = (16,), l
 
 def attractors_by_rounds(models: Models, cap: int = FIXPOINT_CAP) -> DataFrame:
     """(model_id, attractor, state): the states of the terminal components of whole spaces of up to `cap` states, which the
-    least state numbers, by rounds of joins over all models."""
+    least state numbers, by rounds of joins over all models. A model beyond the cap has one row of nulls."""
     spaces, transitions = encode(models)
+    large = models.automata.select("model_id").distinct().join(spaces.where(F.col("n_states") <= cap), "model_id", "left_anti")
     every = all_states(spaces, cap)
     edges = cut(successors(every, cut(transitions)).select("model_id", F.col("sid").alias("src"), "dst"))
     moving = graphs.terminal(edges).select("model_id", F.col("node").alias("sid"), F.col("comp").alias("attractor"))
     still = every.join(edges.select("model_id", F.col("src").alias("sid")), ["model_id", "sid"], "left_anti").withColumn("attractor", F.col("sid"))
     found = moving.unionByName(still).distinct()
-    return found.join(spaces, "model_id").select("model_id", "attractor", state_text().alias("state"))
+    rows = found.join(spaces, "model_id").select("model_id", "attractor", state_text().alias("state"))
+    return rows.union(large.select("model_id", F.lit(None).cast("long"), F.lit(None).cast("string")))
 
 
 def _explored(models: Models, goals: DataFrame) -> DataFrame:
+    """As symbolic_reachability(), by rounds; a model of more than 2^62 states has nulls."""
     spaces, _ = encode(models)
     states = cut(reachable(models))
-    digits = spaces.select("model_id", F.explode("digits").alias("d")).select("model_id", "d.automaton", "d.stride", "d.levels")
-    at = goals.join(digits, ["model_id", "automaton"])
-    hit = F.pmod(F.call_function("div", F.col("sid"), F.col("stride")), F.col("levels")) == F.col("level")
-    return at.join(states, "model_id").groupBy("query_id").agg(F.bool_or(hit).alias("reachable"), F.count(F.lit(1)).alias("reachable_states"))
+    n = states.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+    hit = at_goals(spaces, goals, states).select("query_id").distinct().withColumn("hit", F.lit(True))
+    known = goals.select("query_id", "model_id").join(spaces.select("model_id", F.lit(True).alias("numbered")), "model_id", "left").join(n, "model_id", "left").join(hit, "query_id", "left")
+    return known.select("query_id", F.when(F.col("numbered"), F.coalesce("hit", F.lit(False))).alias("reachable"), F.when(F.col("numbered"), F.coalesce("n", F.lit(0))).alias("reachable_states"))
