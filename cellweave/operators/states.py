@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..plans.frames import Models, dealt, encode, fires, kernel, state_text
 from ..plans.staging import cut
 from . import chains, diagrams, graphs, kernels, local
+from .containment import extremal_sets
 
 #: Spaces of up to so many states are rows; larger ones are decision diagrams, one task a model.
 FIXPOINT_CAP, TRAP_CAP = 1_000_000, 1_000_000
+#: Traps of up to so many partial assignments are compared as rows.
+MINIMAL_CAP = 20_000
 #: Of a larger space so many answers are listed, from diagrams of so many nodes; `truncated` says where that cut any.
 LISTED, NODES = 100_000, 2_000_000
 
@@ -126,19 +129,23 @@ def trap_spaces(models: Models, minimal: bool = False, most: int = LISTED, cap:
 
     A partial assignment is a number over levels + 1 digits, 0 for free. It is no trap where some transition leaves a
     fixed level and no fixed level contradicts its conditions. Up to `cap` partial assignments a model are rows,
-    beyond they are decision diagrams, of which `most` members are listed; see fixpoints(). Minimal ones come from
-    diagrams at any size: traps are not compared with each other.
+    beyond they are decision diagrams, of which `most` members are listed; see fixpoints(). Minimal ones are those whose
+    fixed levels lie in no other's, found by a containment join up to MINIMAL_CAP partial assignments, by diagrams beyond.
     """
-    cap = 0 if minimal else cap
+    cap = min(cap, MINIMAL_CAP) if minimal else cap
     spaces, transitions = encode(models, extra=1)
     states = all_states(spaces, cap)
     t = transitions.select(F.col("model_id").alias("_m"), "guard")
     digit = lambda g: F.pmod(F.call_function("div", F.col("sid"), g["stride"]), g["levels"] + 1)
-    leaves = (digit(F.col("guard")[0]) == F.col("guard")[0]["lvl"] + 1) & F.forall(F.slice("guard", 2, F.greatest(F.size("guard") - 1, F.lit(1))), lambda g: (digit(g) == 0) | (digit(g) == g["lvl"] + 1))
+    leaves = (digit(F.col("guard")[0]) == F.col("guard")[0]["lvl"] + 1) & F.forall(F.slice("guard", 2, F.greatest(F.size("guard") - 1, F.lit(1))), lambda g: (g["lvl"] >= 0) & ((digit(g) == 0) | (digit(g) == g["lvl"] + 1)))
     traps = states.join(t, (F.col("model_id") == F.col("_m")) & leaves, "left_anti").join(spaces, "model_id")
     fixed = F.filter(F.transform("digits", lambda d: F.struct(d["automaton"].alias("a"), (F.pmod(F.call_function("div", F.col("sid"), d["stride"]), d["levels"] + 1) - 1).alias("k"))), lambda x: x["k"] >= 0)
     text = F.array_join(F.transform(fixed, lambda x: F.concat_ws("=", x["a"], x["k"].cast("string"))), ", ")
     rows = traps.select("model_id", text.alias("space"), F.lit(False).alias("truncated"))
+    if minimal:
+        most_fixed = extremal_sets(traps.select(F.col("model_id").alias("group_id"), fixed.alias("members")), "maximal")
+        text = F.array_join(F.transform("members", lambda x: F.concat_ws("=", x["a"], x["k"].cast("string"))), ", ")
+        rows = most_fixed.select(F.col("group_id").alias("model_id"), text.alias("space"), F.lit(False).alias("truncated"))
 
     def answer(net):
         dd = diagrams.Spaces(net, NODES)

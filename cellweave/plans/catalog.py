@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..model import Move, Network
 from ..functions import scalars
-from ..operators import chains, diagrams, graphs, kernels, local, runs, states, structure
+from ..operators import causality, chains, diagrams, graphs, kernels, local, runs, states, structure
+from ..sources import spark as spark_sources
 from ..sources.text import WRITERS
 from . import api, derive
 from .frames import Models, encode, kernel, state_text
@@ -584,21 +585,27 @@ d{_k + 1} AS MATERIALIZED (SELECT * FROM d0 UNION ALL SELECT query_id, automaton
 
 @query(f"{FX}, {_LCG}, {_DELAY} SELECT query_id, round(v, 6) AS delay FROM q JOIN d12 USING (query_id, automaton, level)")
 def earliest_delay(spark, sf_dir):
-    def answer(net, ctx, goal, i):
-        delay = kernels.earliest_delay(net, ctx, goal)
-        return [] if delay is None else [(i, round(delay, 6))]
+    """The soonest that each goal may come about by mean delays, by rounds over all users' objectives."""
+    models = networks(spark, sf_dir)
+    return _rounded(causality.critical_delays(models, goals(models)).where("delay IS NOT NULL"), 6)
+
 
-    return _ask(spark, sf_dir, "query_id string, delay double", answer)
+@query(f"{FX}, {_LCG}, {_DELAY} SELECT query_id, obj.automaton || '=' || obj.level AS objective FROM obj ANTI JOIN d12 USING (query_id, automaton, level)")
+def dead_objectives(spark, sf_dir):
+    """What each goal asks for and no derivation meets."""
+    models = networks(spark, sf_dir)
+    found = causality.dead_objectives(*causality.causality(models, goals(models)))
+    return found.select("query_id", F.format_string("%s=%d", "automaton", "level").alias("objective"))
 
 
 @query(f"""{FX}, {_LCG} SELECT query_id, obj.automaton || '=' || obj.level AS objective, CAST(coalesce(sum(CASE WHEN first.level = obj.level THEN 1 ELSE (SELECT count(*) FROM lp WHERE lp.model_id = obj.model_id AND lp.automaton = obj.automaton AND lp.source = first.level AND lp.target = obj.level) END), 0) AS INTEGER) AS solutions
 FROM obj JOIN first ON first.model_id = obj.model_id AND first.automaton = obj.automaton GROUP BY query_id, obj.automaton, obj.level""")
 def lcg_objectives(spark, sf_dir):
-    def answer(net, ctx, goal, i):
-        for (a, k), found in kernels.causality(net, ctx, goal).items():
-            yield i, f"{a}={k}", len(found)
-
-    return _ask(spark, sf_dir, "query_id string, objective string, solutions int", answer)
+    """What each goal needs, and in how many ways, by rounds over all users' networks."""
+    models = networks(spark, sf_dir)
+    objectives, solutions, _ = causality.causality(models, goals(models))
+    n = solutions.groupBy(*causality.OWN).agg(F.count(F.lit(1)).cast("int").alias("solutions"))
+    return objectives.join(n, causality.OWN, "left").select("query_id", F.format_string("%s=%d", "automaton", "level").alias("objective"), F.coalesce("solutions", F.lit(0)).alias("solutions"))
 
 
 # Runs up to 14 steps; the likeliest ones are shorter.
@@ -818,6 +825,26 @@ def read_maboss_texts(spark, sf_dir):
     return _read_back(_logic(spark, sf_dir).select(F.col("node").alias("model_id"), F.lit("maboss").alias("format"), node.alias("text"), extra.alias("extra")))
 
 
+@query(f"""{_LOGIC} SELECT node, true AS rises, 0 AS clause, reg AS variable, v AS value FROM lg
+UNION ALL SELECT node, false, CAST(k - 1 AS INTEGER), reg, 1 - v FROM lg""")
+def logic_clauses(spark, sf_dir):
+    """The clauses under which each nation rises or falls, by a table function in SQL."""
+    spark_sources.register(spark)
+    rules = _logic(spark, sf_dir).select("node", _rule().alias("logic"))
+    both = "SELECT node, true AS rises, logic FROM {rules} UNION ALL SELECT node, false, concat('!(', logic, ')') FROM {rules}"
+    return spark.sql(f"SELECT node, rises, d.clause, d.variable, d.value FROM ({both}), LATERAL dnf(logic) d", rules=rules)
+
+
+@query(ORACLES["local_paths"])
+def local_paths_in_sql(spark, sf_dir):
+    """Paths inside the automata of all users' networks, by a table function in SQL over their texts."""
+    spark_sources.register(spark)
+    models = networks(spark, sf_dir)
+    asked = models.automata.select("model_id", "automaton").join(models.models.select("model_id", "text"), "model_id")
+    found = spark.sql("SELECT model_id, automaton, p.source, p.target, p.path FROM {asked}, LATERAL local_paths(text, automaton) p", asked=asked)
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
 @query(f"{FX} SELECT model_id, count(*) AS transitions, round(sum(rate), 6) AS rates FROM m GROUP BY model_id")
 def read_anx_texts(spark, sf_dir):
     """Models parsed from their texts on the executors."""

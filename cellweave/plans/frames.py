@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 
 from ..model import Network
 from ..sources.text import READERS, FormatError, format_of, read_anx, write_anx
+from .staging import cut
 
 AUTOMATA = "model_id string, automaton string, levels int"
 TRANSITIONS = "model_id string, tid int, automaton string, from_level int, to_level int, conditions array<struct<automaton:string,level:int>>, dist struct<kind:string,phases:int,rates:array<double>>, rate double"
 INITIAL = "model_id string, automaton string, level int"
 MODELS = "model_id string, name string, source string, text string"
+#: A model a row, its parts nested.
+PARSED = (
+    "model_id string, name string, source string, automata array<struct<automaton:string,levels:int>>, "
+    "transitions array<struct<tid:int,automaton:string,from_level:int,to_level:int,conditions:array<struct<automaton:string,level:int>>,dist:struct<kind:string,phases:int,rates:array<double>>,rate:double>>, "
+    "initial array<struct<automaton:string,level:int>>, text string"
+)
 
 
 def _rows(model_id: str, net: Network) -> dict[str, list[tuple]]:
@@ -30,6 +37,17 @@ def _rows(model_id: str, net: Network) -> dict[str, list[tuple]]:
     }
 
 
+def parsed_row(model_id: str, net: Network) -> dict:
+    """A network as a row of PARSED."""
+    atoms = lambda pairs: [{"automaton": a, "level": k} for a, k in pairs]
+    moves = [
+        {"tid": i, "automaton": m.automaton, "from_level": m.source, "to_level": m.target, "conditions": atoms(m.conditions), "dist": {"kind": m.law.kind, "phases": len(m.law.rates), "rates": list(m.law.rates)}, "rate": m.law.rate}
+        for i, m in enumerate(net.transitions)
+    ]
+    start = atoms((a, k) for a, x in sorted((net.initial or {}).items()) for k in sorted(x))
+    return {"model_id": model_id, "name": net.name, "source": net.source, "automata": [{"automaton": a, "levels": net.levels[a]} for a in net.automata], "transitions": moves, "initial": start, "text": write_anx(net)}
+
+
 @dataclass
 class Models:
     """Four frames. An automaton without a row in `initial` may start at any level. Order is data: aidx ranks automata
@@ -52,8 +70,9 @@ class Models:
 
     @staticmethod
     def from_texts(texts: DataFrame) -> Models:
-        """From (model_id, format, text) rows, any number: parsed on the executors, one model a row. A column `extra`
-        holds what a format keeps in a second file (the parameters of a MaBoSS model), or null. Zipped files are in base64."""
+        """From (model_id, format, text) rows, any number: parsed on the executors, one model a row, each once: what was read
+        is written to the shared folder. A column `extra` holds what a format keeps in a second file (the parameters of a
+        MaBoSS model), or null. Zipped files are in base64."""
         if "extra" not in texts.columns:
             texts = texts.withColumn("extra", F.lit(None).cast("string"))
 
@@ -62,19 +81,19 @@ class Models:
                 return READERS[kind](text, extra, name=model_id)
             return READERS[kind](b64decode(text) if kind == "zginml" else text, name=model_id)
 
-        def part(kind: str, schema: str) -> DataFrame:
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                names = [x.split()[0] for x in schema.replace("array<struct<automaton:string,level:int>>", "a").replace("struct<kind:string,phases:int,rates:array<double>>", "s").split(", ")]
-                for batch in batches:
-                    rows = [r for row in zip(batch["model_id"], batch["format"], batch["text"], batch["extra"]) for r in _rows(row[0], parse(*row))[kind]]
-                    if kind == "transitions":
-                        rows = [(*r[:5], [{"automaton": a, "level": k} for a, k in r[5]], dict(zip(("kind", "phases", "rates"), r[6])), r[7]) for r in rows]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=names)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [parsed_row(row[0], parse(*row)) for row in zip(batch["model_id"], batch["format"], batch["text"], batch["extra"])]
+                if rows:
+                    yield pd.DataFrame(rows)
 
-            return texts.select("model_id", "format", "text", "extra").mapInPandas(run, schema)
+        return Models.of_parsed(cut(texts.select("model_id", "format", "text", "extra").mapInPandas(run, PARSED)))
 
-        return Models(part("automata", AUTOMATA), part("transitions", TRANSITIONS), part("initial", INITIAL), part("models", MODELS))
+    @staticmethod
+    def of_parsed(rows: DataFrame) -> Models:
+        """From rows of PARSED, a model each, as the data source reads them."""
+        part = lambda c: rows.select("model_id", F.explode(c).alias("x")).select("model_id", "x.*")
+        return Models(part("automata"), part("transitions"), part("initial"), rows.select("model_id", "name", "source", "text"))
 
     @staticmethod
     def read(spark: SparkSession, path: str, format: str | None = None) -> Models:

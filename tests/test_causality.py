@@ -111,3 +111,39 @@ def test_no_models(spark, goals):
     objectives, solutions, needs = causality.causality(empty, goals)
     assert objectives.count() == goals.count() and solutions.isEmpty() and needs.isEmpty()
     assert causality.dead_objectives(objectives, solutions, needs).where(F.col("query_id") == "null").count() == 1
+
+
+def test_extremal_sets(spark):
+    from cellweave.operators.containment import extremal_sets
+
+    rng = random.Random(5)
+    rows = [(f"g{rng.randrange(4)}", rng.sample(range(9), rng.randrange(1, 7))) for _ in range(150)]
+    rows += [("e", []), ("e", [1]), ("only", []), ("one", [3, 3, None]), ("one", [3]), ("same", [1, 2]), ("same", [2, 1]), (None, [1]), (None, [1, 2]), ("null", None), ("hot", [0]), *(("hot", [0, k]) for k in range(1, 60))]
+    frame = spark.createDataFrame(rows, "group_id string, members array<int>").repartition(3)
+    sets = {(g, frozenset(x for x in m if x is not None)) for g, m in rows if m is not None}
+    for keep, beats in (("minimal", lambda a, b: b < a), ("maximal", lambda a, b: a < b)):
+        got = [(r.group_id, frozenset(r.members)) for r in extremal_sets(frame, keep).collect()]
+        want = {(g, a) for g, a in sets if not any(h == g and beats(a, b) for h, b in sets)}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert extremal_sets(frame.limit(0)).isEmpty()
+
+
+def test_minimal_traps_and_cuts(spark, nets, models, goals, monkeypatch):
+    """Rows and diagrams agree on minimal traps; minimal cut sets are the minimal ones of all that cut."""
+    import itertools
+
+    from cellweave.operators import local, states
+    from cellweave.operators.containment import extremal_sets
+
+    by_rows = {tuple(r) for r in states.trap_spaces(models, minimal=True).collect()}
+    monkeypatch.setattr(states, "MINIMAL_CAP", 0)
+    assert by_rows == {tuple(r) for r in states.trap_spaces(models, minimal=True).collect()}
+    cuts = []
+    for q, m, a, k in (tuple(r) for r in goals.where("model_id LIKE 'r%'").collect()):
+        net = nets[m]
+        first = {(b, j) for b in net.automata for j in net.admitted(net.initial, b)}
+        every = [(b, j) for b in net.automata for j in range(net.levels[b]) if (b, j) not in first and (b, j) != (a, k)]
+        if (a, k) in kernels.may_reach(net, net.initial):
+            cuts += [(q, [f"{b}={j}" for b, j in own]) for n in (1, 2, 3) for own in itertools.combinations(every, n) if (a, k) not in kernels.may_reach(net, net.initial, frozenset(own))]
+    least = extremal_sets(spark.createDataFrame(cuts, "group_id string, members array<string>"))
+    assert {(r.group_id, ",".join(r.members)) for r in least.collect()} == {(r.query_id, r.members) for r in local.cutsets_by_levels(models, goals.where("model_id LIKE 'r%'")).collect()}
