@@ -22,6 +22,9 @@ PLACES = 64
 POOL = 4096
 #: Ids that reach the driver to bound ranges of ids: so many at most, and so many a range.
 _MARKS, _MARKS_IN_RANGE = 1 << 18, 8
+#: Ids that are split because of their many rows: at most so many, as each has more than this fraction of the rows.
+_HOT = 1 << 13
+_LAST = (1 << 63) - 1
 
 
 def uniform(*parts: Column) -> Column:
@@ -76,34 +79,70 @@ def likeness(a: Column, b: Column, places: int = PLACES) -> Column:
     return total / float(places)
 
 
-def id_ranges(docs: DataFrame, id_col: str, rows_in_range: int = 1_000) -> tuple[Column, DataFrame]:
-    """An expression for the number of a row's range of ids, in ascending order, and (head, none, into): for each
+def _ends_below(ends: list[tuple[int, int | None]], key: Column, part: Column) -> Column:
+    """How many of the ends (id, part), in ascending order, lie below (key, part); an end without a part holds its id
+    as a whole. A binary search."""
+    if not ends:
+        return F.lit(0)
+    of = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    ids, whole = of(e for e, _ in ends), F.struct(F.lit(0).alias("low"), F.lit(len(ends)).alias("high"))
+    split = any(g is not None for _, g in ends)
+    parts = of(_LAST if g is None else g for _, g in ends) if split else None
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["low"] + at["high"], 1)
+        right = F.get(ids, mid) < key
+        if split:
+            right = right | ((F.get(ids, mid) == key) & (F.get(parts, mid) < part))
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(right, mid + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(mid).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(ends).bit_length())), whole, halve, lambda at: at["low"])
+
+
+def text_part(text: str) -> Column:
+    """Where a row stands among those of an id with too many rows for one range: by the hash of its text."""
+    return F.xxhash64(F.coalesce(named(text), F.lit("")))
+
+
+def id_ranges(docs: DataFrame, id_col: str, rows_in_range: int = 1_000, text_col: str = "text") -> tuple[Column, DataFrame]:
+    """An expression for the number of a row's range of ids, in ascending order, and (head, part, none, into): for each
     range the largest id of the next lower one, which that range needs too (the lowest range needs the largest of
     all; none: it is null).
 
     Ranges end at ids that are there, chosen by their hash, so that they follow the rows, however the ids are spread:
-    of the ids that are chosen, _MARKS at most, every _MARKS_IN_RANGEth ends a range. Null ids are in the lowest.
+    of the ids that are chosen, _MARKS at most, every _MARKS_IN_RANGEth ends a range. Null ids come lowest.
+
+    An id, or null, that has rows for several ranges is split by text_part(), descending ids going with descending
+    parts; heads inside it have a part. Such ids are at most _HOT, as each has so large a share of the rows. Texts are
+    read only of them. Their equal texts stay together. docs without text_col: no id is split.
     """
     spark, key = docs.sparkSession, named(id_col).cast("long")
     high, n_rows = docs.agg(F.max(key), F.count(F.lit(1))).first()
     one_in = max(1, rows_in_range // _MARKS_IN_RANGE, n_rows // _MARKS)
-    marks = docs.select(key.alias("id")).where("id is not null").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(one_in)) == 0).distinct()
-    ends = sorted(r.id for r in marks.collect())[_MARKS_IN_RANGE - 1 :: _MARKS_IN_RANGE] if n_rows > rows_in_range else []
-    ends = [e for e in ends if e != high]  # each head goes to one range
-    heads = spark.createDataFrame([*((e, False, i + 1) for i, e in enumerate(ends)), (high, high is None, 0)], "head long, none boolean, into int")
+    ends: list[tuple[int | None, int | None]] = []
+    top = None
+    if n_rows > rows_in_range:
+        per_id = docs.groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        hot = [r.id for r in per_id.where(F.col("n") > max(2 * rows_in_range, n_rows // _HOT)).collect()] if text_col in docs.columns else []
+        marks = docs.select(key.alias("id")).where("id is not null").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(one_in)) == 0).distinct()
+        ends += [(e, None) for e in sorted({r.id for r in marks.collect()} - set(hot))[_MARKS_IN_RANGE - 1 :: _MARKS_IN_RANGE]]
+        if hot:
+            own = docs.select(key.alias("id"), text_part(text_col).alias("part"))
+            own = own.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "hot long")), F.col("id").eqNullSafe(F.col("hot")))
+            chosen: dict[int | None, list[int]] = {}
+            for r in own.where(F.pmod(F.xxhash64("part", F.lit(5)), F.lit(one_in)) == 0).select("id", "part").distinct().collect():
+                chosen.setdefault(r.id, []).append(r.part)
+            ends += [(x, g) for x, parts in chosen.items() for g in sorted(parts)[_MARKS_IN_RANGE - 1 :: _MARKS_IN_RANGE]]
+            if any(x == high for x, _ in ends):
+                top = own.where(F.col("id").eqNullSafe(F.lit(high).cast("long"))).agg(F.max("part")).first()[0]
+    # each head goes to one range
+    ends = sorted((e for e in set(ends) if e != (high, top)), key=lambda e: (e[0] is not None, e[0] or 0, e[1] or 0))
+    heads = spark.createDataFrame([*((e, g, e is None, i + 1) for i, (e, g) in enumerate(ends)), (high, top, high is None, 0)], "head long, part long, none boolean, into int")
     if not ends:
         return F.lit(0), heads
-    # binary search for the number of ends below the id
-    array = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
-    whole = F.struct(F.lit(0).alias("low"), F.lit(len(ends)).alias("high"))
-
-    def halve(at: Column, _: Column) -> Column:
-        mid = F.shiftright(at["low"] + at["high"], 1)
-        right = F.get(array, mid) < key
-        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(right, mid + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(mid).alias("high")))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(ends).bit_length())), whole, halve, lambda at: at["low"])
-    return F.when(key.isNull(), F.lit(0)).otherwise(found), heads
+    null_ends, own_ends = [(0, g) for e, g in ends if e is None], [e for e in ends if e[0] is not None]
+    part = text_part(text_col) if any(g is not None for _, g in ends) else F.lit(_LAST)
+    return F.when(key.isNull(), _ends_below(null_ends, F.lit(0).cast("long"), part)).otherwise(len(null_ends) + _ends_below(own_ends, key, part)), heads
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: int = PLACES) -> DataFrame:
@@ -112,17 +151,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited: the last third of a text (rounded down) replaced by as many first characters, or all, of the next document
     in descending order of ids, the first one after the last. Texts travel once, to ranges of ids. samples: the
     hashes of the samples, of which the fingerprint is made. Null or empty text: no terms, so all such are alike (1).
-    Any long is an id; null ids come last; rows that repeat an id are ordered by text. A single row is its own next.
-    Other columns are ignored; an empty table gives no rows. Memory: a text and its words; ranges spill.
+    Any long is an id; null ids come last; rows that repeat an id are ordered by text, those of an id with rows for
+    several ranges, null as well, by the text's hash downwards first, which parts them. A single row is its own next.
+    Other columns are ignored; an empty table gives no rows. Memory: a text and its words; ranges spill. Rows that
+    share both id and text are of one range.
     """
-    number, heads = id_ranges(docs, id_col)
-    key = named(id_col).cast("long")
-    rows = docs.select(key.alias("doc_id"), key.isNull().alias("null_id"), number.alias("range"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    # one row a range; ranges are at most _MARKS / _MARKS_IN_RANGE
-    rows = rows.join(F.broadcast(heads), (F.col("null_id") == F.col("none")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    number, heads = id_ranges(docs, "doc_id")
+    rows = docs.withColumns({"null_id": F.col("doc_id").isNull(), "range": number})
+    # one row a range; ranges are at most _MARKS / _MARKS_IN_RANGE, and as many for the ids that are split
+    split = heads.where("part is not null").select(F.col("head").alias("split_id"), F.col("none").alias("split_none")).distinct()
+    rows = rows.join(F.broadcast(split), (F.col("null_id") == F.col("split_none")) & F.col("doc_id").eqNullSafe(F.col("split_id")), "left")
+    rows = rows.withColumn("own_part", F.when(F.col("split_none").isNotNull(), text_part("text")))
+    at_head = (F.col("null_id") == F.col("none")) & F.col("doc_id").eqNullSafe(F.col("head")) & F.col("own_part").eqNullSafe(F.col("part"))
+    rows = rows.join(F.broadcast(heads), at_head, "left")
     both = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("extra")), F.when(F.col("into").isNotNull(), F.struct(F.col("into").alias("range"), F.lit(True).alias("extra")))))
-    rows = rows.select("doc_id", "text", F.explode(both).alias("x")).select("doc_id", "text", "x.range", "x.extra")
-    order = W.partitionBy("range").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
+    rows = rows.select("doc_id", "own_part", "text", F.explode(both).alias("x")).select("doc_id", "own_part", "text", "x.range", "x.extra")
+    order = W.partitionBy("range").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("own_part"), "text")
     rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - CAST(char_length(text) DIV 3 AS INT))"), F.expr("substring(coalesce(next, ''), 1, CAST(char_length(text) DIV 3 AS INT))")))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))

@@ -72,6 +72,36 @@ def test_ranges_follow_the_rows(spark):
     assert {(h.head, h.into) for h in heads.collect()} >= {(tops[i], i + 1) for i in range(len(tops) - 1)} | {(tops[-1], 0)}
 
 
+def test_ids_with_many_rows_are_split(spark, monkeypatch):
+    """A third of the rows without an id, a third of one id, the greatest or one amid the others: no range is large, and every row has the next
+    text of the whole order."""
+    plain, rng = cws.id_ranges, random.Random(3)
+    monkeypatch.setattr(cws, "id_ranges", lambda d, c: plain(d, c, 20))
+    monkeypatch.setattr(cws, "_MARKS_IN_RANGE", 4)
+    for hot in (700, 9_000):
+        rows = [(d, f"own {d} {'z' * (d % 9)}") for d in range(400, 800)] + [(d, f"many {d} {i} {'y' * rng.randrange(30)}") for i in range(400) for d in (None, hot)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        number, heads = cws.id_ranges(docs, "doc_id")
+        sizes = Counter(r.r for r in docs.select(number.alias("r")).collect())
+        assert len(sizes) > 20 and max(sizes.values()) < 150 and {h.head for h in heads.where("part is not null").collect()} == {None, hot}
+        hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashes[r[1]] if r[0] in (None, hot) else 0, r[1]))
+        want = []
+        for i, (d, t) in enumerate(order):
+            m = len(t) // 3
+            want.append((str(d), hashlib.sha256((t[: len(t) - m] + order[(i + 1) % len(order)][1][:m]).encode()).hexdigest()))
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in cws.fingerprints(docs).select("doc_id", "edited_sha256").collect()) == sorted(want)
+
+
+def test_copies_of_one_row_and_no_ids_at_all(spark, monkeypatch):
+    plain = cws.id_ranges
+    monkeypatch.setattr(cws, "id_ranges", lambda d, c: plain(d, c, 10))
+    same = cws.fingerprints(spark.createDataFrame([(None, "a b c")] * 60 + [(5, "a b c")] * 60, "doc_id long, text string").repartition(3)).collect()
+    assert len(same) == 120 and {(r.near_next, r.edited_sha256) for r in same} == {(1.0, hashlib.sha256(b"a b a").hexdigest())}
+    none = cws.fingerprints(spark.createDataFrame([(None, f"t{i} u{i}") for i in range(300)], "doc_id long, text string").repartition(3)).collect()
+    assert len(none) == 300 and len({r.fingerprint for r in none}) == 300
+
+
 def test_any_long_is_an_id(spark):
     rows = [(-(1 << 63), "a b c d e f"), ((1 << 63) - 1, "g h i"), (0, "k l m n o"), (None, "p q r s")]
     got = {r.doc_id: r.edited_sha256 for r in cws.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
