@@ -118,7 +118,8 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, score) for every row. Whole texts are read.
 
     Null or empty text: the share of label 1 among the labelled. Repeated rows and null ids are kept; other columns
-    are ignored; an empty table gives no rows. Memory is one block of texts by the labelled vectors.
+    are ignored; an empty table gives no rows. A very long text is read as a whole, and comes to one vector of fixed
+    length. Memory is one block of texts by the labelled vectors, and some 60 bytes a word of one text.
     """
     box = fitted(docs.sparkSession, model)
 

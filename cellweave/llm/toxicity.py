@@ -131,17 +131,25 @@ def fit(train: DataFrame, max_terms: int = 50_000, prior: float = 500.0, least_p
     model = Model(scores, fee, lam, 1.0)
     box = fitted(spark, model)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # two numbers a text, then one, reach the driver; its segments stay where they are found
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             found = [box.value.segments(t) for t in part["text"]]
-            yield pd.DataFrame({"label": part["label"], "n": [x[0] for x in found], "segments": [[list(map(float, s)) for s in x[2]] for x in found]})
+            yield pd.DataFrame({"label": part["label"], "n": [x[0] for x in found], "best": [float(x[1]) for x in found]})
 
-    seen = map_pandas(train, scan, "label int, n long, segments array<array<double>>").toPandas()
+    seen = map_pandas(train, best, "label int, n long, best double").toPandas()
     label, n = seen["label"].to_numpy(), seen["n"].to_numpy()
-    best = np.array([max((s[2] for s in x), default=0.0) for x in seen["segments"]])
     low = (label == 0) & (n > 0)
-    model.k = float(low.sum() / max((n[low] * np.exp(-lam * best[low])).sum(), 1e-9)) if low.any() else 1.0
-    x = np.log1p([model.surplus(m, [(int(a), int(b), s) for a, b, s in own])[0] for m, own in zip(n, seen["segments"])])
+    model.k = float(low.sum() / max((n[low] * np.exp(-lam * seen["best"].to_numpy()[low])).sum(), 1e-9)) if low.any() else 1.0
+    tail = fitted(spark, model)
+
+    def surplus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [tail.value.segments(t) for t in part["text"]]
+            yield pd.DataFrame({"label": part["label"], "x": [float(tail.value.surplus(n, own)[0]) for n, _, own in found]})
+
+    over = map_pandas(train, surplus, "label int, x double").toPandas()
+    x, label = np.log1p(over["x"].to_numpy()), over["label"].to_numpy()
     model.a, model.b = _logistic(x, label)
     return model
 

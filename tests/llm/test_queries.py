@@ -11,6 +11,7 @@ import pytest
 from cellweave.llm import classifier, quality, sentencepieces, simhash, toxicity
 from tests.llm.test_quality import slow as slow_counts
 from tests.llm.test_simhash import slow_components
+from tests.llm.test_toxicity import slow_segments
 
 
 def fold(d, n):
@@ -85,6 +86,55 @@ def test_toxicity(spark, corpus):
     assert [x[:2] for x in got] == [x[:2] for x in expected] and all(abs(a[2] - b[2]) < 1e-6 and a[3] == b[3] for a, b in zip(got, expected))
 
 
+def test_toxicity_by_plain_loops(spark, corpus):
+    """lambda, K, the calibration and every row's score, with segments by definition."""
+    at, docs, labels = corpus
+    rows = training(docs, labels, "toxic")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    clean, total = {}, 0
+    for _, label, t in rows:
+        if not label:
+            own = set(toxicity.tokens(t))
+            total += len(own)
+            for token in own & model.scores.keys():
+                clean[token] = clean.get(token, 0) + 1
+    share = {t: (clean.get(t, 0) + 0.5) / (total + 0.5 * len(model.scores) + 1) for t in model.scores}
+    rest = 1 - sum(share.values())
+    moment = lambda x: sum(p * math.exp(x * (model.scores[t] - 1)) for t, p in share.items()) + rest * math.exp(-x)
+    assert model.fee == 1 and model.lam > 0 and moment(model.lam * (1 - 1e-6)) < 1 < moment(model.lam * (1 + 1e-6))
+
+    def segments(t):
+        return slow_segments([model.scores.get(w, 0.0) - 1 for w in toxicity.tokens(t)])
+
+    n_clean, expected = 0, 0.0
+    for _, label, t in rows:
+        if not label and toxicity.tokens(t):
+            n_clean += 1
+            expected += len(toxicity.tokens(t)) * math.exp(-model.lam * max((x for *_, x in segments(t)), default=0.0))
+    assert abs(model.k - n_clean / expected) < 1e-6 * model.k
+
+    def evidence(t):
+        n, out = len(toxicity.tokens(t)), 0.0
+        for *_, x in segments(t):
+            e_value = model.k * n * math.exp(-model.lam * x)
+            if e_value < 0.05:
+                out -= math.log(e_value)
+        return math.log1p(out)
+
+    # slope and intercept are where the penalised likelihood of classes of like weight is level
+    sizes = [sum(label == c for _, label, _ in rows) for c in (0, 1)]
+    slope = [-1e-2 * model.a, -1e-2 * model.b]
+    for _, label, t in rows:
+        x = evidence(t)
+        off = 0.5 * len(rows) / sizes[label] * ((0.999 if label else 0.001) - 1 / (1 + math.exp(-(model.a * x + model.b))))
+        slope = [slope[0] + off * x, slope[1] + off]
+    assert model.a > 0 and max(map(abs, slope)) < 1e-3
+    found = toxicity.op3_toxicity(spark, at)
+    want = sorted(((-1 if d is None else d), 1 / (1 + math.exp(-(model.a * evidence(t) + model.b)))) for d, t, *_ in docs)
+    for got, (d, score) in zip(rows_of(found.select("doc_id", "score", "predicted")), want, strict=True):
+        assert got[0] == d and abs(got[1] - score) < 1e-6 and got[2] == (score >= 0.7)
+
+
 def test_quality_classifier(spark, corpus):
     at, docs, labels = corpus
     rows = training(docs, labels, "quality")
@@ -165,3 +215,45 @@ def test_simhash_and_sentencepieces(spark, corpus):
     assert got[3].component_id == got[2002].component_id == 3 and got[2000].fingerprint == "0" * 16 and got[2001].component_id == 2000
     tokens = sentencepieces.op2_sentencepiece(spark, at)
     assert tokens.columns[:2] == ["doc_id", "ids"] and tokens.count() == len(docs) and tokens.where("not exact").count() == 0
+
+
+def slow_ids(codec, worth, text):
+    """Viterbi over a whole text, character by character, in whole numbers; of equal sums the longer last piece."""
+    raw = " " + text if text else ""
+    best = [(0, 0, ())] + [None] * len(raw)
+    longest = max(map(len, worth))
+    for end in range(1, len(raw) + 1):
+        for begin in range(max(0, end - longest), end):
+            part = raw[begin:end]
+            if part in worth:
+                value, ids = worth[part]
+            elif end - begin == 1:
+                value, ids = int(codec.unknown * 2**60), tuple(int(codec.byte_ids[x]) for x in part.encode())
+            else:
+                continue
+            total = best[begin][0] + value
+            if best[end] is None or total > best[end][0]:
+                best[end] = (total, begin, ids)
+    out, at = [], len(raw)
+    while at:
+        _, before, ids = best[at]
+        out[:0] = ids
+        at = before
+    return out
+
+
+def test_sentencepieces_by_a_slow_viterbi(spark, tmp_path):
+    """Every id of the query's rows."""
+    rng = random.Random(4)
+    parts = ["the ", "of", "ing ", "tion", " é", "ñ", "漢字", "🎉", "  ", "\n", "x", "Q", "1234 ", "hello", " World", "\u2581", "\u200b", "encoding ", "    "]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(60)))) for i in range(150)] + [(None, "a b"), (500, None), (501, " "), (502, "the  of " * 300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    codec = sentencepieces.Codec()
+    worth = {codec.text[i].decode(): (int(float(x) * 2**60), (int(i),)) for i, x in zip(codec.ids.tolist(), codec.scores.tolist())}
+    found = sentencepieces.op2_sentencepiece(spark, str(tmp_path)).collect()
+    want = {d: slow_ids(codec, worth, t or "") for d, t in docs}
+    bytes_of = set(map(int, codec.byte_ids))
+    assert len(found) == len(docs)
+    for r in found:
+        assert list(r.ids) == want[r.doc_id]
+        assert r.n_tokens == len(r.ids) and r.n_bytes == sum(i in bytes_of for i in r.ids) and r.exact
