@@ -71,3 +71,44 @@ def terminal(edges: DataFrame, key: str = "model_id") -> DataFrame:
     of = lambda end: parts.select(key, F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
     leaving = edges.join(of("src"), [key, "src"]).join(of("dst"), [key, "dst"]).where("src_comp <> dst_comp").select(key, F.col("src_comp").alias("comp")).distinct()
     return parts.join(leaving, [key, "comp"], "left_anti").select(key, "node", "comp")
+
+
+def circuits(signed: DataFrame, key: str = "model_id", most: int = 5_000_000) -> DataFrame:
+    """(key, nodes, sign, truncated): elementary cycles of edges (key, src, dst, sign), as structure.circuits() gives them,
+    by rounds of joins.
+
+    Only edges inside a strong component are walked. A way goes out from its least node over greater ones; ways from one
+    node to another over the same nodes with the same sign are one row, so that rows go with sets of nodes, not with
+    their orders. Each round adds one node to every way and is written. They may still be exponentially many: a graph
+    with more than `most` ways in one round is given up, and all its rows say truncated (one row without nodes where it
+    had found none). Rows with nulls are no edges, repeated ones count once. No edges: no rows.
+    """
+    given = signed.select(key, "src", "dst", F.col("sign").cast("int").alias("sign")).dropna().distinct()
+    parts = strong_components(given, key)
+    of = lambda end: parts.select(key, F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    inside = cut(given.join(of("src"), [key, "src"]).join(of("dst"), [key, "dst"]).where("src_comp = dst_comp").select(key, "src", "dst", "sign"))
+    step = inside.where("src <> dst").select(key, F.col("src").alias("at"), "dst", F.col("sign").alias("more"))
+    found = [inside.where("src = dst").select(key, F.array("src").alias("nodes"), "sign")]
+    given_up = []
+    front = cut(inside.where("dst > src").select(key, F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("nodes"), "sign"))
+    while not front.isEmpty():
+        ways = front.join(step, [key, "at"]).where("dst = start OR dst > start AND NOT array_contains(nodes, dst)")
+        ways = ways.select(key, "start", F.col("dst").alias("at"), F.when(F.col("dst") == F.col("start"), F.col("nodes")).otherwise(F.array_sort(F.array_append("nodes", F.col("dst")))).alias("nodes"), (F.col("sign") * F.col("more")).alias("sign"))
+        ways = cut(ways.distinct())
+        found.append(ways.where("at = start").select(key, "nodes", "sign"))
+        front = ways.where("at <> start")
+        over = cut(front.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key))
+        if not over.isEmpty():
+            given_up.append(over)
+            front = front.join(over, key, "left_anti")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more)
+    rows = rows.select(key, F.array_join("nodes", ",").alias("nodes"), "sign").distinct()
+    if not given_up:
+        return rows.withColumn("truncated", F.lit(False))
+    ended = given_up[0]
+    for more in given_up[1:]:
+        ended = ended.union(more)
+    ended = ended.withColumn("ended", F.lit(True))
+    return rows.join(ended, key, "full_outer").select(key, "nodes", "sign", F.coalesce("ended", F.lit(False)).alias("truncated"))

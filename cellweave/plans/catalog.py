@@ -247,6 +247,11 @@ def feedback(spark, sf_dir):
     return structure.feedback(structure.circuits(_trade(spark, sf_dir)))
 
 
+@query(f"WITH RECURSIVE {_TRADE.format(top=2)}, {_CIRCUITS.format(g='tr')} SELECT model_id, nodes, sign, false AS truncated FROM cyc")
+def circuits_by_rounds(spark, sf_dir):
+    return graphs.circuits(_trade(spark, sf_dir))
+
+
 _CONE = "cone AS (SELECT query_id, model_id, automaton AS node FROM q UNION SELECT query_id, cone.model_id, regulator FROM cone JOIN reg ON reg.model_id = cone.model_id AND reg.automaton = cone.node)"
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.model import Move, Network
-from cellweave.operators import graphs, kernels, local, runs, states
+from cellweave.operators import graphs, kernels, local, runs, states, structure
 from cellweave.plans.frames import Models, encode
 from cellweave.sources.fixtures import GOALS, NETWORKS
 from tests.test_kernels import random_network
@@ -189,3 +189,26 @@ def test_kernels_deal_models_out(spark):
     for name, rows in answers.items():
         sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == 4 and max(sizes) <= 12, (name, sizes)
+
+
+def test_circuits_by_rounds_equal_the_search(spark):
+    rng = random.Random(6)
+    rows = [(f"m{k}", f"n{rng.randrange(7)}", f"n{rng.randrange(7)}", rng.choice((1, -1, 0))) for k in range(12) for _ in range(k + 4)]
+    rows += [("line", "a", "b", 1), ("line", "b", "c", -1), ("loop", "a", "a", -1), ("none", None, "a", 1), *rows[:5]]
+    edges = spark.createDataFrame([(*r, 0) for r in rows], "model_id string, src string, dst string, sign int, comp int")
+    got = sorted(map(tuple, graphs.circuits(edges).collect()))
+    assert got == sorted(map(tuple, structure.circuits(edges.dropna()).collect())) and ("loop", "a", -1, False) in got and len(got) > 30
+    assert graphs.circuits(edges.limit(0)).collect() == []
+
+
+def test_circuits_by_rounds_say_where_they_stopped(spark):
+    names = "abcdefg"
+    full = [("big", a, b, 1) for a in names for b in names if a != b]
+    edges = spark.createDataFrame([*full, ("small", "a", "b", 1), ("small", "b", "a", -1)], "model_id string, src string, dst string, sign int")
+    whole = graphs.circuits(edges).collect()
+    # every set of two or more nodes of a full graph is a circuit
+    assert sorted(r.nodes for r in whole if r.model_id == "big") == sorted(",".join(c) for n in range(2, 8) for c in itertools.combinations(names, n))
+    part = graphs.circuits(edges, most=10).collect()
+    assert {(r.nodes, r.sign, r.truncated) for r in part if r.model_id == "small"} == {("a,b", -1, False)}
+    big = [r for r in part if r.model_id == "big"]
+    assert big and all(r.truncated for r in big) and len(big) < 120
