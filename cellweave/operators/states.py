@@ -223,7 +223,7 @@ def attractors_by_rounds(models: Models, cap: int = FIXPOINT_CAP) -> DataFrame:
     least state numbers, by rounds of joins over all models. A model beyond the cap has one row of nulls."""
     spaces, transitions = encode(models)
     large = models.automata.select("model_id").distinct().join(spaces.where(F.col("n_states") <= cap), "model_id", "left_anti")
-    every = all_states(spaces, cap)
+    every = cut(all_states(spaces, cap))
     edges = cut(successors(every, cut(transitions)).select("model_id", F.col("sid").alias("src"), "dst"))
     moving = graphs.terminal(edges).select("model_id", F.col("node").alias("sid"), F.col("comp").alias("attractor"))
     still = every.join(edges.select("model_id", F.col("src").alias("sid")), ["model_id", "sid"], "left_anti").withColumn("attractor", F.col("sid"))

@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Files as large as their rows. Spark takes a file's size for its rows' when it chooses what to broadcast, and ids that
+#: repeat, packed, are a small part of what they are in memory.
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written under the shared folder and read back."""
+    """df written under the shared folder and read back. What is read back is broadcast only where it is small unpacked."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellweave/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
