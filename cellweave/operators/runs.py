@@ -60,6 +60,7 @@ def likeliest_runs(jumps: DataFrame, start: DataFrame, goals: DataFrame, k: int
     never fall along a run, and what goes round for nothing has no way to a goal and is left out at first.
     """
     key = ["model_id"]
+    jumps = cut(jumps.select("model_id", "src", "dst", "p"))
     ends = cut(goals.select("model_id", "node").distinct())
     own = jumps.join(ends.withColumnRenamed("node", "src"), ["model_id", "src"], "left_anti")
     hope = structure.closure(cut(own.select("model_id", F.col("dst").alias("src"), F.col("src").alias("dst"))), ends, key)

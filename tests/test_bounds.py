@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cellweave.operators import runs
 from cellweave.plans.staging import cut
 
 
@@ -9,3 +10,20 @@ def test_what_is_cut_counts_for_what_it_is_unpacked(spark):
     rows = spark.range(200_000).select(F.concat(F.lit("user number "), (F.col("id") % 7).cast("string")).alias("model_id"), (F.col("id") % 3).alias("sid"))
     size = cut(rows.repartition(2))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert int(str(size)) > 200_000 * 20  # packed they are less than a byte a row
+
+
+def _counted(rows, seen):
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def test_jumps_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    jumps = spark.createDataFrame([("m", "a", "b", 0.5), ("m", "a", "c", 0.5), ("m", "b", "a", 1.0)], "model_id string, src string, dst string, p double")
+    one = lambda x: spark.createDataFrame([("m", x)], "model_id string, node string")
+    found = runs.likeliest_runs(_counted(jumps, seen), one("a"), one("c"), 2).collect()
+    assert [r.run for r in sorted(found, key=lambda r: r["rank"])] == [["a", "c"], ["a", "b", "a", "c"]] and seen.value == 3
