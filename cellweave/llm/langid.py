@@ -92,18 +92,20 @@ class Profiles:
         return self.langs[best], 1 - float(apart[best]) / (self.ranks * len(own))
 
 
-def fitting_rows(rows: DataFrame, per_lang: int = 1_000) -> DataFrame:
+def fitting_rows(rows: DataFrame, per_lang: int | None = 1_000) -> DataFrame:
     """(lang, text) of about per_lang of each language's rows in (doc_id, text, lang), those of smallest MD5 of their
-    id. Null languages are left out."""
+    id; None: of all rows. Null languages are left out."""
     rows = rows.where("lang is not null")
+    if per_lang is None:
+        return rows.select("lang", "text")
     sizes = stage(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share")), "langs")
     digest = F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     return rows.join(sizes, "lang").where(u < F.col("share")).select("lang", "text")
 
 
-def fit_profiles(rows: DataFrame, per_lang: int = 1_000, ranks: int = RANKS) -> Profiles:
-    """Profiles from (doc_id, text, lang): from about per_lang rows of each language, chosen by fitting_rows().
+def fit_profiles(rows: DataFrame, per_lang: int | None = 1_000, ranks: int = RANKS) -> Profiles:
+    """Profiles from (doc_id, text, lang): from the rows of fitting_rows(), about per_lang of each language or all.
 
     The counts stay distributed; `ranks` n-grams a language reach the driver. A language whose rows have no letter has
     no profile. Rows that repeat an id all count.
@@ -141,17 +143,27 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_pandas(rows, run, "doc_id long, lang_pred string, score double")
 
 
-def least_likeness(rows: DataFrame, profiles: Profiles, per_lang: int = 1_000, share: float = 0.001, part: float = 0.5) -> float:
-    """A likeness below which a text is in none of the languages: a part of what the least alike `share` of the rows
-    that profiles are fitted on reach. 0 where there is no row."""
+#: Likenesses are told apart to one part in so many where they are counted.
+STEPS = 100_000
+
+
+def least_likeness(rows: DataFrame, profiles: Profiles, share: float = 0.001, part: float = 0.5) -> float:
+    """A likeness below which a text is in none of the languages: a part of what the least alike `share` of all rows with
+    a language reach. 0 where there is no row.
+
+    Every row is scored and counted, by its likeness in STEPS; those counts, no rows, reach the driver.
+    """
     box = fitted(rows.sparkSession, profiles)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"score": [x for lang, x in map(box.value.predict, batch["text"]) if lang != "und"]}, dtype=float)
+            yield pd.DataFrame({"step": [int(x * STEPS) for lang, x in map(box.value.predict, batch["text"]) if lang != "und"]}, dtype="int64")
 
-    found = map_pandas(fitting_rows(rows, per_lang), run, "score double").agg(F.percentile_approx("score", share, 10_000)).first()[0]
-    return part * (found or 0.0)
+    counts = map_pandas(fitting_rows(rows, None), run, "step long").groupBy("step").count().orderBy("step").toPandas()
+    if counts.empty:
+        return 0.0
+    upto = counts["count"].cumsum().to_numpy()
+    return part * float(counts["step"].iloc[int(np.searchsorted(upto, share * upto[-1]))]) / STEPS
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:

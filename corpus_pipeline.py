@@ -11,9 +11,10 @@ from cellweave.llm.common import fresh, stage, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: those without a letter, and those far less alike to every language
-    than what the profiles were fitted on. lang becomes the language that was told, which the mixing goes by."""
+    than what the profiles were fitted on, all rows of the training folds. lang becomes the language that was told,
+    which the mixing goes by."""
     rows = langid.training_rows(docs)
-    profiles = langid.fit_profiles(rows)
+    profiles = langid.fit_profiles(rows, per_lang=None)
     return langid.keep_identified(docs, profiles, least=langid.least_likeness(rows, profiles))
 
 
