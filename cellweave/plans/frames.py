@@ -20,6 +20,8 @@ AUTOMATA = "model_id string, automaton string, levels int"
 TRANSITIONS = "model_id string, tid int, automaton string, from_level int, to_level int, conditions array<struct<automaton:string,level:int>>, dist struct<kind:string,phases:int,rates:array<double>>, rate double"
 INITIAL = "model_id string, automaton string, level int"
 MODELS = "model_id string, name string, source string, text string"
+#: Models that are held parsed at once: nested rows are many times their texts.
+AT_ONCE = 200
 #: A model a row, its parts nested.
 PARSED = (
     "model_id string, name string, source string, automata array<struct<automaton:string,levels:int>>, "
@@ -48,6 +50,20 @@ def parsed_row(model_id: str, net: Network) -> dict:
     return {"model_id": model_id, "name": net.name, "source": net.source, "automata": [{"automaton": a, "levels": net.levels[a]} for a in net.automata], "transitions": moves, "initial": start, "text": write_anx(net)}
 
 
+def parsed_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of PARSED from batches (model_id, format, text, extra), AT_ONCE models at most in each part."""
+    for batch in batches:
+        for at in range(0, len(batch), AT_ONCE):
+            part = batch.iloc[at : at + AT_ONCE]
+            yield pd.DataFrame([parsed_row(row[0], _parse(*row)) for row in zip(part["model_id"], part["format"], part["text"], part["extra"])])
+
+
+def _parse(model_id: str, kind: str, text: str, extra: str | None) -> Network:
+    if kind == "maboss":
+        return READERS[kind](text, extra, name=model_id)
+    return READERS[kind](b64decode(text) if kind == "zginml" else text, name=model_id)
+
+
 @dataclass
 class Models:
     """Four frames. An automaton without a row in `initial` may start at any level. Order is data: aidx ranks automata
@@ -76,18 +92,7 @@ class Models:
         if "extra" not in texts.columns:
             texts = texts.withColumn("extra", F.lit(None).cast("string"))
 
-        def parse(model_id: str, kind: str, text: str, extra: str | None) -> Network:
-            if kind == "maboss":
-                return READERS[kind](text, extra, name=model_id)
-            return READERS[kind](b64decode(text) if kind == "zginml" else text, name=model_id)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [parsed_row(row[0], parse(*row)) for row in zip(batch["model_id"], batch["format"], batch["text"], batch["extra"])]
-                if rows:
-                    yield pd.DataFrame(rows)
-
-        return Models.of_parsed(cut(texts.select("model_id", "format", "text", "extra").mapInPandas(run, PARSED)))
+        return Models.of_parsed(cut(texts.select("model_id", "format", "text", "extra").mapInPandas(parsed_parts, PARSED)))
 
     @staticmethod
     def of_parsed(rows: DataFrame) -> Models:

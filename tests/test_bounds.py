@@ -1,8 +1,10 @@
 """What rounds hand to the driver and hold in Python, and how often they compute what they are given."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cellweave.operators import runs
+from cellweave.plans import frames
 from cellweave.plans.staging import cut
 
 
@@ -12,6 +14,14 @@ def test_what_is_cut_counts_for_what_it_is_unpacked(spark):
     assert int(str(size)) > 200_000 * 20  # packed they are less than a byte a row
 
 
+def test_parsed_models_come_in_small_parts():
+    text = "automaton a [0, 1]\na: 0 -> 1 @ 1.0\n"
+    batch = pd.DataFrame({"model_id": [f"m{i}" for i in range(450)], "format": "anx", "text": text, "extra": None})
+    parts = list(frames.parsed_parts(iter([batch, batch.iloc[:0], batch.iloc[:1]])))
+    assert max(map(len, parts)) <= frames.AT_ONCE
+    assert [x for p in parts for x in p["model_id"]] == [*batch["model_id"], "m0"]
+
+
 def _counted(rows, seen):
     def run(batches):
         for batch in batches:
