@@ -42,7 +42,7 @@ def strong_components(edges: DataFrame, key: str = "model_id", trims: int = 3) -
     colour; what leads back to that node inside the colour is its component, and goes. A round settles a component of
     every colour. Edges and nodes stay distributed. Nulls are no nodes; self-loops and repeated edges change nothing.
     """
-    given = edges.select(key, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    given = cut(edges.select(key, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
     nodes = cut(given.select(key, F.col("src").alias("node")).union(given.select(key, "dst")).distinct())
     left = cut(given.where("src <> dst").distinct())
     done = None

@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cellweave.operators import runs
+from cellweave.operators import graphs, runs
 from cellweave.plans import frames
 from cellweave.plans.staging import cut
 
@@ -31,6 +31,13 @@ def _counted(rows, seen):
     return rows.mapInPandas(run, rows.schema)
 
 
+def test_edges_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 1), ("g", 2, 3), ("g", None, 3)], "model_id string, src int, dst int")
+    found = graphs.strong_components(_counted(edges, seen)).collect()
+    assert sorted((r.node, r.comp) for r in found) == [(1, 1), (2, 1), (3, 3)] and seen.value == 4
+
+
 def test_jumps_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
     jumps = spark.createDataFrame([("m", "a", "b", 0.5), ("m", "a", "c", 0.5), ("m", "b", "a", 1.0)], "model_id string, src string, dst string, p double")
