@@ -266,9 +266,9 @@ def render_anx(models: Models) -> DataFrame:
 
 
 def with_texts(models: Models) -> Models:
-    """The models with texts made from their other frames, as kernels read them."""
+    """The models with texts made from their other frames, as kernels read them; made only where they are read."""
     lines = render_anx(models).groupBy("model_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return Models(models.automata, models.transitions, models.initial, cut(models.models.drop("text").join(lines, "model_id")))
+    return Models(models.automata, models.transitions, models.initial, models.models.drop("text").join(lines, "model_id"))
 
 
 def semiring_step(edges: DataFrame, vector: DataFrame, kind: str) -> DataFrame:

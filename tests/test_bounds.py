@@ -3,9 +3,10 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cellweave.operators import graphs, runs
+from cellweave.operators import graphs, runs, structure
 from cellweave.plans import frames
 from cellweave.plans.staging import cut
+from cellweave.sources.fixtures import NETWORKS
 
 
 def test_what_is_cut_counts_for_what_it_is_unpacked(spark):
@@ -44,3 +45,13 @@ def test_jumps_are_computed_once(spark):
     one = lambda x: spark.createDataFrame([("m", x)], "model_id string, node string")
     found = runs.likeliest_runs(_counted(jumps, seen), one("a"), one("c"), 2).collect()
     assert [r.run for r in sorted(found, key=lambda r: r["rank"])] == [["a", "c"], ["a", "b", "a", "c"]] and seen.value == 3
+
+
+def test_texts_are_made_only_where_they_are_read(spark, monkeypatch):
+    def staged(df):
+        raise AssertionError("texts were written")
+
+    monkeypatch.setattr(structure, "cut", staged)
+    net = NETWORKS["p53-mdm2"]
+    models = structure.with_texts(frames.Models.of(spark, {"m": net}))
+    assert models.models.first().text.count("automaton ") == len(net.automata)
