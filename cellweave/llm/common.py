@@ -109,6 +109,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Cells of the filter of maybe_among(), each a bit, and how many of them are one bitmap: 4 MB in 1,024 rows at most.
+CELLS, BITMAP = 1 << 25, 1 << 15
+
+
+def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, mark: str) -> DataFrame:
+    """rows with a boolean column `mark`: false only where the id, as a long, is none of ids (doc_id).
+
+    A row that is told apart by this need not be shuffled to meet the ids. The filter that is broadcast has CELLS bits,
+    however many ids there are; with more ids more rows are marked, and an exact join of those decides.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(CELLS)).cast("int")
+    number, bits = fresh(rows, "bitmap_number", "bitmap_bits")
+    at = cell(F.col("doc_id"))
+    cells = ids.where("doc_id is not null").select(F.shiftright(at, 15).alias(number), at.bitwiseAND(BITMAP - 1).cast("long").alias("place"))
+    filters = stage(cells.repartition(number).groupBy(number).agg(F.bitmap_construct_agg("place").alias(bits)), "id-filter")
+    own = cell(named(id_col))
+    place = own.bitwiseAND(BITMAP - 1)
+    byte = F.conv(F.hex(F.substr(F.col(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, place.bitwiseAND(7)) == 1, F.lit(False))
+    met = rows.join(F.broadcast(filters), F.shiftright(own, 15) == F.col(number), "left")
+    return met.select(*map(named, rows.columns), hit.alias(mark))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer in use, as after a table was written."""
     gc.collect()

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_pandas, named, raw_text, release, stage
+from .common import map_pandas, maybe_among, named, raw_text, release, stage
 from .components import connected_components
 
 #: Two texts of similarity 0.8 share none of the bands with a probability of (1 - 0.8**ROWS)**BANDS = 0.0004.
@@ -110,11 +110,13 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = each.select("same", F.col("node").alias("src")).join(alike.select("same", F.col("node").alias("dst")), "same")
     links = stage(same.where("src <> dst").select("src", "dst").distinct(), "same-links")
     key = ["band", "bucket"]
-    every = alike.select("doc_id", "node", "size", F.posexplode("bands").alias("band", "bucket")).distinct()
+    every = alike.select("doc_id", "node", "size", F.posexplode("bands").alias("band", "bucket"))
     met = every.groupBy(*key).agg((F.min("doc_id") != F.max("doc_id")).alias("many")).where("many").select(*key)
-    open_ = stage(every.join(met, key, "left_semi"), "bucket-members")
-    # sets of candidates only: all sets are larger than the texts' files
-    sets = stage(map_pandas(rows.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), shingles, "doc_id long, shingles binary"), "similar-sets")
+    open_ = stage(every.join(met, key, "left_semi").distinct(), "bucket-members")
+    # sets of candidates only: all sets are larger than the texts' files; and only texts that may be candidates' are shuffled
+    wanted = stage(open_.select("doc_id").distinct(), "candidates")
+    some = maybe_among(rows, "doc_id", wanted, "maybe").where("maybe").select("doc_id", "raw")
+    sets = stage(map_pandas(some.join(wanted, "doc_id", "left_semi"), shingles, "doc_id long, shingles binary"), "similar-sets")
     release(docs.sparkSession)
     for n_leaders in (1, 4, None):
         comps = stage(connected_components(links), "similar-groups")

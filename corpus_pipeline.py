@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import langid, linededup, mixing, overlap, sentencepieces, simhash
-from cellweave.llm.common import fresh, stage, table
+from cellweave.llm.common import fresh, maybe_among, stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     a group is what links of either kind connect. Rows without an id stay.
     """
     classes = stage(simhash.near_duplicates(docs), "copies")
-    gone = stage(overlap.later_ids(docs, classes=classes), "near-copies").withColumnRenamed("doc_id", own := fresh(docs, "gone")[0])
-    return docs.join(gone, docs["doc_id"] == F.col(own), "left_anti")
+    gone = stage(overlap.later_ids(docs, classes=classes), "near-copies")
+    # texts that can't be among those need no shuffle to stay
+    own, maybe = fresh(docs, "gone", "maybe_gone")
+    told = maybe_among(docs, "doc_id", gone, maybe)
+    doubt = told.where(maybe).drop(maybe)
+    return told.where(~F.col(maybe)).drop(maybe).union(doubt.join(gone.withColumnRenamed("doc_id", own), F.col("doc_id") == F.col(own), "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

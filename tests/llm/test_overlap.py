@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
-from cellweave.llm import overlap
+from cellweave.llm import common, overlap
+from cellweave.llm.common import stage
 
 
 def slow_set(text):
@@ -78,3 +80,44 @@ def test_texts_that_share_bands_without_being_alike_are_all_compared(spark, monk
     kept = slow_kept(rows)
     assert 12 <= len(kept) < 30
     assert {r.doc_id for r in overlap.later_ids(docs).collect()} == {d for d, _ in rows} - kept | {998}
+
+
+def _shuffled(spark, stages_before=None):
+    """Bytes written to shuffles by the stages that are not in stages_before, and the ids of all stages."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    every = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    own = [every.apply(i) for i in range(every.size())]
+    return sum(x.shuffleWriteBytes() for x in own if stages_before is None or x.stageId() not in stages_before), {x.stageId() for x in own}
+
+
+def test_texts_that_nothing_resembles_are_not_shuffled(spark):
+    """Neither to find candidates' shingles nor to drop what is a near copy, where the ids are too many to be broadcast."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i in range(400)]
+    rows += [(1000 + i, text + " more") for i, text in rows[:8]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = stage(docs, "texts")
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for k in keys:
+        spark.conf.set(k, -1)
+    try:
+        _, seen = _shuffled(spark)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+        moved, _ = _shuffled(spark, seen)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert sorted(map(tuple, kept)) == rows[:400]
+    assert moved < sum(len(t) for _, t in rows) / 2
+
+
+def test_no_id_is_told_apart_from_itself(spark, monkeypatch):
+    monkeypatch.setattr(common, "CELLS", 1 << 16)
+    rows = spark.range(-3000, 9000).select("id", F.lit("x").alias("bitmap.bits")).union(spark.createDataFrame([(None, "n")], "id long, x string"))
+    ids = spark.range(-3000, 9000, 3).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(None,)], "doc_id long"))
+    got = common.maybe_among(rows, "id", ids, "maybe")
+    assert got.columns == [*rows.columns, "maybe"] and got.count() == 12_001
+    told = {r.id for r in got.where("not maybe").collect()}
+    assert not told & set(range(-3000, 9000, 3)) and len(told) > 7000
+    assert common.maybe_among(rows, "id", ids.limit(0), "maybe").where("maybe").isEmpty()
