@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,30 +59,36 @@ def absorption(edges: DataFrame, goals: DataFrame, absorbing: DataFrame | None =
     if some:
         rows = rows.join(large, "model_id", "left_anti")
 
+    together = rows.repartition("model_id").sortWithinPartitions("model_id")
+    out = together.mapInPandas(_whole("model_id", _solve), f"model_id {key}, node string, prob double, mean_time double")
+    if some:
+        mine = lambda df: df.join(large, "model_id", "left_semi")
+        out = out.union(_absorbed(mine(merged), mine(ends), tolerance))
+    return out
+
+
+def _whole(key: str, solve: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What mapInPandas takes, over rows in order of the key: solve() gets whole groups, as many at once as a batch ends."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # parts of chains of which more may come
+        held: list[pd.DataFrame] = []  # parts of a group of which more may come
         for part in batches:
             if not len(part):
                 continue
-            last = part["model_id"].iloc[-1]
-            full = (part["model_id"] != last).to_numpy()
+            last = part[key].iloc[-1]
+            full = (part[key] != last).to_numpy()
             if full.any():
-                yield _solve(pd.concat([*held, part[full]]))
+                yield solve(pd.concat([*held, part[full]]))
                 held = [part[~full]]
-            elif held and held[-1]["model_id"].iloc[-1] != last:
-                yield _solve(pd.concat(held))
+            elif held and held[-1][key].iloc[-1] != last:
+                yield solve(pd.concat(held))
                 held = [part]
             else:
                 held.append(part)
         if held:
-            yield _solve(pd.concat(held))
+            yield solve(pd.concat(held))
 
-    together = rows.repartition("model_id").sortWithinPartitions("model_id")
-    out = together.mapInPandas(run, f"model_id {key}, node string, prob double, mean_time double")
-    if some:
-        mine = lambda df: df.join(large, "model_id", "left_semi")
-        out = out.union(_absorbed(mine(merged), mine(ends), tolerance))
-    return out
+    return run
 
 
 def _absorbed(edges: DataFrame, ends: DataFrame, tolerance: float) -> DataFrame:
@@ -194,15 +200,63 @@ def hitting_times_by_joins(edges: DataFrame, goals: DataFrame, tolerance: float
     return time.union(goals.select("model_id", "node", F.lit(0.0)).distinct())
 
 
-def spread(jumps: DataFrame, start: DataFrame, marks: tuple[int, ...], least: float = 0.0, keys: tuple[str, ...] = ("query_id", "model_id"), cut_every: int = 4) -> DataFrame:
+def spread(jumps: DataFrame, start: DataFrame, marks: tuple[int, ...], least: float = 0.0, keys: tuple[str, ...] = ("query_id", "model_id"), cut_every: int = 4, largest: int = 1_000_000) -> DataFrame:
     """(mark, keys, node, mass): where one is after so many rounds; a round lets every node of at least `least` mass jump.
 
     jumps: (some of keys, src, dst, p), none out of where a run ends; start: (keys, node, mass). What a node with less mass
     holds stays there and adds up, so no mass is lost: that at goals is a lower bound of reaching them, and all but that at
-    places without hope an upper one, at any mark.
+    places without hope an upper one, at any mark. Of the keys' groups those of up to `largest` jumps and starts go through
+    all rounds in one task, many at once as arrays; larger ones go through joins, a round each.
     """
     shared = [k for k in keys if k in jumps.columns]
-    go = cut(jumps.select(*(F.col(k).alias(f"_{k}") for k in shared), "src", "dst", "p"))
+    if len(shared) < len(keys):
+        jumps = jumps.join(start.select(*keys).distinct(), shared)
+    rows = jumps.select(*keys, "src", "dst", "p", F.lit(True).alias("go"))
+    rows = cut(rows.union(start.select(*keys, "node", "node", "mass", F.lit(False))))
+    large = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest).select(*keys))
+    some = not large.isEmpty()
+    small = rows.join(large, [*keys], "left_anti") if some else rows
+    kinds = dict(start.dtypes)
+    together = small.repartition(keys[0]).sortWithinPartitions(*keys)
+    schema = ", ".join(["mark int", *(f"`{k}` {kinds[k]}" for k in keys), f"node {kinds['node']}", "mass double"])
+    out = together.mapInPandas(_whole(keys[0], lambda part: _spread(part, marks, least, keys)), schema)
+    if some:
+        own = rows.join(large, [*keys], "left_semi")
+        begun = own.where("NOT go").select(*keys, F.col("src").alias("node"), F.col("p").alias("mass"))
+        out = out.union(_spread_by_joins(own.where("go").drop("go"), begun, marks, least, keys, cut_every))
+    return out
+
+
+def _spread(rows: pd.DataFrame, marks: tuple[int, ...], least: float, keys: tuple[str, ...]) -> pd.DataFrame:
+    """spread() of all groups in rows at once. rows: (keys, src, dst, p, go), without go a start of mass p in src; a group's
+    are together."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in keys:
+        own = rows[k].to_numpy()
+        new[1:] |= own[1:] != own[:-1]
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    both, names = pd.factorize(pd.concat([rows["src"], rows["dst"]]))
+    nodes, at = np.unique(np.tile(group, 2) * len(names) + both, return_inverse=True)
+    go, p, n = rows["go"].to_numpy(bool), rows["p"].to_numpy(float), len(nodes)
+    src, dst = at[: len(rows)], at[len(rows) :][go]
+    mass = np.bincount(src[~go], p[~go], n)
+    src, p = src[go], p[go]
+    leaves = np.bincount(src, minlength=n) > 0
+    out = []
+    for i in range(max(marks) + 1):
+        if i in marks:
+            held = np.flatnonzero(mass)
+            own = {k: rows[k].to_numpy()[first[nodes[held] // len(names)]] for k in keys}
+            out.append(pd.DataFrame({"mark": np.int32(i), **own, "node": names.take(nodes[held] % len(names)), "mass": mass[held]}))
+        goes = np.where(leaves & (mass >= least), mass, 0.0)
+        mass = mass - goes + np.bincount(dst, goes[src] * p, n)
+    return pd.concat(out)
+
+
+def _spread_by_joins(jumps: DataFrame, start: DataFrame, marks: tuple[int, ...], least: float, keys: tuple[str, ...], cut_every: int) -> DataFrame:
+    """spread() by a join and an aggregation a round. jumps: (keys, src, dst, p)."""
+    go = cut(jumps.select(*(F.col(k).alias(f"_{k}") for k in keys), "src", "dst", "p"))
     now, out = start.select(*keys, "node", "mass"), None
     for i in range(max(marks) + 1):
         if i in marks:
@@ -213,7 +267,7 @@ def spread(jumps: DataFrame, start: DataFrame, marks: tuple[int, ...], least: fl
             now = cut(now)
         if i < max(marks):
             on = (F.col("node") == F.col("src")) & (F.col("mass") >= least)
-            for k in shared:
+            for k in keys:
                 on &= F.col(k) == F.col(f"_{k}")
             now = now.join(go, on, "left").groupBy(*keys, F.coalesce("dst", "node").alias("node")).agg(F.sum(F.col("mass") * F.coalesce("p", F.lit(1.0))).alias("mass"))
     return out

@@ -44,10 +44,13 @@ def _masks(models: Models) -> tuple[DataFrame, DataFrame]:
 
 
 def closed_set(init: Column, blocked: Column, moves: str = "moves", n: str = "n_bits"):
-    """The least set with init, without blocked, closed under the moves: as many sweeps as there are bits at most."""
+    """The least set with init, without blocked, closed under the moves: sweeps until one adds nothing, as many as there are
+    bits at most."""
     free = F.bitwise_not(blocked)
     sweep = lambda m: F.aggregate(moves, m, lambda acc, t: F.when(acc.bitwiseAND(t["need"]) == t["need"], acc.bitwiseOR(t["target"].bitwiseAND(free))).otherwise(acc))
-    return F.aggregate(F.sequence(F.lit(1), n), init.bitwiseAND(free), lambda m, _: sweep(m))
+    begun = F.struct(F.lit(None).cast("long").alias("before"), init.bitwiseAND(free).alias("now"))
+    step = lambda x, _: F.when(x["before"] == x["now"], x).otherwise(F.struct(x["now"].alias("before"), sweep(x["now"]).alias("now")))
+    return F.aggregate(F.sequence(F.lit(1), n), begun, step, lambda x: x["now"])
 
 
 def may_reach(models: Models, blocked: DataFrame | None = None) -> DataFrame:

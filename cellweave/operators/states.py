@@ -62,8 +62,12 @@ def start_states(models: Models, spaces: DataFrame) -> DataFrame:
 def reachable(models: Models, absorb: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(model_id, sid): states reachable from the starts, breadth first; states in absorb (model_id, sid) stop there."""
     spaces, transitions = encode(models)
-    transitions = cut(transitions)
-    known = front = cut(start_states(models, spaces).distinct())
+    return _reached(cut(start_states(models, spaces).distinct()), cut(transitions), absorb, max_rounds)
+
+
+def _reached(starts: DataFrame, transitions: DataFrame, absorb: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """reachable() from written starts and transitions."""
+    known = front = starts
     for _ in range(max_rounds):
         go = front if absorb is None else front.join(absorb, ["model_id", "sid"], "left_anti")
         step = successors(go, transitions).select("model_id", F.col("dst").alias("sid")).distinct()
@@ -202,15 +206,14 @@ def bracket(models: Models, goals: DataFrame, rounds: tuple[int, ...] = (16,), l
     All starts count, with equal shares. What is left in other states keeps its probability: lower is what has hit the
     goal, upper all but what is where local states exclude it, deadlocks among those. States are those that are reached.
     """
-    spaces, transitions = encode(models)
-    transitions = cut(transitions)
-    found = cut(reachable(models))
+    spaces, transitions = map(cut, encode(models))
+    starts = cut(start_states(models, spaces).distinct())
+    found = cut(_reached(starts, transitions))
     edges = successors(found, transitions).select("model_id", F.col("sid").alias("src"), "dst", "rate")
     jumps = cut(chains.jump_chain(edges).select("model_id", "src", "dst", "p"))
     hits = at_goals(spaces, goals, found).withColumn("hit", F.lit(True))
     stop = cut(hits.union(local.excluded(models, spaces, goals, found).select("query_id", "model_id", "sid", F.lit(False))))
     go = goals.select("query_id", "model_id").join(jumps, "model_id").join(stop.withColumnRenamed("sid", "src"), ["query_id", "model_id", "src"], "left_anti")
-    starts = start_states(models, spaces).distinct()
     share = starts.groupBy("model_id").agg((1.0 / F.count(F.lit(1))).alias("mass"))
     begun = goals.select("query_id", "model_id").join(starts, "model_id").join(share, "model_id").select("query_id", "model_id", F.col("sid").alias("node"), "mass")
     held = chains.spread(go, begun, rounds, least).join(stop.withColumnRenamed("sid", "node"), ["query_id", "model_id", "node"], "left")

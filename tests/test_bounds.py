@@ -1,9 +1,10 @@
 """What rounds hand to the driver and hold in Python, and how often they compute what they are given."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import graphs, runs, structure
+from cellweave.operators import chains, graphs, runs, states, structure
 from cellweave.plans import frames
 from cellweave.plans.staging import cut
 from cellweave.sources.fixtures import NETWORKS
@@ -55,3 +56,31 @@ def test_texts_are_made_only_where_they_are_read(spark, monkeypatch):
     net = NETWORKS["p53-mdm2"]
     models = structure.with_texts(frames.Models.of(spark, {"m": net}))
     assert models.models.first().text.count("automaton ") == len(net.automata)
+
+
+def test_rounds_of_small_groups_are_no_rounds_of_joins(spark, monkeypatch):
+    """The same masses by arrays and by joins; by arrays as many tables are written for 40 rounds as for 2."""
+    jumps = spark.createDataFrame(
+        [(q, m, a, b, p) for q, m in (("q1", "m"), ("q2", "m"), ("q2", "n")) for a, b, p in ((2**61 + 1, 2, 0.25), (2**61 + 1, 3, 0.75), (2, 2**61 + 1, 0.5), (2, 4, 0.5), (3, 3, 0.5), (3, 5, 0.5))],
+        "query_id string, model_id string, src long, dst long, p double",
+    ).repartition(3)
+    start = spark.createDataFrame([("q1", "m", 2**61 + 1, 1.0), ("q2", "m", 2, 0.5), ("q2", "m", 9, 0.5), ("q2", "n", 3, 1.0), ("q3", "m", 7, 1.0)], "query_id string, model_id string, node long, mass double")
+    written, cut = [], chains.cut
+    monkeypatch.setattr(chains, "cut", lambda df: written.append(df) or cut(df))
+    rows = lambda df: sorted((r.mark, r.query_id, r.model_id, r.node, round(r.mass, 12)) for r in df.collect())
+    fast = rows(chains.spread(jumps, start, (0, 1, 2), 0.1))
+    few = len(written)
+    assert fast == rows(chains.spread(jumps, start, (0, 1, 2), 0.1, largest=0)) and (2, "q1", "m", 4, 0.125) in fast and (2, "q2", "n", 3, 0.25) in fast
+    assert rows(chains.spread(jumps, start, (2,), 0.1, largest=4)) == [x for x in fast if x[0] == 2]
+    shared = jumps.where("query_id = 'q1'").drop("query_id")
+    assert rows(chains.spread(shared, start.where("query_id = 'q1'"), (0, 1, 2), 0.1)) == [x for x in fast if x[1] == "q1"]
+    written.clear()
+    assert sum(r.mass for r in chains.spread(jumps, start, (40,), 0.0).where("query_id = 'q1'").collect()) == pytest.approx(1)
+    assert len(written) == few
+
+
+def test_starts_of_a_bracket_are_made_once(spark, monkeypatch):
+    made, own = [], states.start_states
+    monkeypatch.setattr(states, "start_states", lambda *a: made.append(a) or own(*a))
+    goals = spark.createDataFrame([("q", "m", "p53", 1)], "query_id string, model_id string, automaton string, level int")
+    assert states.bracket(frames.Models.of(spark, {"m": NETWORKS["p53-mdm2"]}), goals, (4,)).count() == 1 and len(made) == 1
